@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def partitions(spark: SparkSession) -> int:
 
 def text_slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a record batch of about `most` bytes of text each; one longer text stands alone."""
-    size = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
+    size = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
     total, at = np.cumsum(size), 0
     while at < len(size):
         base = total[at - 1] if at else 0
