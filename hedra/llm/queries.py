@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedra.llm import chat_snapshots, hilbert_shards, language_id, piece_encoding, telephony
+from hedra.llm import chat_snapshots, decontaminate, hilbert_shards, language_id, line_dedup, piece_encoding, telephony
 from hedra.llm.common import read
 
 #: The folder of public tokenizers; a parameter of op9_offset_pieces.
@@ -19,6 +19,11 @@ def piece_model(name: str = "piece_bpe_32k.model", folder: str = TOKENIZERS) ->
         return f.read()
 
 
+def op2_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "start_word")
+
+
 def op4_snapshot_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_snapshots.collapse_snapshots(read(spark, sf_dir, "conversations"))
 
@@ -30,6 +35,10 @@ def op5_family_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(docs, mine).select("doc_id", held.alias("held_out"), "lang_pred", "score", "family_pred")
 
 
+def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+
+
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.shard_documents(read(spark, sf_dir, "documents"), ["source", "lang", "n_chars"])
 
@@ -61,9 +70,9 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op4_snapshot_chats, op5_family_languages, op8_hilbert_shards, op9_offset_pieces, op10_telephony_audio]
+    own = [op2_simhash_windows, op4_snapshot_chats, op5_family_languages, op7_line_chunks, op8_hilbert_shards, op9_offset_pieces, op10_telephony_audio]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_snapshot_chats": chat_snapshots.SQL}
+    return {"op2_simhash_windows": decontaminate.SQL, "op4_snapshot_chats": chat_snapshots.SQL, "op7_line_chunks": line_dedup.SQL}
