@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedra.llm import chat_snapshots, decontaminate, hilbert_shards, language_id, line_dedup, piece_encoding, telephony
+from hedra.llm import chat_snapshots, decontaminate, hilbert_shards, language_id, line_dedup, piece_encoding, telephony, weak_quality
 from hedra.llm.common import read
 
 #: The folder of public tokenizers; a parameter of op9_offset_pieces.
@@ -19,6 +19,10 @@ def piece_model(name: str = "piece_bpe_32k.model", folder: str = TOKENIZERS) ->
         return f.read()
 
 
+def op1_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.judge_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "similarity", "start_word")
@@ -70,7 +74,7 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_simhash_windows, op4_snapshot_chats, op5_family_languages, op7_line_chunks, op8_hilbert_shards, op9_offset_pieces, op10_telephony_audio]
+    own = [op1_weak_quality, op2_simhash_windows, op4_snapshot_chats, op5_family_languages, op7_line_chunks, op8_hilbert_shards, op9_offset_pieces, op10_telephony_audio]
     return {f.__name__: f for f in own}
 
 
