@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedra.llm import chat_snapshots, decontaminate, hilbert_shards, language_id, line_dedup, piece_encoding, telephony, weak_quality
+from hedra.llm import chat_snapshots, decontaminate, hilbert_shards, jaccard_join, language_id, line_dedup, piece_encoding, telephony, weak_quality
 from hedra.llm.common import read
 
 #: The folder of public tokenizers; a parameter of op9_offset_pieces.
@@ -39,6 +39,10 @@ def op5_family_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(docs, mine).select("doc_id", held.alias("held_out"), "lang_pred", "score", "family_pred")
 
 
+def op6_prefix_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(read(spark, sf_dir, "documents"))
+
+
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
 
@@ -74,7 +78,7 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_weak_quality, op2_simhash_windows, op4_snapshot_chats, op5_family_languages, op7_line_chunks, op8_hilbert_shards, op9_offset_pieces, op10_telephony_audio]
+    own = [op1_weak_quality, op2_simhash_windows, op4_snapshot_chats, op5_family_languages, op6_prefix_orders, op7_line_chunks, op8_hilbert_shards, op9_offset_pieces, op10_telephony_audio]
     return {f.__name__: f for f in own}
 
 
