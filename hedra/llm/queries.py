@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedra.llm import chat_snapshots, decontaminate, hilbert_shards, jaccard_join, language_id, line_dedup, piece_encoding, telephony, weak_quality
+from hedra.llm import chat_snapshots, decontaminate, hilbert_shards, jaccard_join, language_id, line_dedup, lm_score, piece_encoding, telephony, weak_quality
 from hedra.llm.common import read
 
 #: The folder of public tokenizers; a parameter of op9_offset_pieces.
@@ -28,6 +28,11 @@ def op2_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "similarity", "start_word")
 
 
+def op3_elias_fano_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mine = F.pmod(F.crc32(F.col("key").cast("string").cast("binary")), F.lit(5)) != 1
+    return lm_score.score_texts(read(spark, sf_dir, "documents"), mine)
+
+
 def op4_snapshot_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_snapshots.collapse_snapshots(read(spark, sf_dir, "conversations"))
 
@@ -78,7 +83,7 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_weak_quality, op2_simhash_windows, op4_snapshot_chats, op5_family_languages, op6_prefix_orders, op7_line_chunks, op8_hilbert_shards, op9_offset_pieces, op10_telephony_audio]
+    own = [op1_weak_quality, op2_simhash_windows, op3_elias_fano_scores, op4_snapshot_chats, op5_family_languages, op6_prefix_orders, op7_line_chunks, op8_hilbert_shards, op9_offset_pieces, op10_telephony_audio]
     return {f.__name__: f for f in own}
 
 
