@@ -145,19 +145,21 @@ def fit(docs: DataFrame, train: Column, per_language: int = 400, most_languages:
     return Model(np.frombuffer(b"".join(got.x), np.float16).reshape(len(got), DIMS).astype(np.float32), got.lang.to_numpy(object))
 
 
-def identify_languages(docs: DataFrame, train: Column | None = None, key: str = "doc_id", per_language: int = 400) -> DataFrame:
-    """Language of every whole text: key, lang_pred, family_pred, score (0 to 1).
+def identify_languages(docs: DataFrame, train: Column | None = None, key: str = "doc_id", per_language: int = 400, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Language of every whole text: key, lang_pred, family_pred, score (0 to 1) and the columns of `keep`.
 
     Learns from text and lang of rows where `train` (over columns `key`, default: all) holds, see `fit`; lang is never read in prediction.
     A null text or one without a letter is `und` with score 0, as is every text if there is nothing to learn from. Repeated rows and null
     keys stay rows of their own; an empty table gives an empty result; other columns are ignored.
     """
-    own = pick(docs, key=key, text="text", lang="lang")
-    kind = own.schema["key"].dataType.simpleString()
+    own = pick(docs, key=key, text="text", lang="lang", **{f"keep{i}": c for i, c in enumerate(keep)})
+    kept = [f"keep{i}" for i in range(len(keep))]
+    kinds = "".join(f"{c} {own.schema[c].dataType.simpleString()}, " for c in ("key", *kept))
+    back = [F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)]
     model = fit(own, F.lit(True) if train is None else train, per_language)
     known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if model is None:
-        return own.select(F.col("key").alias(key), F.lit("und").alias("lang_pred"), F.lit("und").alias("family_pred"), F.lit(0.0).alias("score"))
+        return own.select(F.col("key").alias(key), F.lit("und").alias("lang_pred"), F.lit("und").alias("family_pred"), F.lit(0.0).alias("score"), *back)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few machines of DIMS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,8 +168,8 @@ def identify_languages(docs: DataFrame, train: Column | None = None, key: str =
                 for at in range(0, part.num_rows, 1 << 10):
                     few = part.slice(at, 1 << 10)
                     lang, family, score = shared.value.predict(vectors(*text_bytes(few.column("text"))))
-                    yield pa.RecordBatch.from_arrays([few.column("key"), few.column("known"), pa.array(lang, pa.string()), pa.array(family, pa.string()), pa.array(score.astype(np.float64))], names=["key", "known", "lang", "family", "score"])
+                    yield pa.RecordBatch.from_arrays([*(few.column(c) for c in ("key", *kept)), few.column("known"), pa.array(lang, pa.string()), pa.array(family, pa.string()), pa.array(score.astype(np.float64))], names=["key", *kept, "known", "lang", "family", "score"])
 
-    said = own.select("key", "text", known.alias("known")).mapInArrow(run, f"key {kind}, known boolean, lang string, family string, score double")
+    said = own.select("key", *kept, "text", known.alias("known")).mapInArrow(run, f"{kinds}known boolean, lang string, family string, score double")
     chosen = lambda c, other: F.when(F.col("known"), F.col(c)).otherwise(F.lit(other))
-    return said.select(F.col("key").alias(key), chosen("lang", "und").alias("lang_pred"), chosen("family", "und").alias("family_pred"), chosen("score", 0.0).alias("score"))
+    return said.select(F.col("key").alias(key), chosen("lang", "und").alias("lang_pred"), chosen("family", "und").alias("family_pred"), chosen("score", 0.0).alias("score"), *back)

@@ -60,15 +60,15 @@ def repeated_chunks(docs: DataFrame, long_chars: int = LONG_CHARS, least_chars:
     return found.where(place != F.col("_first")).join(first, ["_h", "_n"]).where(F.col("_body") == F.col("_bytes")).select("_id", "_row", "_chunk")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", long_chars: int = LONG_CHARS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """Texts without repeated chunks: key, text, n_lines, removed_lines and removed_chunks.
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", long_chars: int = LONG_CHARS, least_chars: int = LEAST_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Texts without repeated chunks: key, text, n_lines, removed_lines, removed_chunks and the columns of `keep`.
 
     The first occurrence, by key and place, stays. Chunks of one short line never go, nor chunks under `least_chars` characters. A null text
     stays null with 0 lines; an empty text is one empty line. Exactly repeated rows are one document: they repeat nothing, and get equal
     results. Null keys come first. An empty table gives an empty result; other columns are ignored.
     Counts are pre-aggregated before the shuffle, and a hot chunk's occurrences meet only its one first occurrence in a join.
     """
-    own = pick(docs, _id=key, _text=text).withColumn("_row", F.xxhash64("_text"))
+    own = pick(docs, _id=key, _text=text, **{f"_keep{i}": c for i, c in enumerate(keep)}).withColumn("_row", F.xxhash64("_text"))
     gone = repeated_chunks(own, long_chars, least_chars).groupBy("_id", "_row").agg(F.collect_set("_chunk").alias("_gone"))
     gone = gone.select(F.col("_id").alias("_id2"), F.col("_row").alias("_row2"), "_gone")
     both = own.join(gone, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_row") == F.col("_row2")), "left")
@@ -82,6 +82,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", long_c
         F.when(F.col("_text").isNull(), 0).otherwise(F.size("_lines")).cast("bigint").alias("n_lines"),
         F.coalesce(less, F.lit(0)).cast("bigint").alias("removed_lines"),
         F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("bigint").alias("removed_chunks"),
+        *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)],
     )
 
 
