@@ -148,14 +148,22 @@ def clean_name(name: str) -> str:
     return re.sub(r"[^\w\s]", "", str(name)).lower().strip().replace(" ", "_")
 
 
-def column_map(names: list[str], reserved: tuple[str, ...] = ("row_id",)) -> dict[str, str]:
-    """Original to internal names; clashes get __2, __3; an empty name is col_ and its place."""
-    taken, out = set(reserved), {}
+def internal_names(names: list[str], reserved: tuple[str, ...] = ("row_id",)) -> list[str]:
+    """Internal names in order; clashes get __2, __3; an empty name is col_ and its place."""
+    taken, out = set(reserved), []
     for i, name in enumerate(names):
         base = clean_name(name) or f"col_{i}"
         own, k = base, 2
         while own in taken:
             own, k = f"{base}__{k}", k + 1
         taken.add(own)
-        out[name] = own
+        out.append(own)
+    return out
+
+
+def column_map(names: list[str], reserved: tuple[str, ...] = ("row_id",)) -> dict[str, str]:
+    """Original to internal names; of repeated original names the first counts."""
+    out: dict[str, str] = {}
+    for name, own in zip(names, internal_names(names, reserved), strict=True):
+        out.setdefault(name, own)
     return out

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from hedra.functions.parse import neutral_cell
-from hedra.operators.profile import column_map
+from hedra.operators.profile import column_map, internal_names
 
 EXTENSIONS = ("csv", "xls", "xlsx")
 #: Bytes of a file from which its form is read.
@@ -93,7 +93,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimi
         raise IngestError("unsupported_format", extension(path))
     form = form_of(spark, path, encoding, delimiter)
     names = column_map(list(form.columns))
-    schema = StructType([StructField(n, StringType()) for n in names.values()])
+    schema = StructType([StructField(n, StringType()) for n in internal_names(list(form.columns))])
     spark_name = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "latin-1": "ISO-8859-1", "cp1252": "windows-1252"}.get(form.encoding, form.encoding.upper())
     df = spark.read.csv(path, schema=schema, sep=form.delimiter, encoding=spark_name, header=True, multiLine=True, escape='"', nullValue=NO_NULL, emptyValue="", enforceSchema=True, mode="PERMISSIVE")
     return df.fillna(""), form, names
@@ -129,14 +129,18 @@ def read_xlsx(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]
     first = files.orderBy("path").select("content").first()
     if first is None:
         raise IngestError("empty_file")
-    names = column_map(list(_sheet(bytes(first["content"])).columns))
+    header = list(_sheet(bytes(first["content"])).columns)
+    names, inner = column_map(header), internal_names(header)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch.content:
-                yield _sheet(bytes(content)).rename(columns=names).reindex(columns=list(names.values()), fill_value="").astype(str)
+                sheet = _sheet(bytes(content))
+                if list(sheet.columns) != header:
+                    raise IngestError("header_mismatch")
+                yield sheet.set_axis(inner, axis=1).astype(str)
 
-    return files.select("content").mapInPandas(rows, ", ".join(f"`{n}` string" for n in names.values())), names
+    return files.select("content").mapInPandas(rows, ", ".join(f"`{n}` string" for n in inner)), names
 
 
 def content_hashes(spark: SparkSession, path: str) -> DataFrame:
