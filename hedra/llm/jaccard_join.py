@@ -5,8 +5,8 @@ Each order here takes rare shingles first (by powers of two of their document fr
 pair must share prefix tokens under every order before it is verified. Equal sets are one node. Frequencies are counted in shards of the
 shingles' key range, which arrive as packed blocks, one a slice of documents. Shingles of one set only are never posted.
 
-Groups of near copies are linked first to pivots, one a posting list, and only sets of different components are then paired with each other,
-so that a group of any size costs a star and not all its pairs; no link between components is lost.
+Groups of near copies are linked first to pivots, one a posting list, and only sets of different components are then compared with each other:
+no link between components is lost, and links within one are not sought.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,36 +170,164 @@ def _near_size(a: Column, b: Column, percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets are similar enough."""
-    left = sets.select(F.col("sig").alias("a"), F.col("n").alias("n1"), F.col("tokens").alias("t1"))
-    right = sets.select(F.col("sig").alias("b"), F.col("n").alias("n2"), F.col("tokens").alias("t2"))
+    """Pairs (a, b), found under the first order, that share a prefix token under every other order as well and whose sets are similar enough."""
+    more = [f"p{k}" for k in range(1, len(ORDERS))]
+    left = sets.select(F.col("sig").alias("a"), F.col("n").alias("n1"), F.col("tokens").alias("t1"), *[F.col(p).alias(f"{p}a") for p in more])
+    right = sets.select(F.col("sig").alias("b"), F.col("n").alias("n2"), F.col("tokens").alias("t2"), *[F.col(p).alias(f"{p}b") for p in more])
+    both = pairs.join(left, "a").join(right, "b")
+    for p in more:
+        both = both.where(F.arrays_overlap(f"{p}a", f"{p}b"))
     common = F.size(F.array_intersect("t1", "t2")).cast("bigint")
-    return pairs.join(left, "a").join(right, "b").where(common * 100 >= (F.col("n1") + F.col("n2") - common) * percent).select("a", "b")
+    return both.where(common * 100 >= (F.col("n1") + F.col("n2") - common) * percent).select("a", "b")
+
+
+class Block:
+    """Many sets, packed: signatures, sizes, components, and the sets' tokens with bits that tell in which prefixes they stand."""
+
+    def __init__(self, parts: list[bytes]) -> None:
+        self.sig, self.n, self.comp, counts, self.tokens, self.marks = (np.frombuffer(b, t) for b, t in zip(parts, (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint8), strict=True))
+        self.owner = np.repeat(np.arange(len(counts)), counts)
+
+    @staticmethod
+    def parts(rows: pa.Table) -> list[bytes]:
+        rows = rows.sort_by("sig").combine_chunks()
+        flat = lambda c: (np.asarray(pc.list_flatten(rows.column(c))), np.asarray(pc.list_value_length(rows.column(c)), dtype=np.int64))
+        tokens, counts = flat("tokens")
+        owner, marks = np.repeat(np.arange(len(counts)), counts), np.zeros(len(tokens), np.uint8)
+        order = np.lexsort((tokens, owner))
+        tokens = tokens[order]
+        for k in range(len(ORDERS)):
+            prefix, own = flat(f"p{k}")
+            of = np.repeat(np.arange(len(own)), own)
+            both = np.lexsort((np.append(np.zeros(len(tokens), np.int8), np.ones(len(prefix), np.int8)), np.append(tokens, prefix), np.append(owner, of)))
+            hit = np.flatnonzero(both >= len(tokens))  # a prefix token stands right after the same token of its set
+            marks[both[hit - 1]] |= np.uint8(1 << k)
+        whole = lambda c: np.asarray(rows.column(c), dtype=np.int64).tobytes()
+        return [whole("sig"), whole("n"), whole("comp"), counts.tobytes(), tokens.tobytes(), marks.tobytes()]
+
+    def common(self, other: Block, bit: int | None = None, width: int = 2048) -> np.ndarray:
+        """Numbers of tokens in common, of all sets here with all sets there; bit: of the prefixes of that order."""
+        mine, theirs = (x.marks >> bit & 1 > 0 if bit is not None else np.ones(len(x.tokens), bool) for x in (self, other))
+        known = np.intersect1d(self.tokens[mine], other.tokens[theirs])
+        total = np.zeros((len(self.sig), len(other.sig)), np.float32)
+        sides = []
+        for x, use in ((self, mine), (other, theirs)):
+            at = np.minimum(np.searchsorted(known, x.tokens[use]), max(len(known) - 1, 0))
+            here = known[at] == x.tokens[use] if len(known) else np.zeros(int(use.sum()), bool)
+            order = np.argsort(at[here], kind="stable")
+            sides.append((at[here][order], x.owner[use][here][order], len(x.sig)))
+        for a in range(0, len(known), width):
+            dense = []
+            for at, owner, n in sides:
+                i, j = np.searchsorted(at, [a, a + width])
+                m = np.zeros((n, min(width, len(known) - a)), np.float32)
+                m[owner[i:j], at[i:j] - a] = 1
+                dense.append(m)
+            total += dense[0] @ dense[1].T
+        return total
+
+    def linked(self, other: Block, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places here and there of links that join what all links between different components join."""
+        may = (self.comp[:, None] != other.comp[None, :]) & (self.n[:, None] * 100 >= other.n[None, :] * percent) & (other.n[None, :] * 100 >= self.n[:, None] * percent)
+        for k in range(len(ORDERS)):
+            if not may.any():
+                return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            may &= self.common(other, k) > 0
+        i, j = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+        if not len(i):
+            return i, j
+        c = self.common(other)
+        a, b = np.nonzero(may & (c * 100 >= (self.n[:, None] + other.n[None, :] - c) * percent))
+        top: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in top:
+                x = top[x]
+            return x
+
+        keep = []
+        for k, (x, y) in enumerate(zip(self.comp[a].tolist(), other.comp[b].tolist(), strict=True)):
+            x, y = root(x), root(y)
+            if x != y:
+                top[max(x, y)] = min(x, y)
+                keep.append(k)
+        return a[keep], b[keep]
+
+
+def block_links(sets: DataFrame, placed: DataFrame, large: DataFrame, percent: int, members: int = 1024, tokens: int = 200_000) -> DataFrame:
+    """Edges between sets of different components that share a token of a long posting list.
+
+    Sets are packed into blocks by the longest list that they stand in, and those of one component apart; only blocks that meet in a list
+    and are not of one component are compared, each pair of blocks in a task, by products of 0/1 matrices: no pair of sets is ever a row.
+    """
+    mine = placed.join(large, "token")
+    home = mine.groupBy("sig", "n", "comp").agg(F.max_by("token", F.struct("size", "token")).alias("home"))
+    parts = home.groupBy("home", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    parts = parts.withColumn("own", F.when(F.col("c") >= members // 4, F.col("comp")).otherwise(F.lit(0)))
+    cuts = parts.groupBy("home", "own").agg(F.greatest(F.ceil(F.sum("c") / members), F.ceil(F.sum("s") / tokens)).alias("cuts"))
+    named = home.join(parts.select("home", "comp", "own"), ["home", "comp"]).join(cuts, ["home", "own"])
+    named = stage(named.select("sig", "comp", "own", F.xxhash64("home", "own", F.pmod(F.xxhash64("sig"), F.col("cuts"))).alias("block")), "blocked")
+
+    def packed(rows: pa.Table) -> pa.Table:
+        return pa.table([pa.array([rows.column("block")[0].as_py()], pa.int64()), pa.array([Block.parts(rows)], pa.list_(pa.binary()))], names=["block", "parts"])
+
+    whole = named.select("sig", "comp", "block").join(sets, "sig")
+    blocks = stage(whole.groupBy("block").applyInArrow(packed, "block bigint, parts array<binary>"), "blocks")
+    there = mine.select("sig", "token").join(named, "sig").groupBy("token", "block").agg(F.max("own").alias("own"))
+    other = there.select("token", F.col("block").alias("block2"), F.col("own").alias("own2"))
+    pairs = there.join(other, "token").where((F.col("block") <= F.col("block2")) & ((F.col("own") == 0) | (F.col("own") != F.col("own2")))).select("block", "block2").distinct()
+    tasks = pairs.join(blocks, "block").join(blocks.select(F.col("block").alias("block2"), F.col("parts").alias("parts2")), "block2").select("parts", "parts2")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(batch.column("parts").to_pylist(), batch.column("parts2").to_pylist(), strict=True):
+                left, right = Block(one), Block(two)
+                i, j = left.linked(right, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(left.sig[i]), pa.array(right.sig[j])], names=["a", "b"])
+
+    return tasks.repartition(partitions(sets.sparkSession)).mapInArrow(compare, "a bigint, b bigint")
 
 
-def links(sets: DataFrame, percent: int = PERCENT, rounds: int = 4) -> DataFrame:
-    """Edges (a, b) between similar sets that connect what all links connect. `sets` is the result of prefixes(), written."""
-    posted = [sets.select("sig", "n", F.explode(f"p{k}").alias("token")) for k in range(len(ORDERS))]
+def links(sets: DataFrame, percent: int = PERCENT, rounds: int = 2, short: int = 32) -> DataFrame:
+    """Edges (a, b) between similar sets that connect what all links connect. `sets` is the result of prefixes(), written.
+
+    Rounds of pivots (first the set of most repeated shingles of each list, then any) link most of a group at the cost of its size. What is
+    still apart is compared within lists: in lists of `short` or fewer by pairs, in longer ones by blocks.
+    """
+    posted = sets.select("sig", "n", F.size("p0").alias("m"), F.explode("p0").alias("token"))
+    nodes = sets.select(F.col("sig").alias("node"))
     edges = sets.sparkSession.createDataFrame([], "a bigint, b bigint")
-    comps = sets.select(F.col("sig").alias("node"), F.col("sig").alias("comp"))
-    for turn in range(rounds + 1):
-        # posting lists that join different components
-        placed = [p.join(comps, F.col("sig") == F.col("node")).drop("node") for p in posted]
-        lists = [p.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min_by(F.struct("sig", "comp", "n"), F.struct(F.xxhash64("sig", F.lit(turn)), "sig")).alias("pivot")).where("c1 != c2") for p in placed]
-        if turn < rounds:
-            found = [p.join(x, "token").select("sig", "n", "comp", "pivot").where((F.col("comp") != F.col("pivot.comp")) & _near_size(F.col("n"), F.col("pivot.n"), percent)).select(F.least("sig", "pivot.sig").alias("a"), F.greatest("sig", "pivot.sig").alias("b")).distinct() for p, x in zip(placed, lists, strict=True)]
-        else:
-            other = [p.join(x.select("token"), "token", "left_semi") for p, x in zip(placed, lists, strict=True)]
-            found = [p.join(p.select("token", F.col("sig").alias("s2"), F.col("n").alias("n2"), F.col("comp").alias("c2")), "token").where((F.col("sig") < F.col("s2")) & (F.col("comp") != F.col("c2")) & _near_size(F.col("n"), F.col("n2"), percent)).select(F.col("sig").alias("a"), F.col("s2").alias("b")).distinct() for p in other]
-        both = reduce(lambda x, y: x.join(y, ["a", "b"]), found)
-        new = stage(verified(both, sets, percent), "links")
-        fresh = new.limit(1).count()
-        if fresh:
-            edges = stage(edges.union(new), "links")
-            known = components(edges)
-            comps = stage(sets.select(F.col("sig").alias("node")).join(known, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "comps")
-        elif turn < rounds and not lists[0].limit(1).count():
+    comps = nodes.withColumn("comp", F.col("node"))
+
+    def listed(turn: int) -> tuple[DataFrame, DataFrame]:
+        """Postings with components, and lists that join different components."""
+        placed = posted.withColumn("comp", F.col("sig")) if turn == 0 else posted.join(comps, F.col("sig") == F.col("node")).drop("node")
+        pivot = F.max_by(F.struct("sig", "comp", "n"), F.struct(F.col("m") if turn == 0 else F.lit(0), F.xxhash64("sig", F.lit(turn)), "sig")).alias("pivot")
+        return placed, placed.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("size"), pivot).where("c1 != c2").drop("c1", "c2")
+
+    def learn(new: DataFrame) -> bool:
+        nonlocal edges, comps
+        new = stage(new, "links")
+        if not new.limit(1).count():
+            return False
+        edges = stage(edges.union(new), "links")
+        comps = stage(nodes.join(components(edges), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "comps")
+        return True
+
+    for turn in range(rounds):
+        placed, lists = listed(turn)
+        found = placed.join(lists, "token").select("sig", "n", "comp", "pivot").where((F.col("comp") != F.col("pivot.comp")) & _near_size(F.col("n"), F.col("pivot.n"), percent))
+        if not learn(verified(found.select(F.least("sig", "pivot.sig").alias("a"), F.greatest("sig", "pivot.sig").alias("b")).distinct(), sets, percent)):
             break
+    placed, lists = listed(rounds)
+    few = placed.join(lists.where(F.col("size") <= short).select("token"), "token", "left_semi").drop("m")
+    other = few.select("token", F.col("sig").alias("s2"), F.col("n").alias("n2"), F.col("comp").alias("c2"))
+    near = few.join(other, "token").where((F.col("sig") < F.col("s2")) & (F.col("comp") != F.col("c2")) & _near_size(F.col("n"), F.col("n2"), percent))
+    learn(verified(near.select(F.col("sig").alias("a"), F.col("s2").alias("b")).distinct(), sets, percent))
+    placed, lists = listed(rounds)
+    large = stage(lists.where(F.col("size") > short).select("token", "size"), "lists")
+    if large.limit(1).count():
+        learn(block_links(sets, placed.drop("m"), large, percent))
     return edges
 
 
