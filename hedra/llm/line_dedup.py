@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hedra.llm.common import pick
+from hedra.llm.common import pick, stage
 
 LONG_CHARS = 200
 LEAST_CHARS = 100
@@ -18,25 +18,19 @@ LEAST_CHARS = 100
 ENDING = ("0", "4", "8", "c")
 
 
-def _cuts(lines: Column, long_chars: int) -> Column:
-    """Starts and lengths of chunks as one number each: start * 2**31 + length."""
-    hashed = F.transform(lines, lambda x: F.struct(F.md5(x.cast("binary")).alias("h"), (F.length(x) >= long_chars).alias("l")))
-    nothing = F.array(F.struct(F.lit("").alias("h"), F.lit(False).alias("l")))
-    rolled = F.zip_with(hashed, F.concat(nothing, hashed), lambda x, before: F.struct(F.coalesce(x["l"], F.lit(False)).alias("l"), F.substring(F.md5(F.concat(before["h"], x["h"]).cast("binary")), 32, 1).isin(*ENDING).alias("e")))
-    begin = F.array(F.struct(F.lit(False).alias("l"), F.lit(True).alias("e")))
-    # one entry more than lines: the end of the text is a cut as well
-    cut = F.zip_with(rolled, F.concat(begin, rolled), lambda x, before: x["l"] | before["l"] | before["e"])
-    marked = F.transform(cut, lambda c, i: F.when(F.coalesce(c, F.lit(False)) | (i == 0), i))
-    return F.filter(marked, lambda i: i.isNotNull())
-
-
 def chunked(docs: DataFrame, long_chars: int = LONG_CHARS) -> DataFrame:
-    """Adds `_lines` and `_chunks` (start * 2**31 + number of lines, in order) to rows that have `_text`."""
+    """Adds `_lines` and `_chunks` (start * 2**31 + number of lines, in order) to rows that have `_text`; null for a null text."""
+    line = lambda h, long: F.struct(h.alias("h"), long.alias("l"))
     out = docs.withColumn("_lines", F.split("_text", "\n", -1))
-    out = out.withColumn("_starts", F.slice(_cuts(F.col("_lines"), long_chars), 1, F.greatest(F.size("_lines"), F.lit(1))))
-    out = out.withColumn("_starts", F.filter("_starts", lambda i: i < F.size("_lines")))
+    # a column each, so that no line is hashed twice
+    out = out.withColumn("_hashed", F.transform("_lines", lambda x: line(F.md5(x.cast("binary")), F.length(x) >= long_chars)))
+    before = F.concat(F.array(line(F.lit(""), F.lit(False))), F.slice("_hashed", F.lit(1), F.greatest(F.size("_hashed") - 1, F.lit(0))))
+    out = out.withColumn("_rolled", F.zip_with("_hashed", before, lambda x, y: F.struct(x["l"].alias("l"), F.substring(F.md5(F.concat(y["h"], x["h"]).cast("binary")), 32, 1).isin(*ENDING).alias("e"))))
+    before = F.concat(F.array(F.struct(F.lit(False).alias("l"), F.lit(True).alias("e"))), F.slice("_rolled", F.lit(1), F.greatest(F.size("_rolled") - 1, F.lit(0))))
+    out = out.withColumn("_cut", F.zip_with("_rolled", before, lambda x, y: x["l"] | y["l"] | y["e"]))
+    out = out.withColumn("_starts", F.filter(F.transform("_cut", lambda c, i: F.when(c, i)), lambda i: i.isNotNull()))
     ends = F.concat(F.slice("_starts", F.lit(2), F.greatest(F.size("_starts") - 1, F.lit(0))), F.array(F.size("_lines")))
-    return out.withColumn("_chunks", F.zip_with("_starts", ends, lambda a, b: F.shiftleft(a.cast("bigint"), 31) + (b - a)))
+    return out.withColumn("_chunks", F.zip_with("_starts", ends, lambda a, b: F.shiftleft(a.cast("bigint"), 31) + (b - a))).drop("_hashed", "_rolled", "_cut", "_starts")
 
 
 def _start(c: Column) -> Column:
@@ -49,13 +43,16 @@ def _count(c: Column) -> Column:
 
 def repeated_chunks(docs: DataFrame, long_chars: int = LONG_CHARS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """_id, _row and _chunk of every occurrence but the first of a repeated chunk; `docs` has _id, _row and _text."""
-    each = chunked(docs, long_chars).select("_id", "_row", "_lines", F.explode("_chunks").alias("_chunk"))
-    each = each.select("_id", "_row", "_chunk", F.array_join(F.slice("_lines", _start(F.col("_chunk")) + 1, _count(F.col("_chunk"))), "\n").alias("_body"))
-    each = each.where((F.length("_body") >= long_chars) | ((F.length("_body") >= least_chars) & (_count(F.col("_chunk")) > 1)))
+    body = lambda c: F.array_join(F.slice("_lines", _start(c) + 1, _count(c)), "\n")
+    large = lambda x: (F.length(x["b"]) >= long_chars) | ((F.length(x["b"]) >= least_chars) & (_count(x["c"]) > 1))
+    # bodies are cut before the explosion, which would copy all lines to each chunk's row
+    bodies = F.filter(F.transform("_chunks", lambda c: F.struct(c.alias("c"), body(c).alias("b"))), large)
+    each = chunked(docs, long_chars).select("_id", "_row", F.explode(bodies).alias("_x")).select("_id", "_row", F.col("_x.c").alias("_chunk"), F.col("_x.b").alias("_body"))
     each = each.withColumns({"_h": F.xxhash64("_body"), "_n": F.octet_length("_body")})
     place = F.struct("_id", "_row", "_chunk")
     again = each.groupBy("_h", "_n").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_times")).where("_times > 1").drop("_times")
-    found = each.join(again, ["_h", "_n"])
+    # only repeated chunks keep their bytes
+    found = stage(each.join(stage(again, "repeated"), ["_h", "_n"]), "found")
     first = found.where(place == F.col("_first")).groupBy("_h", "_n").agg(F.min("_body").alias("_bytes"))
     return found.where(place != F.col("_first")).join(first, ["_h", "_n"]).where(F.col("_body") == F.col("_bytes")).select("_id", "_row", "_chunk")
 
@@ -75,11 +72,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", long_c
     kept = F.array_except("_chunks", "_gone")
     body = F.array_join(F.flatten(F.transform(kept, lambda c: F.slice(F.col("_lines"), _start(c) + 1, _count(c)))), "\n")
     less = F.aggregate("_gone", F.lit(0).cast("bigint"), lambda n, c: n + _count(c))
-    out = chunked(both, long_chars)
+    # a text that loses nothing isn't cut again
+    out = chunked(both.withColumnRenamed("_text", "_whole").withColumn("_text", F.when(F.col("_gone").isNotNull(), F.col("_whole"))), long_chars)
     return out.select(
         F.col("_id").alias(key),
-        F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(body).alias(text),
-        F.when(F.col("_text").isNull(), 0).otherwise(F.size("_lines")).cast("bigint").alias("n_lines"),
+        F.when(F.col("_gone").isNull(), F.col("_whole")).otherwise(body).alias(text),
+        F.when(F.col("_whole").isNull(), 0).otherwise(F.length("_whole") - F.length(F.replace("_whole", F.lit("\n"))) + 1).cast("bigint").alias("n_lines"),
         F.coalesce(less, F.lit(0)).cast("bigint").alias("removed_lines"),
         F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("bigint").alias("removed_chunks"),
         *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)],
