@@ -20,7 +20,7 @@ def market(spark):
 def test_valuation(spark, market):
     made = value(market, Request("price", ["area"], ["district"], reference={"district": "Centro"}))
     assert dict(zip(made.frozen.fit.columns, made.frozen.fit.beta, strict=True))["area"] == pytest.approx(8000, rel=0.01)
-    assert made.grades == {"item_2": 3, "item_5": 0, "item_6": 3} or made.grades["item_2"] == 3
+    assert made.grades["item_2"] == 3 and made.grades["item_6"] == 3
     subjects = spark.createDataFrame([("in", 73.5, "Centro"), ("new", 73.5, "Industrial"), ("far", 500.0, "Sul"), ("gap", None, "Sul"), ("edge", 130.0, "Norte")], "subject_id string, area double, district string")
     got = {r["subject_id"]: r for r in made.score(subjects).collect()}
     assert [got[k]["status"] for k in ("in", "new", "far", "gap", "edge")] == ["succeeded", "unsupported", "out_of_domain", "unsupported", "succeeded"]
@@ -28,7 +28,7 @@ def test_valuation(spark, market):
     r = got["in"]
     assert r["mean_low"] < r["point"] < r["mean_high"] and r["pred_low"] < r["mean_low"] and r["point"] == pytest.approx(8000 * 73.5, rel=0.01)
     assert r["item_4"] == 3 and got["edge"]["item_4"] in (0, 1, 2)
-    assert made.frozen.reuse_key() == value(market.repartition(3).orderBy("row_id"), Request("price", ["area"], ["district"], reference={"district": "Centro"})).frozen.reuse_key() or True
+    assert len(made.frozen.reuse_key()) == 64 and made.frozen.reuse_key() == made.frozen.reuse_key()
 
 
 def test_request_issues(market):
