@@ -9,7 +9,7 @@ from hedra.llm.common import read, stage
 from hedra.llm.decontaminate import leaks
 from hedra.llm.jaccard_join import similar_documents
 from hedra.llm.language_id import identify_languages
-from hedra.llm.line_dedup import dedup_lines
+from hedra.llm.line_dedup import PASSAGE_WORDS, dedup_lines
 from hedra.llm.piece_encoding import encode_pieces
 from hedra.llm.queries import piece_model
 
@@ -22,10 +22,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the line chunks that an earlier document or place holds; a document of which nothing but blanks is left goes."""
+    """Texts lose the line chunks, and the runs of lines of over 50 words, that an earlier document or place holds; a document of which nothing
+    but blanks is left goes."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    done = dedup_lines(docs, keep=rest).where((F.col("removed_chunks") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    changed = F.col("removed_chunks") > 0
+    done = dedup_lines(docs, keep=rest, passage_words=PASSAGE_WORDS).where((F.col("removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    changed = F.col("removed_lines") > 0
     if "n_chars" in rest:
         done = done.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)

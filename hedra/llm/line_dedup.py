@@ -3,17 +3,22 @@
 Lines are hashed, and a rolling hash over two successive line hashes decides where a chunk ends, so that boundaries depend on content and
 survive shifts. A line of `long_chars` characters is a chunk by itself (the greatest chunk size). Chunks of several lines, and such long
 lines, that occur again anywhere are compared with their first occurrence byte for byte and removed.
+
+Chunk ends are sparse, so a passage shorter than a few chunks can keep most of its lines. Where `passage_words` is given, every run of lines
+with more words than that which an earlier place holds is removed as well, whatever chunks it touches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hedra.llm.common import pick, stage
+from hedra.llm.common import WORD, pick, stage
 
 LONG_CHARS = 200
 LEAST_CHARS = 100
+#: Of repeated passages, in the pipeline; the query has its twin's chunks alone.
+PASSAGE_WORDS = 50
 #: A rolling hash ends a chunk if its last hexadecimal digit is one of these: every fourth on average.
 ENDING = ("0", "4", "8", "c")
 
@@ -57,28 +62,76 @@ def repeated_chunks(docs: DataFrame, long_chars: int = LONG_CHARS, least_chars:
     return found.where(place != F.col("_first")).join(first, ["_h", "_n"]).where(F.col("_body") == F.col("_bytes")).select("_id", "_row", "_chunk")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", long_chars: int = LONG_CHARS, least_chars: int = LEAST_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+def repeated_passages(docs: DataFrame, words: int) -> DataFrame:
+    """_id, _row, and _a and _b (first and last line, from 0) of repeated runs of lines; `docs` has _id, _row and _text.
+
+    At every line that isn't blank begins, and at every one ends, a shortest run of more than `words` words. Those that an earlier place holds
+    make up, together, all repeated runs of more than `words` words: a longer one is covered by the runs that begin in it and the last that ends
+    in it. Blank lines are passed over. Runs are equal if their lines' SHA-256 digests are. A run that overlaps its first occurrence stays.
+    """
+    line = lambda x, i: F.struct(i.alias("p"), F.least(F.regexp_count(x, F.lit(WORD)), F.lit(words + 1)).alias("n"), F.unhex(F.sha2(x.cast("binary"), 256)).alias("h"))
+    each = docs.select("_id", "_row", F.filter(F.transform(F.split("_text", "\n", -1), line), lambda x: x["n"] > 0).alias("_x"))
+    each = each.where(F.aggregate("_x", F.lit(0), lambda a, x: F.least(a + x["n"], F.lit(words + 1))) > words)
+    # exactly repeated rows are one document
+    each = each.dropDuplicates(["_id", "_row"]).select("_id", "_row", F.inline("_x"))
+    own = Window.partitionBy("_id", "_row")
+    each = each.withColumn("_to", F.sum("n").over(own.orderBy("p").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_from", F.col("_to") - F.col("n"))
+    runs = {"_begun": own.orderBy("_from").rangeBetween(0, words), "_ended": own.orderBy("_to").rangeBetween(-words, 0)}
+    for name, over in runs.items():
+        run = F.struct(F.sha2(F.array_join(F.transform(F.collect_list("h").over(over), F.hex), "").cast("binary"), 256).alias("h"), F.min("p").over(over).alias("a"), F.max("p").over(over).alias("b"))
+        each = each.withColumn(name, F.when(F.sum("n").over(over) > words, run))
+    found = each.select("_id", "_row", F.explode(F.array_compact(F.array_distinct(F.array(*runs)))).alias("_x")).select("_id", "_row", F.unhex("_x.h").alias("_h"), F.col("_x.a").alias("_a"), F.col("_x.b").alias("_b"))
+    found = stage(found, "runs")
+    again = found.groupBy("_h").agg(F.min(F.struct("_id", "_row", "_a", "_b")).alias("_first"), F.count(F.lit(1)).alias("_times")).where("_times > 1").drop("_times")
+    same = F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_row") == F.col("_first._row"))
+    return found.join(again, "_h").where(~same | (F.col("_a") > F.col("_first._b"))).select("_id", "_row", "_a", "_b")
+
+
+def _gone_lines(docs: DataFrame, gone: DataFrame, words: int) -> DataFrame:
+    """Adds to the rows of repeated chunks (or null) the lines that go with them and with repeated passages: _lines_gone."""
+    passages = repeated_passages(docs, words).groupBy("_id", "_row").agg(F.collect_set(F.struct("_a", "_b")).alias("_runs"))
+    passages = passages.select(F.col("_id").alias("_id3"), F.col("_row").alias("_row3"), "_runs")
+    both = gone.join(passages, F.col("_id").eqNullSafe(F.col("_id3")) & (F.col("_row") == F.col("_row3")), "full")
+    spans = F.concat(
+        F.transform(F.coalesce("_gone", F.array().cast("array<bigint>")), lambda c: F.sequence(_start(c), _start(c) + _count(c) - 1)),
+        F.transform(F.coalesce("_runs", F.array().cast("array<struct<_a:int,_b:int>>")), lambda x: F.sequence(x["_a"], x["_b"])),
+    )
+    named = F.col("_row3").isNotNull()
+    return both.select(F.when(named, F.col("_id3")).otherwise(F.col("_id")).alias("_id"), F.coalesce("_row", "_row3").alias("_row"), "_gone", F.array_distinct(F.flatten(spans)).alias("_lines_gone"))
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", long_chars: int = LONG_CHARS, least_chars: int = LEAST_CHARS, keep: tuple[str, ...] = (), passage_words: int | None = None) -> DataFrame:
     """Texts without repeated chunks: key, text, n_lines, removed_lines, removed_chunks and the columns of `keep`.
 
-    The first occurrence, by key and place, stays. Chunks of one short line never go, nor chunks under `least_chars` characters. A null text
-    stays null with 0 lines; an empty text is one empty line. Exactly repeated rows are one document: they repeat nothing, and get equal
-    results. Null keys come first. An empty table gives an empty result; other columns are ignored.
+    The first occurrence, by key and place, stays. Chunks of one short line never go, nor chunks under `least_chars` characters, unless
+    `passage_words` is given and they lie in a repeated run of lines with more words (see `repeated_passages`); removed_lines counts those
+    lines too, removed_chunks doesn't. A null text stays null with 0 lines; an empty text is one empty line. Exactly repeated rows are one
+    document: they repeat nothing, and get equal results. Null keys come first. An empty table gives an empty result; other columns are ignored.
     Counts are pre-aggregated before the shuffle, and a hot chunk's occurrences meet only its one first occurrence in a join.
     """
     own = pick(docs, _id=key, _text=text, **{f"_keep{i}": c for i, c in enumerate(keep)}).withColumn("_row", F.xxhash64("_text"))
     gone = repeated_chunks(own, long_chars, least_chars).groupBy("_id", "_row").agg(F.collect_set("_chunk").alias("_gone"))
-    gone = gone.select(F.col("_id").alias("_id2"), F.col("_row").alias("_row2"), "_gone")
+    lines = F.array().cast("array<int>")
+    if passage_words is not None:
+        gone = _gone_lines(own, gone, passage_words)
+        lines = F.col("_lines_gone")
+    gone = gone.select(F.col("_id").alias("_id2"), F.col("_row").alias("_row2"), "_gone", lines.alias("_lines_gone"))
     both = own.join(gone, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_row") == F.col("_row2")), "left")
     kept = F.array_except("_chunks", "_gone")
     body = F.array_join(F.flatten(F.transform(kept, lambda c: F.slice(F.col("_lines"), _start(c) + 1, _count(c)))), "\n")
     less = F.aggregate("_gone", F.lit(0).cast("bigint"), lambda n, c: n + _count(c))
+    hit = F.col("_gone").isNotNull()
+    if passage_words is not None:
+        left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_lines_gone")
+        body = F.array_join(F.transform(left, lambda i: F.col("_lines")[i]), "\n")
+        less, hit = F.size("_lines_gone"), F.col("_lines_gone").isNotNull()
     # a text that loses nothing isn't cut again
-    out = chunked(both.withColumnRenamed("_text", "_whole").withColumn("_text", F.when(F.col("_gone").isNotNull(), F.col("_whole"))), long_chars)
+    out = chunked(both.withColumnRenamed("_text", "_whole").withColumn("_text", F.when(hit, F.col("_whole"))), long_chars)
     return out.select(
         F.col("_id").alias(key),
-        F.when(F.col("_gone").isNull(), F.col("_whole")).otherwise(body).alias(text),
+        F.when(hit, body).otherwise(F.col("_whole")).alias(text),
         F.when(F.col("_whole").isNull(), 0).otherwise(F.length("_whole") - F.length(F.replace("_whole", F.lit("\n"))) + 1).cast("bigint").alias("n_lines"),
-        F.coalesce(less, F.lit(0)).cast("bigint").alias("removed_lines"),
+        F.when(hit, less).otherwise(0).cast("bigint").alias("removed_lines"),
         F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("bigint").alias("removed_chunks"),
         *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)],
     )
