@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from hedra.llm.common import mix64, pack, partitions, pick, stage, text_bytes, text_slices, unpack, word_hashes
 from hedra.llm.elias_fano import Level, dequantise, quantise
 
-ORDER = 2
+ORDER = 3
 PRIOR = 40.0
 #: The end of a text, as a word hash.
 END = np.uint64(0x9D2C5680CA3F1B17)

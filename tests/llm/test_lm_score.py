@@ -53,6 +53,14 @@ def test_brute_force(spark, order, slice_bytes):
         assert r["score"] == pytest.approx(score, abs=2e-4 * n * order)
 
 
+def test_production_has_contexts_of_two_words(spark):
+    rows = corpus(n=60)
+    two, three = brute(rows, 2, 40.0), brute(rows, 3, 40.0)
+    assert any(abs(two[k][-1] - three[k][-1]) > 0.1 * two[k][1] for k, _ in rows)
+    for r in score_texts(spark.createDataFrame(rows, "doc_id bigint, text string"), mine()).collect():
+        assert r["score"] == pytest.approx(three[r["doc_id"]][-1], abs=6e-4 * r["n_tokens"])
+
+
 def test_probabilities_sum_to_one(spark):
     """Over all known words and one for unseen words, after any context."""
     rows = [(1, "a b a c"), (2, "a b b"), (3, "c a")]
