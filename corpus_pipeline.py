@@ -32,16 +32,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.select(*docs.columns)
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of `docs` but those whose id (null or not) and hash of the text are in `gone` (_id, _row)."""
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_row"]), "left_anti").select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each class of near duplicates stays."""
-    gone = similar_documents(docs).where("component_id != doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of rows of equal id and text one stays; then the row of least id (and hash of the text; null ids last) of each class of near duplicates."""
+    row = F.xxhash64("text")
+    again = docs.groupBy(F.col("doc_id").alias("_id"), row.alias("_row")).count().where("count > 1").drop("count")
+    twice = docs.join(again, docs["doc_id"].eqNullSafe(again["_id"]) & (F.xxhash64(docs["text"]) == again["_row"]), "left_semi")
+    once = _without(docs, again).unionByName(twice.dropDuplicates(["doc_id", "text"]))
+    key = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), row.alias("row"))
+    gone = similar_documents(docs.select(key.alias("doc_id"), "text")).where("component_id != doc_id")
+    return _without(once, gone.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.row").alias("_row")).distinct())
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold a benchmark item go; others of the same id stay."""
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("row"))
+    found = leaks(docs.select(key.alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    return _without(docs, found.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.row").alias("_row")).distinct())
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
+import random
+
 import corpus_pipeline
-from tests.llm.texts import edges
+from tests.llm.texts import edges, sentence, vocabulary
 
 
 def test_stages(spark, sf):
@@ -19,3 +21,15 @@ def test_edges(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() >= 5
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_rows_are_told_apart_by_id_and_text(spark, sf, tmp_path):
+    rng, vocab = random.Random(2), vocabulary(2, 900)
+    a, b, c, d, item = (sentence(rng, vocab, 60) for _ in range(5))
+    rows = [(1, a), (1, a), (None, a), (2, b), (2, a), (3, c), (3, c), (None, d), (None, d)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), sf).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(1, a), (2, b), (3, c), (0, d)])
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, a), (1, f"{b} {item}"), (None, item), (None, c)]
+    got = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(1, a), (0, c)])
