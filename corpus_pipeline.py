@@ -13,12 +13,16 @@ from hedra.llm.line_dedup import PASSAGE_WORDS, dedup_lines
 from hedra.llm.piece_encoding import encode_pieces
 from hedra.llm.queries import piece_model
 
+#: Score from which a predicted language takes the place of a label.
+SURE = 0.9
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language go on, with the predicted language where they name none; those without a letter go."""
+    """Documents in a language go on; those without a letter go. The predicted language is set where they name none, and in place of a label
+    that it contradicts with a score of at least SURE; a less sure contradiction leaves the label."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "lang"))
     said = identify_languages(docs, keep=(*rest, "lang")).where("lang_pred != 'und'")
-    return said.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return said.withColumn("lang", F.when(F.col("lang").isNull() | (F.col("score") >= SURE), F.col("lang_pred")).otherwise(F.col("lang"))).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

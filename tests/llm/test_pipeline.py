@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from hedra.llm.language_id import identify_languages
 from tests.llm.texts import edges, sentence, vocabulary
 
 
@@ -33,3 +34,16 @@ def test_rows_are_told_apart_by_id_and_text(spark, sf, tmp_path):
     rows = [(1, a), (1, f"{b} {item}"), (None, item), (None, c)]
     got = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), str(tmp_path)).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(1, a), (0, c)])
+
+
+def test_sure_predictions_take_the_place_of_labels(spark, sf):
+    rng, vocab = random.Random(5), {"en": vocabulary(5), "fr": ["é" + w for w in vocabulary(6)]}
+    rows = [(i, sentence(rng, vocab["en" if i % 2 else "fr"], 40), "en" if i % 2 else "fr") for i in range(5000)]
+    wrong = {i: {"en": "fr", "fr": "en"}[rows[i][2]] for i in range(40, 80)}
+    docs = spark.createDataFrame([(i, t, None if i == 7 else wrong.get(i, x)) for i, t, x in rows] + [(5000, "12 34", "en"), (5001, None, "fr")], "doc_id bigint, text string, lang string")
+    said = {r["doc_id"]: r for r in identify_languages(docs, keep=("lang",)).collect()}
+    want = {k: r["lang_pred"] if r["lang"] is None or r["score"] >= corpus_pipeline.SURE else r["lang"] for k, r in said.items() if k < 5000}
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, docs, sf).collect()}
+    assert got == want and got[7] == "en"
+    # a row that was drawn to learn from can keep its label
+    assert sum(got[i] == rows[i][2] for i in wrong) > len(wrong) / 2
