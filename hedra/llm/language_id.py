@@ -123,14 +123,17 @@ class Model:
 
 
 def fit(docs: DataFrame, train: Column, per_language: int = 400, most_languages: int = 200) -> Model | None:
-    """Fit on rows of (text, lang) where `train` holds and lang is not null: about `per_language` of each of the `most_languages` most frequent
-    languages, taken by a hash of the row. None if no row is fit to learn from."""
-    own = docs.where(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in docs.where(train & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    """Fit on rows of (text, lang) where `train` holds and lang is not null: of distinct pairs, all of a language that has up to `per_language`,
+    else about so many, taken by a hash of the pair. Labels beyond the `most_languages` with most distinct texts are not learned, as machines
+    grow with the square of labels; their rows get the nearest learned language. None if no row is fit to learn from."""
+    own = docs.where(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("draw", F.xxhash64("text", "lang"))
+    texts = own.select("lang", "draw").distinct().groupBy("lang").count()
+    counts = {r["lang"]: r["count"] for r in texts.orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not counts:
         return None
-    draw = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30))
-    taken = own.where(F.create_map(*[F.lit(v) for c, n in counts.items() for v in (c, min(1 << 30, int((1 << 30) * per_language / n)))])[F.col("lang")] > draw)
+    share = F.create_map(*[F.lit(v) for c, n in counts.items() for v in (c, min(1 << 30, int((1 << 30) * per_language / n)))])[F.col("lang")]
+    # one row a pair, so the driver gets about `per_language` rows a language whatever is copied
+    taken = own.where(share > F.pmod("draw", F.lit(1 << 30))).groupBy("lang", "draw").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +144,6 @@ def fit(docs: DataFrame, train: Column, per_language: int = 400, most_languages:
     got: pd.DataFrame = taken.select("text", "lang").mapInArrow(run, "lang string, x binary").orderBy("lang", "x").toPandas()
     if not len(got):
         return None
-    got = got.groupby("lang").head(2 * per_language)  # equal rows are drawn together
     return Model(np.frombuffer(b"".join(got.x), np.float16).reshape(len(got), DIMS).astype(np.float32), got.lang.to_numpy(object))
 
 

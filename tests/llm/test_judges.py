@@ -59,3 +59,16 @@ def test_chats(spark):
     assert rows(plain(got)) == rows(plain(want))
     assert got.set_index("conv_id").text[9000] == "<|unknown|>\n" and set(got.conv_id) >= {9000, 9001, 9002}
     assert collapse_snapshots(df.limit(0)).collect() == []
+
+
+def test_copied_texts_are_drawn_once_and_never_missed(spark):
+    from hedra.llm import language_id
+
+    rows = [(f"{w} text {k}" * 3, lang) for lang, w in (("en", "the"), ("fr", "une"), ("fi", "yksi"), ("pl", "jest")) for k in range(3) for _ in range(1000)]
+    seen, init = [], language_id.Model.__init__
+    try:
+        language_id.Model.__init__ = lambda self, x, langs: seen.extend(langs)
+        language_id.fit(spark.createDataFrame(rows, "text string, lang string"), F.lit(True))
+    finally:
+        language_id.Model.__init__ = init
+    assert sorted(seen) == sorted(lang for lang in ("en", "fr", "fi", "pl") for _ in range(3))
