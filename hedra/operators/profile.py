@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hedra.functions import parse
@@ -138,9 +139,14 @@ def dataset_hash(df: DataFrame, key: str, fan: int = 4096) -> DataFrame:
 
 def preview(df: DataFrame, columns: list[str], levels: int = 200) -> DataFrame:
     """column, sorted first `levels` distinct values, n_levels: the profile shown before a fit (a report feature, so it is limited)."""
-    each = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))).where("value IS NOT NULL").distinct()
-    ranked = each.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy("value")))
-    return ranked.groupBy("column").agg(F.array_sort(F.collect_list(F.when(F.col("r") <= levels, F.col("value")))).alias("levels"), F.count(F.lit(1)).alias("n_levels"))
+    out = []
+    for c in columns:
+        each = df.select(F.col(c).cast("string").alias("value")).where("value IS NOT NULL").distinct()
+        # every task keeps its own first levels only
+        shown = each.orderBy("value").limit(levels).agg(F.array_sort(F.collect_list("value")).alias("levels"))
+        number = each.agg(F.count(F.lit(1)).alias("n_levels")).where("n_levels > 0")
+        out.append(shown.crossJoin(number).select(F.lit(c).alias("column"), "levels", "n_levels"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def clean_name(name: str) -> str:

@@ -139,3 +139,10 @@ def test_subjects(spark):
     first, later = score.unique_subjects(named, "pos")
     assert first.count() == 3 and [r["pos"] for r in later.collect()] == [3]
     assert score.remaining(first, later.withColumn("status", F.lit("succeeded"))).count() == 2
+
+
+def test_preview_takes_first_levels_in_every_task(spark):
+    df = spark.range(5000).selectExpr("format_string('%05d', id) AS a", "CAST(id % 3 AS STRING) AS b", "CAST(NULL AS STRING) AS c")
+    out = profile.preview(df, ["a", "b", "c"], levels=4)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["column"]: (r["levels"], r["n_levels"]) for r in out.collect()} == {"a": ([f"{i:05d}" for i in range(4)], 5000), "b": (["0", "1", "2"], 3)}
