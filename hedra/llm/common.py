@@ -46,6 +46,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_batches(df: DataFrame, most: str = "8m") -> DataFrame:
+    """The same rows, with Arrow batches of about `most` bytes to Python, whatever their texts' lengths: sets the session's bound where it is left at its
+    default, since Spark takes it when the plan runs."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) == "67108864b":
+        conf.set(name, most)
+    return df
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -115,8 +124,19 @@ class Powers:
 _POWERS = Powers()
 
 
-def word_hashes(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of all texts (A-Z in lower case), and where each text's words begin (one more than rows)."""
+def word_hashes(body: np.ndarray, bounds: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts (A-Z in lower case), and where each text's words begin (one more than rows). Works on whole texts
+    of about `most` bytes at a time, so that its scratch memory stays small."""
+    found, starts, n, at = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)], 0, 0
+    while at < len(bounds) - 1:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
+        words, own = _some_word_hashes(body[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at])
+        found.append(words), starts.append(own[1:] + n)
+        n, at = n + len(words), to
+    return np.concatenate(found), np.concatenate(starts)
+
+
+def _some_word_hashes(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(body):
         return np.empty(0, np.uint64), np.zeros(len(bounds), np.int64)
     low = _LOWER[body]

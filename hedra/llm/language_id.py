@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hedra.llm.common import _LOWER, pick, text_bytes, text_slices
+from hedra.llm.common import _LOWER, in_batches, pick, text_bytes, text_slices
 
 # Families of some language codes; a code not listed is a family of its own.
 FAMILIES = {
@@ -29,6 +29,8 @@ FAMILIES = {
 }
 DIMS = 1 << 12
 ORDERS = (2, 3)
+#: Texts whose counts are held at once, each a row of DIMS.
+ROWS = 512
 
 _LETTER = _LOWER.copy()
 _LETTER[[b for b in range(128) if not (97 <= b < 123 or 65 <= b < 91)]] = 32
@@ -122,26 +124,31 @@ class Model:
         return lang, np.array(self.families, object)[family], score
 
 
-def fit(docs: DataFrame, train: Column, per_language: int = 400, most_languages: int = 200) -> Model | None:
-    """Fit on rows of (text, lang) where `train` holds and lang is not null: of distinct pairs, all of a language that has up to `per_language`,
-    else about so many, taken by a hash of the pair. Labels beyond the `most_languages` with most distinct texts are not learned, as machines
-    grow with the square of labels; their rows get the nearest learned language. None if no row is fit to learn from."""
+def fit(docs: DataFrame, train: Column, per_language: int = 400, most_languages: int = 200, most_rows: int = 16_000) -> Model | None:
+    """Fit on rows of (text, lang) where `train` holds and lang is not null: of distinct pairs, all of a language that has up to `per_language`
+    (less, where `most_rows` over all languages comes first), else about so many, taken by a hash of the pair. As machines grow with the square
+    of labels, more than `most_languages` are an error: such a column doesn't name languages. None if no row is fit to learn from."""
     own = docs.where(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("draw", F.xxhash64("text", "lang"))
     texts = own.select("lang", "draw").distinct().groupBy("lang").count()
-    counts = {r["lang"]: r["count"] for r in texts.orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    counts = {r["lang"]: r["count"] for r in texts.limit(most_languages + 1).collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(v) for c, n in counts.items() for v in (c, min(1 << 30, int((1 << 30) * per_language / n)))])[F.col("lang")]
-    # one row a pair, so the driver gets about `per_language` rows a language whatever is copied
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} distinct values of lang")
+    most = min(per_language, most_rows // len(counts))
+    share = F.create_map(*[F.lit(v) for c, n in sorted(counts.items()) for v in (c, min(1 << 30, int((1 << 30) * most / n)))])[F.col("lang")]
+    # one row a pair, so the driver gets about `most` rows a language whatever is copied
     taken = own.where(share > F.pmod("draw", F.lit(1 << 30))).groupBy("lang", "draw").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text", 1 << 20):
-                x = vectors(*text_bytes(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([v.tobytes() for v in x.astype(np.float16)], pa.binary())], names=["lang", "x"])
+                for at in range(0, part.num_rows, ROWS):
+                    few = part.slice(at, ROWS)
+                    x = vectors(*text_bytes(few.column("text")))
+                    yield pa.RecordBatch.from_arrays([few.column("lang"), pa.array([v.tobytes() for v in x.astype(np.float16)], pa.binary())], names=["lang", "x"])
 
-    got: pd.DataFrame = taken.select("text", "lang").mapInArrow(run, "lang string, x binary").orderBy("lang", "x").toPandas()
+    got: pd.DataFrame = in_batches(taken.select("text", "lang")).mapInArrow(run, "lang string, x binary").orderBy("lang", "x").toPandas()
     if not len(got):
         return None
     return Model(np.frombuffer(b"".join(got.x), np.float16).reshape(len(got), DIMS).astype(np.float32), got.lang.to_numpy(object))
@@ -154,8 +161,8 @@ def identify_languages(docs: DataFrame, train: Column | None = None, key: str =
     A null text or one without a letter is `und` with score 0, as is every text if there is nothing to learn from. Repeated rows and null
     keys stay rows of their own; an empty table gives an empty result; other columns are ignored.
     """
-    own = pick(docs, key=key, text="text", lang="lang", **{f"keep{i}": c for i, c in enumerate(keep)})
-    kept = [f"keep{i}" for i in range(len(keep))]
+    own = pick(docs, key=key, text="text", lang="lang", **{f"keep{i}": c for i, c in enumerate(keep) if c != "text"})
+    kept = ["text" if c == "text" else f"keep{i}" for i, c in enumerate(keep)]  # a kept text goes to Python once
     kinds = "".join(f"{c} {own.schema[c].dataType.simpleString()}, " for c in ("key", *kept))
     back = [F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)]
     model = fit(own, F.lit(True) if train is None else train, per_language)
@@ -167,11 +174,11 @@ def identify_languages(docs: DataFrame, train: Column | None = None, key: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text", 1 << 20):
-                for at in range(0, part.num_rows, 1 << 10):
-                    few = part.slice(at, 1 << 10)
+                for at in range(0, part.num_rows, ROWS):
+                    few = part.slice(at, ROWS)
                     lang, family, score = shared.value.predict(vectors(*text_bytes(few.column("text"))))
-                    yield pa.RecordBatch.from_arrays([*(few.column(c) for c in ("key", *kept)), few.column("known"), pa.array(lang, pa.string()), pa.array(family, pa.string()), pa.array(score.astype(np.float64))], names=["key", *kept, "known", "lang", "family", "score"])
+                    yield pa.RecordBatch.from_arrays([*(few.column(c) for c in ("key", *kept)), few.column("known"), pa.array(lang, pa.string()), pa.array(family, pa.string()), pa.array(score.astype(np.float64))], names=["key", *kept, "known", "lang_", "family_", "score_"])
 
-    said = own.select("key", *kept, "text", known.alias("known")).mapInArrow(run, f"{kinds}known boolean, lang string, family string, score double")
+    said = in_batches(own.select("key", *dict.fromkeys([*kept, "text"]), known.alias("known"))).mapInArrow(run, f"{kinds}known boolean, lang_ string, family_ string, score_ double")
     chosen = lambda c, other: F.when(F.col("known"), F.col(c)).otherwise(F.lit(other))
-    return said.select(F.col("key").alias(key), chosen("lang", "und").alias("lang_pred"), chosen("family", "und").alias("family_pred"), chosen("score", 0.0).alias("score"), *back)
+    return said.select(F.col("key").alias(key), chosen("lang_", "und").alias("lang_pred"), chosen("family_", "und").alias("family_pred"), chosen("score_", 0.0).alias("score"), *back)
