@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from sentencepiece import SentencePieceProcessor
 
-from hedra.llm.common import pick, text_bytes, text_slices
+from hedra.llm.common import in_batches, pick, text_bytes, text_slices
 
 #: The sign that stands for a space in pieces.
 SIGN = "▁"
@@ -220,12 +220,12 @@ def load(data: bytes) -> PieceModel:
 
 
 class Encoder:
-    """Encodes many texts; keeps the ids of the stretches seen, up to `most` of them, then begins anew."""
+    """Encodes many texts; keeps the ids of the stretches seen, up to `most` of them and `most_chars` characters, then begins anew."""
 
-    def __init__(self, model: PieceModel, most: int = 500_000) -> None:
+    def __init__(self, model: PieceModel, most: int = 200_000, most_chars: int = 4 << 20) -> None:
         if not model.fallback:
             raise ValueError("only models with byte fallback are known")
-        self.model, self.most = model, most
+        self.model, self.most, self.most_chars = model, most, most_chars
         tail = r"\n" if model.lines else ""
         self.cut = re.compile(f"{SIGN}+[^{SIGN}{tail}]*|[^{SIGN}{tail}]+" + (r"|\n" if tail else "")) if model.words and model.escape else re.compile(r"(?s).+")
         self.plain = not model.chars.units and not model.squeeze and model.escape and model.dummy
@@ -233,6 +233,7 @@ class Encoder:
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.counts, self.ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
 
     def learn(self, stretches: list[str]) -> None:
@@ -240,11 +241,12 @@ class Encoder:
         found = self.model.merger.encode(new, num_threads=1)
         self.counts.append(np.array([len(x) for x in found], np.int64))
         self.ids.append(np.fromiter(itertools.chain.from_iterable(found), np.int32))
+        self.chars += sum(map(len, new))
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, their bounds by text, begin and end of every piece in its text's bytes, decoded bytes and their bounds by text."""
-        if len(self.known) > self.most:
+        if len(self.known) > self.most or self.chars > self.most_chars:
             self.reset()
         model, stretches, per_text, maps = self.model, [], [], []
         for t in texts:
@@ -295,7 +297,7 @@ def _gather(pool: np.ndarray, counts: np.ndarray, at: np.ndarray, per_text: list
     return out, to[np.concatenate(([0], np.cumsum(per_text, dtype=np.int64)))]
 
 
-def encode_pieces(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", slice_bytes: int = 2 << 20) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", slice_bytes: int = 1 << 20) -> DataFrame:
     """Pieces of whole texts under a model (the bytes of its file).
 
     Returns key, ids, begins and ends (byte spans of the original text, one for each id; a byte id has its own byte) and decoded. A null or empty text has no ids and decodes to an empty text.
@@ -314,4 +316,4 @@ def encode_pieces(docs: DataFrame, model: bytes, key: str = "doc_id", text: str
                 texts = pa.StringArray.from_buffers(len(to) - 1, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(decoded)))
                 yield pa.RecordBatch.from_arrays([part.column("key"), *lists, texts], names=[key, "ids", "begins", "ends", "decoded"])
 
-    return pick(docs, key=key, text=text).mapInArrow(run, f"`{key}` {kind}, ids array<int>, begins array<int>, ends array<int>, decoded string")
+    return in_batches(pick(docs, key=key, text=text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>, begins array<int>, ends array<int>, decoded string")

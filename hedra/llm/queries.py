@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from hedra.llm import chat_snapshots, decontaminate, hilbert_shards, jaccard_join, language_id, line_dedup, lm_score, piece_encoding, telephony, weak_quality
 from hedra.llm.common import read
 
-#: The folder of public tokenizers; a parameter of op9_offset_pieces.
-TOKENIZERS = "/opt/tokenizers"
 
+def piece_model(file: str | None = None) -> bytes:
+    """The bytes of a model's file; by default of the public tokenizer that op9_offset_pieces takes."""
+    if file is None:
+        import public_tokenizers
 
-def piece_model(name: str = "piece_bpe_32k.model", folder: str = TOKENIZERS) -> bytes:
-    with open(f"{folder}/{name}", "rb") as f:
+        file = public_tokenizers.path("piece_bpe_32k.model")
+    with open(file, "rb") as f:
         return f.read()
 
 
