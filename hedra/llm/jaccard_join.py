@@ -3,7 +3,10 @@
 Two sets with similarity t or more share a token among the first n - ceil(t*n) + 1 tokens of each, under any order that all sets follow.
 Each order here takes rare shingles first (by powers of two of their document frequency) and breaks ties by a hash of its own; a candidate
 pair must share prefix tokens under every order before it is verified. Equal sets are one node. Frequencies are counted in shards of the
-shingles' key range, which arrive as packed blocks, one a slice of documents. Shingles of one set only are never posted.
+shingles' key range, which get packed blocks from slices of documents and answer each slice. Shingles of one set only are never posted.
+Shingles are told apart by 40 to 48 bits of a 64-bit hash: two sets seem to share a shingle that they don't with odds of about a in 2**40, a the
+product of the numbers of shingles that they don't share (10**-8 for sets of a hundred others each), and only a pair within one shingle of the limit can
+be decided otherwise by it; equal sets are told by a 64-bit hash.
 
 Groups of near copies are linked first to pivots, one a posting list, and only sets of different components are then compared with each other:
 no link between components is lost, and links within one are not sought.
@@ -12,6 +15,7 @@ no link between components is lost, and links within one are not sought.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,13 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hedra.llm.common import mix64, pack, partitions, pick, stage, text_bytes, text_slices, unpack, word_hashes
+from hedra.llm.common import in_batches, mix64, pack, partitions, pick, stage, text_bytes, text_slices, unpack, word_hashes
 from hedra.llm.components import components
 
 SHINGLE = 5
 PERCENT = 75
 #: Seeds of the orders.
 ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+#: Sets of one slice from which a shingle's places stay with the slice.
+HEAVY = 64
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,15 +72,21 @@ def set_table(own: DataFrame, size: int = SHINGLE) -> DataFrame:
                 values, bounds = shingle_sets(*text_bytes(part.column("text")), size)
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(np.diff(bounds)), pa.array(signatures(values, bounds).view(np.int64))], names=["key", "n", "sig"])
 
-    return own.mapInArrow(run, f"key {kind}, n bigint, sig bigint")
+    return in_batches(own).mapInArrow(run, f"key {kind}, n bigint, sig bigint")
 
 
 def _least_common(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def repeated_shingles(own: DataFrame, shards: int, parts: int, bits: int, size: int = SHINGLE) -> DataFrame:
-    """Blocks of the shingles that two or more sets hold: part (by signature), sig, n, count, key and freq (power of two), packed."""
+def repeated_shingles(own: DataFrame, shards: int, bits: int, size: int = SHINGLE) -> DataFrame:
+    """What each slice of texts learns of its shingles: slice, shard and packed parts.
+
+    A slice sends to the shards of the shingles' range its keys with the places of the sets that hold them; of a key that HEAVY or more of its
+    sets hold only their number, so that no shard collects the whole list of a frequent shingle. A shard answers with the keys that two or
+    more sets hold in all, and their frequency as a power of two. The slice's row with shard -1 has its sets: signatures and sizes, and the
+    frequent keys with their places. Equal sets of one slice are one; those of several slices count as several.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,83 +98,76 @@ def repeated_shingles(own: DataFrame, shards: int, parts: int, bits: int, size:
                     sig, n = sig[sig != 0], np.diff(bounds)[first]
                     own = np.concatenate([values[bounds[i] : bounds[i + 1]] for i in first]) if len(first) else values[:0]
                     packed = np.unique(own >> np.uint64(64 - bits) << np.uint64(16) | np.repeat(np.arange(len(first), dtype=np.uint64), n))
-                    key, doc = packed >> np.uint64(16), (packed & np.uint64(0xFFFF)).astype(np.uint16)
-                    edge = np.searchsorted(key, np.array([(s << bits) // shards for s in range(shards)] + [1 << bits], np.uint64))
-                    full = np.flatnonzero(np.diff(edge))
-                    rows = []
-                    for s in full:
-                        a, b = edge[s], edge[s + 1]
-                        there, at = np.unique(doc[a:b], return_inverse=True)
-                        rows.append((int(s), pack(sig[there]), pack(n[there].astype(np.uint32)), pack(np.diff(key[a:b], prepend=key[a : a + 1])), int(key[a]), pack(at.astype(np.uint16))))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["shard", "sig", "n", "key", "low", "doc"])
+                    key, place = packed >> np.uint64(16), (packed & np.uint64(0xFFFF)).astype(np.uint16)
+                    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+                    times = np.diff(np.append(start, len(key)))
+                    often = np.repeat(times >= HEAVY, times)
+                    heavy, many = key[start[times >= HEAVY]], times[times >= HEAVY].astype(np.uint32)
+                    name = uuid.uuid4().int >> 65
+                    rows = [(-1 - name % shards, name, [pack(sig), pack(n.astype(np.uint32)), pack(heavy), pack(many), pack(place[often])])]
+                    key, place = key[~often], place[~often]
+                    lows = np.array([(s << bits) // shards for s in range(shards)] + [1 << bits], np.uint64)
+                    edge, edge2 = np.searchsorted(key, lows), np.searchsorted(heavy, lows)
+                    for s in np.flatnonzero(np.diff(edge) + np.diff(edge2)):
+                        (a, b), (c, d) = edge[s : s + 2], edge2[s : s + 2]
+                        rows.append((int(s), name, [pack(np.diff(key[a:b], prepend=lows[s])), pack(place[a:b]), pack(np.diff(heavy[c:d], prepend=lows[s])), pack(many[c:d])]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.list_(pa.binary())), strict=True)], names=["shard", "slice", "parts"])
 
     def count(table: pa.Table) -> pa.Table:
-        sigs, ns, keys, docs, base = [], [], [], [], 0
-        for r in table.to_batches():
-            for sig, n, key, low, doc in zip(*(r.column(c).to_pylist() for c in ("sig", "n", "key", "low", "doc")), strict=True):
-                sigs.append(unpack(sig, np.uint64))
-                ns.append(unpack(n, np.uint32))
-                keys.append(np.cumsum(unpack(key, np.uint64), dtype=np.uint64) + np.uint64(low))
-                docs.append(unpack(doc, np.uint16).astype(np.uint32) + np.uint32(base))
-                base += len(sigs[-1])
-        sig, first, at = np.unique(np.concatenate(sigs), return_index=True, return_inverse=True)
-        n, key, doc = np.concatenate(ns)[first], np.concatenate(keys), at.astype(np.uint32)[np.concatenate(docs)]
-        del sigs, ns, keys, docs
-        order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
-        if len(key):  # the same set from several slices
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-            key, doc = key[new], doc[new]
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        times = np.diff(np.append(start, len(key)))
-        freq = np.repeat(times, times)
-        more = freq > 1
-        key, doc, freq = key[more], doc[more], np.log2(freq[more]).astype(np.uint8)
-        part = (sig % np.uint64(parts)).astype(np.int32)
-        order = np.lexsort((key, doc, part[doc]))
-        key, doc, freq = key[order], doc[order], freq[order]
-        own = part[doc]
+        shard, names, parts = int(table.column("shard")[0].as_py()), table.column("slice").to_pylist(), table.column("parts")
         rows = []
-        for p in np.unique(own):
-            a, b = np.searchsorted(own, [p, p + 1])
-            there, counts = np.unique(doc[a:b], return_counts=True)
-            rows.append((int(p), pack(sig[there]), pack(n[there]), pack(counts.astype(np.uint32)), pack(key[a:b]), pack(freq[a:b])))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["part", "sig", "n", "count", "key", "freq"])
-
-    blocks = own.select("text").mapInArrow(emit, "shard int, sig binary, n binary, key binary, low bigint, doc binary")
-    return blocks.groupBy("shard").applyInArrow(count, "part int, sig binary, n binary, count binary, key binary, freq binary")
-
-
-def prefixes(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Sets that may have a partner: sig, n, all their repeated shingles (tokens) and those of their prefix under each order (p0, p1, ...)."""
+        if shard < 0:
+            rows = [(name, -1, p) for name, p in zip(names, parts.to_pylist(), strict=True)]
+        else:
+            low = np.uint64((shard << bits) // shards)
+            kinds, got = (np.uint64, np.uint16, np.uint64, np.uint32), ([], [], [], [])
+            for p in parts:
+                for c, blob, kind in zip(got, p, kinds, strict=True):
+                    c.append(unpack(blob.as_py(), kind))
+            each, each2 = [len(x) for x in got[0]], [len(x) for x in got[2]]
+            key, heavy = (np.concatenate([np.cumsum(x, dtype=np.uint64) + low for x in got[i]]) for i in (0, 2))
+            place, many = np.concatenate(got[1]), np.concatenate(got[3])
+            known, at = np.unique(np.append(key, heavy), return_inverse=True)
+            total = np.bincount(at, np.append(np.ones(len(key)), many), len(known))
+            freq = np.log2(total).astype(np.uint8)[at]
+            more = total[at[: len(key)]] > 1
+            to, to2 = np.cumsum([0, *each]), len(key) + np.cumsum([0, *each2])
+            for i, name in enumerate(names):
+                own = np.arange(to[i], to[i + 1])[more[to[i] : to[i + 1]]]
+                if len(own) or each2[i]:
+                    rows.append((name, shard, [pack(np.diff(key[own], prepend=low)), pack(place[own]), pack(freq[own]), pack(freq[to2[i] : to2[i + 1]])]))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int64(), pa.int32(), pa.list_(pa.binary())), strict=True)], names=["slice", "shard", "parts"])
+
+    asked = in_batches(own.select("text")).mapInArrow(emit, "shard int, slice bigint, parts array<binary>")
+    return asked.groupBy("shard").applyInArrow(count, "slice bigint, shard int, parts array<binary>")
+
+
+def prefixes(answers: DataFrame, shards: int, bits: int, percent: int = PERCENT) -> DataFrame:
+    """Sets that may have a partner, once each: sig, n, all their repeated shingles (tokens) and those of their prefix under each order (p0, p1, ...)."""
 
     def run(table: pa.Table) -> pa.Table:
-        cols = [[], [], [], [], []]
-        for r in table.to_batches():
-            for row in zip(*(r.column(c).to_pylist() for c in ("sig", "n", "count", "key", "freq")), strict=True):
-                sig, n, count, key, freq = (unpack(b, t) for b, t in zip(row, (np.uint64, np.uint32, np.uint32, np.uint64, np.uint8), strict=True))
-                for c, x in zip(cols, (np.repeat(sig, count), np.repeat(n, count), key, freq), strict=False):
-                    c.append(x)
-        sig, n, key, freq = (np.concatenate(c) for c in cols[:4])
-        order = np.lexsort((key, sig))
-        sig, n, key, freq = sig[order], n[order].astype(np.int64), key[order], freq[order]
-        start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        stop = np.append(start[1:], len(sig))
-        size, held = n[start], stop - start
-        need = _least_common(size, percent)
-        out = []
-        for a, b, m in zip(start, stop, held - need + 1, strict=True):
-            if m > 0:  # shingles of this set only come first in every order
-                own = key[a:b]
-                tops = [own[np.lexsort((mix64(own ^ np.uint64(s)), freq[a:b]))[:m]].view(np.int64) for s in ORDERS]
-                out.append((int(sig[a].view(np.int64)), int(n[a]), own.view(np.int64), *tops))
-        columns = list(zip(*out, strict=True)) if out else [[] for _ in range(3 + len(ORDERS))]
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("shard", "parts")), strict=True), key=lambda r: r[0])
+        columns = [[] for _ in range(3 + len(ORDERS))]
+        if rows[0][0] == -1 and len(rows) > 1:
+            sig, n, heavy, many, there = (unpack(b, t) for b, t in zip(rows[0][1], (np.uint64, np.uint32, np.uint64, np.uint32, np.uint16), strict=True))
+            key, place, freq, freq2 = (np.concatenate(x) for x in zip(*[(np.cumsum(unpack(p[0], np.uint64), dtype=np.uint64) + np.uint64((s << bits) // shards), unpack(p[1], np.uint16), unpack(p[2], np.uint8), unpack(p[3], np.uint8)) for s, p in rows[1:]], strict=True))
+            key, place, freq = np.append(key, np.repeat(heavy, many)), np.append(place, there), np.append(freq, np.repeat(freq2, many))
+            order = np.lexsort((key, place))
+            key, place, freq = key[order], place[order], freq[order]
+            start = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+            stop = np.append(start[1:], len(place))
+            own = place[start]
+            out = []
+            for i, a, b, m in zip(own, start, stop, stop - start - _least_common(n[own].astype(np.int64), percent) + 1, strict=True):
+                if m > 0:  # shingles of this set only come first in every order
+                    mine = key[a:b]
+                    tops = [mine[np.lexsort((mix64(mine ^ np.uint64(s)), freq[a:b]))[:m]].view(np.int64) for s in ORDERS]
+                    out.append((int(sig[i].view(np.int64)), int(n[i]), mine.view(np.int64), *tops))
+            columns = list(zip(*out, strict=True)) if out else columns
         return pa.table([pa.array(c, pa.int64() if i < 2 else pa.list_(pa.int64())) for i, c in enumerate(columns)], names=["sig", "n", "tokens", *[f"p{k}" for k in range(len(ORDERS))]])
 
-    return blocks.groupBy("part").applyInArrow(run, "sig bigint, n bigint, tokens array<bigint>, " + ", ".join(f"p{k} array<bigint>" for k in range(len(ORDERS))))
+    sets = answers.groupBy("slice").applyInArrow(run, "sig bigint, n bigint, tokens array<bigint>, " + ", ".join(f"p{k} array<bigint>" for k in range(len(ORDERS))))
+    return sets.dropDuplicates(["sig"])  # equal in every column
 
 
 def _near_size(a: Column, b: Column, percent: int) -> Column:
@@ -294,14 +299,16 @@ def links(sets: DataFrame, percent: int = PERCENT, rounds: int = 2, short: int =
     Rounds of pivots (first the set of most repeated shingles of each list, then any) link most of a group at the cost of its size. What is
     still apart is compared within lists: in lists of `short` or fewer by pairs, in longer ones by blocks.
     """
-    posted = sets.select("sig", "n", F.size("p0").alias("m"), F.explode("p0").alias("token"))
+    narrow = sets.select("sig", "n", F.size("p0").alias("m"), "p0")
     nodes = sets.select(F.col("sig").alias("node"))
     edges = sets.sparkSession.createDataFrame([], "a bigint, b bigint")
     comps = nodes.withColumn("comp", F.col("node"))
 
     def listed(turn: int) -> tuple[DataFrame, DataFrame]:
         """Postings with components, and lists that join different components."""
-        placed = posted.withColumn("comp", F.col("sig")) if turn == 0 else posted.join(comps, F.col("sig") == F.col("node")).drop("node")
+        # joined before the explosion, so that a set of many tokens is one row there
+        placed = narrow.withColumn("comp", F.col("sig")) if turn == 0 else narrow.join(comps, F.col("sig") == F.col("node")).drop("node")
+        placed = placed.select("sig", "n", "m", "comp", F.explode("p0").alias("token"))
         pivot = F.max_by(F.struct("sig", "comp", "n"), F.struct(F.col("m") if turn == 0 else F.lit(0), F.xxhash64("sig", F.lit(turn)), "sig")).alias("pivot")
         return placed, placed.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("size"), pivot).where("c1 != c2").drop("c1", "c2")
 
@@ -343,8 +350,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = table.count()
     bits = min(48, max(40, math.ceil(math.log2(max(rows, 1))) + 22))
     cores = partitions(docs.sparkSession)
-    blocks = repeated_shingles(own, max(cores, rows // 4000), max(cores, rows // 8000), bits, size)
-    sets = stage(prefixes(blocks, percent), "prefixes")
+    shards = max(cores, rows // 4000)
+    sets = stage(prefixes(repeated_shingles(own, shards, bits, size), shards, bits, percent), "prefixes")
     edges = links(sets, percent)
     least = table.where("n > 0 AND key IS NOT NULL").groupBy("sig").agg(F.min("key").alias("first"))
     comps = components(edges)
