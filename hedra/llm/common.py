@@ -75,6 +75,21 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iter
         at = to
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Record batches of about `most` bytes of text each, across the batches given; one longer text stands alone."""
+    held, size = [], 0
+    for batch in batches:
+        for part in text_slices(batch, column, most):
+            n = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if held and size + n > most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and each text's bounds in them (one more than rows); a null text is empty."""
     if column.null_count:

@@ -40,7 +40,7 @@ def brute(rows, order, prior):
     return out
 
 
-@pytest.mark.parametrize(("order", "slice_bytes"), [(2, 1 << 20), (3, 2000)])
+@pytest.mark.parametrize(("order", "slice_bytes"), [(2, 1 << 20), (3, 2000), (4, 3000)])
 def test_brute_force(spark, order, slice_bytes):
     rows = corpus()
     want = brute(rows, order, 7.0)
@@ -108,3 +108,14 @@ def test_elias_fano():
     assert count.tolist() == [2, 0, 8, 0, 0] and rank.tolist() == [1, 0, 0, 0, 0] and (code > 0).tolist() == [True, False, True, False, False]
     p = 10.0 ** -rng.uniform(0, 12, 1000)
     assert np.abs(np.log10(dequantise(quantise(p))) - np.log10(p)).max() < 2e-4
+
+
+def test_hot_pairs_are_split(spark):
+    """A pair before a large part of all tokens stands in several shards, and scores stay those of brute force."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"of the w{x}" for x in rng.integers(0, 50, 40))) for i in range(60)]
+    want = brute(rows, 3, 7.0)
+    for r in score_texts(spark.createDataFrame(rows, "doc_id bigint, text string"), mine(), prior=7.0, slice_bytes=3000, shard_tokens=200).collect():
+        held, n, known, train, base, score = want[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held, n, known, train)
+        assert r["score"] == pytest.approx(score, abs=6e-4 * n)
