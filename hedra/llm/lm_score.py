@@ -154,21 +154,26 @@ class Grams:
         rel = (mix64(hashes) >> np.uint64(64 - REL))
         here = np.flatnonzero(~self.first)  # tokens with a pair before them
         context, hot = pair[here - 1], model["hot"]
-        split = np.zeros(0, np.int64)
+        part = lambda pair, number: mix64(pair * _P + np.uint64(1) + number) >> down
+        split, whole, parts_of = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         if len(hot):
             at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
             split = np.flatnonzero(hot[at] == context)
-            context[split] = mix64(context[split] * _P + np.uint64(1) + rel[here[split]] % model["salts"][at[split]]) >> down
-        self.keys, place = np.unique(np.append(pair, context[split]), return_inverse=True)
-        place, parts_of = place[: len(pair)], place[len(pair) :]
+            context[split] = part(context[split], rel[here[split]] % model["salts"][at[split]])
+            # every part has the pair's count, whatever follows here
+            mine = np.unique(at[split])
+            salts = model["salts"][mine].astype(np.int64)
+            whole = np.repeat(hot[mine], salts)
+            parts_of = part(whole, (np.arange(len(whole)) - np.repeat(np.cumsum(salts) - salts, salts)).astype(np.uint64))
+        self.keys, place = np.unique(np.concatenate((pair, parts_of)), return_inverse=True)
+        place, parts_at = place[: len(pair)], place[len(pair) :]
         counts = np.bincount(place[learned], minlength=len(self.keys)).astype(np.uint32)
-        if len(split):  # a part of a split pair has the pair's count
-            counts[parts_of] = counts[place[here[split] - 1]]
+        counts[parts_at] = counts[np.searchsorted(self.keys, whole)]
         #: of each level: places of contexts in the level above, successors, training counts; tokens that end one, and their place in the level
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(len(self.keys), np.int64), self.keys, counts)]
         self.ends = [(np.arange(len(pair)), place)]
         parent = place[here - 1]
-        parent[split] = parts_of
+        parent[split] = np.searchsorted(self.keys, context[split])
         for level in range(3, model["order"] + 1):
             if level > 3:
                 where, there = self.ends[-1]
