@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hedra.llm.common import _LOWER, mix64, pick, text_bytes, text_slices, word_hashes
+from hedra.llm.common import _LOWER, in_batches, mix64, pick, text_bytes, text_slices, word_hashes
 
 # Frequent function words of four languages, and insults.
 STOP_WORDS = "the of and to in a is that for on with as was by be this are or from at it not le la les de des et un une en que qui dans par pour sur au est du il pas der die das und ist von den mit zu ein eine nicht auf im sich des dem auch el los las y en por con para una su del se al lo como"
@@ -156,7 +156,7 @@ def toxic_lexicon(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 def judge_quality(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", sample_rows: int = 6000) -> DataFrame:
     """Judgement of every whole text: key, keep, quality and toxicity (posterior and scorer together, 0 to 1), and the four parts.
 
-    `labels` (key, toxic) may mark some documents; see toxic_lexicon. The scorer learns from about `sample_rows` documents, drawn by a hash of the text; votes are counted over all. keep: quality is at least
+    `labels` (key, toxic) may mark some documents; see toxic_lexicon. The scorer learns from about `sample_rows` distinct texts that have a word, drawn by a hash; votes are counted over all. keep: quality is at least
     and toxicity under a half. A null or empty text has no words: its votes abstain or say bad, and its scores are the scorer's bias. Equal
     texts get equal judgement, repeated rows and null keys stay rows of their own; an empty table gives an empty result; other columns are
     ignored.
@@ -179,7 +179,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame | None = None, key: str = "
                 found, n = np.unique(np.hstack((q, t)), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int8()) for c in found.T), pa.array(n.astype(np.int64))], names=[*QUALITY, *TOXICITY, "n"])
 
-    counted = own.select("text").mapInArrow(vote, f"{ballot}, n bigint").groupBy(*QUALITY, *TOXICITY).agg(F.sum("n").alias("n")).toPandas()  # 3**11 patterns at most
+    counted = in_batches(own.select("text")).mapInArrow(vote, f"{ballot}, n bigint").groupBy(*QUALITY, *TOXICITY).agg(F.sum("n").alias("n")).toPandas()  # 3**11 patterns at most
     if not len(counted):
         return own.select(F.col("key").alias(key), F.lit(True).alias("keep"), *[F.lit(0.0).alias(c) for c in ("quality", "toxicity", "quality_posterior", "toxic_posterior", "quality_score", "toxic_score")]).limit(0)
     n = counted.n.to_numpy(float)
@@ -191,8 +191,13 @@ def judge_quality(docs: DataFrame, labels: DataFrame | None = None, key: str = "
                 texts = [words[a:b].astype(np.int32).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), *(pa.array(m.posterior(v)) for m, v in zip(models, (q, t), strict=True))], names=["words", "q", "t"])
 
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1, sample_rows / n.sum()))
-    drawn = own.where(draw).select("text").mapInArrow(learn, "words binary, q double, t double").orderBy("words").limit(2 * sample_rows).toPandas()
+    # of distinct texts with a word, so that neither empty texts nor copies crowd out others
+    some = own.where(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]")).select("text", F.xxhash64("text").alias("hash"))
+    kinds = some.select("hash").distinct().count()
+    draw = some.where(F.pmod(F.xxhash64("hash", F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * min(1, sample_rows / max(kinds, 1))))
+    once = draw.groupBy("hash").agg(F.first("text").alias("text")).orderBy(F.xxhash64("hash", F.lit(2))).limit(2 * sample_rows)
+    drawn = in_batches(once.select("text")).mapInArrow(learn, "words binary, q double, t double").toPandas()
+    drawn = drawn.sort_values(["words", "q", "t"])
     texts = [np.frombuffer(b, np.int32) for b in drawn.words]
     zero = np.zeros(DIMS + 1)
     scorers = [fit_scorer(texts, drawn[c].to_numpy()) if len(texts) else zero for c in ("q", "t")]

@@ -72,3 +72,42 @@ def test_copied_texts_are_drawn_once_and_never_missed(spark):
     finally:
         language_id.Model.__init__ = init
     assert sorted(seen) == sorted(lang for lang in ("en", "fr", "fi", "pl") for _ in range(3))
+
+
+def test_null_texts_and_copies_leave_scores_as_they_were(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    copied = docs.orderBy("doc_id").limit(1).select("text").first()["text"]
+    more = spark.range(3000).select((F.col("id") + 10**6).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit(copied)).alias("text"))
+    plain = judge_quality(docs, labels, sample_rows=150).toPandas().set_index("doc_id")
+    full = judge_quality(docs.union(more), labels, sample_rows=150).toPandas().set_index("doc_id").loc[plain.index]
+    assert full.quality_score.nunique() > 0.8 * len(plain)
+    # the posteriors that teach the scorer move a little with the votes of the added rows
+    assert plain.quality_score.corr(full.quality_score) > 0.9 and plain.toxic_score.corr(full.toxic_score) > 0.9
+
+
+def test_expectation_maximisation_by_loops():
+    import itertools
+    import math
+
+    import numpy as np
+
+    from hedra.llm.weak_quality import LabelModel
+
+    rng = random.Random(9)
+    votes = []
+    for _ in range(400):
+        truth = rng.random() < 0.7
+        votes.append(tuple(rng.choice([-1, 0, 1]) if rng.random() < noise else (1 if truth else -1) for noise in (0.1, 0.3, 0.6)))
+    kinds = sorted(set(votes))
+    model = LabelModel(np.array(kinds), np.array([votes.count(k) for k in kinds], float), -1)
+    p = [0.1 if -1 in v else 0.9 for v in votes]
+    for _ in range(40):
+        share = (sum(p) + 1) / (len(p) + 2)
+        chance = {}
+        for j, value, k in itertools.product(range(3), (-1, 1), (0, 1)):
+            lean = 1.0 if (value == 1) == (k == 1) else 0.2
+            chance[j, value, k] = lean + sum((q if k else 1 - q) for q, v in zip(p, votes, strict=True) if v[j] == value)
+        odds = lambda v: math.log(share / (1 - share)) + sum(math.log(chance[j, v[j], 1] / (chance[j, -1, 1] + chance[j, 1, 1])) - math.log(chance[j, v[j], 0] / (chance[j, -1, 0] + chance[j, 1, 0])) for j in range(3) if v[j])  # noqa: E731, B023
+        p = [1 / (1 + math.exp(-max(-30, min(30, odds(v))))) for v in votes]
+    want = dict(zip(votes, p, strict=True))
+    assert np.allclose(model.posterior(np.array(kinds)), [want[k] for k in kinds], atol=1e-9)
