@@ -63,7 +63,7 @@ def cells(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
     return [F.coalesce(sum((F.when(values[d] > F.lit(b), 1).otherwise(0) for b in sorted(set(found[f"q{i}"] or []))), F.lit(0)), F.lit(0)) for i, d in enumerate(dims)]
 
 
-def hilbert_shards(df: DataFrame, key: str, dims: list[str], shards: int, bits: int = 4, block_rows: int = 100_000, keep: dict[str, Column] | None = None) -> DataFrame:
+def hilbert_shards(df: DataFrame, key: str, dims: list[str], shards: int, bits: int = 4, block_rows: int = 1000, keep: dict[str, Column] | None = None) -> DataFrame:
     """Put every row into shards 0 .. shards-1 whose row counts differ by one at most.
 
     Returns key, the columns of `keep`, `hilbert`, `shard` and `slot` (gapless from 0 in each shard). Rows of one cell are ordered by a hash
@@ -83,16 +83,15 @@ def hilbert_shards(df: DataFrame, key: str, dims: list[str], shards: int, bits:
     for r in counted:
         starts.append((r["hilbert"], at, max(1, -(-r["count"] // block_rows))))
         at += r["count"]
-    # one literal lookup of 2**(bits*len(dims)) entries at most
-    spread = F.create_map(*[F.lit(x).cast("bigint") for h, _, n in starts for x in (h, n)])[F.col("hilbert")]
-    first = df.sparkSession.createDataFrame([(h, s) for h, s, _ in starts], "hilbert bigint, first bigint")
-    blocked = lambda d: d.withColumn("block", F.pmod(F.col("tie"), spread))
+    # a row a cell, 2**(bits*len(dims)) at most
+    first = F.broadcast(df.sparkSession.createDataFrame(starts, "hilbert bigint, first bigint, spread bigint"))
+    blocked = lambda d: d.join(first, "hilbert").withColumn("block", F.pmod("tie", "spread")).drop("spread")
 
-    blocks = blocked(df.select(grid.alias("hilbert"), tie.alias("tie"))).groupBy("hilbert", "block").count()
+    blocks = blocked(df.select(grid.alias("hilbert"), tie.alias("tie"))).groupBy("hilbert", "block").agg(F.count(F.lit(1)).alias("count"), F.first("first").alias("first"))
     before = F.sum("count").over(Window.partitionBy("hilbert").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(first), "hilbert").select("hilbert", "block", (F.col("first") + F.col("before")).alias("offset"))
+    blocks = blocks.withColumn("before", F.coalesce(before, F.lit(0))).select("hilbert", "block", (F.col("first") + F.col("before")).alias("offset"))
 
-    own = blocked(df.select(F.col(key), *[c.alias(n) for n, c in keep.items()], grid.alias("hilbert"), tie.alias("tie")))
+    own = blocked(df.select(F.col(key), *[c.alias(n) for n, c in keep.items()], grid.alias("hilbert"), tie.alias("tie"))).drop("first")
     order = Window.partitionBy("hilbert", "block").orderBy("tie", key, *keep)
     rank = F.col("offset") + F.row_number().over(order) - 1
     base, more = divmod(rows, shards)
