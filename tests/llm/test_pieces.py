@@ -1,7 +1,7 @@
 import hashlib
 
 import pytest
-from sentencepiece import SentencePieceProcessor
+from sentencepiece import SentencePieceNormalizer, SentencePieceProcessor
 
 from hedra.llm.piece_encoding import PieceModel, encode_pieces
 from hedra.llm.queries import piece_model
@@ -36,6 +36,25 @@ def test_alignment_of_normalised_text():
         assert len(where) == len(normal.encode()) + 1 and (where[1:] >= where[:-1]).all()
 
 
+def test_a_character_map_and_squeezed_blanks(spark):
+    """The same model with the map and the rules for blanks of the library's own normaliser: ids, text and spans."""
+    rule = SentencePieceNormalizer(rule_name="nmt_nfkc", remove_extra_whitespaces=True, add_dummy_prefix=True, escape_whitespaces=True).serialized_model_proto()
+    data = piece_model() + rule
+    model, own = PieceModel(data), SentencePieceProcessor(model_proto=data)
+    assert model.chars.units and model.squeeze
+    more = ["ﬁne ½ ＡＢＣ　全角 ①", "  a   b  ", "e\u0301 가 ｶﾞ", "\u00a0x\u2003y\t\nz", "Ⅷ ㎏ ™ ﷺ", "\u200bzero\ufeff", "   "]
+    rows = [(i, t) for i, t in enumerate([*TEXTS, *more])]
+    got = encode_pieces(spark.createDataFrame(rows, "doc_id bigint, text string"), data, slice_bytes=200).collect()
+    for r in got:
+        text = rows[r["doc_id"]][1]
+        assert r["ids"] == own.encode(text) and r["decoded"] == own.decode(r["ids"]), text
+        raw = text.encode()
+        for a, b in zip(r["begins"], r["ends"], strict=True):
+            assert 0 <= a <= b <= len(raw)
+    normal, where = model.normalise("ﬁ x")
+    assert normal == "▁fi▁x" and where.tolist() == [0, 0, 0, 0, 0, 3, 3, 3, 4, 5]
+
+
 def test_edges(spark, library):
     got = encode_pieces(edges(spark), piece_model()).collect()
     want = sorted(hashlib.sha256(",".join(map(str, library.encode(t[1] or ""))).encode()).hexdigest() for t in edge_rows())
