@@ -158,3 +158,35 @@ def warnings(r2: Column, normality_p: Column, variance_p: Column, worst_vif: Col
 
 def registry(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(REGISTRY, "rule string, clause string, destination string")
+
+
+# Kinds of qualitative axes.
+QUALITATIVE = ("dichotomous", "allocated_code", "adjusted_code", "categorical")
+
+
+def qualitative_membership(kind: Column, value: Column, observed: Column, scale: Column | None = None) -> Column:
+    """in_sample, forbidden or pending, of a value on a qualitative axis: observed values are in the sample; between or beyond them nothing is, but a code
+    of an allocated scale that the sample doesn't show waits for a review, and so does one of a scale that isn't known within the sample's ends.
+    value, observed and scale are texts; codes are numbers written as text."""
+    number, ends = value.cast("double"), F.transform(observed, lambda v: v.cast("double"))
+    known = F.array_contains(scale, value) if scale is not None else F.lit(False)
+    beyond = F.coalesce((number < F.array_min(ends)) | (number > F.array_max(ends)), F.lit(False))
+    allocated = F.when(F.coalesce(known, F.lit(False)), "pending").when(beyond, "forbidden").otherwise("pending")
+    judged = F.when(F.coalesce(F.array_contains(observed, value), F.lit(False)), "in_sample").when(kind == "allocated_code", allocated).otherwise("forbidden")
+    return F.when(observed.isNull(), "pending").otherwise(judged)
+
+
+def value_basis(basis: Column, method: Column, produced: dict[str, tuple[str, ...]]) -> Column:
+    """ok, refused (the method doesn't produce that base of value) or unsupported (an unknown base)."""
+    out = F.lit("unsupported")
+    for name, methods in produced.items():
+        out = F.when(basis == name, F.when(method.isin(*methods), "ok").otherwise("refused")).otherwise(out)
+    return out
+
+
+def effective_size(declared_n: Column, declared_k: Column, fit_n: Column, fit_k: Column) -> Column:
+    """n, k, source and conflict: a fit's own counts before declared ones; nothing is guessed from a table's shape."""
+    n, k = F.coalesce(fit_n, declared_n), F.coalesce(fit_k, declared_k)
+    conflict = F.coalesce(fit_n != declared_n, F.lit(False)) | F.coalesce(fit_k != declared_k, F.lit(False))
+    source = F.when(n.isNull() | k.isNull(), "unresolved").when(fit_n.isNotNull() & fit_k.isNotNull(), "fit").otherwise("declared")
+    return F.struct(n.alias("n"), k.alias("k"), source.alias("source"), conflict.alias("conflict"))

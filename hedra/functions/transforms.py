@@ -49,7 +49,7 @@ def domains(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}|n"), F.bool_or(~is_observation(x) & x.isNotNull()).alias(f"{c}|odd")]
         aggs += [F.bool_and(domain_failure(t, x).isNull() | x.isNull()).alias(f"{c}|{t}") for t in NAMES]
-    row = df.agg(*aggs).first()
+    row = df.agg(*aggs).first() if aggs else {}
     return {c: [t for t in NAMES if row[f"{c}|n"] and not row[f"{c}|odd"] and row[f"{c}|{t}"]] for c in columns}
 
 
@@ -95,3 +95,43 @@ def amplitude(low: Column, high: Column, point: Column) -> Column:
 
 def clamp(x: Column, low: Column, high: Column) -> Column:
     return F.greatest(F.least(x, high), low)
+
+
+# Other names of transforms.
+ALIASES = {"inv": "inverse", "reciprocal": "inverse", "log": "ln", "square": "sqr", "identity": "linear", "none": "linear"}
+
+
+def canonical(name: str | None) -> str:
+    low = (name or "linear").strip().lower()
+    return ALIASES.get(low, low)
+
+
+def distinct_options(options: list[str]) -> list[str]:
+    """Options without those that name an earlier one's transform again."""
+    return list({canonical(o): o for o in reversed(options)}.values())[::-1]
+
+
+def parse_feature(name: str) -> tuple[str, str]:
+    """("ln", "area") of ln(area); ("linear", name) of a plain name."""
+    head, mark, rest = name.partition("(")
+    return (head, rest[:-1]) if mark and name.endswith(")") else ("linear", name)
+
+
+def feature_name(base: str, transform_name: str) -> str:
+    kind = canonical(transform_name)
+    return base if kind in ("linear", "encoded") else f"{kind}({base})"
+
+
+def recorded_transform(name: str, x: Column) -> Column:
+    """A transform as saved projects may name it: any of NAMES, an alias of one, or log10; null outside of the domain."""
+    if name == "log10":
+        x = x.cast("double")
+        return F.when(x > 0, F.log10(x))
+    return transform(canonical(name), x)
+
+
+def equation(columns: list[str], beta: list[float], target: str, log: bool = False, digits: int = 6) -> str:
+    """The model as text; `const` is the intercept."""
+    left = f"ln({target})" if log else target
+    terms = [(f"{abs(b):.{digits}g}" + ("" if c == "const" else f" * {c}"), b < 0) for c, b in zip(columns, beta, strict=True)]
+    return f"{left} = " + "".join(("-" if minus else "") + term if i == 0 else (" - " if minus else " + ") + term for i, (term, minus) in enumerate(terms))

@@ -6,22 +6,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def buckets(df: DataFrame, key: str, count: int = 200) -> Column:
-    """A number that grows with a numeric or time key and cuts it into about `count` parts of equal rows; equal keys share a bucket. Null comes first."""
+def _place(df: DataFrame, key: str) -> Column:
     kind = df.schema[key].dataType.simpleString()
-    value = (F.unix_micros(F.col(key).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col(key)).cast("double")
-    cuts = df.agg(F.percentile_approx(value, [k / count for k in range(1, count)], 10_000).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    if not cuts:
-        return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < value)) + 1, F.lit(0))
+    return (F.unix_micros(F.col(key).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col(key)).cast("double")
+
+
+def _above(value: Column, cuts: list[float]) -> Column:
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < value)) if cuts else F.lit(0)
+
+
+def buckets(df: DataFrame, key: str, count: int = 200, ties: tuple[str, ...] = ()) -> Column:
+    """A number that grows with a numeric or time key and cuts it into about `count` parts of equal rows. Null comes first.
+
+    Equal keys share a bucket, but for hot ones (that fill more than a bucket) where the first of `ties` is a number or time: those are cut by it in turn,
+    so that no task gets all rows of one key. Equal ties stay together.
+    """
+    value = _place(df, key)
+    found = df.agg(F.percentile_approx(value, [k / count for k in range(1, count)], 10_000).alias("q")).first()["q"] or []
+    cuts = sorted(set(found))
+    own = F.coalesce(_above(value, cuts) + 1, F.lit(0)).cast("bigint")
+    often = sorted({c for c in cuts if found.count(c) > 1})
+    if not often or not ties or df.schema[ties[0]].dataType.simpleString() == "string":
+        return own
+    tie = _place(df, ties[0])
+    rows = df.where(value.isin(often)).groupBy(value.alias("v")).agg(F.percentile_approx(tie, [k / count for k in range(1, count)], 10_000).alias("q")).collect()  # `count` rows at most
+    inner = F.lit(0)
+    for r in rows:  # rows of a hot key come after the others of its bucket, which are less
+        inner = F.when(value == F.lit(r["v"]), F.coalesce(_above(tie, sorted(set(r["q"] or []))) + 2, F.lit(1))).otherwise(inner)
+    return own * (count + 2) + inner
 
 
 def number_rows(df: DataFrame, key: str, *ties: str, name: str = "pos", count: int = 200) -> DataFrame:
     """Gapless row numbers from 0 in order of key and ties."""
-    cut = df.withColumn("_bucket", buckets(df, key, count))
+    cut = df.withColumn("_bucket", buckets(df, key, count, ties))
     sizes = cut.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    first = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_first"))  # at most count + 1 rows
+    first = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_first"))  # a row a bucket
     inside = Window.partitionBy("_bucket").orderBy(key, *ties)
     return cut.join(F.broadcast(first), "_bucket").withColumn(name, F.col("_first") + F.row_number().over(inside) - 1).drop("_bucket", "_first")
 
@@ -34,7 +53,7 @@ def row_ids(df: DataFrame, position: str = "pos", name: str = "row_id") -> DataF
 
 def durbin_watson(df: DataFrame, residual: Column, key: str, *ties: str, count: int = 200) -> DataFrame:
     """One row with durbin_watson, null for fewer than two rows or no spread. Only sums and the two edges of each bucket leave a task."""
-    own = df.select(buckets(df, key, count).alias("_bucket"), key, *ties, residual.cast("double").alias("_e"))
+    own = df.select(buckets(df, key, count, ties).alias("_bucket"), key, *ties, residual.cast("double").alias("_e"))
     inside = Window.partitionBy("_bucket").orderBy(key, *ties)
     stepped = own.withColumn("_d", F.col("_e") - F.lag("_e").over(inside))
     order = F.struct(key, *ties)

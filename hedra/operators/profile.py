@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +15,49 @@ from hedra.functions import parse
 MANY_LEVELS = 20
 
 
+def medians(df: DataFrame, values: dict[str, Column], small: int = 1_000_000) -> dict[str, float | None]:
+    """Exact medians of columns (null without values), of which no task holds more than about `small` distinct values, however large they are.
+
+    A quantile sketch cuts a column of more rows into parts, counts tell in which part the middle lies, and only that part's values are looked at again.
+    All columns share each pass over the rows; a part of one value is the answer whatever its size."""
+    values = {c: parse.finite(x.cast("double")) for c, x in values.items()}
+    row = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(values.values())]).first()
+    counts = {c: row[f"n{i}"] for i, c in enumerate(values)}
+    out: dict[str, float | None] = {c: None for c, n in counts.items() if not n}
+    # a place (from 0) is looked for among the values from low to high, before which `before` others stand
+    open_ = {(c, k): (None, None, 0, counts[c]) for c in values if counts[c] for k in {(counts[c] - 1) // 2, counts[c] // 2}}
+    found: dict[tuple[str, int], float] = {}
+    part = lambda c, low, high: F.when((F.lit(True) if low is None else values[c] >= F.lit(low)) & (F.lit(True) if high is None else values[c] <= F.lit(high)), values[c])
+    while open_:
+        few = {k: v for k, v in open_.items() if v[3] <= small}
+        many = {k: v for k, v in open_.items() if v[3] > small}
+        aggs = [F.percentile(part(k[0], v[0], v[1]), F.lit((k[1] - v[2]) / max(v[3] - 1, 1))).alias(f"f{i}") for i, (k, v) in enumerate(few.items())]
+        aggs += [F.percentile_approx(part(k[0], v[0], v[1]), [q / 64 for q in range(65)], 10_000).alias(f"m{i}") for i, (k, v) in enumerate(many.items())]
+        row = df.agg(*aggs).first()
+        found |= {k: row[f"f{i}"] for i, k in enumerate(few)}
+        cuts = {k: sorted(set(row[f"m{i}"])) for i, k in enumerate(many)}
+        open_ = {}
+        if cuts:
+            # how many values lie below each cut, and how many are equal to it
+            sums = [f(values[k[0]], F.lit(x)).alias(f"{n}{i}_{j}") for i, (k, own) in enumerate(cuts.items()) for j, x in enumerate(own) for n, f in (("b", lambda c, x: F.count_if(c < x)), ("e", lambda c, x: F.count_if(c == x)))]
+            row = df.agg(*sums).first()
+            for i, (k, own) in enumerate(cuts.items()):
+                below, equal = ([row[f"{n}{i}_{j}"] for j in range(len(own))] for n in ("b", "e"))
+                j = max(j for j in range(len(own)) if below[j] <= k[1])
+                if k[1] < below[j] + equal[j]:
+                    found[k] = own[j]
+                else:  # strictly between two cuts
+                    low, high = float(np.nextafter(own[j], np.inf)), float(np.nextafter(own[j + 1], -np.inf))
+                    open_[k] = (low, high, below[j] + equal[j], below[j + 1] - below[j] - equal[j])
+    return out | {c: (found[c, (n - 1) // 2] + found[c, n // 2]) / 2 for c, n in counts.items() if n}
+
+
 def train_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, n, n_missing, mean, median, variance (population) and whether it is constant, of numeric columns; NaN and infinities are missing."""
-    aggs = []
+    aggs, middle = [], medians(df, {c: F.col(c) for c in columns})
     for c in columns:
         x = parse.finite(F.col(c).cast("double"))
-        aggs.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.count_if(x.isNull()).alias("n_missing"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.var_pop(x).alias("variance"), (F.coalesce(F.min(x) == F.max(x), F.lit(True))).alias("constant")).alias(c))
+        aggs.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.count_if(x.isNull()).alias("n_missing"), F.avg(x).alias("mean"), F.lit(middle[c]).cast("double").alias("median"), F.var_pop(x).alias("variance"), (F.coalesce(F.min(x) == F.max(x), F.lit(True))).alias("constant")).alias(c))
     return df.agg(F.array(*aggs).alias("x")).select(F.inline("x"))
 
 
@@ -83,10 +121,10 @@ def observation_kinds(df: DataFrame, column: str) -> DataFrame:
 
 def market_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, n, min, mean, median, max."""
-    aggs = []
+    aggs, middle = [], medians(df, {c: F.col(c) for c in columns})
     for c in columns:
         x = parse.finite(F.col(c).cast("double"))
-        aggs.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.max(x).alias("max")).alias(c))
+        aggs.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.lit(middle[c]).cast("double").alias("median"), F.max(x).alias("max")).alias(c))
     return df.agg(F.array(*aggs).alias("x")).select(F.inline("x"))
 
 
@@ -95,6 +133,34 @@ def axis_ranges(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, flo
     return {c: (row[f"{c}|a"], row[f"{c}|b"]) for c in columns}
 
 
+def category_axes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, level and n of categorical axes: every level of the sample with its rows."""
+    return category_support(df, columns)
+
+
+def column_summary(df: DataFrame, columns: list[str], many: int = 50, least: tuple[int, ...] = (15, 20, 30)) -> DataFrame:
+    """column, n_rows, n_missing, n_distinct, identification (every present value its own), and warnings: high_cardinality of a text column with more than
+    `many` levels, and small_sample_<k> for each number of rows not reached. One aggregation over the rows; distinct values are counted in a shuffle."""
+    texts = {c for c, kind in df.dtypes if kind == "string"}
+    present = {c: F.when(~parse.is_missing(F.col(c)), F.trim(c)) if c in texts else F.col(c) for c in columns}
+    each = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), x.cast("string").alias("value")) for c, x in present.items()])))
+    counts = each.groupBy("column", "value").agg(F.count(F.lit(1)).alias("k"))
+    out = counts.groupBy("column").agg(F.sum("k").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("k"))), F.lit(0)).alias("n_missing"), F.count("value").alias("n_distinct"))
+    out = out.withColumn("identification", (F.col("n_distinct") > 1) & (F.col("n_distinct") == F.col("n_rows") - F.col("n_missing")))
+    notes = [F.when(F.col("column").isin(*sorted(texts)) & (F.col("n_distinct") > many), "high_cardinality"), *(F.when(F.col("n_rows") < k, f"small_sample_{k}") for k in least)]
+    return out.withColumn("warnings", F.filter(F.array(*notes), lambda x: x.isNotNull()))
+
+
+# Roles whose columns are never taken for quantities.
+NON_QUANTITATIVE_ROLES = ("identifier", "source", "date", "excluded")
+
+
+def columns_to_convert(flags: dict[str, bool], roles: dict[str, str], target: str | None = None, row_id: str = "row_id") -> dict[str, bool]:
+    """Whether each column is parsed as a number: never the row's id or a role that isn't a quantity, always the target, else what doesn't look like a code.
+    flags: looks_non_quantitative of each column."""
+    return {c: c != row_id and roles.get(c) not in NON_QUANTITATIVE_ROLES and (c == target or roles.get(c) == "target" or not odd) for c, odd in flags.items()}
+
+
 def normal_frequencies(df: DataFrame, z: Column) -> DataFrame:
     """limit, observed share of |z| within it, and the normal probability."""
     limits = {1.0: 0.6826894921370859, 1.64: 0.8989948330517925, 1.96: 0.9500042097035592}
@@ -103,13 +169,21 @@ def normal_frequencies(df: DataFrame, z: Column) -> DataFrame:
 
 
 def metrics(df: DataFrame, actual: str, predicted: str, by: list[str] | None = None) -> DataFrame:
-    """n, mae, rmse, rel_mae, rel_rmse; relative errors leave out actual values near zero (a millionth of the median size, or 1e-12)."""
+    """n, mae, rmse, rel_mae, rel_rmse; relative errors leave out actual values near zero (a millionth of the median size, or 1e-12). `by` are few groups: folds, not keys."""
     by = by or []
-    e = F.col(predicted) - F.col(actual)
-    floors = df.groupBy(*by).agg(F.greatest(F.lit(1e-12), 1e-6 * F.median(F.abs(F.col(actual)))).alias("_floor"))
-    joined = df.join(F.broadcast(floors), by) if by else df.join(F.broadcast(floors), F.lit(True))  # a row a fold
-    rel = F.when(F.abs(F.col(actual)) >= F.col("_floor"), e / F.abs(F.col(actual)))
-    return joined.groupBy(*by).agg(F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(rel)).alias("rel_mae"), F.sqrt(F.avg(rel * rel)).alias("rel_rmse"))
+    e, size = F.col(predicted) - F.col(actual), F.abs(F.col(actual))
+    groups = [r.asDict() for r in df.groupBy(*by).agg(F.count(size).alias("_n")).collect()]  # a row a fold
+    if all(g.pop("_n") <= 1_000_000 for g in [dict(g) for g in groups]):
+        floors = df.groupBy(*by).agg(F.greatest(F.lit(1e-12), 1e-6 * F.median(size)).alias("_floor"))
+        df, floor = df.join(F.broadcast(floors), by) if by else df.join(F.broadcast(floors), F.lit(True)), F.col("_floor")  # a row a fold
+    else:
+        within = [reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.lit(g[c])) for c in by), F.lit(True)) for g in groups]
+        middle = medians(df, {str(i): F.when(here, size) for i, here in enumerate(within)})
+        floor = F.lit(None).cast("double")
+        for i, here in enumerate(within):
+            floor = F.when(here, F.lit(max(1e-12, 1e-6 * (middle[str(i)] or 0.0)))).otherwise(floor)
+    rel = F.when(size >= floor, e / size)
+    return df.groupBy(*by).agg(F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(rel)).alias("rel_mae"), F.sqrt(F.avg(rel * rel)).alias("rel_rmse"))
 
 
 def fold_statistics(folds: DataFrame, value: str) -> DataFrame:

@@ -32,10 +32,16 @@ def _width_first(r: np.ndarray, width: int) -> np.ndarray:
     return np.vstack((r, np.zeros((max(0, width - len(r)), width))))[:width]
 
 
-def triangles(design: DataFrame, groups: list[str], columns: list[str], merge: int = 64) -> dict[tuple, tuple[np.ndarray, int]]:
-    """R and the number of rows of the columns, for every group (few: folds, not keys). Rows with a null or odd value in a column are left out."""
+def triangles(design: DataFrame, groups: list[str], columns: list[str], merge: int = 64, weights: str | None = None) -> dict[tuple, tuple[np.ndarray, int]]:
+    """R and the number of rows of the columns, for every group (few: folds, not keys). Rows with a null or odd value in a column are left out.
+
+    weights names an array column of one number a replicate (then there are no groups): the result has a triangle for each replicate's place, as text,
+    over rows of positive weight times its root. A row is read once, whatever the number of replicates."""
     width = len(columns)
-    keyed = design.select(*[F.col(g).cast("string").alias(f"g{i}") for i, g in enumerate(groups)], *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    if weights:
+        groups = [*groups, "_replicate"]
+        design = design.withColumn("_replicate", F.lit(""))
+    keyed = design.select(*([F.col(weights).cast("array<double>").alias("w")] if weights else []), *[F.col(g).cast("string").alias(f"g{i}") for i, g in enumerate(groups)], *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
     names, fields = [f"g{i}" for i in range(len(groups))], [f"x{i}" for i in range(width)]
     schema = "".join(f"{n} string, " for n in names) + "r array<double>, n bigint"
 
@@ -44,6 +50,13 @@ def triangles(design: DataFrame, groups: list[str], columns: list[str], merge: i
         for batch in batches:
             x = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in fields]).astype(float)
             good = np.isfinite(x).all(1)
+            if weights:
+                w = batch.column("w").flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+                for i, own in enumerate(w.T):
+                    use = good & (own > 0)
+                    r, n = held.get((str(i),), (np.zeros((0, width)), 0))
+                    held[(str(i),)] = _fold(r, x[use] * np.sqrt(own[use, None])), n + int(use.sum())
+                continue
             if names:
                 keys = list(zip(*(batch.column(n).to_pylist() for n in names), strict=True))
                 number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
@@ -255,6 +268,22 @@ def dummy_trap(df: DataFrame, indicators: list[str]) -> bool:
     return row["a"] is not None and row["a"] == row["b"]
 
 
+def parameter_ranks(df: DataFrame, features: list[str], tolerance: float = 1e-8) -> dict[str, int]:
+    """n_effective, n_columns, and the rank of the features alone and beside an intercept, from one triangle."""
+    r, n = triangles(df.select(F.lit(1.0).alias(CONST), *features), [], [CONST, *features]).get((), (np.zeros((len(features) + 1,) * 2), 0))
+    rank = lambda x: int((np.linalg.svd(x, compute_uv=False) > tolerance).sum()) if n and x.size else 0
+    return {"n_effective": n, "n_columns": len(features), "rank_slopes": rank(r[:, 1:]), "rank_with_intercept": rank(r)}
+
+
+def disclosure(fit: Fit, durbin_watson: float | None = None) -> list[tuple[str, str, float | None]]:
+    """(measure, term, value) of what a report discloses: r and R2 (and how far r squared is from R2), F and its p, p-values, VIF, Durbin-Watson."""
+    s = fit.statistics()
+    root = math.sqrt(max(s["r2"], 0.0))
+    out = [("r", "", root), ("r2", "", s["r2"]), ("r2_gap", "", root * root - s["r2"]), ("f", "", s["f"]), ("f_p", "", s["f_p"]), ("durbin_watson", "", durbin_watson)]
+    out += [("p_value", c, p) for c, p in zip(fit.columns, fit.p_values, strict=True)] + [("vif", c, v) for c, v in fit.vif().items() if c != CONST]
+    return [(m, t, None if v is None or not math.isfinite(v) else float(v)) for m, t, v in out]
+
+
 def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
     """W and p of 3 to 5000 values by Royston's approximation; nan outside."""
     from hedra.operators.distributions import normal_cdf, normal_quantile

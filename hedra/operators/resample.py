@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hedra.functions import parse
+from hedra.functions.transforms import transform
+from hedra.operators import search
+from hedra.operators.encode import Encoder, apply_encoder, fit_encoder
 from hedra.operators.profile import dispersion, metrics
 from hedra.operators.regress import CONST, Fit, _fold, _width_first, prediction, solve, triangles
 
@@ -81,14 +86,103 @@ def multiplicity(key: Column, replicate: Column, seed: int) -> Column:
 
 
 def bootstrap(df: DataFrame, key: str, target: str, features: list[str], replicates: int, seed: int, weighted: bool = True) -> dict[str, Fit]:
-    """Models of bootstrap replicates. weighted: a row counts as often as it is drawn; else once, as a subsample of distinct rows."""
-    copies = df.withColumn("replicate", F.explode(F.array(*[F.lit(i) for i in range(replicates)])))
-    times = multiplicity(F.col(key), F.col("replicate"), seed)
-    root = F.sqrt(times.cast("double")) if weighted else F.lit(1.0)
+    """Models of bootstrap replicates, from one pass. weighted: a row counts as often as it is drawn; else once, as a subsample of distinct rows."""
     names = [CONST, *features, target]
-    drawn = copies.withColumn("_w", times).where("_w > 0")
-    design = drawn.select("replicate", root.alias(CONST), *[(root * F.col(c).cast("double")).alias(c) for c in (*features, target)])
-    return {k[0]: solve(r, n, names, [CONST, *features], target) for k, (r, n) in triangles(design, ["replicate"], names).items()}
+    design = df.select(F.lit(1.0).alias(CONST), *features, target, _drawn(key, replicates, seed, weighted))
+    return {k: solve(r, n, names, [CONST, *features], target) for (k,), (r, n) in triangles(design, [], names, weights="_w").items()}
+
+
+def _drawn(key: str, replicates: int, seed: int, weighted: bool = True) -> Column:
+    times = [multiplicity(F.col(key), F.lit(i), seed) for i in range(replicates)]
+    return F.array(*[(c if weighted else F.least(c, F.lit(1))).cast("double") for c in times]).alias("_w")
+
+
+def bootstrap_selection(df: DataFrame, key: str, target: str, units: list[search.Unit], replicates: int, seed: int, policy: str | int | None = None, objective: str = "rmse") -> DataFrame:
+    """replicate, status, candidate_id, variables and objective of the best candidate of each replicate: the whole selection is run again on each, from one
+    pass over the rows. The space is searched exactly up to search.BUDGET candidates, else by as many diverse ones."""
+    by, rows = {u.base: u for u in units}, []
+    design = search.search_design(df, target, units, more=[_drawn(key, replicates, seed)])
+    names = [c for c in design.columns if c != "_w"]
+    parts = triangles(design, [], names, weights="_w")
+    for (replicate,), (r, n) in parts.items():
+        most = search.most_variables(n, policy)
+        few = search.count_candidates([len(u.options) for u in units], most) <= search.BUDGET
+        best = None
+        for c in search.exact(units, most) if few else search.diverse(units, search.BUDGET, most, seed):
+            fit = solve(r, n, names, [CONST, *search._columns(by, c)], target)
+            if fit.status == "fitted":
+                s = fit.statistics()
+                score = (fit.sse / n) ** 0.5 if objective == "rmse" else s[objective]
+                best = min(best or (np.inf, 0, "", []), (score, len(c), search.candidate_id(c), sorted(c)))
+        rows.append((int(replicate), "ok" if best else "failed", best and best[2], best and best[3], best and float(best[0])))
+    return df.sparkSession.createDataFrame(rows, "replicate int, status string, candidate_id string, variables array<string>, score double")
+
+
+@dataclass
+class Predictor:
+    """A procedure fitted to training rows: encoder, chosen candidate and model. predict adds `predicted` and `status` to any raw rows."""
+
+    encoder: Encoder
+    candidate: str
+    fit: Fit
+    features: list[tuple[str, str, str]]
+    log: bool = False
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """A row with a missing number, an unknown level or a value outside of a transform's domain has no value and status failed."""
+        out = apply_encoder(df.withColumn("_raw", F.struct(*df.columns)), self.encoder)
+        beta = dict(zip(self.fit.columns, self.fit.beta, strict=True))
+        mu = sum((F.lit(float(beta[name])) * transform(option, F.col(base)) for name, base, option in self.features), F.lit(float(beta[CONST])))
+        out = out.select("_raw.*", parse.finite(F.exp(mu) if self.log else mu).alias("predicted"))
+        return out.withColumn("status", F.when(F.col("predicted").isNull(), "failed").otherwise("ok"))
+
+
+def fit_procedure(train: DataFrame, target: str, numeric: list[str], categorical: list[str], policy: str | int | None = None, objective: str = "rmse", targets: tuple[str, ...] = ("identity",), impute: str = "complete_case", options: tuple[str, ...] | None = None, budget: int | None = None) -> Predictor | None:
+    """The whole procedure on training rows alone: encoder, transforms that their values allow (of `options`), search, and the best candidate's model. None if no candidate can be fitted."""
+    seen = train.where(F.col(target).isNotNull())
+    encoder = fit_encoder(seen, numeric, categorical, impute)
+    encoded = apply_encoder(seen, encoder)
+    units = search.units_of(encoded, list(encoder.numeric), {c: list(encoder.indicators(c).values()) for c in encoder.levels})
+    if options:
+        units = [search.Unit(u.base, tuple(o for o in u.options if o in options or u.columns), u.columns) for u in units]
+    units = [u for u in units if u.options]
+    if not units:
+        return None
+    found = search.search_models(encoded, target, units, objective, budget, policy=policy, targets=targets)
+    best = found.records.where("rank = 1").first()
+    if best is None:
+        return None
+    name = best["candidate_id"]
+    return Predictor(encoder, name, found.fit(name), found.features(name), "|y:log|" in name)
+
+
+def evaluate_selection(df: DataFrame, fold: str, target: str, numeric: list[str], categorical: list[str], **procedure) -> tuple[DataFrame, dict[str, str | None]]:
+    """One row for each fold (few), from the whole procedure run again on the other folds' rows: n_reserved, n_scored, metrics of it and of the training mean on
+    the same rows, and the candidate that it chose. No reserved row is read by encoder, search or fit; a level that only reserved rows have fails."""
+    used = df.where(F.col(fold).isNotNull())
+    folds = [r[0] for r in used.select(fold).distinct().orderBy(fold).collect()]  # a row a fold
+    chosen: dict[str, str | None] = {}
+    out = []
+    for k in folds:
+        train, reserved = used.where(F.col(fold) != k), used.where(F.col(fold) == k)
+        made = fit_procedure(train, target, numeric, categorical, **procedure)
+        chosen[str(k)] = made and made.candidate
+        scored = made.predict(reserved) if made else reserved.withColumns({"predicted": F.lit(None).cast("double"), "status": F.lit("failed")})
+        mean = train.agg(F.avg(target).alias("train_mean"), F.count(target).alias("n_train"))
+        out.append(scored.join(F.broadcast(mean), F.lit(True)).withColumn("candidate_id", F.lit(chosen[str(k)])))  # a single row
+    scored = reduce(DataFrame.unionByName, out)
+    cover = scored.groupBy(fold).agg(F.count(target).alias("n_reserved"), F.count_if(F.col(target).isNotNull() & (F.col("status") == "ok")).alias("n_scored"), F.first("n_train").alias("n_train"), F.first("candidate_id").alias("candidate_id"))
+    good = scored.where((F.col("status") == "ok") & F.col(target).isNotNull())
+    own = metrics(good, target, "predicted", [fold]).drop("n")
+    naive = metrics(good, target, "train_mean", [fold]).select(fold, F.col("mae").alias("mean_mae"), F.col("rmse").alias("mean_rmse"))
+    return cover.join(own, fold, "left").join(naive, fold, "left").withColumn("coverage", F.try_divide("n_scored", "n_reserved")), chosen
+
+
+def procedure_stability(df: DataFrame, key: str, target: str, units: list[search.Unit], replicates: int, seed: int, policy: str | int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Replicates of the whole selection, how often each variable is chosen, and the dispersion of the chosen models' scores."""
+    chosen = bootstrap_selection(df, key, target, units, replicates, seed, policy)
+    good = chosen.where("status = 'ok'")
+    return chosen, selection_frequency(good, max(good.count(), 1)), search.candidate_dispersion(good, "score")
 
 
 def bootstrap_dispersion(df: DataFrame, key: str, models: dict[str, Fit]) -> DataFrame:

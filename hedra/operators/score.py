@@ -4,21 +4,27 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hedra.functions import rules
-from hedra.functions.transforms import amplitude, clamp
+from hedra.functions import parse, rules
+from hedra.functions.transforms import amplitude, clamp, inverse_target
 from hedra.operators.encode import Encoder, apply_encoder
 from hedra.operators.ledger import first_of_each
-from hedra.operators.regress import CONST, Fit, intervals, leverage, prediction
+from hedra.operators.regress import CONST, Fit, leverage, prediction
+
+
+#: Of a saved project.
+VERSION = 1
 
 
 @dataclass
 class Frozen:
-    """All that scoring needs: encoder, model, and the sample's range of every numeric variable."""
+    """All that scoring needs: encoder, model, the sample's range of every numeric variable, the target's transform and how it is taken back, and a declared
+    domain: variable to its categories or to (least, greatest), either of which may be None."""
 
     encoder: Encoder
     fit: Fit
@@ -26,11 +32,64 @@ class Frozen:
     ranges: dict[str, tuple[float, float]]
     unit: str = ""
     reference_date: str = ""
+    transform: str = "identity"
+    estimand: str = "median"
+    smearing: float = 1.0
+    domain: dict[str, list[str] | tuple[float | None, float | None]] = field(default_factory=dict)
+    scope: str = "population_model"
+    subject: dict[str, str] = field(default_factory=dict)  # of a subject_specific model: what a subject must be
+
+    def state(self) -> dict[str, object]:
+        """As plain values; numbers in hexadecimal, so that nothing is lost."""
+        f, hexed = self.fit, lambda x: [float(v).hex() for v in np.ravel(x)]
+        fit = {"status": f.status, "columns": f.columns, "n": f.n, "intercept": f.intercept, "beta": hexed(f.beta), "inverse": hexed(f.inverse), "sse": float(f.sse).hex(), "sst": float(f.sst).hex(), "condition": float(f.condition).hex(), "spread": hexed(f.spread)}
+        domain = {k: {"categories": list(v)} if isinstance(v, list) else {"range": [None if x is None else float(x).hex() for x in v]} for k, v in self.domain.items()}
+        return {
+            "version": VERSION, "encoder": json.loads(self.encoder.dumps()), "fit": fit, "target": self.target, "ranges": {k: hexed(v) for k, v in self.ranges.items()}, "unit": self.unit,
+            "reference_date": self.reference_date, "transform": self.transform, "estimand": self.estimand, "smearing": float(self.smearing).hex(), "domain": domain, "scope": self.scope, "subject": self.subject,
+        }
+
+    def dumps(self) -> str:
+        return json.dumps(self.state(), sort_keys=True, ensure_ascii=False)
+
+    @staticmethod
+    def issues(state: dict[str, object]) -> list[str]:
+        """Codes of what is wrong with a saved project; none if it can be loaded."""
+        wanted = ("version", "encoder", "fit", "target", "ranges", "unit", "reference_date", "transform", "estimand", "smearing", "domain", "scope", "subject")
+        out = [f"frozen_project_incomplete:{k}" for k in wanted if k not in state]
+        out += ["frozen_schema_version"] if state.get("version") not in (None, VERSION) else []
+        out += ["invalid_model_scope"] if state.get("scope") not in ("subject_specific", "population_model") else []
+        return out
+
+    @staticmethod
+    def loads(text: str) -> Frozen:
+        s = json.loads(text)
+        if issues := Frozen.issues(s):
+            raise ValueError("; ".join(issues))
+        number, f = float.fromhex, s["fit"]
+        array = lambda x: np.array([number(v) for v in x])
+        p = len(f["columns"])
+        fit = Fit(f["status"], f["columns"], f["n"], f["intercept"], array(f["beta"]), array(f["inverse"]).reshape(p, p), number(f["sse"]), number(f["sst"]), number(f["condition"]), array(f["spread"]))
+        domain = {k: v["categories"] if "categories" in v else tuple(None if x is None else number(x) for x in v["range"]) for k, v in s["domain"].items()}
+        ranges = {k: (number(a), number(b)) for k, (a, b) in s["ranges"].items()}
+        return Frozen(Encoder(**s["encoder"]), fit, s["target"], ranges, s["unit"], s["reference_date"], s["transform"], s["estimand"], number(s["smearing"]), domain, s["scope"], s["subject"])
 
     def reuse_key(self) -> str:
         """SHA-256 of the whole identity: two projects with one key give one result."""
-        state = {"encoder": json.loads(self.encoder.dumps()), "columns": self.fit.columns, "beta": [float(b).hex() for b in self.fit.beta], "n": self.fit.n, "sse": float(self.fit.sse).hex(), "target": self.target, "ranges": {k: [float(x).hex() for x in v] for k, v in self.ranges.items()}, "unit": self.unit, "date": self.reference_date}
-        return hashlib.sha256(json.dumps(state, sort_keys=True).encode()).hexdigest()
+        return hashlib.sha256(self.dumps().encode()).hexdigest()
+
+    def conflicts(self, target: str | None = None, unit: str | None = None) -> list[str]:
+        """Warnings where a request names another target or unit than the project; the project's count."""
+        return [f"policy_mismatch:{k}" for k, mine, given in (("target_col", self.target, target), ("target_unit", self.unit, unit)) if mine and given and mine != given]
+
+    def value(self, mu: Column) -> Column:
+        """From the model's scale to the target's."""
+        if self.transform == "identity":
+            return mu
+        return inverse_target(mu, self.estimand, self.fit.sigma**2, self.smearing)
+
+    def bound(self, mu: Column) -> Column:
+        return mu if self.transform == "identity" else F.exp(mu)
 
 
 def _moved(fit: Fit, values: dict[str, Column]) -> Column:
@@ -38,33 +97,73 @@ def _moved(fit: Fit, values: dict[str, Column]) -> Column:
 
 
 def extrapolation(frozen: Frozen) -> dict[str, Column]:
-    """positions and item_4 of encoded subjects: each extended variable alone, then all of them, are set to the sample's limit."""
-    names = [c for c in frozen.ranges if c in frozen.fit.columns]
+    """positions and item_4 of encoded subjects with `_mu`: each extended variable alone, then all of them, are set to the sample's limit."""
+    beta = dict(zip(frozen.fit.columns, frozen.fit.beta, strict=True))
+    names = [c for c in frozen.ranges if c in beta]
     limits = {c: tuple(F.lit(float(v)) for v in frozen.ranges[c]) for c in names}
     position = {c: rules.measure_position(F.col(c), *limits[c]) for c in names}
-    clamped = {c: clamp(F.col(c), *limits[c]) for c in names}
-    point = prediction(frozen.fit)
-    change = lambda values: F.try_divide(F.abs(point - _moved(frozen.fit, values)), F.abs(_moved(frozen.fit, values))) * 100
-    singles = F.array(*[F.when(position[c] == "extended", change({c: clamped[c]})) for c in names])
+    step = {c: F.lit(float(beta[c])) * (clamp(F.col(c), *limits[c]) - F.col(c)) for c in names}
+    point = frozen.value(F.col("_mu"))
+
+    def change(move: Column) -> Column:
+        at = frozen.value(F.col("_mu") + move)
+        return F.try_divide(F.abs(point - at), F.abs(at)) * 100
+
+    singles = F.array(*[F.when(position[c] == "extended", change(step[c])) for c in names])
     positions = F.array(*[position[c] for c in names])
-    return {"positions": positions, "item_4": rules.item_4(positions, singles, change(clamped))}
+    return {"positions": positions, "item_4": rules.item_4(positions, singles, change(sum(step.values(), F.lit(0.0))))}
+
+
+def domain_failures(frozen: Frozen, columns: list[str]) -> Column:
+    """Variables of the declared domain that a subject is outside of, or has no value for; of a subject_specific model also what isn't the subject's."""
+    odd = []
+    for c, limit in frozen.domain.items():
+        if isinstance(limit, list):
+            inside = parse.trim(F.col(c).cast("string")).isin([str(v) for v in limit]) if c in columns else F.lit(False)
+        else:
+            low, high = limit
+            x = parse.finite(F.col(c).cast("double")) if c in columns else F.lit(None).cast("double")
+            inside = x.isNotNull() & (F.lit(low is None) | (x >= F.lit(low))) & (F.lit(high is None) | (x <= F.lit(high)))
+            inside = F.lit(True) if low is None and high is None else inside
+        odd.append(F.when(~F.coalesce(inside, F.lit(False)), F.lit(c)))
+    if frozen.scope == "subject_specific":
+        for c, due in frozen.subject.items():
+            same = F.coalesce(F.col(c).cast("string") == F.lit(due), F.lit(False)) if c in columns else F.lit(False)
+            odd.append(F.when(~same, F.lit(f"subject:{c}")))
+    return F.filter(F.array(*odd), lambda c: c.isNotNull()) if odd else F.array().cast("array<string>")
 
 
 def score_batch(subjects: DataFrame, frozen: Frozen, key: str = "subject_id", level: float = 0.80) -> DataFrame:
     """Adds status (succeeded, out_of_domain, unsupported), point, intervals, amplitude, precision, item_4 and the admissible interval.
 
     A subject with a missing number or an unknown level has no value, never zero. A value outside of half the least and twice the greatest
-    of a variable is out of domain and has none either.
+    of a variable, or of the declared domain, is out of domain and has none either. Of a model of the logarithm, ends of intervals are taken back as
+    they are, and the point as the project's estimand says.
     """
-    out = apply_encoder(subjects, frozen.encoder).withColumns(extrapolation(frozen))
-    status = F.when(F.size("unsupported") > 0, "unsupported").when(F.exists("positions", lambda p: p == "outside"), "out_of_domain").otherwise("succeeded")
-    out = out.withColumn("status", status)
-    ok = F.col("status") == "succeeded"
-    out = out.withColumns({k: F.when(ok, v) for k, v in intervals(frozen.fit, level).items()})
+    # the point and the leverage are computed once and used by all that follows
+    out = apply_encoder(subjects.withColumn("outside_domain", domain_failures(frozen, subjects.columns)), frozen.encoder)
+    out = out.withColumns({"_mu": prediction(frozen.fit), "_q": leverage(frozen.fit)}).withColumns(extrapolation(frozen))
+    outside = F.exists("positions", lambda p: p == "outside") | (F.size("outside_domain") > 0)
+    out = out.withColumn("status", F.when(F.size("unsupported") > 0, "unsupported").when(outside, "out_of_domain").otherwise("succeeded"))
+    ok, t = F.col("status") == "succeeded", F.lit(frozen.fit.t_critical(level) * frozen.fit.sigma)
+    mean, pred = t * F.sqrt("_q"), t * F.sqrt(1 + F.col("_q"))
+    ends = {"mean_low": F.col("_mu") - mean, "mean_high": F.col("_mu") + mean, "pred_low": F.col("_mu") - pred, "pred_high": F.col("_mu") + pred}
+    out = out.withColumns({"point": F.when(ok, frozen.value(F.col("_mu"))), **{k: F.when(ok, frozen.bound(v)) for k, v in ends.items()}}).drop("_mu", "_q")
     out = out.withColumn("amplitude_pct", amplitude(F.col("mean_low"), F.col("mean_high"), F.col("point")))
     return out.withColumns({"precision_grade": rules.precision(F.col("amplitude_pct")), "item_4": F.when(ok, F.col("item_4")), "arbitration": rules.arbitration_field(F.col("point")), "admissible": rules.admissible_interval(F.col("point"), F.col("mean_low"), F.col("mean_high"))})
 
 
+def reproduced(stored: DataFrame, subjects: DataFrame, frozen: Frozen, key: str = "subject_id", level: float = 0.80) -> DataFrame:
+    """key (unique), field, stored, again and whether they agree: values of stored results computed anew from a saved project, points within 1e-8 + 1e-10 of their size,
+    ends of intervals within 1e-6 + 1e-8."""
+    ends = ("mean_low", "mean_high", "pred_low", "pred_high")
+    each = lambda d, name: d.select(key, F.posexplode(F.array(*[F.col(c).cast("double") for c in ("point", *ends)])).alias("i", name))
+    both = each(stored, "stored").join(each(score_batch(subjects, frozen, key, level), "again"), [key, "i"], "left")
+    slack = F.when(F.col("i") == 0, 1e-8 + 1e-10 * F.abs("stored")).otherwise(1e-6 + 1e-8 * F.abs("stored"))
+    agrees = F.coalesce(F.abs(F.col("stored") - F.col("again")) <= slack, F.col("stored").isNull() & F.col("again").isNull())
+    return both.select(key, F.element_at(F.array(*[F.lit(c) for c in ("point", *ends)]), F.col("i") + 1).alias("field"), "stored", "again", agrees.alias("agrees"))
+
+
 def normalise_subjects(df: DataFrame, position: str) -> DataFrame:
     """subject_id from subject_id or id, else index and position; `missing_subject_id` marks the latter."""
     given = [F.col(c).cast("string") for c in ("subject_id", "id") if c in df.columns]
@@ -94,8 +193,9 @@ def elasticities(subjects: DataFrame, frozen: Frozen, step: float = 1e-4) -> dic
     for c in frozen.encoder.numeric:
         if c in frozen.fit.columns:
             h = F.abs(F.col(c)) * step
-            slope = F.try_divide(_moved(frozen.fit, {c: F.col(c) + h}) - _moved(frozen.fit, {c: F.col(c) - h}), 2 * h)
-            out[f"elasticity_{c}"] = F.try_divide(slope * F.col(c), prediction(frozen.fit))
+            at = lambda v, c=c: frozen.value(_moved(frozen.fit, {c: v}))
+            slope = F.try_divide(at(F.col(c) + h) - at(F.col(c) - h), 2 * h)
+            out[f"elasticity_{c}"] = F.try_divide(slope * F.col(c), frozen.value(prediction(frozen.fit)))
     return out
 
 

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import json
 import math
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from hedra.functions.transforms import domains, transform
-from hedra.operators.regress import CONST, solve, triangles
+from hedra.operators.regress import CONST, Fit, solve, triangles
 
 #: Up to this many candidates a search is exact unless a budget says less.
 EXACT_THRESHOLD = 200_000
@@ -89,10 +92,13 @@ def units_of(df: DataFrame, numeric: list[str], groups: dict[str, list[str]] | N
 
 @dataclass
 class Search:
-    """records: a DataFrame of candidates with their rank (null if not admissible); audit: what the search covered."""
+    """records: a DataFrame of candidates with their rank (null if not admissible); audit: what the search covered; fit: the model of a candidate by
+    its id; columns: its design columns as (name, variable or None, transform)."""
 
     records: DataFrame
     audit: dict[str, object]
+    fit: Callable[[str], Fit]
+    features: Callable[[str], list[tuple[str, str, str]]]
 
 
 def _columns(units: dict[str, Unit], chosen: dict[str, str]) -> list[str]:
@@ -100,58 +106,149 @@ def _columns(units: dict[str, Unit], chosen: dict[str, str]) -> list[str]:
 
 
 SCHEMA = "candidate_id string, status string, n bigint, k int, rmse double, aic double, bic double, r2 double, f_p double, worst_p double, condition double"
+LOG = "log|"
 
 
-def search_models(df: DataFrame, target: str, units: list[Unit], objective: str = "rmse", budget: int | None = None, mode: str = "auto", policy: str | int | None = None, seed: int = 0) -> Search:
+def search_design(df: DataFrame, target: str, units: list[Unit], log: bool = False, more: list[Column] | None = None) -> DataFrame:
+    """const, every option of every unit, the target and, if asked for, its logarithm (null where it has none); and more columns."""
+    y = F.col(target).cast("double")
+    columns = [(F.col(c).cast("double") if u.columns else transform(o, F.col(u.base))).alias(c) for u in units for o in u.options for c in (u.columns or [f"{u.base}|{o}"])]
+    return df.select(F.lit(1.0).alias(CONST), *columns, y.alias(target), *([F.log(F.when(y > 0, y)).alias(LOG + target)] if log else []), *(more or []))
+
+
+def _record(fit: Fit, n: int, k: int) -> tuple:
+    if fit.status != "fitted":
+        return (fit.status, n, k, *[None] * 6, fit.condition if math.isfinite(fit.condition) else None)
+    s, p = fit.statistics(), fit.p_values[1:]
+    return ("fitted", n, k, math.sqrt(fit.sse / n), s["aic"], s["bic"], s["r2"], s["f_p"], max(p), s["condition"])
+
+
+def original_errors(design: DataFrame, fits: dict[str, Fit], target: str, chunk: int = 256) -> dict[str, float]:
+    """Root mean squared errors on the target's own scale of models of its logarithm, all in one pass over complete rows of the design."""
+    names, ids = design.columns, list(fits)
+    beta = np.zeros((len(names), len(ids)))
+    for j, f in enumerate(fits.values()):
+        beta[[names.index(c) for c in f.columns], j] = f.beta
+    shared = design.sparkSession.sparkContext.broadcast(beta)  # the design's width times the candidates
+    at = names.index(target)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(ids)), 0
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            x = x[np.isfinite(x).all(1)]
+            n += len(x)
+            for a in range(0, len(ids), chunk):
+                error = np.exp(np.minimum(x @ shared.value[:, a : a + chunk], 700)) - x[:, [at]]
+                total[a : a + chunk] += (error * error).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(ids)), pa.int32()), pa.array(total), pa.array([n] * len(ids), pa.int64())], names=["i", "sse", "n"])
+
+    found = design.mapInArrow(local, "i int, sse double, n bigint").groupBy("i").agg(F.sum("sse").alias("sse"), F.sum("n").alias("n")).collect()  # a row a candidate
+    return {ids[r["i"]]: math.sqrt(r["sse"] / r["n"]) for r in found if r["n"]}
+
+
+def search_models(df: DataFrame, target: str, units: list[Unit], objective: str = "rmse", budget: int | None = None, mode: str = "auto", policy: str | int | None = None, seed: int = 0, targets: tuple[str, ...] = ("identity",)) -> Search:
     """Rank all candidates (exact) or a diverse budget of them, by the objective (rmse, aic or bic; less is better), ties by candidate_id.
 
-    The rows are read once for the triangle of every transform of every variable; candidates are solved from it in parallel tasks. An
-    approximate search never claims the optimum.
+    The rows are read once for the triangle of every transform of every variable; candidates are solved from it in parallel tasks. targets may
+    name `log` besides `identity`: then each candidate stands once for each, and rmse of a log model is of its values on the target's own scale,
+    from one more pass over the rows. A target that isn't positive everywhere has no log models. An approximate search never claims the optimum.
     """
+    objective = {"original_rmse": "rmse"}.get(objective.lower(), objective.lower())
     if objective not in ("rmse", "aic", "bic"):
         raise ValueError(f"objective {objective} is not known")
     if not units:
         raise ValueError("empty_search_space")
-    by = {u.base: u for u in units}
-    design = df.select(F.lit(1.0).alias(CONST), *[(F.col(c).cast("double") if u.columns else transform(o, F.col(u.base))).alias(c) for u in units for o in u.options for c in (u.columns or [f"{u.base}|{o}"])], F.col(target).cast("double").alias(target))
+    by, spark, y = {u.base: u for u in units}, df.sparkSession, F.col(target).cast("double")
+    if "log" in targets and df.where(y <= 0).limit(1).count():
+        targets = tuple(x for x in targets if x != "log") or ("identity",)
+    design = search_design(df, target, units, "log" in targets)
     names = design.columns
     r, n = triangles(design, [], names).get((), (np.zeros((len(names), len(names))), 0))
     most = most_variables(n, policy)
-    possible = count_candidates([len(u.options) for u in units], most)
+    possible = count_candidates([len(u.options) for u in units], most) * len(targets)
     limit = budget or BUDGET
     is_exact = possible <= (limit if mode == "exact" else min(max(limit, 0 if budget else EXACT_THRESHOLD), EXACT_THRESHOLD)) and mode != "approximate"
-    chosen = exact(units, most) if is_exact else diverse(units, limit, most, seed)
-    rows = [(candidate_id(c), [CONST, *_columns(by, c)], len(c)) for c in chosen]
-    spark = df.sparkSession
+    chosen = list(exact(units, most)) if is_exact else diverse(units, -(-limit // len(targets)), most, seed)
+    specs = {candidate_id(c, kind): (c, kind) for kind in targets for c in chosen}
+    rows = [(k, [CONST, *_columns(by, c)], len(c), kind) for k, (c, kind) in specs.items()]
     shared = spark.sparkContext.broadcast((r, n, names))  # the square of the design's width
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r, n, names = shared.value
         for batch in batches:
-            out = []
-            for c, columns, k in zip(batch.candidate_id, batch.columns_, batch.k, strict=True):
-                fit = solve(r, n, names, list(columns), target)
-                if fit.status != "fitted":
-                    out.append((c, fit.status, n, k, *[None] * 6, fit.condition if math.isfinite(fit.condition) else None))
-                    continue
-                s, p = fit.statistics(), fit.p_values[1:]
-                out.append((c, "fitted", n, k, math.sqrt(fit.sse / n), s["aic"], s["bic"], s["r2"], s["f_p"], max(p), s["condition"]))
+            out = [(c, *_record(solve(r, n, names, list(columns), target if kind == "identity" else LOG + target), n, k)) for c, columns, k, kind in zip(batch.candidate_id, batch.columns_, batch.k, batch.kind, strict=True)]
             yield pd.DataFrame(out, columns=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    table = spark.createDataFrame(pd.DataFrame(rows, columns=["candidate_id", "columns_", "k"]), "candidate_id string, columns_ array<string>, k int")
+    table = spark.createDataFrame(pd.DataFrame(rows, columns=["candidate_id", "columns_", "k", "kind"]), "candidate_id string, columns_ array<string>, k int, kind string")
     scored = table.repartition(min(64, len(rows) // 64 + 1)).mapInPandas(score, SCHEMA)
-    audit = {"mode": "exact" if is_exact else "approximate", "possible": possible, "evaluated": len(rows), "exact_optimum_guaranteed": is_exact, "n": n}
-    return Search(rank(scored, objective), audit)
+
+    def fit(candidate: str) -> Fit:
+        c, kind = specs[candidate]
+        return solve(r, n, names, [CONST, *_columns(by, c)], target if kind == "identity" else LOG + target)
+
+    def features(candidate: str) -> list[tuple[str, str, str]]:
+        c, _ = specs[candidate]
+        return [(name, name if by[b].columns else b, "linear" if by[b].columns else c[b]) for b in sorted(c) for name in _columns(by, {b: c[b]})]
+
+    if "log" in targets:
+        own = {k: f for k, (_, kind) in specs.items() if kind == "log" and (f := fit(k)).status == "fitted"}
+        errors = original_errors(design, own, target) if own else {}
+        known = spark.createDataFrame(list(errors.items()), "candidate_id string, own_rmse double")
+        scored = scored.join(F.broadcast(known), "candidate_id", "left").withColumn("rmse", F.coalesce("own_rmse", "rmse")).drop("own_rmse")  # a row a candidate
+    audit = {"mode": "exact" if is_exact else "approximate", "possible": possible, "evaluated": len(rows), "exact_optimum_guaranteed": is_exact, "n": n, "targets": targets}
+    return Search(rank(scored, objective), audit, fit, features)
 
 
 def rank(records: DataFrame, objective: str = "rmse") -> DataFrame:
-    """Adds rank from 1 among fitted candidates. The table holds candidates, EXACT_THRESHOLD at most, not rows."""
+    """Adds rank from 1 among fitted candidates: by the objective, then by the optional columns framing (first of all), extra_score (more is better),
+    amplitude_pct (less) and stability (more), then fewer variables, then the id. The table holds candidates, EXACT_THRESHOLD at most, not rows."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("fitted").orderBy(F.col(objective).asc_nulls_last(), F.col("k"), "candidate_id")
+    there = lambda c, f: [f(F.col(c))] if c in records.columns else []
+    order = Window.partitionBy("fitted").orderBy(
+        *there("framing", lambda c: c.desc_nulls_last()), F.col(objective).asc_nulls_last(), *there("extra_score", lambda c: c.desc_nulls_last()),
+        *there("amplitude_pct", lambda c: c.asc_nulls_last()), *there("stability", lambda c: c.desc_nulls_last()), F.col("k"), "candidate_id",
+    )
     return records.withColumn("fitted", F.col("status") == "fitted").withColumn("rank", F.when(F.col("fitted"), F.row_number().over(order))).drop("fitted")
 
 
+def rerank_shortlist(records: DataFrame, scorer: Callable[[Row], float | None], most: int = 20, objective: str = "rmse") -> DataFrame:
+    """Ranks anew after a scorer of records has judged the first `most` of them, on the driver; a failed score counts as none. Others keep their order behind."""
+    first = records.where(F.col("rank") <= most).orderBy("rank").collect()  # `most` rows
+    scores = records.sparkSession.createDataFrame([(r["candidate_id"], s) for r in first if (s := scorer(r)) is not None], "candidate_id string, extra_score double")
+    judged = records.drop("rank", "extra_score").join(F.broadcast(scores), "candidate_id", "left")
+    return rank(judged, objective)
+
+
+def sampled_history(records: DataFrame, total: int, most: int = 5000) -> DataFrame:
+    """Every total/most-th record by rank, so many at most; fitted ones first. A report feature: counters still reflect all."""
+    if total <= most:
+        return records
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.orderBy(F.col("rank").asc_nulls_last(), "candidate_id")) - 1  # candidates, not rows
+    # place p is taken if some i has floor(i * step) = p
+    i = F.ceil(F.col("_p") * most / F.lit(total))
+    return records.withColumn("_p", place).where((i < most) & (F.floor(i * F.lit(total) / most) == F.col("_p"))).drop("_p")
+
+
+def candidate_dispersion(records: DataFrame, score: str = "rmse") -> DataFrame:
+    """n_candidates, n_scored, mean, sd (sample; 0 for one), min and max of a score over candidates."""
+    return records.agg(F.count(F.lit(1)).alias("n_candidates"), F.count(score).alias("n_scored"), F.avg(score).alias("mean"), F.when(F.count(score) > 1, F.stddev_samp(score)).when(F.count(score) == 1, 0.0).alias("sd"), F.min(score).alias("min"), F.max(score).alias("max"))
+
+
+def cache_key(fingerprint: str, units: list[Unit], policies: dict[str, object], scope: str, subject: dict[str, object] | None = None) -> str:
+    """SHA-256 of what decides a search's result; the subject counts only where the model is specific to it."""
+    state = {"sample": fingerprint, "units": sorted((u.base, *u.options, *u.columns) for u in units), "policies": policies, "scope": scope, "subject": subject if scope == "subject_specific" else None}
+    return hashlib.sha256(json.dumps(state, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def most_correlated(correlations: DataFrame, target: str, n: int) -> DataFrame:
+    """The n variables (a report feature, so it is limited) of greatest absolute correlation with the target, ties by name."""
+    return correlations.where((F.col("b") == target) & (F.col("a") != target) & F.col("r").isNotNull()).select(F.col("a").alias("variable"), "r").orderBy(F.abs("r").desc(), "variable").limit(n)
+
+
 def admissible(records: DataFrame, worst_p: float = 0.30, f_p: float = 0.05) -> DataFrame:
     """Adds admissible: fitted and within the limits of significance."""
     return records.withColumn("admissible", (F.col("status") == "fitted") & F.coalesce((F.col("worst_p") <= worst_p) & (F.col("f_p") <= f_p), F.lit(False)))

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hedra.functions import rules
+from hedra.functions.transforms import fit_target, smearing_factor
 from hedra.operators import ledger
 from hedra.operators.encode import Encoder, apply_encoder, fit_encoder
 from hedra.operators.profile import axis_ranges
-from hedra.operators.regress import CONST, Fit, fit_ols
+from hedra.operators.regress import CONST, Fit, fit_ols, prediction
 from hedra.operators.score import Frozen, score_batch
 
 ROLES = ("target", "predictor", "identifier", "source", "date", "excluded")
@@ -30,6 +31,9 @@ class Request:
     reference: dict[str, str] = field(default_factory=dict)
     unit: str = ""
     reference_date: str = ""
+    transform: str = "identity"
+    estimand: str = "median"
+    domain: dict[str, list[str] | tuple[float | None, float | None]] = field(default_factory=dict)
 
     def check(self, columns: list[str]) -> list[str]:
         """Issue codes; none if the request can be run over these columns."""
@@ -40,6 +44,8 @@ class Request:
         issues += ["candidate_is_target"] if self.target in wanted else []
         issues += ["locale_unknown"] if self.locale not in ("auto", "pt-BR", "en-US") else []
         issues += ["missing_policy_unknown"] if self.impute not in ("complete_case", "mean", "median") else []
+        issues += ["target_transform_unknown"] if self.transform not in ("identity", "log") else []
+        issues += ["estimand_unknown"] if self.estimand not in ("median", "lognormal_mean", "smearing") else []
         issues += ["level_invalid"] if not 0 < self.level < 1 else []
         return issues
 
@@ -75,11 +81,16 @@ def value(df: DataFrame, request: Request, train=None) -> Valuation:
     seen = rows.where(F.col(request.target).isNotNull())
     encoder = fit_encoder(seen, request.numeric, request.categorical, request.impute, request.reference)
     placed = prepare(rows, request, encoder)
-    used = placed.where("used")
-    fit = fit_ols(used, request.target, encoder.features)
+    used, target, smearing = placed.where("used"), request.target, 1.0
+    if request.transform == "log":
+        fit_target(used, request.target, "log")
+        used, target = used.withColumn("_log_target", F.log(F.col(request.target).cast("double"))), "_log_target"
+    fit = fit_ols(used, target, encoder.features)
     if fit.status != "fitted":
         raise ValueError(fit.status)
-    frozen = Frozen(encoder, fit, request.target, axis_ranges(used, [c for c in encoder.numeric]), request.unit, request.reference_date)
+    if request.transform == "log" and request.estimand == "smearing":
+        smearing = smearing_factor(used, F.col(target) - prediction(fit))
+    frozen = Frozen(encoder, fit, request.target, axis_ranges(used, [c for c in encoder.numeric]), request.unit, request.reference_date, request.transform, request.estimand, smearing, request.domain)
     return Valuation(frozen, placed, model_grades(df.sparkSession, fit))
 
 

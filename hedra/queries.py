@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hedra.functions import parse, rules, transforms
-from hedra.operators import cost, encode, ledger, ordered, profile, regress, resample, score, search
+from hedra.operators import cost, encode, ledger, ordered, profile, records, regress, resample, score, search
 from hedra.operators.encode import Encoder
 from hedra.operators.regress import CONST
 from hedra.plans.valuation import Request, value
+from hedra.sources import tabular
+from hedra.sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -816,6 +819,276 @@ def alternatives_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.comparable_alternatives(o)
 
 
+# -- the whole procedure in folds, targets' logarithms, saved projects ---------------------------------------------------
+
+
+@query(
+    """WITH f AS (SELECT l_orderkey % 5 AS fold, l_quantity AS a, l_discount AS b, l_tax AS c, l_extendedprice AS y FROM lineitem),
+    g AS (SELECT fold, y, 'l_quantity' AS name, a AS x FROM f UNION ALL SELECT fold, y, 'l_discount', b FROM f UNION ALL SELECT fold, y, 'l_tax', c FROM f),
+    m AS (SELECT k AS fold, name, regr_intercept(y, x) AS i, regr_slope(y, x) AS s, sqrt(regr_syy(y, x) * (1 - regr_r2(y, x)) / count(*)) AS rmse, avg(y) AS mean, count(*) AS n_train FROM g, range(5) t(k) WHERE fold <> k GROUP BY k, name),
+    best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY fold ORDER BY rmse, name) = 1),
+    e AS (SELECT f.fold, y, mean, n_train, name, i + s * CASE name WHEN 'l_quantity' THEN a WHEN 'l_discount' THEN b ELSE c END AS p FROM f JOIN best USING (fold))
+    SELECT fold::INT AS fold, count(*) AS n_reserved, count(*) AS n_scored, any_value(n_train) AS n_train, any_value(name) || ':linear|y:identity|int:1' AS candidate_id, round(avg(abs(p - y)), 4) AS mae, round(sqrt(avg((p - y) * (p - y))), 4) AS rmse, round(avg(abs(mean - y)), 4) AS mean_mae FROM e GROUP BY fold"""
+)
+def procedure_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = resample.evaluate_selection(_kfold(spark, sf_dir), "fold", "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], [], policy=1, options=("linear",))
+    return out.select("fold", "n_reserved", "n_scored", "n_train", "candidate_id", r("mae", 4).alias("mae"), r("rmse", 4).alias("rmse"), r("mean_mae", 4).alias("mean_mae"))
+
+
+@query("SELECT l_returnflag AS fold, count(*) AS n_reserved, 0::BIGINT AS n_scored, (SELECT count(*) FROM lineitem) - count(*) AS n_train FROM lineitem GROUP BY 1")
+def procedure_unseen_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fold holds the only rows of a level: a model that uses the level can't score them."""
+    li = read(spark, sf_dir, "lineitem").withColumn("fold", F.col("l_returnflag"))
+    out, _ = resample.evaluate_selection(li, "fold", "l_extendedprice", [], ["l_returnflag"], options=("linear",))
+    return out.select("fold", "n_reserved", "n_scored", "n_train")
+
+
+_LOG_SEARCH = " UNION ALL ".join(
+    f"SELECT 'size:{o}|y:identity|int:1' AS candidate_id, sqrt(avg((i + s * {e} - y) * (i + s * {e} - y))) AS rmse FROM p, (SELECT regr_intercept(y, {e}) AS i, regr_slope(y, {e}) AS s FROM p) UNION ALL SELECT 'size:{o}|y:log|int:1', sqrt(avg((exp(i + s * {e}) - y) * (exp(i + s * {e}) - y))) FROM p, (SELECT regr_intercept(ln(y), {e}) AS i, regr_slope(ln(y), {e}) AS s FROM p)"
+    for o, e in _OPTION.items()
+)
+
+
+@query(f"WITH p AS (SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part), c AS ({_LOG_SEARCH}) SELECT candidate_id, round(rmse, 5) AS rmse FROM c")
+def search_log_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("size"), "p_retailprice")
+    found = search.search_models(p, "p_retailprice", search.units_of(p, ["size"]), targets=("identity", "log"))
+    return found.records.select("candidate_id", r("rmse", 5).alias("rmse"))
+
+
+_LINES = "WITH t AS (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem WHERE l_orderkey % 2 = 0 AND l_quantity <= 30), m AS (SELECT regr_intercept(ln(y), x) AS a, regr_slope(ln(y), x) AS b, min(x) AS lo, max(x) AS hi, regr_syy(ln(y), x) * (1 - regr_r2(ln(y), x)) / (count(*) - 2) AS v FROM t), q AS (SELECT avg(exp(ln(y) - a - b * x)) AS f FROM t, m)"
+
+
+def _log_point(estimand: str, factor: str) -> None:
+    @query(f"{_LINES} SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 2 * hi OR l_quantity < lo / 2 THEN 'out_of_domain' ELSE 'succeeded' END AS status, round(CASE WHEN l_quantity <= 2 * hi AND l_quantity >= lo / 2 THEN exp(a + b * l_quantity) * {factor} END, 2) AS point FROM lineitem, m, q")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        li = read(spark, sf_dir, "lineitem")
+        made = value(li.where("l_orderkey % 2 = 0 AND l_quantity <= 30"), Request("l_extendedprice", ["l_quantity"], transform="log", estimand=estimand))
+        return made.score(li).select("l_orderkey", "l_linenumber", "status", r("point", 2).alias("point"))
+
+    name = f"batch_log_{estimand}"
+    for d in (QUERIES, SQL):
+        d[name] = d.pop("run")
+
+
+for _estimand, _factor in (("median", "1"), ("lognormal_mean", "exp(v / 2)"), ("smearing", "f")):
+    _log_point(_estimand, _factor)
+
+
+@query(_BATCH)
+def frozen_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores from a project that was saved as text and loaded again."""
+    li = read(spark, sf_dir, "lineitem")
+    made = value(li.where("l_orderkey % 2 = 0 AND l_quantity <= 30"), Request("l_extendedprice", ["l_quantity"]))
+    return score.score_batch(li, score.Frozen.loads(made.frozen.dumps())).select("l_orderkey", "l_linenumber", "status", r("point", 3).alias("point"))
+
+
+# a level's own mean and slopes within levels give the same model as indicators; t by its expansion around the normal quantile
+@query(
+    f"""WITH t AS (SELECT l_returnflag AS g, l_quantity AS x, l_discount AS z, l_extendedprice AS y FROM lineitem WHERE l_orderkey % 2 = 0 AND l_quantity <= 30),
+    c AS (SELECT g, count(*) AS n, avg(x) AS x, avg(z) AS z, avg(y) AS y FROM t GROUP BY g),
+    w AS (SELECT sum((t.x - c.x) ** 2) AS xx, sum((t.z - c.z) ** 2) AS zz, sum((t.x - c.x) * (t.z - c.z)) AS xz, sum((t.x - c.x) * (t.y - c.y)) AS xy, sum((t.z - c.z) * (t.y - c.y)) AS zy, sum((t.y - c.y) ** 2) AS yy, count(*) - (SELECT count(*) FROM c) - 2 AS df FROM t JOIN c USING (g)),
+    b AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS bz, xx * zz - xz * xz AS det, 1.2815515655446004 AS q FROM w),
+    s AS (SELECT *, sqrt((yy - bx * xy - bz * zy) / df) * (q + (q ** 3 + q) / (4 * df) + (5 * q ** 5 + 16 * q ** 3 + 3 * q) / (96 * df ** 2) + (3 * q ** 7 + 19 * q ** 5 + 17 * q ** 3 - 15 * q) / (384 * df ** 3)) AS ts FROM b),
+    p AS (SELECT l_orderkey, l_linenumber, c.y + bx * (l_quantity - c.x) + bz * (l_discount - c.z) AS point, 1 / c.n + ((l_quantity - c.x) ** 2 * zz + (l_discount - c.z) ** 2 * xx - 2 * (l_quantity - c.x) * (l_discount - c.z) * xz) / det AS h, ts, {_INSIDE} AS ok
+      FROM lineitem l JOIN c ON l.l_returnflag = c.g, s, {_RANGE})
+    SELECT l_orderkey, l_linenumber, round(CASE WHEN ok THEN point END, 0) AS point, round(CASE WHEN ok THEN point - ts * sqrt(h) END, 0) AS mean_low, round(CASE WHEN ok THEN point + ts * sqrt(h) END, 0) AS mean_high, round(CASE WHEN ok THEN point - ts * sqrt(1 + h) END, 0) AS pred_low, round(CASE WHEN ok THEN point + ts * sqrt(1 + h) END, 0) AS pred_high FROM p"""
+)
+def batch_interval_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    subjects, frozen = _frozen(spark, sf_dir)
+    out = score.score_batch(subjects, frozen)
+    return out.select("l_orderkey", "l_linenumber", *[r(c, 0).alias(c) for c in ("point", "mean_low", "mean_high", "pred_low", "pred_high")])
+
+
+@query("SELECT concat_ws(',', CASE WHEN l_quantity NOT BETWEEN 5 AND 20 THEN 'l_quantity' END, CASE WHEN l_returnflag NOT IN ('A', 'N') THEN 'l_returnflag' END) AS outside, count(*) AS n FROM lineitem GROUP BY 1")
+def declared_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    subjects, frozen = _frozen(spark, sf_dir)
+    frozen.domain = {"l_quantity": (5.0, 20.0), "l_returnflag": ["A", "N"]}
+    return score.score_batch(subjects, frozen).groupBy(F.concat_ws(",", "outside_domain").alias("outside")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_returnflag = 'R' AS meets, count(*) AS n FROM lineitem GROUP BY 1")
+def subject_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    subjects, frozen = _frozen(spark, sf_dir)
+    frozen.scope, frozen.subject = "subject_specific", {"l_returnflag": "R"}
+    return score.score_batch(subjects, frozen).groupBy((F.size("outside_domain") == 0).alias("meets")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT field, true AS agrees, count(*) AS n FROM part, (VALUES ('point'), ('mean_low'), ('mean_high'), ('pred_low'), ('pred_high')) t(field) GROUP BY 1, 2")
+def reproduced_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part").withColumn("subject_id", F.col("p_partkey").cast("string"))
+    made = value(p.where("p_partkey % 2 = 0"), Request("p_retailprice", ["p_size"], ["p_brand"]))
+    out = score.reproduced(made.score(p), p, score.Frozen.loads(made.frozen.dumps()))
+    return out.groupBy("field", "agrees").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- rows by id, summaries, rules ----------------------------------------------------------------------------------------
+
+
+@query("SELECT o_custkey AS c_custkey, o_orderkey AS position, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 = 0")
+def rows_in_list_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return records.select_in_order(read(spark, sf_dir, "customer"), ids, "c_custkey", "o_orderkey").select("c_custkey", "position", "c_name")
+
+
+@query("SELECT k AS c_custkey, c_name, c_name IS NOT NULL AS present FROM (SELECT c_custkey * 2 AS k FROM customer) LEFT JOIN customer ON k = c_custkey")
+def rows_for_every_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    return records.rows_for_ids(c, c.select((F.col("c_custkey") * 2).alias("c_custkey")), "c_custkey").select("c_custkey", "c_name", "present")
+
+
+@query("SELECT p_partkey, p_size, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def feature_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = read(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_retailprice")
+    return records.feature_records(p, ids, "p_partkey", "p_retailprice")
+
+
+@query("SELECT o_orderkey, o_orderstatus = 'F' AS used, row_number() OVER (PARTITION BY o_orderstatus = 'F' ORDER BY o_orderkey) AS index FROM orders")
+def report_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").alias("used"))
+    return records.report_index(o, "used", "o_orderkey").select("o_orderkey", "used", "index")
+
+
+@query("SELECT n_nationkey, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region, CASE WHEN n_regionkey = 1 THEN 'missing' ELSE 'observed' END AS disposition FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)")
+def original_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    notes = n.select("n_nationkey", F.when(F.col("n_regionkey") == 1, "missing").otherwise("observed").alias("disposition"))
+    ids = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))
+    return records.original_record(n, notes, ids, "n_nationkey").select("n_nationkey", F.col("values")["n_name"].alias("name"), F.col("values")["n_regionkey"].alias("region"), "disposition")
+
+
+@query("SELECT c_custkey, 'c_mktsegment' AS \"column\", c_mktsegment AS before, lower(c_mktsegment) AS after FROM customer UNION ALL SELECT c_custkey, 'c_name', c_name, NULL FROM customer WHERE c_custkey % 4 = 0")
+def changed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    after = c.withColumns({"c_mktsegment": F.lower("c_mktsegment"), "c_name": F.when(F.col("c_custkey") % 4 != 0, F.col("c_name"))})
+    return records.changed_cells(c, after, "c_custkey", ["c_name", "c_mktsegment"])
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, p_retailprice AS y, p_size::DOUBLE AS x FROM part), s AS (SELECT count(*) AS n, avg(x) AS mx, regr_sxx(y, x) AS sxx, regr_intercept(y, x) AS a, regr_slope(y, x) AS b, regr_syy(y, x) * (1 - regr_r2(y, x)) / (count(*) - 2) AS v FROM p),
+    h AS (SELECT *, 1 / n + (x - mx) * (x - mx) / sxx AS lev, y - a - b * x AS e FROM p, s), f AS (SELECT lev > 4 / n AS l, abs(e) / sqrt(v * (1 - lev)) > 2.5 AS r, e * e * lev / (2 * v * (1 - lev) * (1 - lev)) > least(4 / n, 1) AS k, p_partkey % 2 = 0 AS said FROM h)
+    SELECT count(*) FILTER (k) AS n_cook, count(*) FILTER (r) AS n_residual, count(*) FILTER (l) AS n_leverage, count(*) FILTER (k OR r OR l) AS n_union, 0::BIGINT AS n_incomplete, count(*) FILTER ((k OR r OR l) <> said) AS n_differing, false AS union_valid FROM f"""
+)
+def influence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, f = _simple(spark, sf_dir)
+    return records.influence_audit(regress.influence(p, f, "y"), p.where("p_partkey % 2 = 0"), "p_partkey")
+
+
+@query("SELECT 'engine' AS origin, event_type AS code, CAST(user_id % 3 AS VARCHAR) AS message, CAST(user_id AS VARCHAR) AS affected_id, count(DISTINCT user_id) OVER (PARTITION BY event_type, user_id % 3) AS n FROM (SELECT DISTINCT event_type, user_id FROM events)")
+def issue_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    return records.grouped_ids(e.select(F.lit("engine").alias("origin"), F.col("event_type").alias("code"), (F.col("user_id") % 3).cast("string").alias("message"), F.col("user_id").cast("string").alias("affected_id")))
+
+
+@query(
+    """SELECT 'o_orderpriority' AS "column", count(*) AS n_rows, 0::BIGINT AS n_missing, count(DISTINCT o_orderpriority) AS n_distinct, false AS identification, '' AS warnings FROM orders
+    UNION ALL SELECT 'o_orderkey', count(*), 0, count(DISTINCT o_orderkey), true, '' FROM orders UNION ALL SELECT 'label', count(*), count(*) FILTER (o_orderkey % 5 = 0), count(DISTINCT o_custkey) FILTER (o_orderkey % 5 > 0), false, 'high_cardinality' FROM orders"""
+)
+def column_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").withColumn("label", F.when(F.col("o_orderkey") % 5 > 0, F.concat(F.lit("c"), "o_custkey")).otherwise("N/A"))
+    return profile.column_summary(o, ["o_orderpriority", "o_orderkey", "label"]).withColumn("warnings", F.concat_ws(",", "warnings"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, (ARRAY['dichotomous', 'allocated_code', 'adjusted_code', 'categorical'])[p_partkey % 4 + 1] AS kind, p_size % 9 AS v FROM part)
+    SELECT p_partkey, CASE WHEN v IN (1, 3, 5) THEN 'in_sample' WHEN kind = 'allocated_code' AND (v IN (2, 4, 6) OR v BETWEEN 1 AND 5) THEN 'pending' ELSE 'forbidden' END AS membership FROM p"""
+)
+def qualitative_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = lambda *v: F.array(*[F.lit(str(x)) for x in v])
+    kind = F.element_at(F.array(*[F.lit(k) for k in rules.QUALITATIVE]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", rules.qualitative_membership(kind, (F.col("p_size") % 9).cast("string"), text(1, 3, 5), text(1, 2, 3, 4, 5, 6)).alias("membership"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN o_custkey % 2 = 0 THEN 'ok' ELSE 'refused' END WHEN 1 THEN CASE WHEN o_custkey % 2 = 1 THEN 'ok' ELSE 'refused' END ELSE 'unsupported' END AS status FROM orders")
+def value_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    basis = F.element_at(F.array(F.lit("market"), F.lit("reconstruction"), F.lit("other")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    method = F.when(F.col("o_custkey") % 2 == 0, "comparison").otherwise("cost")
+    return read(spark, sf_dir, "orders").select("o_orderkey", rules.value_basis(basis, method, {"market": ("comparison",), "reconstruction": ("cost",)}).alias("status"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_size ELSE 10 END AS n, CASE WHEN p_partkey % 3 > 0 THEN 2 ELSE 3 END AS k, CASE WHEN p_partkey % 3 > 0 THEN 'fit' ELSE 'declared' END AS source, p_partkey % 3 > 0 AS conflict FROM part")
+def effective_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = F.col("p_partkey") % 3 > 0
+    got = rules.effective_size(F.lit(10), F.lit(3), F.when(known, F.col("p_size")), F.when(known, F.lit(2)))
+    return read(spark, sf_dir, "part").select("p_partkey", got.alias("x")).select("p_partkey", "x.n", "x.k", "x.source", "x.conflict")
+
+
+@query(f"WITH p AS (SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part), c AS ({_LOG_SEARCH}) SELECT count(*) AS n_candidates, count(*) AS n_scored, round(avg(rmse), 5) AS mean, round(stddev_samp(rmse), 5) AS sd, round(min(rmse), 5) AS min, round(max(rmse), 5) AS max FROM c WHERE candidate_id LIKE '%identity%'")
+def candidate_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = search.candidate_dispersion(_search(spark, sf_dir).records)
+    return out.select("n_candidates", "n_scored", *[r(c, 5).alias(c) for c in ("mean", "sd", "min", "max")])
+
+
+@query("WITH c AS (SELECT 'c' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS candidate_id, p_retailprice AS rmse, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS p FROM part) SELECT candidate_id FROM c WHERE p IN (SELECT floor(i * (SELECT count(*) FROM part) / 50)::BIGINT FROM range(50) t(i))")
+def sampled_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part").select(F.concat(F.lit("c"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("candidate_id"), F.col("p_retailprice").alias("rmse"), F.lit(1).alias("k"), F.lit("fitted").alias("status"))
+    return search.sampled_history(search.rank(p), p.count(), 50).select("candidate_id")
+
+
+@query("WITH p AS (SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part), c AS (" + _LOG_SEARCH + "), k AS (SELECT candidate_id, row_number() OVER (ORDER BY rmse, candidate_id) AS k FROM c WHERE candidate_id LIKE '%identity%') SELECT candidate_id, row_number() OVER (ORDER BY k > 3, CASE WHEN k <= 3 THEN -k ELSE k END)::INT AS rank FROM k")
+def shortlist_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three candidates by another score, which turns their order round; it comes after the objective, which is made equal here."""
+    records_ = _search(spark, sf_dir).records
+    flat = records_.withColumn("rmse", F.when(F.col("rank") <= 3, F.lit(0.0)).otherwise(F.col("rmse")))
+    return search.rerank_shortlist(flat, lambda row: float(row["rank"]), 3).select("candidate_id", "rank")
+
+
+@query("SELECT variable, round(r, 6) AS r FROM (SELECT 'l_quantity' AS variable, corr(l_quantity, l_extendedprice) AS r FROM lineitem UNION ALL SELECT 'l_discount', corr(l_discount, l_extendedprice) FROM lineitem UNION ALL SELECT 'l_tax', corr(l_tax, l_extendedprice) FROM lineitem) ORDER BY abs(r) DESC LIMIT 2")
+def most_correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = regress.correlations(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax", "l_extendedprice"])
+    return search.most_correlated(c, "l_extendedprice", 2).select("variable", r("r").alias("r"))
+
+
+@query("SELECT p_partkey, round(CASE p_partkey % 4 WHEN 0 THEN log10(p_retailprice) WHEN 1 THEN 1 / p_retailprice WHEN 2 THEN ln(p_retailprice) ELSE p_retailprice * p_retailprice END, 9) AS x FROM part")
+def recorded_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, by = F.col("p_retailprice"), F.col("p_partkey") % 4
+    out = F.when(by == 0, transforms.recorded_transform("log10", x)).when(by == 1, transforms.recorded_transform("inv", x)).when(by == 2, transforms.recorded_transform("log", x)).otherwise(transforms.recorded_transform("square", x))
+    return read(spark, sf_dir, "part").select("p_partkey", r(out, 9).alias("x"))
+
+
+@query("SELECT count(*) AS n_effective, 3::BIGINT AS n_columns, (CASE WHEN count(DISTINCT l_quantity) > 1 THEN 2 ELSE 1 END)::BIGINT AS rank_slopes, (CASE WHEN count(DISTINCT l_quantity) > 1 THEN 3 ELSE 2 END)::BIGINT AS rank_with_intercept FROM lineitem")
+def parameter_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem").withColumn("twice", 2 * F.col("l_quantity"))
+    got = regress.parameter_ranks(li, ["l_quantity", "twice", "l_discount"])
+    return spark.createDataFrame([tuple(got.values())], "n_effective bigint, n_columns bigint, rank_slopes bigint, rank_with_intercept bigint")
+
+
+@query(
+    """WITH p AS (SELECT p_retailprice AS y, p_size::DOUBLE AS x FROM part), s AS (SELECT regr_r2(y, x) AS r2, count(*) AS n FROM p)
+    SELECT 'r' AS measure, '' AS term, round(sqrt(r2), 6) AS value FROM s UNION ALL SELECT 'r2', '', round(r2, 6) FROM s UNION ALL SELECT 'f', '', round(r2 / ((1 - r2) / (n - 2)), 6) FROM s UNION ALL SELECT 'vif', 'x', 1.0 FROM s"""
+)
+def disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, f = _simple(spark, sf_dir)
+    rows = [(m, t, v) for m, t, v in regress.disclosure(f) if m in ("r", "r2", "f", "vif")]
+    return spark.createDataFrame(rows, "measure string, term string, value double").withColumn("value", r("value"))
+
+
+@query()
+def bootstrap_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole selection on each of eight replicates, from one pass."""
+    p = read(spark, sf_dir, "lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    return resample.bootstrap_selection(p, "id", "l_extendedprice", search.units_of(p, ["l_quantity", "l_discount"]), 8, 17)
+
+
+@query("SELECT n_name, n_regionkey::VARCHAR AS n_regionkey, CASE WHEN n_regionkey = 2 THEN '''=' || n_name ELSE n_name END AS cell FROM nation")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as safe CSV and read again, all cells as text."""
+    n = read(spark, sf_dir, "nation").select("n_name", "n_regionkey", F.when(F.col("n_regionkey") == 2, F.concat(F.lit("="), "n_name")).otherwise(F.col("n_name")).alias("cell"))
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    tabular.write_csv(n, path)
+    return tabular.read_csv(spark, path)[0]
+
+
+@query("SELECT 'ok' AS status, count(*) > 0 AS some FROM nation")
+def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a raw and safe pair against their own manifest."""
+    path = f"{shared_dir(spark)}/pair-{uuid.uuid4().hex}"
+    manifest = tabular.write_pair(read(spark, sf_dir, "nation"), path)
+    now = tabular.content_hashes(spark, path)
+    return tabular.verify_manifest(now, manifest).groupBy("status").agg((F.count(F.lit(1)) > 0).alias("some"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model of line prices, and every line as a subject with its intervals, extrapolation grade and status."""
     return batch_intervals(spark, sf_dir)

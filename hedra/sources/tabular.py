@@ -44,6 +44,7 @@ class Form:
 
 
 def extension(name: str) -> str:
+    name = name.rpartition("/")[2]
     return name.rpartition(".")[2].lower() if "." in name else ""
 
 
