@@ -117,7 +117,7 @@ def extrapolation(frozen: Frozen) -> dict[str, Column]:
 def domain_failures(frozen: Frozen, columns: list[str]) -> Column:
     """Variables of the declared domain that a subject is outside of, or has no value for; of a subject_specific model also what isn't the subject's."""
     odd = []
-    for c, limit in frozen.domain.items():
+    for c, limit in sorted(frozen.domain.items()):
         if isinstance(limit, list):
             inside = parse.trim(F.col(c).cast("string")).isin([str(v) for v in limit]) if c in columns else F.lit(False)
         else:
@@ -127,7 +127,7 @@ def domain_failures(frozen: Frozen, columns: list[str]) -> Column:
             inside = F.lit(True) if low is None and high is None else inside
         odd.append(F.when(~F.coalesce(inside, F.lit(False)), F.lit(c)))
     if frozen.scope == "subject_specific":
-        for c, due in frozen.subject.items():
+        for c, due in sorted(frozen.subject.items()):
             same = F.coalesce(F.col(c).cast("string") == F.lit(due), F.lit(False)) if c in columns else F.lit(False)
             odd.append(F.when(~same, F.lit(f"subject:{c}")))
     return F.filter(F.array(*odd), lambda c: c.isNotNull()) if odd else F.array().cast("array<string>")
