@@ -89,7 +89,7 @@ def repeated_shingles(own: DataFrame, shards: int, bits: int, size: int = SHINGL
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in gathered(batches, "text", 8 << 20):
+        for big in gathered(batches, "text", 4 << 20):
             for part in (big.slice(i, 60_000) for i in range(0, big.num_rows, 60_000)):
                 values, bounds = shingle_sets(*text_bytes(part.column("text")), size)
                 sig, first = np.unique(signatures(values, bounds), return_index=True)
