@@ -14,14 +14,15 @@ no link between components is lost, and links within one are not sought.
 
 from __future__ import annotations
 
+import itertools
 import math
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,8 +90,10 @@ def repeated_shingles(own: DataFrame, shards: int, bits: int, size: int = SHINGL
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task that runs again must give its slices the same names: some shards may have answered the first run's
+        names = itertools.count(TaskContext.get().partitionId() << 32)
         for big in gathered(batches, "text", 4 << 20):
-            for part in (big.slice(i, 60_000) for i in range(0, big.num_rows, 60_000)):
+            for part, name in zip((big.slice(i, 60_000) for i in range(0, big.num_rows, 60_000)), names, strict=False):
                 values, bounds = shingle_sets(*text_bytes(part.column("text")), size)
                 sig, first = np.unique(signatures(values, bounds), return_index=True)
                 first = first[sig != 0]
@@ -102,8 +105,7 @@ def repeated_shingles(own: DataFrame, shards: int, bits: int, size: int = SHINGL
                 times = np.diff(np.append(start, len(key)))
                 often = np.repeat(times >= HEAVY, times)
                 heavy, many = key[start[times >= HEAVY]], times[times >= HEAVY].astype(np.uint32)
-                name = uuid.uuid4().int >> 65
-                rows = [(-1 - name % shards, name, [pack(sig), pack(n.astype(np.uint32)), pack(heavy), pack(many), pack(place[often])])]
+                rows = [(-1 - (name ^ name >> 32) % shards, name, [pack(sig), pack(n.astype(np.uint32)), pack(heavy), pack(many), pack(place[often])])]
                 key, place = key[~often], place[~often]
                 lows = np.array([(s << bits) // shards for s in range(shards)] + [1 << bits], np.uint64)
                 edge, edge2 = np.searchsorted(key, lows), np.searchsorted(heavy, lows)
@@ -342,7 +344,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Words are runs without blanks, A-Z in lower case. A text of fewer words than a shingle has its whole sequence as one; a null text, or one
     without words, has none and is linked with nothing. A row with a null key is linked with nothing and its class is null; rows that share
-    a key are nodes of their own with that key. An empty table gives an empty result; other columns are ignored.
+    a key are nodes of their own with that key. An empty table gives an empty result; other columns are ignored. `docs` should come from files (see
+    common.stage) and not from a shuffle, whose order can differ where a task runs again.
     """
     own = pick(docs, key=key, text=text)
     table = stage(set_table(own, size), "sets")
