@@ -14,6 +14,19 @@ from hedra.functions import parse
 #: Levels from which a categorical column counts as high-cardinality, besides half of its rows.
 MANY_LEVELS = 20
 
+# Words of column names that say what a column holds, and names and units of areas and prices.
+PRICE_TOKENS = {"preco", "preço", "price", "valor"}
+IDENTITY_TOKENS = {"nome", "endereco", "endereço", "telefone", "fone", "celular", "email", "e-mail", "cpf", "cnpj", "rg", "contato", "informante", "id", "matricula", "matrícula", "observacao", "observação", "obs"}
+NEIGHBOURHOOD = "bairro"
+LOCALITIES = ("bairro", "localidade", "municipio", "cidade", "setor")
+BASES = {
+    "private_area": ("area_privativa", "area_privativo", "m2_privativo", "privative_area"),
+    "total_area": ("area_total", "m2_total", "total_area", "area_construida"),
+    "total_price": ("preco_total", "valor_total", "preco", "valor"),
+    "unit_price": ("preco_m2", "valor_m2", "unit_price", "preco_unitario"),
+}
+AREA_UNITS = {"m2_privativo", "privative_m2", "m2_total", "total_m2"}
+
 
 def medians(df: DataFrame, values: dict[str, Column], small: int = 1_000_000) -> dict[str, float | None]:
     """Exact medians of columns (null without values), of which no task holds more than about `small` distinct values, however large they are.
@@ -95,6 +108,47 @@ def looks_non_quantitative(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("non_quantitative", F.col("leading_zero") | F.col("postcode") | F.col("date") | F.col("phone"))
 
 
+def _tokens(name: str) -> set[str]:
+    return set(re.split(r"[^a-z0-9]+", name.lower()))
+
+
+def suggest_roles(df: DataFrame, columns: list[str], target: str | None = None) -> DataFrame:
+    """column, numeric_share, mean_words and a first guess of the role, from one pass: target, identifier, date or predictor.
+
+    A text column identifies where its name says so, or where under half of what is present looks like a number and there are two words a value
+    on average. Without a declared target the first column named like a price is it.
+    """
+    kinds, aggs = dict(df.dtypes), []
+    for c in columns:
+        x = F.col(c).cast("string")
+        number = F.replace(F.replace(F.replace(x, F.lit("R$"), F.lit("")), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        words = F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
+        aggs.append(F.struct(F.lit(c).alias("column"), F.avg(F.trim(number).try_cast("double").isNotNull().cast("int")).alias("like"), F.avg(F.when(x.isNotNull(), words)).alias("mean_words"), F.count(x).alias("n"), F.count("*").alias("rows")).alias(c))
+    seen = df.agg(F.array(*aggs).alias("x")).select(F.inline("x"))
+    # nulls don't look like numbers, and are not counted
+    seen = seen.withColumn("numeric_share", F.try_divide(F.col("like") * F.col("rows"), F.col("n")))
+    priced = target or next((c for c in columns if PRICE_TOKENS & _tokens(c) and NEIGHBOURHOOD not in _tokens(c)), None)
+    text = F.col("column").isin([c for c in columns if kinds[c] == "string"])
+    named = F.col("column").isin([c for c in columns if "id" == c.lower() or kinds[c] == "string" and IDENTITY_TOKENS & _tokens(c)])
+    wordy = text & F.coalesce((F.col("numeric_share") < 0.5) & (F.col("mean_words") >= 2), F.lit(False))
+    role = F.when(F.col("column").eqNullSafe(priced), "target").when(F.col("column").isin([c for c in columns if NEIGHBOURHOOD in _tokens(c)]), "predictor")
+    role = role.when(named | wordy, "identifier").when(F.col("column").isin([c for c in columns if kinds[c] in ("date", "timestamp", "timestamp_ntz")]), "date").otherwise("predictor")
+    return seen.select("column", "numeric_share", "mean_words", role.alias("role"))
+
+
+def ambiguous_bases(columns: list[str], units: dict[str, str] | None = None, target_unit: str | None = None) -> list[tuple[str, list[str]]]:
+    """(code, columns) of what a table leaves open: private and total areas where no unit says which counts, unit and total prices without a target's unit."""
+    known = {"".join(ch for ch in c.lower() if ch.isalnum() or ch == "_"): c for c in columns}
+    there = {basis: [known[h] for h in hints if h in known] for basis, hints in BASES.items()}
+    said = {u.lower() for u in (units or {}).values()} & AREA_UNITS
+    out = []
+    if there["private_area"] and there["total_area"] and not said:
+        out.append(("ambiguous_area_basis", there["private_area"] + there["total_area"]))
+    if there["unit_price"] and there["total_price"] and not target_unit:
+        out.append(("ambiguous_price_basis", there["unit_price"] + there["total_price"]))
+    return out
+
+
 def infer_kinds(df: DataFrame, columns: list[str], locale: str = "auto") -> DataFrame:
     """column, n_present, n_parsed and kind: numeric if more than half of what is present parses."""
     aggs = []
@@ -119,6 +173,14 @@ def observation_kinds(df: DataFrame, column: str) -> DataFrame:
     return out.withColumn("mixed", (F.col("n_offer") > 0) & (F.col("n_transaction") > 0))
 
 
+def identities(df: DataFrame, key: str, kind: str | None = None, reference_date: str | None = None) -> DataFrame:
+    """key, locality (of the first column so named; null where missing), reference_date, observation_kind and stage of every row."""
+    place = next((c for c in df.columns if "".join(ch for ch in c.lower() if ch.isalnum() or ch == "_") in LOCALITIES), None)
+    locality = F.lit(None).cast("string") if place is None else F.when(~parse.is_missing(F.col(place).cast("string")), F.col(place).cast("string"))
+    said = F.lit(None).cast("string") if kind is None else parse.observation_kind(F.col(kind).cast("string"))
+    return df.select(key, locality.alias("locality"), F.lit(reference_date).cast("string").alias("reference_date"), said.alias("observation_kind"), F.lit("interpreted").alias("stage"))
+
+
 def market_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, n, min, mean, median, max."""
     aggs, middle = [], medians(df, {c: F.col(c) for c in columns})

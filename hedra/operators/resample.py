@@ -58,6 +58,20 @@ def score_folds(df: DataFrame, fold: str, models: dict[str, Fit]) -> DataFrame:
     return df.withColumn("predicted", predicted).withColumn("status", F.when(F.col("predicted").isNull(), "failed").otherwise("ok"))
 
 
+def normalise_predictions(reserved: DataFrame, predictions: DataFrame, key: str, position: str) -> DataFrame:
+    """One row for each reserved id: key, status, value and reason.
+
+    `predictions` has key, status (null: ok), value and `position`; of several of an id the last counts. An id without one, and a value that
+    isn't a finite number, fail; what failed has no value, so that no zero stands for it. A great error is no reason to fail.
+    """
+    last = predictions.groupBy(key).agg(F.max_by(F.struct(F.coalesce("status", F.lit("ok")).alias("status"), F.col("value").cast("double").alias("value")), position).alias("got"))
+    there, said = F.col("got").isNotNull(), F.col("got.status")
+    ok = there & (said == "ok") & parse.finite(F.col("got.value")).isNotNull()
+    reason = F.when(~there, "no_prediction").when(said != "ok", said).when(~F.coalesce(ok, F.lit(False)), "not_finite")
+    ok = F.coalesce(ok, F.lit(False))
+    return reserved.select(key).join(last, key, "left").select(key, F.when(ok, "ok").otherwise("failed").alias("status"), F.when(ok, F.col("got.value")).alias("value"), reason.alias("reason"))
+
+
 def coverage(scored: DataFrame, target: str, fold: str = "fold") -> DataFrame:
     """n_reserved (observed target), n_scored and coverage of each fold; failures stay in the denominator."""
     seen = F.col(target).isNotNull()

@@ -1064,6 +1064,53 @@ def disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "measure string, term string, value double").withColumn("value", r("value"))
 
 
+@query(
+    """WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 1 THEN 'outside_support' END AS status, CASE WHEN p_partkey % 4 = 2 THEN 'nan'::DOUBLE ELSE p_retailprice END AS value FROM part WHERE p_partkey % 4 > 0)
+    SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN 'ok' ELSE 'failed' END AS status, CASE WHEN p_partkey % 4 = 3 THEN value END AS value, CASE p_partkey % 4 WHEN 0 THEN 'no_prediction' WHEN 1 THEN p.status WHEN 2 THEN 'not_finite' END AS reason FROM part LEFT JOIN p ON id = p_partkey"""
+)
+def normalised_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of parts, each twice, of which some are missing, failed or not finite."""
+    part = read(spark, sf_dir, "part")
+    kind = F.col("p_partkey") % 4
+    made = part.where(kind > 0).select("p_partkey", F.when(kind == 1, "outside_support").alias("status"), F.when(kind == 2, F.lit(float("nan"))).otherwise(F.col("p_retailprice")).alias("value"), F.lit(2).alias("turn"))
+    first = made.withColumn("turn", F.lit(1)).withColumn("value", F.lit(0.0))
+    return resample.normalise_predictions(part, made.unionByName(first), "p_partkey", "turn")
+
+
+@query(
+    """WITH t AS (SELECT 'o_comment' AS c, o_orderpriority AS v FROM orders UNION ALL SELECT 'o_status', o_orderstatus FROM orders UNION ALL SELECT 'valor', CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) FROM orders UNION ALL SELECT 'o_contato', o_orderstatus FROM orders UNION ALL SELECT 'bairro', 'a ' || o_orderstatus FROM orders)
+    SELECT c AS "column", avg((TRY_CAST(replace(replace(replace(v, 'R$', ''), '.', ''), ',', '.') AS DOUBLE) IS NOT NULL)::INT) AS numeric_share, round(avg(len(list_filter(regexp_split_to_array(v, '\\s+'), lambda w: w <> ''))), 6) AS mean_words,
+    CASE WHEN c = 'valor' THEN 'target' WHEN c = 'o_contato' OR c = 'o_comment' AND avg(len(list_filter(regexp_split_to_array(v, '\\s+'), lambda w: w <> ''))) >= 2 THEN 'identifier' ELSE 'predictor' END AS role FROM t GROUP BY c"""
+)
+def suggested_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of text columns of the orders, some under names that say what they hold."""
+    o = read(spark, sf_dir, "orders")
+    status = F.col("o_orderstatus")
+    o = o.select(F.col("o_orderpriority").alias("o_comment"), status.alias("o_status"), F.col("o_totalprice").cast("decimal(20,0)").cast("string").alias("valor"), status.alias("o_contato"), F.concat(F.lit("a "), status).alias("bairro"))
+    return profile.suggest_roles(o, o.columns).withColumn("mean_words", r("mean_words"))
+
+
+@query(
+    "SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS locality, '2024-01-31' AS reference_date, CASE c_custkey % 3 WHEN 0 THEN 'offer' WHEN 1 THEN 'transaction' END AS observation_kind, 'interpreted' AS stage FROM customer"
+)
+def row_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locality, date and kind of every customer; every fifth locality is missing."""
+    kind = F.element_at(F.array(F.lit("Oferta"), F.lit("sold"), F.lit("other")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 > 0, F.col("c_mktsegment")).otherwise("n/a").alias("Bairro"), kind.alias("natureza"))
+    return profile.identities(c, "c_custkey", "natureza", "2024-01-31")
+
+
+@query("SELECT l_orderkey, l_linenumber, true AS bounded FROM lineitem")
+def elasticity_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model is a straight line: the slope by differences is within twice the bound of the line's."""
+    li = read(spark, sf_dir, "lineitem")
+    made = value(li.where("l_orderkey % 2 = 0 AND l_quantity <= 30"), Request("l_extendedprice", ["l_quantity"]))
+    (error,), (elasticity,) = score.elasticity_errors(li, made.frozen).values(), score.elasticities(li, made.frozen).values()
+    fit = made.frozen.fit
+    off = F.abs(elasticity * regress.prediction(fit) / F.col("l_quantity") - float(fit.beta[fit.columns.index("l_quantity")]))
+    return li.select("l_orderkey", "l_linenumber", (off <= 2 * error).alias("bounded"))
+
+
 @query()
 def bootstrap_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole selection on each of eight replicates, from one pass."""

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hedra.functions import rules, transforms
-from hedra.operators import cost, encode, ledger, ordered, profile, score
+from hedra.operators import cost, encode, ledger, ordered, profile, resample, score
 from hedra.plans.valuation import Request, resolve, value
 
 
@@ -146,3 +146,30 @@ def test_preview_takes_first_levels_in_every_task(spark):
     out = profile.preview(df, ["a", "b", "c"], levels=4)
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r["column"]: (r["levels"], r["n_levels"]) for r in out.collect()} == {"a": ([f"{i:05d}" for i in range(4)], 5000), "b": (["0", "1", "2"], 3)}
+
+
+def test_ambiguous_bases():
+    columns = ["Area_Privativa", "area_total", "preco_m2", "preco"]
+    assert [c for c, _ in profile.ambiguous_bases(columns)] == ["ambiguous_area_basis", "ambiguous_price_basis"]
+    assert profile.ambiguous_bases(columns, {"area_total": "m2_total"}, "BRL") == []
+    assert profile.ambiguous_bases(["area_total", "preco"]) == []
+
+
+def test_roles_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "id bigint, idade bigint, nome string, preco double, dia date, nota string")
+    got = {row["column"]: (row["role"], row["numeric_share"]) for row in profile.suggest_roles(df, df.columns).collect()}
+    assert got == {"id": ("identifier", None), "idade": ("predictor", None), "nome": ("identifier", None), "preco": ("target", None), "dia": ("date", None), "nota": ("predictor", None)}
+
+
+def test_roles_leave_nulls_out(spark):
+    df = spark.createDataFrame([("two words",), (None,), (None,), ("and more here",)], "nota string")
+    row = profile.suggest_roles(df, ["nota"]).first()
+    assert (row["role"], row["numeric_share"], row["mean_words"]) == ("identifier", 0.0, 2.5)
+
+
+def test_predictions_without_any(spark):
+    ids = spark.createDataFrame([(1,), (2,)], "id bigint")
+    none = spark.createDataFrame([], "id bigint, status string, value double, n int")
+    assert {tuple(row) for row in resample.normalise_predictions(ids, none, "id", "n").collect()} == {(1, "failed", None, "no_prediction"), (2, "failed", None, "no_prediction")}
+    some = spark.createDataFrame([(1, "ok", None, 1), (2, None, 0.0, 1)], "id bigint, status string, value double, n int")
+    assert {tuple(row) for row in resample.normalise_predictions(ids, some, "id", "n").collect()} == {(1, "failed", None, "not_finite"), (2, "ok", 0.0, None)}
