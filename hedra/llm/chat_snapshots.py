@@ -33,7 +33,7 @@ def prefixes(df: DataFrame) -> DataFrame:
 
 
 def render(turns: Column) -> Column:
-    """Template: <|role|>, a line end, the text, a line end, for every turn."""
+    """Template: <|role|>, a line end and the text for every turn, with line ends between turns."""
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit("<|"), F.coalesce(t["role"], F.lit("unknown")), F.lit("|>\n"), F.coalesce(t["text"], F.lit("")))), "\n")
 
 
