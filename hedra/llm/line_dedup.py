@@ -17,7 +17,7 @@ from hedra.llm.common import WORD, pick, stage
 
 LONG_CHARS = 200
 LEAST_CHARS = 100
-#: Of repeated passages, in the pipeline; the query has its twin's chunks alone.
+#: Of repeated passages, in the query and the pipeline.
 PASSAGE_WORDS = 50
 #: A rolling hash ends a chunk if its last hexadecimal digit is one of these: every fourth on average.
 ENDING = ("0", "4", "8", "c")
@@ -137,8 +137,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", long_c
     )
 
 
-#: DuckDB twin over `documents`.
-SQL = f"""
+_CHUNKS_SQL = f"""
 WITH u AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM u),
 h AS (SELECT *, md5(line) AS m, length(line) >= {LONG_CHARS} AS long FROM l),
@@ -146,8 +145,24 @@ r AS (SELECT *, substr(md5(coalesce(lag(m) OVER w, '') || m), 32, 1) IN {ENDING}
 c AS (SELECT *, CASE WHEN pos = 0 OR long OR lag(long) OVER w OR lag(ending) OVER w THEN 1 ELSE 0 END AS cut FROM r WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)),
 g AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id, text ORDER BY pos) AS chunk FROM c),
 k AS (SELECT doc_id, text, chunk, min(pos) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS body FROM g GROUP BY doc_id, text, chunk),
-o AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, start) > 1 AND (length(body) >= {LONG_CHARS} OR (n > 1 AND length(body) >= {LEAST_CHARS})) AS gone FROM k),
-t AS (SELECT doc_id, text AS old, coalesce(string_agg(body, chr(10) ORDER BY start) FILTER (NOT gone), '') AS text, sum(n) AS n_lines, coalesce(sum(n) FILTER (gone), 0) AS removed_lines, count(*) FILTER (gone) AS removed_chunks FROM o GROUP BY doc_id, text)
-SELECT d.doc_id, t.text, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(removed_lines, 0) AS BIGINT) AS removed_lines, coalesce(removed_chunks, 0) AS removed_chunks
+o AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, start) > 1 AND (length(body) >= {LONG_CHARS} OR (n > 1 AND length(body) >= {LEAST_CHARS})) AS gone FROM k),"""
+_RESULT_SQL = """SELECT d.doc_id, t.text, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(removed_lines, 0) AS BIGINT) AS removed_lines, coalesce(removed_chunks, 0) AS removed_chunks
 FROM documents d LEFT JOIN t ON d.doc_id IS NOT DISTINCT FROM t.doc_id AND d.text = t.old
 """
+#: DuckDB twin over `documents`, of chunks alone.
+SQL = f"""{_CHUNKS_SQL}
+t AS (SELECT doc_id, text AS old, coalesce(string_agg(body, chr(10) ORDER BY start) FILTER (NOT gone), '') AS text, sum(n) AS n_lines, coalesce(sum(n) FILTER (gone), 0) AS removed_lines, count(*) FILTER (gone) AS removed_chunks FROM o GROUP BY doc_id, text)
+{_RESULT_SQL}"""
+#: And with repeated passages.
+PASSAGES_SQL = rf"""{_CHUNKS_SQL}
+w AS (SELECT doc_id, md5(text) AS doc, pos, md5(line) AS m, least(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')), {PASSAGE_WORDS + 1}) AS n FROM l),
+e AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, doc ORDER BY pos) AS til FROM w WHERE n > 0),
+f AS (SELECT *, til - n AS since FROM e),
+begun AS (SELECT doc_id, doc, sum(n) OVER x AS n, list(m) OVER x AS run, min(pos) OVER x AS a, max(pos) OVER x AS b FROM f WINDOW x AS (PARTITION BY doc_id, doc ORDER BY since RANGE BETWEEN CURRENT ROW AND {PASSAGE_WORDS} FOLLOWING)),
+ended AS (SELECT doc_id, doc, sum(n) OVER x AS n, list(m) OVER x AS run, min(pos) OVER x AS a, max(pos) OVER x AS b FROM f WINDOW x AS (PARTITION BY doc_id, doc ORDER BY til RANGE BETWEEN {PASSAGE_WORDS} PRECEDING AND CURRENT ROW)),
+runs AS (SELECT doc_id, doc, md5(array_to_string(run, '')) AS run, a, b FROM begun WHERE n > {PASSAGE_WORDS} UNION SELECT doc_id, doc, md5(array_to_string(run, '')), a, b FROM ended WHERE n > {PASSAGE_WORDS}),
+firsts AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, doc, a) = 1),
+passed AS (SELECT DISTINCT r.doc_id, r.doc, unnest(range(r.a, r.b + 1)) AS pos FROM runs r JOIN firsts x USING (run) WHERE r.doc_id IS DISTINCT FROM x.doc_id OR r.doc <> x.doc OR r.a > x.b),
+s AS (SELECT g.doc_id, g.text, g.pos, g.line, g.chunk, o.gone, p.pos IS NOT NULL AS again FROM g JOIN o ON g.doc_id IS NOT DISTINCT FROM o.doc_id AND g.text = o.text AND g.chunk = o.chunk LEFT JOIN passed p ON g.doc_id IS NOT DISTINCT FROM p.doc_id AND md5(g.text) = p.doc AND g.pos = p.pos),
+t AS (SELECT doc_id, text AS old, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone AND NOT again), '') AS text, count(*) AS n_lines, count(*) FILTER (gone OR again) AS removed_lines, count(DISTINCT chunk) FILTER (gone) AS removed_chunks FROM s GROUP BY doc_id, text)
+{_RESULT_SQL}"""

@@ -51,7 +51,7 @@ def op6_prefix_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"), passage_words=line_dedup.PASSAGE_WORDS)
 
 
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_simhash_windows": decontaminate.SQL, "op4_snapshot_chats": chat_snapshots.SQL, "op7_line_chunks": line_dedup.SQL}
+    return {"op2_simhash_windows": decontaminate.SQL, "op4_snapshot_chats": chat_snapshots.SQL, "op7_line_chunks": line_dedup.PASSAGES_SQL}

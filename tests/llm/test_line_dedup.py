@@ -1,6 +1,6 @@
 import random
 
-from hedra.llm.line_dedup import SQL, dedup_lines
+from hedra.llm.line_dedup import PASSAGE_WORDS, PASSAGES_SQL, SQL, dedup_lines
 from tests.compare import duck, rows
 from tests.llm.texts import edge_rows, edges, empty, frame, sentence, vocabulary
 
@@ -18,6 +18,21 @@ def test_sql_twin(spark):
     assert rows(got) == rows(duck(SQL, None, documents=own)) and got.removed_chunks.sum() > 0
 
 
+def test_sql_twin_with_passages(spark):
+    rng, vocab = random.Random(9), vocabulary(9)
+    pool = [[sentence(rng, vocab, rng.randint(3, 30)) for _ in range(rng.randint(2, 12))] for _ in range(6)]
+    pool.append([sentence(rng, vocab, 26)] * 5)
+    docs = []
+    for i in range(80):
+        lines = [rng.choice(["", " ", sentence(rng, vocab, rng.randint(2, 60))]) for _ in range(rng.randint(0, 12))]
+        at = rng.randint(0, len(lines))
+        docs.append((i, "\n".join(lines[:at] + (rng.choice(pool) if i % 2 else []) + lines[at:])))
+    own = frame([*docs, (80, None), (81, "")])
+    got = dedup_lines(spark.createDataFrame(own), passage_words=PASSAGE_WORDS).toPandas()
+    assert rows(got) == rows(duck(PASSAGES_SQL, None, documents=own))
+    assert got.removed_lines.sum() > dedup_lines(spark.createDataFrame(own)).toPandas().removed_lines.sum()
+
+
 def test_shifted_passages_go(spark):
     rng, vocab = random.Random(1), vocabulary(1)
     passage = "\n".join(sentence(rng, vocab, 8) for _ in range(30))
