@@ -95,8 +95,8 @@ def leaks(train: DataFrame, reserved: DataFrame, key: str, category: str, encode
 
 
 def group_issues(issues: DataFrame) -> DataFrame:
-    """One row for each origin, code and message with all ids that it concerns, sorted."""
-    return issues.groupBy("origin", "code", "message").agg(F.array_sort(F.collect_set("affected_id")).alias("affected_ids"), F.count(F.lit(1)).alias("n"))
+    """One row for each origin, code and message with the numbers of ids that it concerns and of issues; `records.grouped_ids` lists the ids, a row each."""
+    return issues.groupBy("origin", "code", "message").agg(F.count_distinct("affected_id").alias("n_ids"), F.count(F.lit(1)).alias("n"))
 
 
 def differs(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -116,11 +116,16 @@ def first_of_each(df: DataFrame, key: str, position: str) -> DataFrame:
 
 
 def consolidate_actions(actions: DataFrame) -> DataFrame:
-    """One row for each code: least priority, all references, and the reason that ranked first; in order of priority and code."""
-    out = actions.groupBy("code").agg(F.min("priority").alias("priority"), F.array_sort(F.collect_set("reference")).alias("refs"), F.min_by("reason", F.struct("priority", "reason")).alias("reason"))
+    """One row for each code: least priority, number of references, and the reason that ranked first; in order of priority and code."""
+    out = actions.groupBy("code").agg(F.min("priority").alias("priority"), F.count_distinct("reference").alias("n_refs"), F.min_by("reason", F.struct("priority", "reason")).alias("reason"))
     return out.orderBy("priority", "code")
 
 
+def action_references(actions: DataFrame) -> DataFrame:
+    """code and reference, once each: what a consolidated action refers to, a row each, as references can be as many as rows."""
+    return actions.where("reference IS NOT NULL").select("code", "reference").distinct()
+
+
 def conformance(requirements: DataFrame, manifest: DataFrame, key: str = "component") -> DataFrame:
     """Every required component with its status: present, missing or optional_missing."""
     joined = requirements.join(manifest.select(key).distinct().withColumn("_there", F.lit(True)), key, "left")

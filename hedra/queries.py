@@ -100,10 +100,10 @@ def date_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", iso.alias("iso"), parse.to_timestamp(forms).cast("date").cast("string").alias("day"))
 
 
-@query("SELECT doc_id, left(text, 1) IN ('=', '+', '-', '@', chr(9), chr(13), '＝', '＋', '－', '＠') AS formula, CASE WHEN left(text, 1) IN ('=', '+', '-', '@', chr(9), chr(13), '＝', '＋', '－', '＠') THEN '''' || text ELSE text END AS cell FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '=' || text WHEN doc_id % 7 = 1 THEN '@' || text ELSE text END AS text FROM documents) WHERE text IS NOT NULL")
+@query("SELECT doc_id, left(text, 1) IN ('=', '+', '-', '@', chr(9), chr(13), '＝', '＋', '－', '＠') AS formula, CASE WHEN left(text, 1) IN ('=', '+', '-', '@', chr(9), chr(13), '＝', '＋', '－', '＠') THEN '''' || text ELSE text END AS cell FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '=' || text WHEN doc_id % 7 = 1 THEN '@' || text ELSE text END AS text FROM documents WHERE text IS NOT NULL) UNION ALL SELECT doc_id, false, '' FROM documents WHERE text IS NULL")
 def formula_neutralize(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = F.when(F.col("doc_id") % 7 == 0, "=").when(F.col("doc_id") % 7 == 1, "@").otherwise("")
-    d = read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat(mark, "text").alias("text"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(mark, "text").alias("text"))
     return d.select("doc_id", parse.is_formula(F.col("text")).alias("formula"), parse.neutral_cell(F.col("text")).alias("cell"))
 
 
@@ -154,7 +154,10 @@ def _profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT * FROM (VALUES ('code', true, false, false, false, true), ('postcode', false, true, false, false, true), ('day', false, false, true, true, true), ('amount', false, false, false, false, false)) t(\"column\", leading_zero, postcode, date, phone, non_quantitative)"
+    r"""WITH x AS (SELECT 'code' AS "column", lpad(o_custkey::VARCHAR, 9, '0') AS v FROM orders UNION ALL SELECT 'postcode', lpad((o_orderkey % 90000 + 10000010)::VARCHAR, 8, '1') FROM orders
+    UNION ALL SELECT 'day', strftime(o_orderdate, '%Y-%m-%d') FROM orders UNION ALL SELECT 'amount', format('{:.2f}', o_totalprice) FROM orders),
+    f AS (SELECT "column", bool_or(regexp_matches(v, '^0[0-9]')) AS leading_zero, bool_and(regexp_matches(v, '^[0-9]{5}-?[0-9]{3}$')) AS postcode, bool_and(regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')) AS date,
+    bool_and(regexp_matches(v, '[()\-\s]') AND length(regexp_replace(v, '[^0-9]', '', 'g')) >= 8) AS phone FROM x GROUP BY 1) SELECT *, leading_zero OR postcode OR date OR phone AS non_quantitative FROM f"""
 )
 def looks_non_quantitative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.looks_non_quantitative(_profiled(spark, sf_dir), _PROFILED)
@@ -233,12 +236,12 @@ def preview_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT count(*) AS n_received, count(*) FILTER (t AND quality IS NOT NULL AND lang <> 'de') AS n_used, count(*) FILTER (NOT (t AND quality IS NOT NULL AND lang <> 'de')) AS n_excluded,
-    count(*) FILTER (NOT t) AS n_not_in_train, count(*) FILTER (quality IS NULL) AS n_target_missing, count(*) FILTER (t AND quality IS NOT NULL AND lang = 'de') AS n_predictor_missing
-    FROM (SELECT d.doc_id % 2 = 0 AS t, quality, lang FROM documents d LEFT JOIN labels USING (doc_id)) WHERE lang IS NOT NULL"""
+    """SELECT count(*) AS n_received, count(*) FILTER (t AND quality IS NOT NULL AND known) AS n_used, count(*) FILTER (NOT (t AND quality IS NOT NULL AND known)) AS n_excluded,
+    count(*) FILTER (NOT t) AS n_not_in_train, count(*) FILTER (quality IS NULL) AS n_target_missing, count(*) FILTER (t AND quality IS NOT NULL AND NOT known) AS n_predictor_missing
+    FROM (SELECT d.doc_id % 2 = 0 AS t, quality, coalesce(lang <> 'de', false) AS known FROM documents d LEFT JOIN labels USING (doc_id))"""
 )
 def complete_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").where("lang IS NOT NULL").select("doc_id", F.when(F.col("lang") != "de", F.col("lang")).alias("lang"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") != "de", F.col("lang")).alias("lang"))
     both = d.join(read(spark, sf_dir, "labels"), "doc_id", "left")
     return ledger.sample_counts(ledger.training_rows(both, F.col("doc_id") % 2 == 0, "quality", ["lang"]))
 
@@ -290,7 +293,7 @@ def partition_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def issue_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     issues = e.select(F.lit("events").alias("origin"), F.col("event_type").alias("code"), F.concat(F.lit("value "), F.when(F.col("value") < 5, "low").otherwise("high")).alias("message"), F.col("user_id").alias("affected_id"))
-    return ledger.group_issues(issues).select("origin", "code", "message", F.size("affected_ids").cast("bigint").alias("n_ids"), "n")
+    return ledger.group_issues(issues)
 
 
 # -- encoding and transforms -------------------------------------------------------------------------------------------
@@ -448,7 +451,10 @@ def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regress.correlations(read(spark, sf_dir, "lineitem"), _LINE).select("a", "b", r("r").alias("r"))
 
 
-@query("SELECT 'l_quantity' AS a, 'twice' AS b FROM range(1)")
+@query(
+    """WITH p AS (SELECT 'l_quantity' AS a, 'twice' AS b, corr(l_quantity, 2 * l_quantity) AS r FROM lineitem UNION ALL SELECT 'l_discount', 'l_quantity', corr(l_discount, l_quantity) FROM lineitem
+    UNION ALL SELECT 'l_discount', 'twice', corr(l_discount, 2 * l_quantity) FROM lineitem) SELECT a, b FROM p WHERE abs(r) >= 1 - 1e-10"""
+)
 def collinear_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").withColumn("twice", 2 * F.col("l_quantity"))
     return regress.collinear_pairs(li, ["l_quantity", "twice", "l_discount"]).select("a", "b")
@@ -468,13 +474,16 @@ def breusch_pagan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(regress.breusch_pagan(p, f, "y")[0], 6),)], "statistic double")
 
 
+# t by its expansion around the normal quantile
 @query(
-    f"""{_INFLUENCE}, t AS (SELECT 1.2815515655446004 AS z) SELECT p_partkey, round(fitted, 4) AS point, (pw * 2 > mw * 2)::BOOLEAN AS wider FROM (SELECT *, sg * sqrt(h) AS mw, sg * sqrt(1 + h) AS pw FROM i)"""
+    f"""{_INFLUENCE}, d AS (SELECT *, n - 2 AS df, 1.2815515655446004 AS q FROM i),
+    w AS (SELECT *, sg * (q + (q ** 3 + q) / (4 * df) + (5 * q ** 5 + 16 * q ** 3 + 3 * q) / (96 * df ** 2) + (3 * q ** 7 + 19 * q ** 5 + 17 * q ** 3 - 15 * q) / (384 * df ** 3)) AS ts FROM d)
+    SELECT p_partkey, round(fitted, 4) AS point, round(fitted - ts * sqrt(h), 4) AS mean_low, round(fitted + ts * sqrt(h), 4) AS mean_high, round(fitted - ts * sqrt(1 + h), 4) AS pred_low, round(fitted + ts * sqrt(1 + h), 4) AS pred_high FROM w"""
 )
 def mean_and_prediction_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, f = _simple(spark, sf_dir)
     p = p.withColumns(regress.intervals(f))
-    return p.select("p_partkey", r("point", 4).alias("point"), ((F.col("pred_high") - F.col("pred_low")) > (F.col("mean_high") - F.col("mean_low"))).alias("wider"))
+    return p.select("p_partkey", *[r(c, 4).alias(c) for c in ("point", "mean_low", "mean_high", "pred_low", "pred_high")])
 
 
 @query(f"{_INFLUENCE} SELECT p_partkey, round(sg * sqrt(h), 6) AS se_mean, round(sg * sqrt(1 + h), 6) AS se_prediction FROM i")
@@ -501,7 +510,7 @@ def search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir).records.select("candidate_id", r("rmse").alias("rmse"), "rank")
 
 
-@query("SELECT 'exact' AS mode, 7::BIGINT AS possible, 7::BIGINT AS evaluated, true AS exact_optimum_guaranteed")
+@query("SELECT 'exact' AS mode, n AS possible, n AS evaluated, true AS exact_optimum_guaranteed FROM (SELECT (CASE WHEN min(p_size) > 0 THEN 7 WHEN bool_or(p_size = 0) THEN 2 ELSE 4 END)::BIGINT AS n FROM part)")
 def search_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _search(spark, sf_dir).audit
     return spark.createDataFrame([(a["mode"], a["possible"], a["evaluated"], a["exact_optimum_guaranteed"])], "mode string, possible bigint, evaluated bigint, exact_optimum_guaranteed boolean")
@@ -556,10 +565,12 @@ def random_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.k_folds(read(spark, sf_dir, "orders"), "o_orderkey", 5, 17).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT count(*) AS n_split_groups FROM (SELECT 1 WHERE false)")
+@query("SELECT count(DISTINCT o_custkey) AS n_groups, count(*) AS n_rows, count(DISTINCT o_custkey) AS n_group_folds, true AS folds_in_range FROM orders")
 def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many pairs of group and fold as groups: no group is split."""
     o = resample.group_folds(read(spark, sf_dir, "orders"), "o_custkey", 5, 17)
-    return o.groupBy("o_custkey").agg(F.count_distinct("fold").alias("folds")).where("folds > 1").agg(F.count(F.lit(1)).alias("n_split_groups"))
+    pairs = o.groupBy("o_custkey", "fold").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.agg(F.count_distinct("o_custkey").alias("n_groups"), F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_group_folds"), F.bool_and(F.col("fold").between(0, 4)).alias("folds_in_range"))
 
 
 @query(
@@ -591,7 +602,10 @@ def row_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.row_ids(ordered.number_rows(read(spark, sf_dir, "events"), "ts", "event_id")).select("event_id", "row_id")
 
 
-@query("SELECT false AS equal, true AS forward, false AS back")
+@query(
+    """WITH a AS (SELECT event_id AS pos, value AS x FROM events), b AS (SELECT event_id + 1 AS pos, value AS y FROM events)
+    SELECT (SELECT bool_and(x IS NOT DISTINCT FROM y) FROM a FULL JOIN b USING (pos)) AS equal, (SELECT bool_and(x IS NOT DISTINCT FROM y) FROM a JOIN b ON a.pos + 1 = b.pos) AS forward, (SELECT bool_and(x IS NOT DISTINCT FROM y) FROM a JOIN b ON a.pos - 1 = b.pos) AS back"""
+)
 def shifted_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), "value")
     return ordered.shifted_by_one(e, e.withColumn("pos", F.col("pos") + 1), "pos", "value")
@@ -802,7 +816,13 @@ def depreciation_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type AS code, min(user_id % 5)::BIGINT AS priority, count(DISTINCT user_id)::INT AS n_refs FROM events GROUP BY 1")
 def actions_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select(F.col("event_type").alias("code"), (F.col("user_id") % 5).alias("priority"), F.col("user_id").cast("string").alias("reference"), F.col("event_type").alias("reason"))
-    return ledger.consolidate_actions(e).select("code", "priority", F.size("refs").alias("n_refs"))
+    return ledger.consolidate_actions(e).select("code", "priority", F.col("n_refs").cast("int").alias("n_refs"))
+
+
+@query("SELECT DISTINCT event_type AS code, CAST(user_id AS VARCHAR) AS reference FROM events WHERE user_id IS NOT NULL")
+def actions_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("code"), F.col("user_id").cast("string").alias("reference"))
+    return ledger.action_references(e)
 
 
 @query("SELECT n_name AS component, CASE WHEN n_nationkey IN (SELECT s_nationkey FROM supplier) THEN 'present' WHEN n_regionkey = 0 THEN 'missing' ELSE 'optional_missing' END AS status FROM nation")
@@ -813,7 +833,7 @@ def output_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.conformance(due, there).select("component", "status")
 
 
-@query("SELECT 'review_value_sensitivity' AS action")
+@query("SELECT CASE WHEN min(o_totalprice) <> max(o_totalprice) THEN 'review_value_sensitivity' END AS action FROM orders")
 def alternatives_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").select(F.lit("BRL").alias("unit"), F.lit("2024-01-01").alias("date"), F.lit("mean").alias("estimand"), F.col("o_totalprice").alias("value"))
     return ledger.comparable_alternatives(o)
