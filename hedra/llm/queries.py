@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedra.llm import chat_snapshots, decontaminate, hilbert_shards, jaccard_join, language_id, line_dedup, lm_score, piece_encoding, telephony, vector_codes, weak_quality
+from hedra.llm import chat_snapshots, decontaminate, hilbert_shards, jaccard_join, language_id, line_dedup, lm_score, piece_encoding, prefix_trie, telephony, vector_codes, weak_quality
 from hedra.llm.common import read
 
 
@@ -88,10 +88,14 @@ def op12_segment_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op13_patricia_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_weak_quality, op2_simhash_windows, op3_elias_fano_scores, op4_snapshot_chats, op5_family_languages, op6_prefix_orders, op7_line_chunks, op8_hilbert_shards, op9_offset_pieces, op10_telephony_audio, op12_segment_codes]
+    own = [op1_weak_quality, op2_simhash_windows, op3_elias_fano_scores, op4_snapshot_chats, op5_family_languages, op6_prefix_orders, op7_line_chunks, op8_hilbert_shards, op9_offset_pieces, op10_telephony_audio, op12_segment_codes, op13_patricia_prefixes]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_simhash_windows": decontaminate.SQL, "op4_snapshot_chats": chat_snapshots.SQL, "op7_line_chunks": line_dedup.PASSAGES_SQL, "op12_segment_codes": vector_codes.SQL}
+    return {"op2_simhash_windows": decontaminate.SQL, "op4_snapshot_chats": chat_snapshots.SQL, "op7_line_chunks": line_dedup.PASSAGES_SQL, "op12_segment_codes": vector_codes.SQL, "op13_patricia_prefixes": prefix_trie.SQL}
