@@ -192,7 +192,7 @@ def prefix_trie(conversations: DataFrame, every: int = 20, heads: int = 4) -> Da
     ends = ordered.groupBy("part").agg(F.min("key").alias("low"), F.max("key").alias("high"))  # a row a partition
     before = ends.select("part", "low", F.expr("lag(high) OVER (ORDER BY part)").alias("before"))
     met = {r["part"]: r["turns"] for r in before.mapInArrow(shared, "part int, turns int").collect()}
-    after = dict(zip(sorted(met), [met[p] for p in sorted(met)][1:] + [-1], strict=True))
+    after = dict(zip(sorted(met), [*[met[p] for p in sorted(met)][1:], -1], strict=False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedra.llm import chat_snapshots, decontaminate, hilbert_shards, jaccard_join, language_id, line_dedup, lm_score, piece_encoding, prefix_trie, telephony, vector_codes, weak_quality
+from hedra.llm import chat_snapshots, decontaminate, hilbert_shards, jaccard_join, language_id, line_dedup, lm_score, piece_encoding, prefix_trie, telephony, toxicity, vector_codes, weak_quality
 from hedra.llm.common import read
 
 
@@ -84,6 +84,13 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = F.pmod(F.crc32(F.col("key").cast("string").cast("binary")), F.lit(3)) != 1
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    done = toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), learn)
+    return done.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_windows", "worst_window")
+
+
 def op12_segment_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -93,7 +100,7 @@ def op13_patricia_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_weak_quality, op2_simhash_windows, op3_elias_fano_scores, op4_snapshot_chats, op5_family_languages, op6_prefix_orders, op7_line_chunks, op8_hilbert_shards, op9_offset_pieces, op10_telephony_audio, op12_segment_codes, op13_patricia_prefixes]
+    own = [op1_weak_quality, op2_simhash_windows, op3_elias_fano_scores, op4_snapshot_chats, op5_family_languages, op6_prefix_orders, op7_line_chunks, op8_hilbert_shards, op9_offset_pieces, op10_telephony_audio, op11_gru_toxicity, op12_segment_codes, op13_patricia_prefixes]
     return {f.__name__: f for f in own}
 
 
