@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Spaces that spreadsheets use, marks of missing values at ingest and in the encoder, infinities.
@@ -129,6 +129,12 @@ def to_number(c: Column, locale: str = "auto") -> Column:
     return parse_number(c, locale)["value"]
 
 
+def number(df: DataFrame, c: str, locale: str = "auto") -> Column:
+    """A column as a double, whatever its type: texts are read under the locale, and what is no number is null."""
+    kind = dict(df.dtypes)[c]
+    return to_number(F.col(c), locale) if kind == "string" else F.col(c).try_cast("double")
+
+
 def is_date_shaped(c: Column) -> Column:
     return c.rlike(DATE)
 

@@ -167,8 +167,8 @@ QUALITATIVE = ("dichotomous", "allocated_code", "adjusted_code", "categorical")
 def qualitative_membership(kind: Column, value: Column, observed: Column, scale: Column | None = None) -> Column:
     """in_sample, forbidden or pending, of a value on a qualitative axis: observed values are in the sample; between or beyond them nothing is, but a code
     of an allocated scale that the sample doesn't show waits for a review, and so does one of a scale that isn't known within the sample's ends.
-    value, observed and scale are texts; codes are numbers written as text."""
-    number, ends = value.cast("double"), F.transform(observed, lambda v: v.cast("double"))
+    value, observed and scale are texts; codes are numbers written as text, and one that isn't lies neither between nor beyond others. No null or empty value is in the sample."""
+    number, ends = value.try_cast("double"), F.transform(observed, lambda v: v.try_cast("double"))
     known = F.array_contains(scale, value) if scale is not None else F.lit(False)
     beyond = F.coalesce((number < F.array_min(ends)) | (number > F.array_max(ends)), F.lit(False))
     allocated = F.when(F.coalesce(known, F.lit(False)), "pending").when(beyond, "forbidden").otherwise("pending")

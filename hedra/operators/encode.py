@@ -82,13 +82,13 @@ def _level(state: Encoder, column: str) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for p in mapping.items() for x in p])[level], level) if mapping else level
 
 
-def apply_encoder(df: DataFrame, state: Encoder) -> DataFrame:
-    """Adds the features and `unsupported` (columns whose value has no encoding). An unknown or missing level leaves all indicators of its
+def apply_encoder(df: DataFrame, state: Encoder, locale: str = "auto") -> DataFrame:
+    """Adds the features and `unsupported` (columns whose value has no encoding). Numbers that are texts are read under the locale. An unknown or missing level leaves all indicators of its
     group null, never zero, which would be the reference."""
     features: dict[str, Column] = {}
     odd = []
     for c, fill in state.numeric.items():
-        x = parse.finite(F.col(c).cast("double"))
+        x = parse.finite(parse.number(df, c, locale))
         features[f"_{c}"] = x if fill is None else F.coalesce(x, F.lit(fill))
         odd.append(F.when(features[f"_{c}"].isNull(), F.lit(c)))
     for c, levels in state.levels.items():

@@ -18,7 +18,7 @@ from hedra.operators.regress import CONST, Fit, leverage, prediction
 
 
 #: Of a saved project.
-VERSION = 1
+VERSION = 2
 
 
 @dataclass
@@ -38,6 +38,8 @@ class Frozen:
     domain: dict[str, list[str] | tuple[float | None, float | None]] = field(default_factory=dict)
     scope: str = "population_model"
     subject: dict[str, str] = field(default_factory=dict)  # of a subject_specific model: what a subject must be
+    level: float = 0.80  # of intervals
+    locale: str = "auto"  # of subjects' texts
 
     def state(self) -> dict[str, object]:
         """As plain values; numbers in hexadecimal, so that nothing is lost."""
@@ -47,6 +49,7 @@ class Frozen:
         return {
             "version": VERSION, "encoder": json.loads(self.encoder.dumps()), "fit": fit, "target": self.target, "ranges": {k: hexed(v) for k, v in self.ranges.items()}, "unit": self.unit,
             "reference_date": self.reference_date, "transform": self.transform, "estimand": self.estimand, "smearing": float(self.smearing).hex(), "domain": domain, "scope": self.scope, "subject": self.subject,
+            "level": float(self.level).hex(), "locale": self.locale,
         }
 
     def dumps(self) -> str:
@@ -55,7 +58,7 @@ class Frozen:
     @staticmethod
     def issues(state: dict[str, object]) -> list[str]:
         """Codes of what is wrong with a saved project; none if it can be loaded."""
-        wanted = ("version", "encoder", "fit", "target", "ranges", "unit", "reference_date", "transform", "estimand", "smearing", "domain", "scope", "subject")
+        wanted = ("version", "encoder", "fit", "target", "ranges", "unit", "reference_date", "transform", "estimand", "smearing", "domain", "scope", "subject", "level", "locale")
         out = [f"frozen_project_incomplete:{k}" for k in wanted if k not in state]
         out += ["frozen_schema_version"] if state.get("version") not in (None, VERSION) else []
         out += ["invalid_model_scope"] if state.get("scope") not in ("subject_specific", "population_model") else []
@@ -72,7 +75,7 @@ class Frozen:
         fit = Fit(f["status"], f["columns"], f["n"], f["intercept"], array(f["beta"]), array(f["inverse"]).reshape(p, p), number(f["sse"]), number(f["sst"]), number(f["condition"]), array(f["spread"]))
         domain = {k: v["categories"] if "categories" in v else tuple(None if x is None else number(x) for x in v["range"]) for k, v in s["domain"].items()}
         ranges = {k: (number(a), number(b)) for k, (a, b) in s["ranges"].items()}
-        return Frozen(Encoder(**s["encoder"]), fit, s["target"], ranges, s["unit"], s["reference_date"], s["transform"], s["estimand"], number(s["smearing"]), domain, s["scope"], s["subject"])
+        return Frozen(Encoder(**s["encoder"]), fit, s["target"], ranges, s["unit"], s["reference_date"], s["transform"], s["estimand"], number(s["smearing"]), domain, s["scope"], s["subject"], number(s["level"]), s["locale"])
 
     def reuse_key(self) -> str:
         """SHA-256 of the whole identity: two projects with one key give one result."""
@@ -114,15 +117,15 @@ def extrapolation(frozen: Frozen) -> dict[str, Column]:
     return {"positions": positions, "item_4": rules.item_4(positions, singles, change(sum(step.values(), F.lit(0.0))))}
 
 
-def domain_failures(frozen: Frozen, columns: list[str]) -> Column:
+def domain_failures(frozen: Frozen, subjects: DataFrame) -> Column:
     """Variables of the declared domain that a subject is outside of, or has no value for; of a subject_specific model also what isn't the subject's."""
-    odd = []
+    odd, columns = [], subjects.columns
     for c, limit in sorted(frozen.domain.items()):
         if isinstance(limit, list):
             inside = parse.trim(F.col(c).cast("string")).isin([str(v) for v in limit]) if c in columns else F.lit(False)
         else:
             low, high = limit
-            x = parse.finite(F.col(c).cast("double")) if c in columns else F.lit(None).cast("double")
+            x = parse.finite(parse.number(subjects, c, frozen.locale)) if c in columns else F.lit(None).cast("double")
             inside = x.isNotNull() & (F.lit(low is None) | (x >= F.lit(low))) & (F.lit(high is None) | (x <= F.lit(high)))
             inside = F.lit(True) if low is None and high is None else inside
         odd.append(F.when(~F.coalesce(inside, F.lit(False)), F.lit(c)))
@@ -133,15 +136,16 @@ def domain_failures(frozen: Frozen, columns: list[str]) -> Column:
     return F.filter(F.array(*odd), lambda c: c.isNotNull()) if odd else F.array().cast("array<string>")
 
 
-def score_batch(subjects: DataFrame, frozen: Frozen, key: str = "subject_id", level: float = 0.80) -> DataFrame:
+def score_batch(subjects: DataFrame, frozen: Frozen, key: str = "subject_id", level: float | None = None) -> DataFrame:
     """Adds status (succeeded, out_of_domain, unsupported), point, intervals, amplitude, precision, item_4 and the admissible interval.
 
     A subject with a missing number or an unknown level has no value, never zero. A value outside of half the least and twice the greatest
     of a variable, or of the declared domain, is out of domain and has none either. Of a model of the logarithm, ends of intervals are taken back as
-    they are, and the point as the project's estimand says.
+    they are, and the point as the project's estimand says. level: of intervals, else the project's. A text where a number is due is read under the project's locale.
     """
+    level = frozen.level if level is None else level
     # the point and the leverage are computed once and used by all that follows
-    out = apply_encoder(subjects.withColumn("outside_domain", domain_failures(frozen, subjects.columns)), frozen.encoder)
+    out = apply_encoder(subjects.withColumn("outside_domain", domain_failures(frozen, subjects)), frozen.encoder, frozen.locale)
     out = out.withColumns({"_mu": prediction(frozen.fit), "_q": leverage(frozen.fit)}).withColumns(extrapolation(frozen))
     outside = F.exists("positions", lambda p: p == "outside") | (F.size("outside_domain") > 0)
     out = out.withColumn("status", F.when(F.size("unsupported") > 0, "unsupported").when(outside, "out_of_domain").otherwise("succeeded"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hedra.functions import rules
+from hedra.functions import parse, rules
 from hedra.functions.transforms import fit_target, smearing_factor
 from hedra.operators import ledger
 from hedra.operators.encode import Encoder, apply_encoder, fit_encoder
@@ -64,12 +64,13 @@ class Valuation:
     grades: dict[str, int | None]
 
     def score(self, subjects: DataFrame, key: str = "subject_id") -> DataFrame:
+        """Values at the request's level; texts of subjects are read under its locale."""
         return score_batch(subjects, self.frozen, key)
 
 
 def prepare(df: DataFrame, request: Request, encoder: Encoder) -> DataFrame:
     """Encoded rows with reasons; target and features are numbers."""
-    encoded = apply_encoder(df, encoder)
+    encoded = apply_encoder(df, encoder, request.locale)
     return ledger.training_rows(encoded, F.lit(True), request.target, encoder.features)
 
 
@@ -77,7 +78,9 @@ def value(df: DataFrame, request: Request, train=None) -> Valuation:
     """Fit on training rows and freeze. Reads the rows three times: moments, categories, and the triangle of the design."""
     if issues := request.check(df.columns):
         raise ValueError("; ".join(issues))
-    rows = df if train is None else df.where(train)
+    # texts of numbers are read before anything looks at them
+    texts = [c for c in dict.fromkeys([request.target, *request.numeric]) if dict(df.dtypes)[c] == "string"]
+    rows = (df if train is None else df.where(train)).withColumns({c: parse.number(df, c, request.locale) for c in texts})
     seen = rows.where(F.col(request.target).isNotNull())
     encoder = fit_encoder(seen, request.numeric, request.categorical, request.impute, request.reference)
     placed = prepare(rows, request, encoder)
@@ -90,7 +93,7 @@ def value(df: DataFrame, request: Request, train=None) -> Valuation:
         raise ValueError(fit.status)
     if request.transform == "log" and request.estimand == "smearing":
         smearing = smearing_factor(used, F.col(target) - prediction(fit))
-    frozen = Frozen(encoder, fit, request.target, axis_ranges(used, [c for c in encoder.numeric]), request.unit, request.reference_date, request.transform, request.estimand, smearing, request.domain)
+    frozen = Frozen(encoder, fit, request.target, axis_ranges(used, [c for c in encoder.numeric]), request.unit, request.reference_date, request.transform, request.estimand, smearing, request.domain, level=request.level, locale=request.locale)
     return Valuation(frozen, placed, model_grades(df.sparkSession, fit))
 
 

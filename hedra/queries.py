@@ -12,6 +12,7 @@ from hedra.functions import parse, rules, transforms
 from hedra.operators import cost, encode, ledger, ordered, profile, records, regress, resample, score, search
 from hedra.operators.encode import Encoder
 from hedra.operators.regress import CONST
+from hedra.plans.ingest import Ingested, Source, ingest_csv
 from hedra.plans.valuation import Request, value
 from hedra.sources import tabular
 from hedra.sources.shared import shared_dir
@@ -942,6 +943,67 @@ def reproduced_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("field", "agrees").agg(F.count(F.lit(1)).alias("n"))
 
 
+# -- from a source to values ------------------------------------------------------------------------------------------------
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> Ingested:
+    """All lines as a Brazilian spreadsheet's text: some prices are missing, malformed, infinite or words."""
+    li = read(spark, sf_dir, "lineitem")
+    comma = lambda x: F.translate(F.format_number(x, 2), ",.", ".,")
+    odd = F.col("l_orderkey") % 10
+    price = F.when(odd == 0, "n/a").when(odd == 1, "1.2.3").when(odd == 2, "inf").when(odd == 3, "a combinar").otherwise(F.concat(F.lit("R$ "), comma(F.col("l_extendedprice"))))
+    text = lambda c, name: F.col(c).cast("string").alias(name)
+    sheet = li.select(text("l_orderkey", "Pedido"), text("l_linenumber", "Linha"), price.alias("Preço Total"), comma(F.col("l_quantity")).alias("Quantidade (un.)"), F.col("l_returnflag").alias("Tipo"), F.concat(F.lit("0"), F.col("l_linenumber").cast("string")).alias("Código"))
+    path = f"{shared_dir(spark)}/sheet-{uuid.uuid4().hex}"
+    tabular.write_csv(sheet, path)
+    source = Source("Preço Total", {"Pedido": "identifier", "Linha": "identifier", "Tipo": "predictor", "Bairro": "predictor"}, ["Quantidade (un.)", "Código"], "pt-BR")
+    return ingest_csv(spark, path, source)
+
+
+_FORMS = "CASE l_orderkey % 10 WHEN 0 THEN 'missing_target' WHEN 1 THEN 'malformed_number,unusable_target' WHEN 2 THEN 'non_finite_value,non_finite_target' WHEN 3 THEN 'unusable_target' ELSE '' END"
+
+
+@query(
+    f"""WITH t AS (SELECT *, l_orderkey % 10 > 3 AS used FROM lineitem), m AS (SELECT regr_intercept(round(l_extendedprice, 2), l_quantity) AS a, regr_slope(round(l_extendedprice, 2), l_quantity) AS b FROM t WHERE used)
+    SELECT l_orderkey, l_linenumber, {_FORMS} AS reasons, CASE WHEN used THEN 'observed' WHEN l_orderkey % 10 IN (0, 3) THEN 'pending_target' ELSE 'rejected' END AS disposition,
+      CASE WHEN used THEN round(l_extendedprice, 2) END AS target, round(a + b * l_quantity, 3) AS point FROM t, m"""
+)
+def ingest_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a file of Brazilian texts to a model and values of all its rows."""
+    found = _ingested(spark, sf_dir)
+    made = found.valued(Request("", ["quantidade_un"], locale="pt-BR"))
+    out = made.score(found.rows)
+    return out.select(F.col("pedido").cast("bigint").alias("l_orderkey"), F.col("linha").cast("bigint").alias("l_linenumber"), F.concat_ws(",", "reasons").alias("reasons"), "disposition", r("target_value", 2).alias("target"), r("point", 3).alias("point"))
+
+
+@query(
+    """SELECT 'preço_total' AS "column", 'Preço Total' AS original, 'parse_numeric' AS action, count(*) AS n, round(sum(round(l_extendedprice, 2)), 2) AS total FROM lineitem WHERE l_orderkey % 10 > 3
+    UNION ALL SELECT 'preço_total', 'Preço Total', CASE l_orderkey % 10 WHEN 1 THEN 'malformed_unconverted' ELSE 'non_finite_rejected' END, count(*), NULL FROM lineitem WHERE l_orderkey % 10 IN (1, 2) GROUP BY 3
+    UNION ALL SELECT 'quantidade_un', 'Quantidade (un.)', 'parse_numeric', count(*), sum(l_quantity) FROM lineitem"""
+)
+def ingest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reading did to the cells of each column; texts of codes and names stay."""
+    return _ingested(spark, sf_dir).changes().groupBy("column", F.col("original_column").alias("original"), "action").agg(F.count(F.lit(1)).alias("n"), r(F.sum("value"), 2).alias("total"))
+
+
+# the student's quantile by its expansion around the normal one
+@query(
+    """WITH t AS (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem WHERE l_orderkey % 2 = 0),
+    m AS (SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS b, avg(x) AS mx, regr_sxx(y, x) AS sxx, count(*) AS n, count(*) - 2 AS df, regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x) AS sse FROM t),
+    s AS (SELECT *, sqrt(sse / df) * (q + (q ** 3 + q) / (4 * df) + (5 * q ** 5 + 16 * q ** 3 + 3 * q) / (96 * df ** 2)) AS ts FROM m, (VALUES (0.8, 1.2815515655446004), (0.95, 1.959963984540054)) v(level, q))
+    SELECT CAST(level AS DOUBLE) AS level, l_orderkey, l_linenumber, round(a + b * l_quantity - ts * sqrt(1 / n + (l_quantity - mx) ** 2 / sxx), 2) AS mean_low, round(a + b * l_quantity + ts * sqrt(1 + 1 / n + (l_quantity - mx) ** 2 / sxx), 2) AS pred_high FROM lineitem, s"""
+)
+def interval_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of one model at the levels of two requests; the second project was saved and loaded."""
+    li = read(spark, sf_dir, "lineitem")
+    out = []
+    for level in (0.8, 0.95):
+        frozen = value(li.where("l_orderkey % 2 = 0"), Request("l_extendedprice", ["l_quantity"], level=level)).frozen
+        frozen = frozen if level == 0.8 else score.Frozen.loads(frozen.dumps())
+        out.append(score.score_batch(li, frozen).select(F.lit(level).alias("level"), "l_orderkey", "l_linenumber", r("mean_low", 2).alias("mean_low"), r("pred_high", 2).alias("pred_high")))
+    return out[0].unionByName(out[1])
+
+
 # -- rows by id, summaries, rules ----------------------------------------------------------------------------------------
 
 
@@ -1011,13 +1073,17 @@ def column_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT p_partkey, (ARRAY['dichotomous', 'allocated_code', 'adjusted_code', 'categorical'])[p_partkey % 4 + 1] AS kind, p_size % 9 AS v FROM part)
-    SELECT p_partkey, CASE WHEN v IN (1, 3, 5) THEN 'in_sample' WHEN kind = 'allocated_code' AND (v IN (2, 4, 6) OR v BETWEEN 1 AND 5) THEN 'pending' ELSE 'forbidden' END AS membership FROM p"""
+    """WITH p AS (SELECT p_partkey, (ARRAY['dichotomous', 'allocated_code', 'adjusted_code', 'categorical'])[p_partkey % 4 + 1] AS kind, p_size % 9 AS v, (ARRAY['', 'code', ' ', NULL, '1x'])[p_partkey // 4 % 12 + 1] AS odd, p_partkey // 4 % 12 < 5 AS is_odd FROM part)
+    SELECT p_partkey, CASE WHEN is_odd THEN CASE kind WHEN 'allocated_code' THEN 'pending' ELSE 'forbidden' END WHEN v IN (1, 3, 5) THEN 'in_sample' WHEN kind = 'allocated_code' AND (v IN (2, 4, 6) OR v BETWEEN 1 AND 5) THEN 'pending' ELSE 'forbidden' END AS membership FROM p"""
 )
 def qualitative_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all parts; some are empty, null or no numbers."""
     text = lambda *v: F.array(*[F.lit(str(x)) for x in v])
     kind = F.element_at(F.array(*[F.lit(k) for k in rules.QUALITATIVE]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return read(spark, sf_dir, "part").select("p_partkey", rules.qualitative_membership(kind, (F.col("p_size") % 9).cast("string"), text(1, 3, 5), text(1, 2, 3, 4, 5, 6)).alias("membership"))
+    at = F.floor(F.col("p_partkey") / 4) % 12
+    odd = F.try_element_at(F.array(*[F.lit(x).cast("string") for x in ("", "code", " ", None, "1x")]), (at + 1).cast("int"))
+    code = F.when(at < 5, odd).otherwise((F.col("p_size") % 9).cast("string"))
+    return read(spark, sf_dir, "part").select("p_partkey", rules.qualitative_membership(kind, code, text(1, 3, 5), text(1, 2, 3, 4, 5, 6)).alias("membership"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN o_custkey % 2 = 0 THEN 'ok' ELSE 'refused' END WHEN 1 THEN CASE WHEN o_custkey % 2 = 1 THEN 'ok' ELSE 'refused' END ELSE 'unsupported' END AS status FROM orders")

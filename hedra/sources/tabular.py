@@ -157,7 +157,8 @@ def verify_manifest(found: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, safe: bool = True) -> None:
     """UTF-8 files with a header; safe: no cell is one that a spreadsheet would run. Doubles keep all digits."""
-    out = df.select(*[(neutral_cell(F.col(c)) if safe and kind == "string" else F.col(c).cast("string")).alias(c) for c, kind in df.dtypes])
+    flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names may hold dots
+    out = flat.select(*[(neutral_cell(F.col(c)) if safe and kind == "string" else F.col(c).cast("string")).alias(name) for (c, kind), name in zip(flat.dtypes, df.columns, strict=True)])
     out.write.csv(path, header=True, quote='"', escape='"', emptyValue="", encoding="UTF-8", mode="overwrite")
 
 
