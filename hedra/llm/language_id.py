@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,8 @@ DIMS = 1 << 12
 ORDERS = (2, 3)
 #: Texts whose counts are held at once, each a row of DIMS.
 ROWS = 512
+#: Kids of a node: more of them are dealt over nodes between.
+MOST_KIDS = 16
 
 _LETTER = _LOWER.copy()
 _LETTER[[b for b in range(128) if not (97 <= b < 123 or 65 <= b < 91)]] = 32
@@ -81,29 +84,52 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 8.0, rounds: int = 12) -
     return w
 
 
+@dataclass
+class Node:
+    """A choice between kids (nodes or languages): the machines of their pairs stand from `first` on, pair after pair."""
+
+    kids: list[Node | str]
+    first: int = 0
+
+    def leaves(self) -> list[str]:
+        return [c for k in self.kids for c in ([k] if isinstance(k, str) else k.leaves())]
+
+
+def node_of(kids: list[Node | str]) -> Node | str:
+    """One node over the kids, or, where they are more than MOST_KIDS, over nodes of so many."""
+    while len(kids) > MOST_KIDS:
+        kids = [node_of(kids[i : i + MOST_KIDS]) for i in range(0, len(kids), MOST_KIDS)]
+    return kids[0] if len(kids) == 1 else Node(kids)
+
+
 class Model:
-    """Families, languages, and a machine for each pair of families and each pair of languages of a family."""
+    """A tree of families and languages. As no node has more than MOST_KIDS kids, machines grow with the number of languages and not with its square."""
 
     def __init__(self, x: np.ndarray, langs: np.ndarray) -> None:
         self.langs = sorted(set(langs.tolist()))
-        self.families = sorted({family_of(c) for c in self.langs})
-        own = np.array([family_of(c) for c in langs])
-        self.members = {f: [c for c in self.langs if family_of(c) == f] for f in self.families}
-        self.pairs: dict[tuple[str, str], int] = {}
-        weights = []
-        for group, classes in [(own, self.families), *((langs, m) for m in self.members.values())]:
-            for a, b in itertools.combinations(classes, 2):
-                use = (group == a) | (group == b)
-                self.pairs[a, b] = len(weights)
-                weights.append(fit_svm(x[use], np.where(group[use] == a, 1.0, -1.0)))
-        self.weights = np.array(weights).reshape(len(weights), x.shape[1] + 1)
-
-    def _vote(self, margins: np.ndarray, classes: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the class with most pairwise wins (then the largest sum of margins), and its least squashed margin."""
-        wins = np.zeros((len(margins), len(classes)))
-        least = np.ones((len(margins), len(classes)))
-        for i, j in itertools.combinations(range(len(classes)), 2):
-            m = margins[:, self.pairs[classes[i], classes[j]]]
+        families = sorted({family_of(c) for c in self.langs})
+        self.root = node_of([node_of([c for c in self.langs if family_of(c) == f]) for f in families])
+        self.machines: list[np.ndarray] = []
+        self._fit(self.root, x, langs)
+        weights = np.array(self.machines, np.float32).reshape(len(self.machines), x.shape[1] + 1)
+        self.weights, self.bias = np.ascontiguousarray(weights[:, :-1].T), 0.3 * weights[:, -1].astype(np.float64)
+        del self.machines
+
+    def _fit(self, node: Node | str, x: np.ndarray, langs: np.ndarray) -> None:
+        if isinstance(node, str):
+            return
+        node.first = len(self.machines)
+        own = [np.isin(langs, [k] if isinstance(k, str) else k.leaves()) for k in node.kids]
+        for a, b in itertools.combinations(own, 2):
+            use = a | b
+            self.machines.append(fit_svm(x[use], np.where(a[use], 1.0, -1.0)))
+        for k in node.kids:
+            self._fit(k, x, langs)
+
+    def _vote(self, margins: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the kid with most pairwise wins (then the largest sum of margins), and its least squashed margin."""
+        wins, least = np.zeros((len(margins), n)), np.ones((len(margins), n))
+        for m, (i, j) in zip(margins.T, itertools.combinations(range(n), 2), strict=True):
             p = 1 / (1 + np.exp(-3 * np.clip(m, -20, 20)))
             wins[:, i] += (m >= 0) + p / 1e3
             wins[:, j] += (m < 0) + (1 - p) / 1e3
@@ -112,29 +138,35 @@ class Model:
         return best, least[np.arange(len(best)), best]
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        margins = x @ self.weights[:, :-1].T.astype(np.float32) + 0.3 * self.weights[:, -1]
-        family, score = self._vote(margins, self.families)
-        lang = np.empty(len(x), object)
-        for k, f in enumerate(self.families):
-            at = np.flatnonzero(family == k)
-            if len(at):
-                best, sure = self._vote(margins[at], self.members[f])
-                lang[at] = np.array(self.members[f], object)[best]
+        """Language, family and score of each row."""
+        margins = x @ self.weights + self.bias
+        lang, score = np.empty(len(x), object), np.ones(len(x))
+
+        def walk(node: Node | str, at: np.ndarray) -> None:
+            if isinstance(node, str):
+                lang[at] = node
+            elif len(at):
+                n = len(node.kids)
+                best, sure = self._vote(margins[at, node.first : node.first + n * (n - 1) // 2], n)
                 score[at] *= sure
-        return lang, np.array(self.families, object)[family], score
+                for k, kid in enumerate(node.kids):
+                    walk(kid, at[best == k])
+
+        walk(self.root, np.arange(len(x)))
+        family = {c: family_of(c) for c in self.langs}
+        return lang, np.array([family[c] for c in lang], object), score
 
 
-def fit(docs: DataFrame, train: Column, per_language: int = 400, most_languages: int = 200, most_rows: int = 16_000) -> Model | None:
+def fit(docs: DataFrame, train: Column, per_language: int = 400, most_languages: int = 400, most_rows: int = 16_000) -> Model | None:
     """Fit on rows of (text, lang) where `train` holds and lang is not null: of distinct pairs, all of a language that has up to `per_language`
-    (less, where `most_rows` over all languages comes first), else about so many, taken by a hash of the pair. As machines grow with the square
-    of labels, more than `most_languages` are an error: such a column doesn't name languages. None if no row is fit to learn from."""
+    (less, where `most_rows` over all languages comes first), else about so many, taken by a hash of the pair. The sample bounds what can be learned: of
+    more labels than `most_languages`, those with most distinct texts are (ties by name), and rows of others get the learned language that is
+    nearest. None if no row is fit to learn from."""
     own = docs.where(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("draw", F.xxhash64("text", "lang"))
     texts = own.select("lang", "draw").distinct().groupBy("lang").count()
-    counts = {r["lang"]: r["count"] for r in texts.limit(most_languages + 1).collect()}
+    counts = {r["lang"]: r["count"] for r in texts.orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not counts:
         return None
-    if len(counts) > most_languages:
-        raise ValueError(f"more than {most_languages} distinct values of lang")
     most = min(per_language, most_rows // len(counts))
     share = F.create_map(*[F.lit(v) for c, n in sorted(counts.items()) for v in (c, min(1 << 30, int((1 << 30) * most / n)))])[F.col("lang")]
     # one row a pair, so the driver gets about `most` rows a language whatever is copied
@@ -169,7 +201,7 @@ def identify_languages(docs: DataFrame, train: Column | None = None, key: str =
     known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if model is None:
         return own.select(F.col("key").alias(key), F.lit("und").alias("lang_pred"), F.lit("und").alias("family_pred"), F.lit(0.0).alias("score"), *back)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few machines of DIMS weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # some 8 machines of DIMS floats a language, most_languages at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,7 @@
 """Every query's contract on the smallest tables, recomputed row by row in plain Python."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -10,9 +11,11 @@ import numpy as np
 import pytest
 from sentencepiece import SentencePieceProcessor
 
+from pyspark.sql import functions as F
+
 from hedra.llm import queries, telephony
 from tests.llm.test_near_duplicates import classes
-from tests.llm.texts import words
+from tests.llm.texts import sentence, vocabulary, words
 
 
 @pytest.fixture(scope="module")
@@ -148,17 +151,34 @@ def test_language_features_and_votes_by_loops():
     langs = np.array([rng.choice(["en", "de", "fr", "es", "fi"]) for _ in texts], object)
     model = li.Model(got, langs)
     lang, family, _ = model.predict(got)
-    margin = lambda x, a, b: float(x @ model.weights[model.pairs[a, b], :-1] + 0.3 * model.weights[model.pairs[a, b], -1])
-
-    def best(x, classes):
-        wins = dict.fromkeys(classes, 0.0)
-        for i, a in enumerate(classes):
-            for b in classes[i + 1 :]:
-                m = margin(x, a, b)
-                p = 1 / (1 + math.exp(-3 * max(-20, min(20, m))))
-                wins[a] += (m >= 0) + p / 1e3
-                wins[b] += (m < 0) + (1 - p) / 1e3
-        return max(classes, key=wins.get)
 
+    def best(x, node):
+        """The language of a node by plain votes, level by level."""
+        if isinstance(node, str):
+            return node
+        wins, pairs = [0.0] * len(node.kids), list(itertools.combinations(range(len(node.kids)), 2))
+        for k, (a, b) in enumerate(pairs):
+            m = float(x @ model.weights[:, node.first + k] + model.bias[node.first + k])
+            p = 1 / (1 + math.exp(-3 * max(-20, min(20, m))))
+            wins[a] += (m >= 0) + p / 1e3
+            wins[b] += (m < 0) + (1 - p) / 1e3
+        return best(x, node.kids[wins.index(max(wins))])
+
+    assert [k if isinstance(k, str) else k.leaves() for k in model.root.kids] == [["de", "en"], ["es", "fr"], "fi"]
     for x, c, f in zip(got, lang, family, strict=True):
-        assert f == best(x, model.families) and c == best(x, model.members[f])
+        assert c == best(x, model.root) and f == li.family_of(c)
+
+
+def test_op5_many_labels(spark):
+    """More labels than a node has kids, and more than are learned: machines stay in proportion, and every row gets a learned label."""
+    from hedra.llm import language_id as li
+
+    rng = random.Random(4)
+    vocab = {f"x{k:03d}": vocabulary(100 + k, 40) for k in range(60)}
+    rows = [(i, sentence(rng, vocab[c], 30), c) for i, c in enumerate(list(vocab) * 12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = li.fit(docs, F.lit(True))
+    assert model.weights.shape[1] < 60 * 8 and model.langs == sorted(vocab)
+    got = {r["doc_id"]: r["lang_pred"] for r in li.identify_languages(docs).collect()}
+    assert sum(got[i] == c for i, _, c in rows) > 0.9 * len(rows)
+    assert li.fit(docs, F.lit(True), most_languages=5).langs == sorted(vocab)[:5]
