@@ -153,10 +153,10 @@ def toxic_lexicon(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     return np.sort(np.array([r["word"] for r in found.select("word").collect()], np.int64).view(np.uint64))
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", sample_rows: int = 6000) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", sample_rows: int = 6000, longest: int = 16_384) -> DataFrame:
     """Judgement of every whole text: key, keep, quality and toxicity (posterior and scorer together, 0 to 1), and the four parts.
 
-    `labels` (key, toxic) may mark some documents; see toxic_lexicon. The scorer learns from about `sample_rows` distinct texts that have a word, drawn by a hash; votes are counted over all. keep: quality is at least
+    `labels` (key, toxic) may mark some documents; see toxic_lexicon. The scorer learns from about `sample_rows` distinct texts (twice as many at most) of up to `longest` bytes that have a word, drawn by a hash; longer ones are judged all the same, and votes are counted over all. keep: quality is at least
     and toxicity under a half. A null or empty text has no words: its votes abstain or say bad, and its scores are the scorer's bias. Equal
     texts get equal judgement, repeated rows and null keys stay rows of their own; an empty table gives an empty result; other columns are
     ignored.
@@ -192,7 +192,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame | None = None, key: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), *(pa.array(m.posterior(v)) for m, v in zip(models, (q, t), strict=True))], names=["words", "q", "t"])
 
     # of distinct texts with a word, so that neither empty texts nor copies crowd out others
-    some = own.where(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]")).select("text", F.xxhash64("text").alias("hash"))
+    some = own.where((F.octet_length("text") <= longest) & F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]")).select("text", F.xxhash64("text").alias("hash"))
     kinds = some.select("hash").distinct().count()
     draw = some.where(F.pmod(F.xxhash64("hash", F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * min(1, sample_rows / max(kinds, 1))))
     once = draw.groupBy("hash").agg(F.first("text").alias("text")).orderBy(F.xxhash64("hash", F.lit(2))).limit(2 * sample_rows)
