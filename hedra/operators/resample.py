@@ -13,6 +13,7 @@ from hedra.functions import parse
 from hedra.functions.transforms import transform
 from hedra.operators import search
 from hedra.operators.encode import Encoder, apply_encoder, fit_encoder
+from hedra.operators.ordered import even_chunks, number_rows
 from hedra.operators.profile import dispersion, metrics
 from hedra.operators.regress import CONST, Fit, _fold, _width_first, prediction, solve, triangles
 
@@ -37,6 +38,43 @@ def group_folds(df: DataFrame, group: str, k: int, seed: int) -> DataFrame:
     return k_folds(df, group, k, seed).withColumn("fold", F.when(F.col(group).isNotNull(), F.col("fold")))
 
 
+def _in_drawn_order(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Adds _pos, gapless from 0, in order of a hash of the key (ties by the key): an order that neither partitions nor retries change, numbered in buckets."""
+    return number_rows(df.withColumn("_h", F.xxhash64(F.col(key).cast("string"), F.lit(seed))), "_h", key, name="_pos").drop("_h")
+
+
+def exact_holdout(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
+    """Adds role: exactly the rounded (half to even) share of the rows are test rows, at least one and not all."""
+    n = df.count()
+    if n < 2:
+        raise ValueError("an external split needs two rows")
+    want = min(max(round(n * share), 1), n - 1)
+    return _in_drawn_order(df, key, seed).withColumn("role", F.when(F.col("_pos") < want, "test").otherwise("train")).drop("_pos")
+
+
+def exact_folds(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+    """Adds fold 0 .. k-1 (or as many as rows, if they are fewer); sizes are one apart, the first folds are the larger ones."""
+    n = df.count()
+    if n < 2:
+        raise ValueError("an external split needs two rows")
+    return even_chunks(_in_drawn_order(df, key, seed), "_pos", min(k, n), "fold").drop("_pos")
+
+
+def exact_group_folds(df: DataFrame, group: str, k: int, seed: int, share: float | None = None) -> DataFrame:
+    """Adds fold: groups are dealt in a drawn order into folds whose numbers of groups are one apart, and rows follow their group; rows without one have none. With
+    `share`, fold 0 has the rounded share of the groups (at least one and not all) and fold 1 the rest."""
+    groups = df.select(F.col(group).alias("_g")).where("_g IS NOT NULL").distinct()
+    n = groups.count()
+    if n < 2:
+        raise ValueError("a split by groups needs two of them")
+    placed = _in_drawn_order(groups, "_g", seed)
+    if share is None:
+        placed = even_chunks(placed, "_pos", min(k, n), "fold")
+    else:
+        placed = placed.withColumn("fold", (F.col("_pos") >= min(max(round(n * share), 1), n - 1)).cast("int"))
+    return df.join(placed.drop("_pos"), F.col(group) == F.col("_g"), "left").drop("_g")
+
+
 def fold_models(df: DataFrame, fold: str, target: str, features: list[str]) -> dict[str, Fit]:
     """A model for each fold from the rows of all others, in one pass: each fold's triangle is made once, and a model stacks the others' triangles."""
     names = [CONST, *features, target]

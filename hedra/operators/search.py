@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from hedra.functions.transforms import domains, transform
+from hedra.functions import rules
+from hedra.functions.transforms import clamp, domains, transform
+from hedra.operators.profile import axis_ranges
 from hedra.operators.regress import CONST, Fit, solve, triangles
 
 #: Up to this many candidates a search is exact unless a budget says less.
@@ -106,9 +108,79 @@ def _columns(units: dict[str, Unit], chosen: dict[str, str]) -> list[str]:
 
 
 SCHEMA = "candidate_id string, status string, n bigint, k int, rmse double, aic double, bic double, r2 double, f_p double, worst_p double, condition double"
+#: And of a search for one subject.
+SUBJECT_SCHEMA = "slopes int, point double, mean_low double, mean_high double, amplitude_pct double, positions array<string>, single_deltas array<double>, joint_delta double"
 LOG = "log|"
 
 
+@dataclass(frozen=True)
+class Policy:
+    """What a candidate must reach to be framed: a grade (with verified grades of the documentary items 1 and 3), measures that must be there, and a precision."""
+
+    level: float = 0.80
+    least_grade: int | None = None
+    documents: tuple[int | None, int | None] = (None, None)
+    diagnostics: tuple[str, ...] = ()
+    require_precision: bool = False
+
+
+@dataclass(frozen=True)
+class Subject:
+    """A subject as every candidate sees it: each design column's value, that value with its variable set to the sample's limit, and each variable's position."""
+
+    actual: dict[str, float | None]
+    limit: dict[str, float | None]
+    position: dict[str, str | None]
+
+
+def place_subject(df: DataFrame, subject: DataFrame, units: list[Unit]) -> Subject:
+    """From a table of one row with the units' variables (and indicators); the sample's ranges take one pass over `df`."""
+    numeric = [u.base for u in units if not u.columns]
+    ranges = axis_ranges(df, numeric) if numeric else {}
+    ends = {c: tuple(F.lit(x).cast("double") for x in ranges[c]) for c in numeric}
+    x = {c: F.col(c).try_cast("double") for c in numeric}
+    picked = [F.col(c).cast("double").alias(f"{kind}:{c}") for u in units for c in u.columns for kind in "al"]
+    for u in units:
+        if not u.columns:
+            picked += [f.alias(f"{kind}:{u.base}|{o}") for o in u.options for kind, f in (("a", transform(o, x[u.base])), ("l", transform(o, clamp(x[u.base], *ends[u.base]))))]
+            picked.append(rules.measure_position(x[u.base], *ends[u.base]).alias(f"p:{u.base}"))
+    row = subject.select(*picked).first().asDict()
+    return Subject(*({k[2:]: v for k, v in row.items() if k[0] == kind} for kind in "alp"))
+
+
+def _valued(fit: Fit, bases: dict[str, str | None], subject: Subject, level: float, log: bool) -> tuple:
+    """What SUBJECT_SCHEMA names, of one model. bases: numeric variable of each design column but the constant, None for indicators."""
+    slopes = len(fit.columns) - 1
+    names = [c for c in fit.columns if c != CONST]
+    variables = list(dict.fromkeys(b for b in bases.values() if b))
+    positions = [subject.position[b] for b in variables]
+    if fit.status != "fitted" or any(subject.actual[c] is None for c in names):
+        return (slopes, None, None, None, None, positions, None, None)
+    x = np.array([1.0 if c == CONST else subject.actual[c] for c in fit.columns])
+    back = math.exp if log else float
+    mu, half = float(fit.beta @ x), fit.t_critical(level) * fit.sigma * float(np.linalg.norm(fit.inverse.T @ x))
+    point, low, high = back(mu), back(mu - half), back(mu + half)
+    beta = dict(zip(fit.columns, fit.beta, strict=True))
+    moves = {b: sum(float(beta[c]) * (subject.limit[c] - subject.actual[c]) for c in names if bases[c] == b) for b in variables}
+    change = lambda move: abs(point - at) / abs(at) * 100 if (at := back(mu + move)) else None
+    singles = [change(moves[b]) if subject.position[b] == "extended" else None for b in variables]
+    return (slopes, point, low, high, abs(high - low) / abs(point) * 100 if point else None, positions, singles, change(sum(moves.values())))
+
+
+def framed(records: DataFrame, policy: Policy) -> DataFrame:
+    """Adds grade (of the foundation table, from each candidate's own items 2, 4, 5 and 6) and framing, which a candidate without a value for a required measure lacks."""
+    slopes = F.col("slopes")
+    documents = [F.lit(g).cast("int") for g in policy.documents]
+    worst = rules.item_5(F.array("worst_p"))
+    grade = rules.foundation([documents[0], rules.item_2(F.col("n"), slopes), documents[1], rules.item_4(F.col("positions"), F.col("single_deltas"), F.col("joint_delta")), worst, rules.item_6(F.col("f_p"))])
+    out = records.withColumn("grade", grade)
+    good = F.col("status") == "fitted"
+    good = good & F.coalesce(F.col("grade") >= policy.least_grade, F.lit(False)) if policy.least_grade is not None else good
+    for c in (*policy.diagnostics, *(["amplitude_pct"] if policy.require_precision else [])):
+        good = good & F.col(c).isNotNull()
+    return out.withColumn("framing", good)
+
+
 def search_design(df: DataFrame, target: str, units: list[Unit], log: bool = False, more: list[Column] | None = None) -> DataFrame:
     """const, every option of every unit, the target and, if asked for, its logarithm (null where it has none); and more columns."""
     y = F.col(target).cast("double")
@@ -147,12 +219,15 @@ def original_errors(design: DataFrame, fits: dict[str, Fit], target: str, chunk:
     return {ids[r["i"]]: math.sqrt(r["sse"] / r["n"]) for r in found if r["n"]}
 
 
-def search_models(df: DataFrame, target: str, units: list[Unit], objective: str = "rmse", budget: int | None = None, mode: str = "auto", policy: str | int | None = None, seed: int = 0, targets: tuple[str, ...] = ("identity",)) -> Search:
+def search_models(df: DataFrame, target: str, units: list[Unit], objective: str = "rmse", budget: int | None = None, mode: str = "auto", policy: str | int | None = None, seed: int = 0, targets: tuple[str, ...] = ("identity",), subject: DataFrame | None = None, frame: Policy | None = None) -> Search:
     """Rank all candidates (exact) or a diverse budget of them, by the objective (rmse, aic or bic; less is better), ties by candidate_id.
 
     The rows are read once for the triangle of every transform of every variable; candidates are solved from it in parallel tasks. targets may
     name `log` besides `identity`: then each candidate stands once for each, and rmse of a log model is of its values on the target's own scale,
     from one more pass over the rows. A target that isn't positive everywhere has no log models. An approximate search never claims the optimum.
+
+    subject: a table of one row. Then each candidate's value of it, the interval, its amplitude and how far it extrapolates come from the candidate's
+    own triangle in the solver's tasks, without another pass, and candidates that meet the policy `frame` rank before all others (see `rank`).
     """
     objective = {"original_rmse": "rmse"}.get(objective.lower(), objective.lower())
     if objective not in ("rmse", "aic", "bic"):
@@ -172,16 +247,24 @@ def search_models(df: DataFrame, target: str, units: list[Unit], objective: str
     chosen = list(exact(units, most)) if is_exact else diverse(units, -(-limit // len(targets)), most, seed)
     specs = {candidate_id(c, kind): (c, kind) for kind in targets for c in chosen}
     rows = [(k, [CONST, *_columns(by, c)], len(c), kind) for k, (c, kind) in specs.items()]
+    policy_of = frame or Policy()
+    seen = place_subject(df, subject, units) if subject is not None else None
+    base_of = {f"{u.base}|{o}": u.base for u in units if not u.columns for o in u.options}
+    fields = f"{SCHEMA}, {SUBJECT_SCHEMA}" if seen else SCHEMA
     shared = spark.sparkContext.broadcast((r, n, names))  # the square of the design's width
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r, n, names = shared.value
         for batch in batches:
-            out = [(c, *_record(solve(r, n, names, list(columns), target if kind == "identity" else LOG + target), n, k)) for c, columns, k, kind in zip(batch.candidate_id, batch.columns_, batch.k, batch.kind, strict=True)]
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in SCHEMA.split(", ")])
+            out = []
+            for c, columns, k, kind in zip(batch.candidate_id, batch.columns_, batch.k, batch.kind, strict=True):
+                made = solve(r, n, names, list(columns), target if kind == "identity" else LOG + target)
+                more = _valued(made, {x: base_of.get(x) for x in columns if x != CONST}, seen, policy_of.level, kind == "log") if seen else ()
+                out.append((c, *_record(made, n, k), *more))
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in fields.split(", ")])
 
     table = spark.createDataFrame(pd.DataFrame(rows, columns=["candidate_id", "columns_", "k", "kind"]), "candidate_id string, columns_ array<string>, k int, kind string")
-    scored = table.repartition(min(64, len(rows) // 64 + 1)).mapInPandas(score, SCHEMA)
+    scored = table.repartition(min(64, len(rows) // 64 + 1)).mapInPandas(score, fields)
 
     def fit(candidate: str) -> Fit:
         c, kind = specs[candidate]
@@ -197,7 +280,7 @@ def search_models(df: DataFrame, target: str, units: list[Unit], objective: str
         known = spark.createDataFrame(list(errors.items()), "candidate_id string, own_rmse double")
         scored = scored.join(F.broadcast(known), "candidate_id", "left").withColumn("rmse", F.coalesce("own_rmse", "rmse")).drop("own_rmse")  # a row a candidate
     audit = {"mode": "exact" if is_exact else "approximate", "possible": possible, "evaluated": len(rows), "exact_optimum_guaranteed": is_exact, "n": n, "targets": targets}
-    return Search(rank(scored, objective), audit, fit, features)
+    return Search(rank(framed(scored, policy_of) if seen else scored, objective), audit, fit, features)
 
 
 def rank(records: DataFrame, objective: str = "rmse") -> DataFrame:
@@ -250,7 +333,9 @@ def most_correlated(correlations: DataFrame, target: str, n: int) -> DataFrame:
 
 
 def admissible(records: DataFrame, worst_p: float = 0.30, f_p: float = 0.05) -> DataFrame:
-    """Adds admissible: fitted and within the limits of significance."""
+    """Adds admissible: framed, where the search was for a subject, else fitted and within the limits of significance."""
+    if "framing" in records.columns:
+        return records.withColumn("admissible", F.coalesce((F.col("status") == "fitted") & F.col("framing"), F.lit(False)))
     return records.withColumn("admissible", (F.col("status") == "fitted") & F.coalesce((F.col("worst_p") <= worst_p) & (F.col("f_p") <= f_p), F.lit(False)))
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hedra.functions import parse, rules, transforms
-from hedra.operators import cost, encode, ledger, ordered, profile, records, regress, resample, score, search
+from hedra.operators import cost, encode, ledger, ordered, profile, records, regress, reproduce, resample, score, search
 from hedra.operators.encode import Encoder
 from hedra.operators.regress import CONST
+from hedra.plans import batch
 from hedra.plans.ingest import Ingested, Source, ingest_csv
 from hedra.plans.valuation import Request, value
 from hedra.sources import tabular
@@ -1004,6 +1005,87 @@ def interval_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def _quantile(q: str) -> str:
+    return f"({q} + ({q} ** 3 + {q}) / (4 * df) + (5 * {q} ** 5 + 16 * {q} ** 3 + 3 * {q}) / (96 * df ** 2))"
+
+
+_STEPS = lambda limits: "CASE " + " ".join(f"WHEN t >= {_quantile(q)} THEN {g}" for g, q in zip((3, 2, 1), limits, strict=True)) + " ELSE 0 END"
+
+
+# one variable a candidate: t of the slope decides items 5 and 6
+@query(
+    "WITH s AS (SELECT l_extendedprice AS y, l_quantity AS a, least(l_quantity, 25) AS b, l_tax AS c FROM lineitem WHERE l_orderkey % 2 = 0 AND l_quantity <= 30), c AS ("
+    + " UNION ALL ".join(f"SELECT '{name}' AS v, {x0}::DOUBLE AS x0, regr_intercept(y, {x}) AS i, regr_slope(y, {x}) AS m, avg({x}) AS mx, regr_sxx(y, {x}) AS sxx, count(*) AS n, count(*) - 2 AS df, regr_syy(y, {x}) - regr_sxy(y, {x}) ** 2 / regr_sxx(y, {x}) AS sse, min({x}) AS lo, max({x}) AS hi FROM s" for name, x, x0 in (("capped", "b", 25), ("quantity", "a", 40), ("tax", "c", 0.04)))
+    + f"""), p AS (SELECT *, i + m * x0 AS point, {_quantile('1.2815515655446004')} * sqrt(sse / df * (1 / n + (x0 - mx) ** 2 / sxx)) AS half, abs(m) / sqrt(sse / df / sxx) AS t, i + m * greatest(least(x0, hi), lo) AS edge FROM c),
+    g AS (SELECT *, 200 * half / abs(point) AS amplitude, CASE WHEN x0 BETWEEN lo AND hi THEN 3 WHEN x0 NOT BETWEEN lo / 2 AND hi * 2 THEN 0 WHEN abs(point - edge) / abs(edge) <= .15 THEN 2 WHEN abs(point - edge) / abs(edge) <= .2 THEN 1 ELSE 0 END AS i4,
+      {_STEPS(("1.6448536269514722", "1.2815515655446004", "1.0364333894937898"))} AS i5, {_STEPS(("2.5758293035489004", "2.3263478740408408", "1.959963984540054"))} AS i6 FROM p),
+    f AS (SELECT *, CASE WHEN 9 + i4 + i5 + i6 >= 16 AND least(i4, i5, i6) >= 3 THEN 3 WHEN 9 + i4 + i5 + i6 >= 10 AND least(i4, i5, i6) >= 2 THEN 2 WHEN 9 + i4 + i5 + i6 >= 6 AND least(i4, i5, i6) >= 1 THEN 1 END AS grade FROM g)
+    SELECT v || ':linear|y:identity|int:1' AS candidate_id, grade, coalesce(grade >= 2, false) AS framing, round(point, 4) AS point, round(amplitude, 6) AS amplitude, row_number() OVER (ORDER BY coalesce(grade >= 2, false) DESC, sse)::INT AS rank FROM f"""
+)
+def search_for_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A subject beyond the sample's quantities: the best fit extrapolates too far, so that a framed candidate wins before it."""
+    li = read(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0 AND l_quantity <= 30")
+    sample = li.select("l_extendedprice", F.col("l_quantity").alias("quantity"), F.least("l_quantity", F.lit(25)).alias("capped"), F.col("l_tax").alias("tax"))
+    subject = spark.createDataFrame([(40.0, 25.0, 0.04)], "quantity double, capped double, tax double")
+    units = [search.Unit(c, ("linear",)) for c in ("quantity", "capped", "tax")]
+    found = search.search_models(sample, "l_extendedprice", units, policy=1, subject=subject, frame=search.Policy(least_grade=2, documents=(3, 3), require_precision=True))
+    return found.records.select("candidate_id", "grade", "framing", r("point", 4).alias("point"), r("amplitude_pct", 6).alias("amplitude"), "rank")
+
+
+@query(
+    """WITH f AS (SELECT unnest(['point', 'mean_low', 'mean_high', 'pred_low', 'pred_high']) AS field), k AS (SELECT unnest(['end', 'coefficient']) AS tampered)
+    SELECT tampered, field, CASE WHEN tampered = 'coefficient' THEN false ELSE NOT (field = 'mean_high' AND p_partkey % 10 = 0) END AS agrees, count(*) AS n FROM part, f, k GROUP BY ALL"""
+)
+def reproduced_independently(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored values against their own model by joins: every tenth upper end was changed, then, in another folder, a coefficient."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("subject_id"), "p_size", "p_brand", "p_retailprice")
+    made = value(p, Request("p_retailprice", ["p_size"], ["p_brand"]))
+    scored = made.score(p.withColumn("raw", F.struct("p_size", "p_brand")))
+    out = []
+    for kind in ("end", "coefficient"):
+        path = f"{shared_dir(spark)}/disclosed-{uuid.uuid4().hex}"
+        high = F.col("mean_high")
+        reproduce.store(scored.withColumn("mean_high", F.when(F.col("subject_id").cast("bigint") % 10 == 0, high * 1.001).otherwise(high)) if kind == "end" else scored, made.frozen, path)
+        if kind == "coefficient":
+            terms = spark.createDataFrame(spark.read.parquet(f"{path}/terms").collect(), "term string, beta double, variable string, level string")  # a row a term
+            terms.withColumn("beta", F.when(F.col("term") == "p_size", F.col("beta") + 0.01).otherwise(F.col("beta"))).write.mode("overwrite").parquet(f"{path}/terms")
+        out.append(reproduce.reproduce(spark, path).groupBy(F.lit(kind).alias("tampered"), "field", "agrees").agg(F.count(F.lit(1)).alias("n")))
+    return out[0].unionByName(out[1])
+
+
+@query(_BATCH)
+def batch_cancel_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch that was cancelled after three of its slices, and taken up again: each line has one result."""
+    li = read(spark, sf_dir, "lineitem").withColumn("subject_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    frozen = value(li.where("l_orderkey % 2 = 0 AND l_quantity <= 30"), Request("l_extendedprice", ["l_quantity"])).frozen
+    path = f"{shared_dir(spark)}/batch-{uuid.uuid4().hex}"
+    batch.run_batch(li, frozen, path, slices=6, cancelled=lambda done: done == 3)
+    batch.run_batch(li, frozen, path, slices=6)
+    return batch.results(spark, path).select("l_orderkey", "l_linenumber", "status", r("point", 3).alias("point"))
+
+
+@query(
+    """WITH n AS (SELECT count(*) AS n FROM events), h AS (SELECT n, round_even(n * .25, 0)::BIGINT AS t FROM n), f AS (SELECT n, unnest(range(7)) AS fold FROM n)
+    SELECT 'holdout' AS kind, 'test' AS part, t AS n FROM h UNION ALL SELECT 'holdout', 'train', n - t FROM h UNION ALL SELECT 'folds', fold::VARCHAR, n // 7 + (fold < n % 7)::INT FROM f"""
+)
+def exact_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of an exact hold-out of a quarter, and of seven folds."""
+    e = read(spark, sf_dir, "events").select("event_id")
+    sizes = lambda d, kind, part: d.groupBy(F.lit(kind).alias("kind"), F.col(part).cast("string").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    return sizes(resample.exact_holdout(e, "event_id", 0.25, 7), "holdout", "role").unionByName(sizes(resample.exact_folds(e, "event_id", 7, 7), "folds", "fold"))
+
+
+@query(
+    """WITH g AS (SELECT count(DISTINCT o_custkey) AS n FROM orders), f AS (SELECT n, unnest(range(6)) AS fold FROM g)
+    SELECT fold::INT AS fold, n // 6 + (fold < n % 6)::INT AS n_groups, 0::BIGINT AS n_split FROM f"""
+)
+def exact_group_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of six folds of orders by customer, and how many groups lie in several folds."""
+    placed = resample.exact_group_folds(read(spark, sf_dir, "orders"), "o_custkey", 6, 3)
+    each = placed.groupBy("o_custkey").agg(F.min("fold").alias("fold"), F.count_distinct("fold").alias("folds"))
+    return each.groupBy("fold").agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("folds") > 1).alias("n_split"))
+
+
 # -- rows by id, summaries, rules ----------------------------------------------------------------------------------------
 
 
