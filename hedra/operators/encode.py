@@ -82,22 +82,27 @@ def _level(state: Encoder, column: str) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for p in mapping.items() for x in p])[level], level) if mapping else level
 
 
-def apply_encoder(df: DataFrame, state: Encoder, locale: str = "auto") -> DataFrame:
-    """Adds the features and `unsupported` (columns whose value has no encoding). Numbers that are texts are read under the locale. An unknown or missing level leaves all indicators of its
+def feature_columns(df: DataFrame, state: Encoder, locale: str = "auto") -> dict[str, Column]:
+    """An expression for every feature. Numbers that are texts are read under the locale; an unknown or missing level leaves all indicators of its
     group null, never zero, which would be the reference."""
-    features: dict[str, Column] = {}
-    odd = []
+    out: dict[str, Column] = {}
     for c, fill in state.numeric.items():
         x = parse.finite(parse.number(df, c, locale))
-        features[f"_{c}"] = x if fill is None else F.coalesce(x, F.lit(fill))
-        odd.append(F.when(features[f"_{c}"].isNull(), F.lit(c)))
+        out[c] = x if fill is None else F.coalesce(x, F.lit(fill))
     for c, levels in state.levels.items():
         v = _level(state, c)
         known = F.coalesce(v.isin(levels), F.lit(False))
-        for level, name in state.indicators(c).items():
-            features[name] = F.when(known, (v == level).cast("double"))
-        odd.append(F.when(~known, F.lit(c)))
-    out = df.withColumns(features | {"unsupported": F.filter(F.array(*odd), lambda c: c.isNotNull())})
+        out |= {name: F.when(known, (v == level).cast("double")) for level, name in state.indicators(c).items()}
+    return out
+
+
+def apply_encoder(df: DataFrame, state: Encoder, locale: str = "auto") -> DataFrame:
+    """Adds the features (see `feature_columns`) and `unsupported` (columns whose value has no encoding)."""
+    own = feature_columns(df, state, locale)
+    odd = [F.when(own[c].isNull(), F.lit(c)) for c in state.numeric]
+    odd += [F.when(~F.coalesce(_level(state, c).isin(levels), F.lit(False)), F.lit(c)) for c, levels in state.levels.items()]
+    unsupported = F.filter(F.array(*odd), lambda c: c.isNotNull())
+    out = df.withColumns({f"_{c}" if c in state.numeric else c: x for c, x in own.items()} | {"unsupported": unsupported})
     for c in state.numeric:
         out = out.drop(c).withColumnRenamed(f"_{c}", c)
     return out

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hedra.functions import parse
+from hedra.functions.transforms import NAMES as TRANSFORMS
 from hedra.functions.transforms import transform
 from hedra.operators import search
-from hedra.operators.encode import Encoder, apply_encoder, fit_encoder
+from hedra.operators.encode import MOST_LEVELS, Encoder, apply_encoder, feature_columns, fit_encoder
 from hedra.operators.ordered import even_chunks, number_rows
 from hedra.operators.profile import dispersion, metrics
 from hedra.operators.regress import CONST, Fit, _fold, _width_first, prediction, solve, triangles
@@ -152,22 +153,23 @@ def _drawn(key: str, replicates: int, seed: int, weighted: bool = True) -> Colum
 def bootstrap_selection(df: DataFrame, key: str, target: str, units: list[search.Unit], replicates: int, seed: int, policy: str | int | None = None, objective: str = "rmse") -> DataFrame:
     """replicate, status, candidate_id, variables and objective of the best candidate of each replicate: the whole selection is run again on each, from one
     pass over the rows. The space is searched exactly up to search.BUDGET candidates, else by as many diverse ones."""
-    by, rows = {u.base: u for u in units}, []
-    design = search.search_design(df, target, units, more=[_drawn(key, replicates, seed)])
+    by, design = {u.base: u for u in units}, search.search_design(df, target, units, more=[_drawn(key, replicates, seed)])
     names = [c for c in design.columns if c != "_w"]
-    parts = triangles(design, [], names, weights="_w")
-    for (replicate,), (r, n) in parts.items():
+    parts = {g: part for (g,), part in triangles(design, [], names, weights="_w").items()}
+    specs, held = [], []
+    for g, (_, n) in parts.items():
         most = search.most_variables(n, policy)
         few = search.count_candidates([len(u.options) for u in units], most) <= search.BUDGET
-        best = None
-        for c in search.exact(units, most) if few else search.diverse(units, search.BUDGET, most, seed):
-            fit = solve(r, n, names, [CONST, *search._columns(by, c)], target)
-            if fit.status == "fitted":
-                s = fit.statistics()
-                score = (fit.sse / n) ** 0.5 if objective == "rmse" else s[objective]
-                best = min(best or (np.inf, 0, "", []), (score, len(c), search.candidate_id(c), sorted(c)))
-        rows.append((int(replicate), "ok" if best else "failed", best and best[2], best and best[3], best and float(best[0])))
-    return df.sparkSession.createDataFrame(rows, "replicate int, status string, candidate_id string, variables array<string>, score double")
+        chosen = list(search.exact(units, most) if few else search.diverse(units, search.BUDGET, most, seed))
+        specs += [(g, search.candidate_id(c), [CONST, *search._columns(by, c)], len(c), "identity") for c in chosen]
+        held += [(search.candidate_id(c), sorted(c)) for c in chosen]
+    spark = df.sparkSession
+    solved = search.solve_groups(spark, parts, names, target, specs)
+    good = solved.where("status = 'fitted'").groupBy("group").agg(F.min_by(F.struct("candidate_id", F.col(objective).alias("score")), F.struct(objective, "k", "candidate_id")).alias("best"))
+    variables = spark.createDataFrame(list(dict(held).items()), "candidate_id string, variables array<string>")
+    every = spark.createDataFrame([(g,) for g in parts], "group string")
+    out = every.join(F.broadcast(good), "group", "left").select("group", "best.*").join(F.broadcast(variables), "candidate_id", "left")  # a row a replicate; a row a candidate
+    return out.select(F.col("group").cast("int").alias("replicate"), F.when(F.col("candidate_id").isNull(), "failed").otherwise("ok").alias("status"), "candidate_id", "variables", "score")
 
 
 @dataclass
@@ -180,12 +182,15 @@ class Predictor:
     features: list[tuple[str, str, str]]
     log: bool = False
 
+    def value(self, df: DataFrame) -> Column:
+        """The prediction for rows of `df`, as an expression: null with a missing number, an unknown level or a value outside of a transform's domain."""
+        of, beta = feature_columns(df, self.encoder), dict(zip(self.fit.columns, self.fit.beta, strict=True))
+        mu = sum((F.lit(float(beta[name])) * transform(option, of[base]) for name, base, option in self.features), F.lit(float(beta[CONST])))
+        return parse.finite(F.exp(mu) if self.log else mu)
+
     def predict(self, df: DataFrame) -> DataFrame:
-        """A row with a missing number, an unknown level or a value outside of a transform's domain has no value and status failed."""
-        out = apply_encoder(df.withColumn("_raw", F.struct(*df.columns)), self.encoder)
-        beta = dict(zip(self.fit.columns, self.fit.beta, strict=True))
-        mu = sum((F.lit(float(beta[name])) * transform(option, F.col(base)) for name, base, option in self.features), F.lit(float(beta[CONST])))
-        out = out.select("_raw.*", parse.finite(F.exp(mu) if self.log else mu).alias("predicted"))
+        """Adds predicted, and status: failed where there is no value."""
+        out = df.withColumn("predicted", self.value(df))
         return out.withColumn("status", F.when(F.col("predicted").isNull(), "failed").otherwise("ok"))
 
 
@@ -208,21 +213,143 @@ def fit_procedure(train: DataFrame, target: str, numeric: list[str], categorical
     return Predictor(encoder, name, found.fit(name), found.features(name), "|y:log|" in name)
 
 
-def evaluate_selection(df: DataFrame, fold: str, target: str, numeric: list[str], categorical: list[str], **procedure) -> tuple[DataFrame, dict[str, str | None]]:
+def fold_encoders(df: DataFrame, fold: str, target: str, numeric: list[str], categorical: list[str]) -> dict[str, tuple[Encoder, dict[str, list[str]]]]:
+    """For each fold (as text), the encoder and the allowed transforms that the other folds' rows with a target give: complete cases, references by frequency. Two aggregations over all rows, whatever the number
+    of folds, since what a training side shows is what its folds show together."""
+    seen = df.where(F.col(target).isNotNull()).withColumn("_fold", F.col(fold).cast("string"))
+    x = {c: parse.finite(parse.number(df, c)) for c in numeric}
+    raw = {c: parse.number(df, c) for c in numeric}
+    aggs = []
+    for i, c in enumerate(numeric):
+        aggs += [F.count(x[c]).alias(f"n{i}"), F.min(x[c]).alias(f"a{i}"), F.max(x[c]).alias(f"b{i}"), F.bool_or(x[c].isNull() & raw[c].isNotNull()).alias(f"o{i}")]
+        aggs += [F.bool_and(transform(t, x[c]).isNotNull() | x[c].isNull()).alias(f"{t}{i}") for t in TRANSFORMS]
+    rows = {r["_fold"]: r for r in seen.groupBy("_fold").agg(F.count(F.lit(1)).alias("rows"), *aggs).collect()}  # a row a fold
+    levels: dict[tuple[str, str], dict[str, int]] = {}
+    many: set[str] = set()
+    if categorical:
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), parse.category(F.col(c).cast("string")).alias("level")) for c in categorical])
+        counts = seen.select("_fold", F.inline(pairs)).where("level IS NOT NULL").groupBy("_fold", "column", "level").agg(F.count(F.lit(1)).alias("n"))
+        sizes = counts.groupBy("column").agg(F.count_distinct("level").alias("n"))
+        many = {r["column"] for r in sizes.where(F.col("n") > MOST_LEVELS).collect()}
+        for r in counts.where(~F.col("column").isin(sorted(many))).collect() if many else counts.collect():  # MOST_LEVELS a fold and column at most
+            levels.setdefault((r["_fold"], r["column"]), {})[r["level"]] = r["n"]
+    out = {}
+    for held in rows:
+        others = [r for k, r in rows.items() if k != held]
+        state, options = Encoder(), {}
+        for i, c in enumerate(numeric):
+            own = [r for r in others if r[f"n{i}"]]
+            if not own or min(r[f"a{i}"] for r in own) == max(r[f"b{i}"] for r in own):
+                state.dropped[c] = "constant_column" if own else "group_no_support"
+                continue
+            state.numeric[c] = None
+            options[c] = [] if any(r[f"o{i}"] for r in others) else [t for t in TRANSFORMS if all(r[f"{t}{i}"] is not False for r in own)]
+        for c in categorical:
+            total: dict[str, int] = {}
+            for k in rows:
+                if k != held:
+                    for level, n in levels.get((k, c), {}).items():
+                        total[level] = total.get(level, 0) + n
+            if c in many or len(total) < 2:
+                state.dropped[c] = "high_cardinality" if c in many else "constant_column" if total else "category_no_support"
+                continue
+            state.levels[c] = sorted(total)
+            state.reference[c] = min(total, key=lambda v: (-total[v], v))
+        out[held] = state, options
+    return out
+
+
+def fit_folds(df: DataFrame, fold: str, target: str, numeric: list[str], categorical: list[str], policy: str | int | None = None, objective: str = "rmse", targets: tuple[str, ...] = ("identity",), options: tuple[str, ...] | None = None, budget: int | None = None) -> dict[str, Predictor | None]:
+    """The procedure of `fit_procedure`, of complete cases, for every fold from the other folds' rows. Folds whose training sides have the same levels and transforms share one
+    pass over the rows: a triangle for each fold, of which a training side stacks all but its own. Candidates of all folds are solved together in tasks."""
+    states, spark = fold_encoders(df, fold, target, numeric, categorical), df.sparkSession
+    alike: dict[str, list[str]] = {}
+    for held, (state, allowed) in states.items():
+        alike.setdefault(f"{state.dumps()}{sorted(allowed.items())}", []).append(held)
+    made: dict[str, Predictor | None] = dict.fromkeys(states)
+    for group in alike.values():
+        state, allowed = states[group[0]]
+        units = [search.Unit(c, tuple(o for o in allowed[c] if not options or o in options)) for c in state.numeric]
+        units = [u for u in units if u.options] + [search.Unit(c, ("encoded",), tuple(state.indicators(c).values())) for c in state.levels]
+        if not units:
+            continue
+        by, y = {u.base: u for u in units}, F.col(target)
+        used = df.where(y.isNotNull()).withColumn("_fold", F.col(fold).cast("string"))
+        used = used.where(F.col("_fold") != group[0]) if len(group) == 1 else used  # rows of a fold that is alone may not bear its transforms
+        encoded = apply_encoder(used, state)
+        log = "log" in targets and not used.where(y <= 0).limit(1).count()
+        kinds = [k for k in targets if k != "log" or log] or ["identity"]
+        design = search.search_design(encoded, target, units, log, more=[F.col("_fold")])
+        names = [c for c in design.columns if c != "_fold"]
+        own = {g: v for (g,), v in triangles(design, ["_fold"], names).items()}
+        parts = {}
+        for held in group:
+            rest = [v for g, v in own.items() if g != held]
+            parts[held] = _width_first(reduce(_fold, (r for r, _ in rest), np.zeros((0, len(names)))), len(names)), sum(n for _, n in rest)
+        specs, chosen = [], {}
+        for held, (_, n) in parts.items():
+            most = search.most_variables(n, policy)
+            possible = search.count_candidates([len(u.options) for u in units], most) * len(kinds)
+            every = search.exact(units, most) if possible <= min(max(budget or search.BUDGET, 0 if budget else search.EXACT_THRESHOLD), search.EXACT_THRESHOLD) else search.diverse(units, -(-(budget or search.BUDGET) // len(kinds)), most)
+            for c in every:
+                for kind in kinds:
+                    name = search.candidate_id(c, kind)
+                    chosen[name] = c, kind
+                    specs.append((held, name, [CONST, *search._columns(by, c)], len(c), kind))
+        solved = search.solve_groups(spark, parts, names, target, specs)
+        if log:
+            solved = _on_own_scale(solved, design, own, parts, names, target, by, chosen, specs)
+        best = solved.where("status = 'fitted'").groupBy("group").agg(F.min_by("candidate_id", F.struct(objective, "k", "candidate_id")).alias("candidate_id"))
+        for r in best.collect():  # a row a fold
+            c, kind = chosen[r["candidate_id"]]
+            fit = solve(*parts[r["group"]], names, [CONST, *search._columns(by, c)], target if kind == "identity" else search.LOG + target)
+            features = [(x, x if by[b].columns else b, "linear" if by[b].columns else c[b]) for b in sorted(c) for x in search._columns(by, {b: c[b]})]
+            made[r["group"]] = Predictor(states[r["group"]][0], r["candidate_id"], fit, features, kind == "log")
+    return made
+
+
+def _on_own_scale(solved: DataFrame, design: DataFrame, own: dict, parts: dict, names: list[str], target: str, by: dict[str, search.Unit], chosen: dict, specs: list) -> DataFrame:
+    """rmse of models of the logarithm as of their values on the target's own scale, for all folds in one pass: errors by the row's fold, added up over the others."""
+    fits = {}
+    for held, name, columns, _, kind in specs:
+        if kind == "log" and (f := solve(*parts[held], names, columns, search.LOG + target)).status == "fitted":
+            fits[f"{held}\0{name}"] = f
+    if not fits:
+        return solved
+    spark, sums = solved.sparkSession, search.original_sums(design, "_fold", fits, target)
+    rows = []
+    for k in fits:
+        held, name = k.split("\0")
+        sse, n = (sum(sums[g, k][i] for g in own if g != held and (g, k) in sums) for i in (0, 1))
+        rows.append((held, name, float((sse / n) ** 0.5) if n else None))
+    known = spark.createDataFrame(rows, "group string, candidate_id string, own_rmse double")
+    return solved.join(F.broadcast(known), ["group", "candidate_id"], "left").withColumn("rmse", F.coalesce("own_rmse", "rmse")).drop("own_rmse")  # a row a fold and candidate
+
+
+def evaluate_selection(df: DataFrame, fold: str, target: str, numeric: list[str], categorical: list[str], impute: str = "complete_case", **procedure) -> tuple[DataFrame, dict[str, str | None]]:
     """One row for each fold (few), from the whole procedure run again on the other folds' rows: n_reserved, n_scored, metrics of it and of the training mean on
-    the same rows, and the candidate that it chose. No reserved row is read by encoder, search or fit; a level that only reserved rows have fails."""
+    the same rows, and the candidate that it chose. No reserved row is read by encoder, search or fit; a level that only reserved rows have fails.
+
+    Complete cases take a few passes over the rows for all folds together (see `fit_folds`). Filled values differ from one training side to the next, so
+    that imputation runs the procedure fold by fold."""
     used = df.where(F.col(fold).isNotNull())
-    folds = [r[0] for r in used.select(fold).distinct().orderBy(fold).collect()]  # a row a fold
-    chosen: dict[str, str | None] = {}
-    out = []
-    for k in folds:
-        train, reserved = used.where(F.col(fold) != k), used.where(F.col(fold) == k)
-        made = fit_procedure(train, target, numeric, categorical, **procedure)
-        chosen[str(k)] = made and made.candidate
-        scored = made.predict(reserved) if made else reserved.withColumns({"predicted": F.lit(None).cast("double"), "status": F.lit("failed")})
-        mean = train.agg(F.avg(target).alias("train_mean"), F.count(target).alias("n_train"))
-        out.append(scored.join(F.broadcast(mean), F.lit(True)).withColumn("candidate_id", F.lit(chosen[str(k)])))  # a single row
-    scored = reduce(DataFrame.unionByName, out)
+    sides = {r["k"]: (r["s"], r["c"]) for r in used.groupBy(F.col(fold).cast("string").alias("k")).agg(F.sum(F.col(target).cast("double")).alias("s"), F.count(target).alias("c")).collect()}  # a row a fold
+    if impute == "complete_case":
+        made = fit_folds(used, fold, target, numeric, categorical, **procedure)
+    else:
+        made = {k: fit_procedure(used.where(F.col(fold).cast("string") != k), target, numeric, categorical, impute=impute, **procedure) for k in sides}
+    made |= {k: None for k in sides if k not in made}
+    text, predicted, mean, n_train, chosen = F.col(fold).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("bigint"), {}
+    name = F.lit(None).cast("string")
+    for k, own in made.items():
+        n = sum(c for j, (_, c) in sides.items() if j != k)
+        chosen[k] = own and own.candidate
+        here = text == F.lit(k)
+        if own:
+            predicted = F.when(here, own.value(used)).otherwise(predicted)
+        mean = F.when(here, F.lit(sum(s or 0.0 for j, (s, _) in sides.items() if j != k) / n if n else None).cast("double")).otherwise(mean)
+        n_train, name = F.when(here, F.lit(n).cast("bigint")).otherwise(n_train), F.when(here, F.lit(chosen[k]).cast("string")).otherwise(name)
+    scored = used.withColumns({"predicted": predicted, "train_mean": mean, "n_train": n_train, "candidate_id": name}).withColumn("status", F.when(F.col("predicted").isNull(), "failed").otherwise("ok"))
     cover = scored.groupBy(fold).agg(F.count(target).alias("n_reserved"), F.count_if(F.col(target).isNotNull() & (F.col("status") == "ok")).alias("n_scored"), F.first("n_train").alias("n_train"), F.first("candidate_id").alias("candidate_id"))
     good = scored.where((F.col("status") == "ok") & F.col(target).isNotNull())
     own = metrics(good, target, "predicted", [fold]).drop("n")

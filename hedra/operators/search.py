@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from hedra.functions import rules
@@ -195,28 +195,56 @@ def _record(fit: Fit, n: int, k: int) -> tuple:
     return ("fitted", n, k, math.sqrt(fit.sse / n), s["aic"], s["bic"], s["r2"], s["f_p"], max(p), s["condition"])
 
 
-def original_errors(design: DataFrame, fits: dict[str, Fit], target: str, chunk: int = 256) -> dict[str, float]:
-    """Root mean squared errors on the target's own scale of models of its logarithm, all in one pass over complete rows of the design."""
-    names, ids = design.columns, list(fits)
+def solve_groups(spark: SparkSession, parts: dict[str, tuple[np.ndarray, int]], names: list[str], target: str, specs: list[tuple[str, str, list[str], int, str]]) -> DataFrame:
+    """`group` and a record (SCHEMA) of every candidate of every group (few: folds or replicates), solved in parallel tasks from the groups' triangles. specs: group, candidate_id, design columns,
+    variables, and the target's kind (identity or log)."""
+    shared = spark.sparkContext.broadcast(parts)  # groups times the square of the design's width
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for g, c, columns, k, kind in zip(batch.group, batch.candidate_id, batch.columns_, batch.k, batch.kind, strict=True):
+                r, n = shared.value[g]
+                out.append((g, c, *_record(solve(r, n, names, list(columns), target if kind == "identity" else LOG + target), n, k)))
+            yield pd.DataFrame(out, columns=["group", *(f.split()[0] for f in SCHEMA.split(", "))])
+
+    table = spark.createDataFrame(pd.DataFrame(specs, columns=["group", "candidate_id", "columns_", "k", "kind"]), "group string, candidate_id string, columns_ array<string>, k int, kind string")
+    return table.repartition(min(256, len(specs) // 64 + 1)).mapInPandas(run, f"group string, {SCHEMA}")
+
+
+def original_sums(design: DataFrame, group: str | None, fits: dict[str, Fit], target: str, chunk: int = 256) -> dict[tuple[str, str], tuple[float, int]]:
+    """Sum of squared errors and number of rows, by group (few: folds; "" without) and model, of models of the target's logarithm on its own scale: one pass over
+    complete rows of the design."""
+    names, ids = [c for c in design.columns if c != group], list(fits)
     beta = np.zeros((len(names), len(ids)))
     for j, f in enumerate(fits.values()):
         beta[[names.index(c) for c in f.columns], j] = f.beta
     shared = design.sparkSession.sparkContext.broadcast(beta)  # the design's width times the candidates
     at = names.index(target)
+    keyed = design.select(*names, (F.col(group).cast("string") if group else F.lit("")).alias("_group"))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(ids)), 0
+        held: dict[str, tuple[np.ndarray, int]] = {}
         for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
-            x = x[np.isfinite(x).all(1)]
-            n += len(x)
-            for a in range(0, len(ids), chunk):
-                error = np.exp(np.minimum(x @ shared.value[:, a : a + chunk], 700)) - x[:, [at]]
-                total[a : a + chunk] += (error * error).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(ids)), pa.int32()), pa.array(total), pa.array([n] * len(ids), pa.int64())], names=["i", "sse", "n"])
-
-    found = design.mapInArrow(local, "i int, sse double, n bigint").groupBy("i").agg(F.sum("sse").alias("sse"), F.sum("n").alias("n")).collect()  # a row a candidate
-    return {ids[r["i"]]: math.sqrt(r["sse"] / r["n"]) for r in found if r["n"]}
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]).astype(float)
+            good, of = np.isfinite(x).all(1), np.array(batch.column("_group").to_pylist(), object)
+            for g in set(of.tolist()):
+                own = x[good & (of == g)]
+                total, n = held.setdefault(g, (np.zeros(len(ids)), 0))
+                for a in range(0, len(ids), chunk):
+                    error = np.exp(np.minimum(own @ shared.value[:, a : a + chunk], 700)) - own[:, [at]]
+                    total[a : a + chunk] += (error * error).sum(0)
+                held[g] = total, n + len(own)
+        for g, (total, n) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(ids)), pa.array(range(len(ids)), pa.int32()), pa.array(total), pa.array([n] * len(ids), pa.int64())], names=["g", "i", "sse", "n"])
+
+    found = keyed.mapInArrow(local, "g string, i int, sse double, n bigint").groupBy("g", "i").agg(F.sum("sse").alias("sse"), F.sum("n").alias("n")).collect()  # a row a group and candidate
+    return {(r["g"], ids[r["i"]]): (r["sse"], r["n"]) for r in found}
+
+
+def original_errors(design: DataFrame, fits: dict[str, Fit], target: str) -> dict[str, float]:
+    """Root mean squared errors on the target's own scale of models of its logarithm, all in one pass over complete rows of the design."""
+    return {k: math.sqrt(sse / n) for (_, k), (sse, n) in original_sums(design, None, fits, target).items() if n}
 
 
 def search_models(df: DataFrame, target: str, units: list[Unit], objective: str = "rmse", budget: int | None = None, mode: str = "auto", policy: str | int | None = None, seed: int = 0, targets: tuple[str, ...] = ("identity",), subject: DataFrame | None = None, frame: Policy | None = None) -> Search:
