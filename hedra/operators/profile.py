@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 from functools import reduce
 
 import numpy as np
@@ -109,7 +111,9 @@ def looks_non_quantitative(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _tokens(name: str) -> set[str]:
-    return set(re.split(r"[^a-z0-9]+", name.lower()))
+    """Words of a cleaned name, with their accents and without."""
+    words = set(re.split(r"[\W_]+", clean_name(name)))
+    return words | {"".join(ch for ch in unicodedata.normalize("NFD", w) if not unicodedata.combining(ch)) for w in words}
 
 
 def suggest_roles(df: DataFrame, columns: list[str], target: str | None = None) -> DataFrame:
@@ -264,13 +268,34 @@ def sample_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(h).alias("xor_hash"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("sum_hash"))
 
 
-def dataset_hash(df: DataFrame, key: str, fan: int = 4096) -> DataFrame:
-    """SHA-256 over row keys in two levels: of `fan` groups by hash, then of their digests; no group holds more than its share of distinct keys."""
-    leaves = df.select(F.sha2(F.col(key).cast("string"), 256).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    # digests add up modulo 2**61-1 in a group, whatever the order
-    part = F.conv(F.substring("h", 1, 13), 16, 10).cast("decimal(38,0)") * F.col("n")
-    groups = leaves.groupBy(F.pmod(F.xxhash64("h"), F.lit(fan)).alias("g")).agg(F.sum(part).alias("s"), F.sum("n").alias("n"))
-    return groups.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "s", "n"))), lambda x: F.concat_ws(":", x["g"].cast("string"), x["s"].cast("string"), x["n"].cast("string"))), ","), 256).alias("sha256"))
+def numeric_fingerprint(df: DataFrame, key: str, columns: list[str], edge: int = 5) -> DataFrame:
+    """column, n, sum, mean, sd, and head and tail: the values of the first and the last `edge` rows by key (ties by value), from one aggregation and two
+    partial top-k of few rows; whatever the order and the partitions of the rows."""
+    x = {c: parse.finite(F.col(c).cast("double")) for c in columns}
+    sums = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.count(v).alias("n"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd")) for c, v in x.items()]).alias("x")).select(F.inline("x"))
+
+    def ends(up: bool, name: str) -> DataFrame:
+        own = df.select(key, *[v.alias(c) for c, v in x.items()])
+        few = own.orderBy(*[F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c in (key, *columns)]).limit(edge)  # `edge` rows
+        rows = few.agg(F.array_sort(F.collect_list(F.struct(key, *columns))).alias("rows"))
+        return rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"rows.{c}").alias(name)) for c in columns])))
+
+    return sums.join(F.broadcast(ends(True, "head")), "column").join(F.broadcast(ends(False, "tail")), "column")  # a row a column
+
+
+def canonical_state(df: DataFrame, encoder: str = "", roles: dict[str, str] | None = None) -> str:
+    """Schema, encoder and roles as one text, the same for the same state."""
+    return json.dumps({"schema": [(f.name, f.dataType.simpleString()) for f in df.schema], "encoder": json.loads(encoder) if encoder else None, "roles": roles or {}}, sort_keys=True, ensure_ascii=False)
+
+
+def dataset_hash(df: DataFrame, key: str, state: str = "") -> DataFrame:
+    """SHA-256 of a state (see `canonical_state`) over row keys in two levels: 4096 groups by the first digits of the keys' digests, then the groups' sums. No group holds more than its share of
+    distinct keys; the order of rows and columns' partitions don't matter, and any other key, repetition or state gives another hash."""
+    leaves = df.select(F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("\0")), 256).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    part = F.conv(F.substring("h", 4, 13), 16, 10).cast("decimal(38,0)") * F.col("n")
+    groups = leaves.groupBy(F.substring("h", 1, 3).alias("g")).agg(F.sum(part).alias("s"), F.sum("n").alias("n"))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "s", "n"))), lambda x: F.concat_ws(":", x["g"], x["s"].cast("string"), x["n"].cast("string"))), ",")
+    return groups.agg(F.sha2(F.concat(F.lit(state), F.lit("|"), line), 256).alias("sha256"))
 
 
 def preview(df: DataFrame, columns: list[str], levels: int = 200) -> DataFrame:

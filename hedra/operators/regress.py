@@ -226,6 +226,69 @@ def influence(df: DataFrame, fit: Fit, target: str) -> DataFrame:
     return out.withColumns({"high_cook": (F.col("cook") > 4.0 / n) | (F.col("cook") > 1.0), "high_residual": F.abs("studentized") > 2.5, "high_leverage": F.col("leverage") > 2.0 * p / n})
 
 
+def histogram(df: DataFrame, values: dict[str, Column], bins: int | None = None, rule: str = "sturges") -> DataFrame:
+    """measure, bin (from 0), low, high and n of every bin of each value, empty ones too: edges from one aggregation, counts from another.
+
+    bins: a number, else by a rule: sturges (of the number of values) or fd (of their quartiles, by a sketch), 512 at most as it is a report. The last bin holds
+    its upper end. A measure of one value has one bin; without values it has none."""
+    aggs = []
+    for i, x in enumerate(values.values()):
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"), F.percentile_approx(x, [0.25, 0.75], 10_000).alias(f"q{i}")]
+    row, cut = df.agg(*aggs).first(), {}
+    for i, name in enumerate(values):
+        n, a, b, q = (row[f"{k}{i}"] for k in "nabq")
+        if not n:
+            continue
+        width = 2 * (q[1] - q[0]) / n ** (1 / 3)
+        k = bins or (math.ceil((b - a) / width) if rule == "fd" and width > 0 else math.ceil(math.log2(n)) + 1)
+        cut[name] = a, b, 1 if a == b else max(1, min(k, 512))
+    place = {m: F.least(F.floor((values[m] - a) / ((b - a) / k)), F.lit(k - 1)) if b > a else F.floor(values[m] * 0) for m, (a, b, k) in cut.items()}
+    spark = df.sparkSession
+    edges = spark.createDataFrame([(m, i, a + i * (b - a) / k, b if i == k - 1 else a + (i + 1) * (b - a) / k) for m, (a, b, k) in cut.items() for i in range(k)], "measure string, bin bigint, low double, high double")
+    if not cut:
+        return edges.withColumn("n", F.lit(0).cast("bigint"))
+    each = df.select(F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), p.cast("bigint").alias("bin")) for m, p in place.items()]))).where("bin IS NOT NULL")
+    counts = each.groupBy("measure", "bin").agg(F.count(F.lit(1)).alias("n"))  # bins, not rows
+    return edges.join(F.broadcast(counts), ["measure", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def residual_tables(df: DataFrame, fit: Fit, target: str, bins: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Histograms of residuals and standardised residuals, and the grid behind a plot of residuals over fitted values: fitted_bin, residual_bin, n of cells that
+    have rows, `bins` a side."""
+    point = prediction(fit)
+    residual = F.col(target).cast("double") - point
+    held = df.select(point.alias("fitted"), residual.alias("residual"), (residual / fit.sigma).alias("standardized"))
+    row = held.agg(*[f(c).alias(f"{n}_{c}") for c in ("fitted", "residual") for n, f in (("a", F.min), ("b", F.max))]).first()
+    at = {c: F.least(F.floor((F.col(c) - row[f"a_{c}"]) / (((row[f"b_{c}"] - row[f"a_{c}"]) / bins) or 1.0)), F.lit(bins - 1)).cast("int").alias(f"{c}_bin") for c in ("fitted", "residual")} if row["a_fitted"] is not None else {c: F.lit(None).cast("int").alias(f"{c}_bin") for c in ("fitted", "residual")}
+    grid = held.where("residual IS NOT NULL").groupBy(*at.values()).agg(F.count(F.lit(1)).alias("n"))
+    return histogram(held, {c: F.col(c) for c in ("residual", "standardized")}), grid
+
+
+def transform_diagnostics(df: DataFrame, key: str, columns: list[str], most: int = 5000) -> DataFrame:
+    """column, transform, n, w, p and skewness of every transform that all values of a column allow, before (linear) and after: Shapiro-Wilk over one sample of up to `most` rows (the test's
+    limit), drawn by a hash of the key, each transform in a task of its own."""
+    from hedra.functions.transforms import domains, transform
+
+    options = domains(df, columns)
+    drawn = df.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(most)  # a partial top-k in every task
+    pairs = [F.struct(F.lit(c).alias("column"), F.lit(o).alias("transform"), transform(o, F.col(c)).alias("x")) for c in columns for o in options[c]]
+    schema = "column string, transform string, n bigint, w double, p double, skewness double"
+    if not pairs:
+        return df.sparkSession.createDataFrame([], schema)
+
+    def test(table: pa.Table) -> pa.Table:
+        x = table.column("x").to_numpy()
+        x = x[np.isfinite(x)]
+        w, p = shapiro_wilk(x)
+        centred = x - x.mean() if len(x) else x
+        spread = math.sqrt(float((centred**2).mean())) if len(x) else 0.0
+        skew = float((centred**3).mean()) / spread**3 if spread else None
+        known = lambda v: None if not math.isfinite(v) else v
+        return pa.table([pa.array([table.column(c)[0].as_py()]) for c in ("column", "transform")] + [pa.array([len(x)], pa.int64()), *(pa.array([v], pa.float64()) for v in (known(w), known(p), skew))], names=[f.split()[0] for f in schema.split(", ")])
+
+    return drawn.select(F.inline(F.array(*pairs))).where("x IS NOT NULL").groupBy("column", "transform").applyInArrow(test, schema)
+
+
 def exact_fit(df: DataFrame, fit: Fit, target: str) -> bool:
     """No residual exceeds what rounding explains."""
     eps = np.finfo(float).eps

@@ -364,6 +364,41 @@ def procedure_stability(df: DataFrame, key: str, target: str, units: list[search
     return chosen, selection_frequency(good, max(good.count(), 1)), search.candidate_dispersion(good, "score")
 
 
+def stability(df: DataFrame, key: str, target: str, features: list[str], replicates: int, copies: int, seed: int, removed: DataFrame | None = None, size: float = 0.01, weights: list[Column] | None = None, noise: list[dict[str, Column]] | None = None) -> tuple[DataFrame, dict[str, Fit]]:
+    """Per row the dispersion of its prediction over bootstrap replicates and over perturbed copies of itself, and its change when listed rows leave the fit; and the models.
+
+    One pass makes the triangles of the whole sample, of every replicate and of the revision, as weights beside the row; a second one is a projection: no row is shuffled but to
+    mark the listed ones. weights and noise replace the draws: a weight for each replicate, and for each copy the relative move of each feature."""
+    marked = df
+    if removed is not None:
+        gone = removed.select(F.col(key).alias("_gone")).distinct()
+        marked = df.join(gone, F.col(key) == F.col("_gone"), "left")
+    stays = F.when(F.col("_gone").isNull(), 1.0).otherwise(0.0) if removed is not None else F.lit(1.0)
+    times = weights if weights is not None else [multiplicity(F.col(key), F.lit(i), seed) for i in range(replicates)]
+    names = [CONST, *features, target]
+    design = marked.select(F.lit(1.0).alias(CONST), *features, target, F.array(F.lit(1.0), stays, *[w.cast("double") for w in times]).alias("_w"))
+    fits = {k: solve(r, n, names, [CONST, *features], target) for (k,), (r, n) in triangles(design, [], names, weights="_w").items()}
+    base, revised = fits["0"], fits.get("1")
+    own = {"base": base, "revision": revised} | {f"replicate_{i}": fits[str(i + 2)] for i in range(len(times)) if str(i + 2) in fits}
+    good = [f for k, f in own.items() if k.startswith("replicate") and f.status == "fitted"]
+    if noise is None:
+        u = lambda copy, i, j: (F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(copy), F.lit(seed), F.lit(i), F.lit(j)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        noise = [{c: size * F.sqrt(-2 * F.log(u(copy, i, 0))) * F.cos(2 * np.pi * u(copy, i, 1)) for i, c in enumerate(features)} for copy in range(copies)]
+    beta = dict(zip(base.columns, base.beta, strict=True))
+    moved = [F.lit(float(beta[CONST])) + sum((F.lit(float(beta[c])) * (F.col(c) + F.abs(c) * move[c]) for c in features), F.lit(0.0)) for move in noise]
+
+    def spread(points: list[Column], name: str) -> list[Column]:
+        if not points:
+            return [F.lit(None).cast("double").alias(f"{name}_{k}") for k in ("mean", "sd", "min", "max")]
+        x, n = F.array(*points), len(points)
+        mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
+        square = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
+        return [mean.alias(f"{name}_mean"), (F.sqrt(square / (n - 1)) if n > 1 else F.lit(0.0)).alias(f"{name}_sd"), F.array_min(x).alias(f"{name}_min"), F.array_max(x).alias(f"{name}_max")]
+
+    change = prediction(revised) - prediction(base) if revised is not None and revised.status == "fitted" else F.lit(None).cast("double")
+    return df.select(key, prediction(base).alias("point"), *spread([prediction(f) for f in good], "replicates"), *spread(moved, "copies"), change.alias("revision_change")), own
+
+
 def bootstrap_dispersion(df: DataFrame, key: str, models: dict[str, Fit]) -> DataFrame:
     """Mean, sd and range of each row's prediction over replicates."""
     points = F.array(*[prediction(f) for f in models.values() if f.status == "fitted"])

@@ -183,10 +183,12 @@ def market_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("column", "n", "min", r("mean").alias("mean"), r("median").alias("median"), "max")
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, 0::BIGINT AS n_missing, round(avg({c}), 4) AS mean, round(median({c}), 4) AS median, round(var_pop({c}), 2) AS variance, min({c}) = max({c}) AS constant FROM lineitem WHERE l_orderkey % 2 = 0" for c in _LINE))
+@query(" UNION ALL ".join(f"SELECT CASE l_orderkey % 2 WHEN 0 THEN 'train' ELSE 'reserved' END AS side, '{c}' AS \"column\", count({c}) AS n, 0::BIGINT AS n_missing, round(avg({c}), 4) AS mean, round(median({c}), 4) AS median, round(var_pop({c}), 2) AS variance, min({c}) = max({c}) AS constant FROM lineitem GROUP BY 1" for c in _LINE))
 def train_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = profile.train_moments(read(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0"), _LINE)
-    return out.select("column", "n", "n_missing", r("mean", 4).alias("mean"), r("median", 4).alias("median"), r("variance", 2).alias("variance"), "constant")
+    """Moments of the training side, and of the reserved one beside it."""
+    li = read(spark, sf_dir, "lineitem")
+    sides = [profile.train_moments(li.where(f"l_orderkey % 2 = {k}"), _LINE).withColumn("side", F.lit(side)) for k, side in enumerate(("train", "reserved"))]
+    return sides[0].unionByName(sides[1]).select("side", "column", "n", "n_missing", r("mean", 4).alias("mean"), r("median", 4).alias("median"), r("variance", 2).alias("variance"), "constant")
 
 
 @query("SELECT 'o_orderpriority' AS \"column\", o_orderpriority AS level, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM orders GROUP BY 2")
@@ -218,16 +220,45 @@ def normal_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.normal_frequencies(c, (F.col("c_acctbal") - m["m"]) / m["s"]).select("limit", r("observed", 9).alias("observed"), "normal")
 
 
-@query()
+_HASH = """WITH l AS (SELECT sha256(o_orderkey::VARCHAR) AS h, count(*) AS n FROM orders GROUP BY 1),
+    g AS (SELECT substr(h, 1, 3) AS g, sum(('0x' || substr(h, 4, 13))::BIGINT::DECIMAL(38, 0) * n) AS s, sum(n) AS n FROM l GROUP BY 1)
+    SELECT sha256('{state}|' || string_agg(g || ':' || s::VARCHAR || ':' || n::VARCHAR, ',' ORDER BY g)) AS sha256{more} FROM g"""
+
+
+@query(_HASH.format(state="", more=""))
 def dataset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.dataset_hash(read(spark, sf_dir, "orders"), "o_orderkey")
 
 
+_STATE = '{"encoder": null, "roles": {"o_orderkey": "identifier", "o_totalprice": "target"}, "schema": [["o_orderkey", "bigint"], ["o_totalprice", "double"]]}'
+
+
+@query(f"SELECT 'plain' AS state, sha256 FROM ({_HASH.format(state='', more='')}) UNION ALL SELECT 'whole', sha256 FROM (" + _HASH.replace("{state}", _STATE).replace("{more}", "") + ")")
+def state_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash of the rows alone, and with schema and roles: two different ones."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    state = profile.canonical_state(o, roles={"o_totalprice": "target", "o_orderkey": "identifier"})
+    return profile.dataset_hash(o, "o_orderkey").select(F.lit("plain").alias("state"), "sha256").unionByName(profile.dataset_hash(o, "o_orderkey", state).select(F.lit("whole").alias("state"), "sha256"))
+
+
 @query()
 def sample_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.sample_fingerprint(read(spark, sf_dir, "orders"), ["o_orderkey", "o_totalprice"])
 
 
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS n, round(sum({c}), 2) AS sum, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS sd,
+        (SELECT string_agg(round(v, 2)::DECIMAL(18, 2)::VARCHAR, ',' ORDER BY k) FROM (SELECT {c} AS v, o_orderkey AS k FROM orders ORDER BY k LIMIT 3)) AS head, (SELECT string_agg(round(v, 2)::DECIMAL(18, 2)::VARCHAR, ',' ORDER BY k) FROM (SELECT {c} AS v, o_orderkey AS k FROM orders ORDER BY k DESC LIMIT 3)) AS tail FROM orders"""
+        for c in ("o_totalprice", "o_custkey")
+    )
+)
+def numeric_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = profile.numeric_fingerprint(read(spark, sf_dir, "orders"), "o_orderkey", ["o_totalprice", "o_custkey"], 3)
+    shown = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.round(x, 2).cast("decimal(18,2)").cast("string"))).alias(c)
+    return out.select("column", "n", r("sum", 2).alias("sum"), r("mean").alias("mean"), r("sd").alias("sd"), shown("head"), shown("tail"))
+
+
 @query("SELECT 'o_orderpriority' AS \"column\", list(DISTINCT o_orderpriority ORDER BY o_orderpriority)::VARCHAR AS levels, count(DISTINCT o_orderpriority) AS n_levels FROM orders")
 def preview_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = profile.preview(read(spark, sf_dir, "orders"), ["o_orderpriority"])
@@ -518,9 +549,15 @@ def search_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(a["mode"], a["possible"], a["evaluated"], a["exact_optimum_guaranteed"])], "mode string, possible bigint, evaluated bigint, exact_optimum_guaranteed boolean")
 
 
-@query("SELECT CAST(pow(8, k) - 1 AS BIGINT) AS candidates, k::INT AS variables FROM range(1, 7) t(k)")
+@query(
+    """WITH n AS (SELECT (CASE WHEN min(l_quantity) > 0 THEN 7 WHEN min(l_quantity) = 0 THEN 3 WHEN bool_or(l_quantity = 0) THEN 2 ELSE 4 END)::BIGINT AS a, (CASE WHEN min(l_discount) > 0 THEN 7 WHEN min(l_discount) = 0 THEN 3 WHEN bool_or(l_discount = 0) THEN 2 ELSE 4 END)::BIGINT AS b, (CASE WHEN min(l_extendedprice) > 0 THEN 7 WHEN min(l_extendedprice) = 0 THEN 3 WHEN bool_or(l_extendedprice = 0) THEN 2 ELSE 4 END)::BIGINT AS c FROM lineitem)
+    SELECT variables::INT AS variables, CASE variables WHEN 1 THEN a + b + c WHEN 2 THEN a + b + c + a * b + a * c + b * c ELSE (1 + a) * (1 + b) * (1 + c) - 1 END AS candidates FROM n, range(1, 4) t(variables)"""
+)
 def search_space_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(search.count_candidates([7] * k), k) for k in range(1, 7)], "candidates bigint, variables int")
+    """Candidates of one to three variables of the lines, by the transforms that their values allow."""
+    found = transforms.domains(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_extendedprice"])
+    counts = [len(o) for o in found.values()]
+    return spark.createDataFrame([(search.count_candidates(counts, most), most) for most in (1, 2, 3)], "candidates bigint, variables int")
 
 
 @query()
@@ -1086,6 +1123,49 @@ def exact_group_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("fold").agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("folds") > 1).alias("n_split"))
 
 
+@query(
+    """WITH p AS (SELECT p_retailprice AS y, p_size::DOUBLE AS x FROM part), m AS (SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS b, sqrt((regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / (count(*) - 2)) AS s FROM p),
+    e AS (SELECT unnest(['residual', 'standardized']) AS measure, unnest([y - a - b * x, (y - a - b * x) / s]) AS e FROM p, m), c AS (SELECT measure, min(e) AS lo, max(e) AS hi, ceil(log2(count(*)))::INT + 1 AS k FROM e GROUP BY measure),
+    n AS (SELECT e.measure, least(floor((e - lo) / ((hi - lo) / k)), k - 1)::BIGINT AS bin, count(*) AS n FROM e JOIN c USING (measure) GROUP BY 1, 2)
+    SELECT c.measure, bin, round(lo + bin * (hi - lo) / k, 6) AS low, coalesce(n, 0) AS n FROM (SELECT measure, lo, hi, k, unnest(range(k)) AS bin FROM c) c LEFT JOIN n USING (measure, bin)"""
+)
+def residual_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, fit = _simple(spark, sf_dir)
+    return regress.residual_tables(p, fit, "y")[0].select("measure", "bin", r("low").alias("low"), "n")
+
+
+@query(
+    """WITH p AS (SELECT p_retailprice AS y, p_size::DOUBLE AS x FROM part), m AS (SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM p), e AS (SELECT a + b * x AS f, y - a - b * x AS e FROM p, m),
+    c AS (SELECT min(f) AS fl, max(f) AS fh, min(e) AS el, max(e) AS eh FROM e)
+    SELECT sum(n)::BIGINT AS n_rows, max(residual_bin)::INT AS top, count(DISTINCT residual_bin) AS residual_bins FROM (SELECT least(floor((e - el) / ((eh - el) / 20)), 19) AS residual_bin, count(*) AS n FROM e, c GROUP BY 1)"""
+)
+def residual_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid behind a plot of residuals over fitted values, by its margins."""
+    p, fit = _simple(spark, sf_dir)
+    grid = regress.residual_tables(p, fit, "y")[1]
+    return grid.agg(F.sum("n").alias("n_rows"), F.max("residual_bin").alias("top"), F.count_distinct("residual_bin").alias("residual_bins"))
+
+
+@query()
+def transform_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normality of every transform of two columns of all parts' sample."""
+    return regress.transform_diagnostics(read(spark, sf_dir, "part"), "p_partkey", ["p_size", "p_retailprice"])
+
+
+# two weighted replicates, the sample without the listed rows, and two copies that move by a known share
+@query(
+    """WITH p AS (SELECT p_partkey AS id, p_retailprice AS y, p_size::DOUBLE AS x FROM part), w AS (SELECT *, unnest(['base', 'r0', 'r1', 'revision']) AS k, unnest([1, id % 3, (id + 1) % 3, (id % 11 > 0)::INT]) AS w FROM p),
+    s AS (SELECT k, sum(w) AS n, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * x * y) - sum(w * x) * sum(w * y) / sum(w) AS sxy, sum(w * x * x) - sum(w * x) ** 2 / sum(w) AS sxx FROM w GROUP BY k),
+    m AS (SELECT max(sxy / sxx) FILTER (k = 'base') AS b, max(my - sxy / sxx * mx) FILTER (k = 'base') AS a, max(sxy / sxx) FILTER (k = 'r0') AS b0, max(my - sxy / sxx * mx) FILTER (k = 'r0') AS a0, max(sxy / sxx) FILTER (k = 'r1') AS b1, max(my - sxy / sxx * mx) FILTER (k = 'r1') AS a1, max(sxy / sxx) FILTER (k = 'revision') AS b2, max(my - sxy / sxx * mx) FILTER (k = 'revision') AS a2 FROM s)
+    SELECT id, round((a0 + b0 * x + a1 + b1 * x) / 2, 4) AS replicates_mean, round(abs(a0 + b0 * x - a1 - b1 * x) / sqrt(2), 4) AS replicates_sd, round(greatest(a + b * x * 1.01, a + b * x * .98), 4) AS copies_max, round(a2 + b2 * x - a - b * x, 4) AS revision_change FROM p, m"""
+)
+def stability_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replicates, perturbed copies and a revision of one sample, from one pass and a projection."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("y"), F.col("p_size").cast("double").alias("x"))
+    out, _ = resample.stability(p, "id", "y", ["x"], 2, 2, 17, removed=p.where("id % 11 = 0"), weights=[F.col("id") % 3, (F.col("id") + 1) % 3], noise=[{"x": F.lit(0.01)}, {"x": F.lit(-0.02)}])
+    return out.select("id", *[r(c, 4).alias(c) for c in ("replicates_mean", "replicates_sd", "copies_max", "revision_change")])
+
+
 # -- rows by id, summaries, rules ----------------------------------------------------------------------------------------
 
 
