@@ -95,12 +95,13 @@ def units_of(df: DataFrame, numeric: list[str], groups: dict[str, list[str]] | N
 @dataclass
 class Search:
     """records: a DataFrame of candidates with their rank (null if not admissible); audit: what the search covered; fit: the model of a candidate by
-    its id; columns: its design columns as (name, variable or None, transform)."""
+    its id; features: its design columns as (name, variable, transform); triangle: of the whole design, with its rows and names."""
 
     records: DataFrame
     audit: dict[str, object]
     fit: Callable[[str], Fit]
     features: Callable[[str], list[tuple[str, str, str]]]
+    triangle: tuple[np.ndarray, int, list[str]]
 
 
 def _columns(units: dict[str, Unit], chosen: dict[str, str]) -> list[str]:
@@ -308,7 +309,7 @@ def search_models(df: DataFrame, target: str, units: list[Unit], objective: str
         known = spark.createDataFrame(list(errors.items()), "candidate_id string, own_rmse double")
         scored = scored.join(F.broadcast(known), "candidate_id", "left").withColumn("rmse", F.coalesce("own_rmse", "rmse")).drop("own_rmse")  # a row a candidate
     audit = {"mode": "exact" if is_exact else "approximate", "possible": possible, "evaluated": len(rows), "exact_optimum_guaranteed": is_exact, "n": n, "targets": targets}
-    return Search(rank(framed(scored, policy_of) if seen else scored, objective), audit, fit, features)
+    return Search(rank(framed(scored, policy_of) if seen else scored, objective), audit, fit, features, (r, n, names))
 
 
 def rank(records: DataFrame, objective: str = "rmse") -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hedra.functions import parse, rules, transforms
-from hedra.operators import cost, encode, ledger, ordered, profile, records, regress, reproduce, resample, score, search
+from hedra.operators import cost, encode, ledger, ordered, policy, profile, records, regress, reproduce, resample, score, search
 from hedra.operators.encode import Encoder
 from hedra.operators.regress import CONST
-from hedra.plans import batch
+from hedra.plans import batch, cache
 from hedra.plans.ingest import Ingested, Source, ingest_csv
 from hedra.plans.valuation import Request, value
 from hedra.sources import tabular
@@ -538,7 +538,10 @@ def _search(spark: SparkSession, sf_dir: str) -> search.Search:
 _OPTION = {"linear": "x", "inverse": "1 / x", "ln": "ln(x)", "sqr": "x * x", "sqrt": "sqrt(x)", "inv_sqr": "1 / (x * x)", "inv_sqrt": "1 / sqrt(x)"}
 
 
-@query("WITH p AS (SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part), c AS (" + " UNION ALL ".join(f"SELECT 'size:{o}|y:identity|int:1' AS candidate_id, sqrt(regr_syy(y, {e}) * (1 - regr_r2(y, {e})) / count(*)) AS rmse FROM p" for o, e in _OPTION.items()) + ") SELECT candidate_id, round(rmse, 6) AS rmse, row_number() OVER (ORDER BY rmse, candidate_id)::INT AS rank FROM c")
+_EXACT = "WITH p AS (SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part), c AS (" + " UNION ALL ".join(f"SELECT 'size:{o}|y:identity|int:1' AS candidate_id, sqrt(regr_syy(y, {e}) * (1 - regr_r2(y, {e})) / count(*)) AS rmse FROM p" for o, e in _OPTION.items()) + ") SELECT candidate_id, round(rmse, 6) AS rmse, row_number() OVER (ORDER BY rmse, candidate_id)::INT AS rank FROM c"
+
+
+@query(_EXACT)
 def search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir).records.select("candidate_id", r("rmse").alias("rmse"), "rank")
 
@@ -1166,6 +1169,47 @@ def stability_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", *[r(c, 4).alias(c) for c in ("replicates_mean", "replicates_sd", "copies_max", "revision_change")])
 
 
+@query(f"SELECT *, true AS hit, false AS other_target_hit FROM ({_EXACT})")
+def search_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search that is made once; the second time it comes from its folder, and a sample that can't be read doesn't matter. Another target is another search."""
+    p = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), "p_retailprice")
+    folder, units = f"{shared_dir(spark)}/searches-{uuid.uuid4().hex}", search.units_of(p, ["size"])
+    name = cache.sample_fingerprint(p, "p_partkey", ["size", "p_retailprice"])
+    cache.cached_search(p, "p_retailprice", units, folder, name)
+    found, hit = cache.cached_search(p.withColumn("size", F.raise_error(F.lit("a row was read")).cast("double")), "p_retailprice", units, folder, name)
+    _, other = cache.cached_search(p, "p_partkey", units, folder, name)
+    return found.records.select("candidate_id", r("rmse").alias("rmse"), "rank", F.lit(hit).alias("hit"), F.lit(other).alias("other_target_hit"))
+
+
+@query(
+    """WITH q AS (SELECT o_orderkey, o_custkey AS id, o_orderkey % 2 AS v, CASE o_orderkey % 3 WHEN 0 THEN 15.0 WHEN 1 THEN 20.0 END AS said, o_totalprice AS point FROM orders),
+    p AS (SELECT c_custkey AS id, 0 AS v, c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey % 5 > 0 AS good FROM customer),
+    j AS (SELECT q.*, coalesce(good, false) AS good FROM q LEFT JOIN p USING (id, v))
+    SELECT o_orderkey, CASE WHEN NOT good AND said IS NOT NULL THEN 'rejected_unverified_or_inapplicable_profile' WHEN NOT good THEN 'arbitration_rule_unverified' WHEN said <> 15 THEN 'arbitration_policy_conflict' ELSE 'applied_verified_profile_rule' END AS status,
+      CASE WHEN good AND coalesce(said, 15) = 15 THEN round(point * .85, 4) END AS lower FROM j"""
+)
+def arbitration_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arbitration fields of all orders under the profiles of their customers, of which some are verified."""
+    c = read(spark, sf_dir, "customer")
+    known = c.select(F.col("c_custkey").alias("id"), F.lit(0).alias("version"), F.when(F.col("c_custkey") % 5 > 0, policy.VERIFIED).otherwise("draft").alias("state"), F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), policy.METHOD).otherwise("cost").alias("method"), F.lit(policy.BASIS).alias("value_basis"), F.lit("s").alias("source_sha256"))
+    k = F.col("o_orderkey")
+    asked = read(spark, sf_dir, "orders").select(k, F.col("o_custkey").alias("profile_id"), (k % 2).cast("int").alias("profile_version"), F.when(k % 3 == 0, 15.0).when(k % 3 == 1, 20.0).alias("declared_percent"), "o_totalprice")
+    out = policy.arbitration(asked, known)
+    return out.select("o_orderkey", F.col("arbitration_status").alias("status"), r(policy.arbitration_ends(F.col("o_totalprice"), F.col("arbitration_percent"))["lower"], 4).alias("lower"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 5 END AS a, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 4 END AS b FROM part)
+    SELECT p_partkey, CASE WHEN NOT coalesce(a BETWEEN 1 AND 3, true) OR NOT coalesce(b BETWEEN 1 AND 3, true) OR a <> b THEN NULL ELSE coalesce(a, b)::INT END AS grade,
+      CASE WHEN NOT coalesce(a BETWEEN 1 AND 3, true) OR NOT coalesce(b BETWEEN 1 AND 3, true) THEN 'grade_invalid' WHEN a <> b THEN 'GRADE_ALIAS_CONFLICT' END AS code FROM p"""
+)
+def least_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least grade of requests that name it under two of its historical names."""
+    k = F.col("p_partkey")
+    asked = read(spark, sf_dir, "part").select(k, F.when(k % 2 == 0, k % 5).alias("minimum_fundamentacao_grade"), F.when(k % 3 == 0, (k % 4).cast("string")).alias("target_degree"))
+    return asked.select("p_partkey", policy.least_grade(asked).alias("x")).select("p_partkey", "x.grade", "x.code")
+
+
 # -- rows by id, summaries, rules ----------------------------------------------------------------------------------------
 
 
