@@ -34,6 +34,7 @@ class Request:
     transform: str = "identity"
     estimand: str = "median"
     domain: dict[str, list[str] | tuple[float | None, float | None]] = field(default_factory=dict)
+    row_id: str | None = None  # a column that must not repeat in the sample
 
     def check(self, columns: list[str]) -> list[str]:
         """Issue codes; none if the request can be run over these columns."""
@@ -46,6 +47,7 @@ class Request:
         issues += ["missing_policy_unknown"] if self.impute not in ("complete_case", "mean", "median") else []
         issues += ["target_transform_unknown"] if self.transform not in ("identity", "log") else []
         issues += ["estimand_unknown"] if self.estimand not in ("median", "lognormal_mean", "smearing") else []
+        issues += ["row_id_absent"] if self.row_id and self.row_id not in columns else []
         issues += ["level_invalid"] if not 0 < self.level < 1 else []
         return issues
 
@@ -81,6 +83,8 @@ def value(df: DataFrame, request: Request, train=None) -> Valuation:
     # texts of numbers are read before anything looks at them
     texts = [c for c in dict.fromkeys([request.target, *request.numeric]) if dict(df.dtypes)[c] == "string"]
     rows = (df if train is None else df.where(train)).withColumns({c: parse.number(df, c, request.locale) for c in texts})
+    if request.row_id and rows.groupBy(request.row_id).count().where("count > 1").limit(1).count():
+        raise ValueError("duplicate_row_id")
     seen = rows.where(F.col(request.target).isNotNull())
     encoder = fit_encoder(seen, request.numeric, request.categorical, request.impute, request.reference)
     placed = prepare(rows, request, encoder)

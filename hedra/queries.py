@@ -1419,13 +1419,20 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabular.read_csv(spark, path)[0]
 
 
-@query("SELECT 'ok' AS status, count(*) > 0 AS some FROM nation")
+@query("SELECT r_regionkey::INT AS region, CASE r_regionkey WHEN 0 THEN 'changed' WHEN 1 THEN 'missing' ELSE 'ok' END AS status FROM region UNION ALL SELECT (max(r_regionkey) + 1)::INT, 'unexpected' FROM region")
 def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of a raw and safe pair against their own manifest."""
-    path = f"{shared_dir(spark)}/pair-{uuid.uuid4().hex}"
-    manifest = tabular.write_pair(read(spark, sf_dir, "nation"), path)
-    now = tabular.content_hashes(spark, path)
-    return tabular.verify_manifest(now, manifest).groupBy("status").agg((F.count(F.lit(1)) > 0).alias("some"))
+    """Files of the nations, one a region, against the manifest of an earlier write: one region's file was changed since, one is gone, and one is new."""
+    n, more = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region").agg((F.max("r_regionkey") + 1).alias("r"))
+
+    def files(rows: DataFrame) -> DataFrame:
+        path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+        rows.withColumn("region", F.col("n_regionkey")).repartition(5, "region").sortWithinPartitions("n_nationkey").write.partitionBy("region").csv(path, header=True)
+        return tabular.content_hashes(spark, path).where("path LIKE '%.csv'").select(F.regexp_extract("path", r"region=(\d+)/", 1).alias("path"), "bytes", "sha256")
+
+    manifest = files(n)
+    new = n.join(more, F.lit(True)).where("n_regionkey = 2").withColumn("n_regionkey", F.col("r").cast(n.schema["n_regionkey"].dataType)).drop("r")  # one row more
+    now = n.where("n_regionkey <> 1").withColumn("n_name", F.when(F.col("n_regionkey") == 0, F.lower("n_name")).otherwise(F.col("n_name")))
+    return tabular.verify_manifest(files(now.unionByName(new)), manifest).select(F.col("path").cast("int").alias("region"), "status")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,8 +88,17 @@ def form_of(spark: SparkSession, path: str, encoding: str | None = None, delimit
     return Form(name, sep, bom, tuple(next(csv.reader(io.StringIO(text), delimiter=sep), [])))
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None) -> tuple[DataFrame, Form, dict[str, str]]:
-    """Rows with internal column names (all text; an empty cell stays empty), the form, and the map from original names."""
+def check_size(spark: SparkSession, path: str, most: int) -> None:
+    """An error where the files of a path are larger together than `most` bytes; no content is read."""
+    total = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("n")).first()["n"] or 0
+    if total > most:
+        raise IngestError("file_too_large", f"{total} > {most}")
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None, most_bytes: int | None = None) -> tuple[DataFrame, Form, dict[str, str]]:
+    """Rows with internal column names (all text; an empty cell stays empty), the form, and the map from original names. most_bytes: a limit of size, where a caller has one."""
+    if most_bytes is not None:
+        check_size(spark, path, most_bytes)
     if extension(path) not in ("csv", ""):
         raise IngestError("unsupported_format", extension(path))
     form = form_of(spark, path, encoding, delimiter)

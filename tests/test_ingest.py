@@ -60,3 +60,12 @@ def test_level_and_locale_reach_the_values(spark):
     # a declared domain reads texts too
     again.domain = {"area": (15.0, 30.0)}
     assert {r["subject_id"]: r["outside_domain"] for r in score_batch(subjects, again).collect()} == {"a": [], "b": ["area"], "c": ["area"], "d": ["area"]}
+
+
+def test_repeated_ids_are_refused(spark):
+    df = spark.range(30).select(F.least("id", F.lit(28)).alias("id"), (F.col("id") + 1.0).alias("x"), (F.col("id") * 2.0 + F.col("id") % 3).alias("y"))
+    with pytest.raises(ValueError, match="duplicate_row_id"):
+        value(df, Request("y", ["x"], row_id="id"))
+    with pytest.raises(ValueError, match="row_id_absent"):
+        value(df, Request("y", ["x"], row_id="nope"))
+    assert value(df.where("id < 28"), Request("y", ["x"], row_id="id")).frozen.fit.n == 28

@@ -25,6 +25,9 @@ def test_csv(spark, tmp_path):
         tabular.read_csv(spark, str(tmp_path / "e.csv"))
     with pytest.raises(tabular.IngestError, match="unsupported_format"):
         tabular.read_csv(spark, "x.pdf")
+    assert tabular.read_csv(spark, str(path), most_bytes=1000)[0].count() == 2
+    with pytest.raises(tabular.IngestError, match="file_too_large"):
+        tabular.read_csv(spark, str(path), most_bytes=10)
 
 
 def test_xlsx(spark, tmp_path):
