@@ -312,6 +312,17 @@ def search_models(df: DataFrame, target: str, units: list[Unit], objective: str
     return Search(rank(framed(scored, policy_of) if seen else scored, objective), audit, fit, features, (r, n, names))
 
 
+def evaluate_candidate(df: DataFrame, target: str, units: list[Unit], candidate: str) -> tuple[DataFrame, Fit]:
+    """The record and the model of one candidate by its id, by the same path as a search of all: one pass over its own columns. An option that a unit doesn't have is an error."""
+    *parts, kind, _ = candidate.split("|")
+    by, chosen = {u.base: u for u in units}, dict(p.rsplit(":", 1) for p in parts)
+    if any(b not in by or o not in by[b].options for b, o in chosen.items()):
+        raise ValueError("candidate_unknown")
+    own = [Unit(b, (o,), by[b].columns) for b, o in sorted(chosen.items())]
+    found = search_models(df, target, own, policy=len(own), targets=(kind.removeprefix("y:"),))
+    return found.records.where(F.col("candidate_id") == candidate), found.fit(candidate)
+
+
 def rank(records: DataFrame, objective: str = "rmse") -> DataFrame:
     """Adds rank from 1 among fitted candidates: by the objective, then by the optional columns framing (first of all), extra_score (more is better),
     amplitude_pct (less) and stability (more), then fewer variables, then the id. The table holds candidates, EXACT_THRESHOLD at most, not rows."""

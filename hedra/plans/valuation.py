@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hedra.functions import parse, rules
@@ -101,6 +101,20 @@ def value(df: DataFrame, request: Request, train=None) -> Valuation:
     return Valuation(frozen, placed, model_grades(df.sparkSession, fit))
 
 
+def assess(scored: DataFrame, grades: dict[str, int | None], item_1: Column, item_3: Column, required: Column | None = None, required_precision: Column | None = None) -> DataFrame:
+    """Adds to scored subjects the whole foundation: points, foundation_grade, what is pending (names of items), and whether required grades are met.
+
+    grades: items 2, 5 and 6 of the model, see `model_grades`. item_1, item_3: verified grades of the documentary items (`rules.documentary_item`). Item 4 and the precision are
+    each subject's own; a pending item leaves the grade pending, and a subject without a value has none."""
+    items = [item_1.cast("int"), F.lit(grades["item_2"]).cast("int"), item_3.cast("int"), F.col("item_4").cast("int"), F.lit(grades["item_5"]).cast("int"), F.lit(grades["item_6"]).cast("int")]
+    ok = F.col("status") == "succeeded"
+    pending = F.filter(F.array(*[F.when(x.isNull(), F.lit(f"item_{i + 1}")) for i, x in enumerate(items)]), lambda c: c.isNotNull())
+    out = scored.withColumns({"points": F.when(ok, rules.foundation_points(items)), "pending": F.when(ok, pending), "foundation_grade": F.when(ok, rules.foundation(items))})
+    due = F.lit(None).cast("int") if required is None else required
+    exact = F.lit(None).cast("int") if required_precision is None else required_precision
+    return out.withColumns({"foundation_requirement": rules.grade_requirement(F.col("foundation_grade"), due), "precision_requirement": rules.grade_requirement(F.col("precision_grade"), exact)})
+
+
 def model_grades(spark, fit: Fit) -> dict[str, int | None]:
     """Items 2, 5 and 6 of a model."""
     s = fit.statistics()

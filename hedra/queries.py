@@ -14,7 +14,7 @@ from hedra.operators.encode import Encoder
 from hedra.operators.regress import CONST
 from hedra.plans import batch, cache
 from hedra.plans.ingest import Ingested, Source, ingest_csv
-from hedra.plans.valuation import Request, value
+from hedra.plans.valuation import Request, assess, value
 from hedra.sources import tabular
 from hedra.sources.shared import shared_dir
 
@@ -1210,6 +1210,28 @@ def least_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("p_partkey", policy.least_grade(asked).alias("x")).select("p_partkey", "x.grade", "x.code")
 
 
+@query(
+    """WITH t AS (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem WHERE l_orderkey % 2 = 0 AND l_quantity <= 30),
+    f AS (SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS b, min(x) AS lo, max(x) AS hi, count(*) - 2 AS df, abs(regr_slope(y, x)) / sqrt((regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / (count(*) - 2) / regr_sxx(y, x)) AS t FROM t),
+    m AS (SELECT *, """
+    + _STEPS(("1.6448536269514722", "1.2815515655446004", "1.0364333894937898"))
+    + " AS i5, "
+    + _STEPS(("2.5758293035489004", "2.3263478740408408", "1.959963984540054"))
+    + """ AS i6 FROM f),
+    s AS (SELECT l_orderkey, l_linenumber, i5, i6, l_quantity BETWEEN lo / 2 AND hi * 2 AS ok, CASE WHEN l_orderkey % 3 > 0 THEN l_linenumber % 4 END AS i1, CASE WHEN l_quantity BETWEEN lo AND hi THEN 3 WHEN abs(b * (l_quantity - edge)) / abs(a + b * edge) <= .15 THEN 2 WHEN abs(b * (l_quantity - edge)) / abs(a + b * edge) <= .2 THEN 1 ELSE 0 END AS i4 FROM (SELECT *, greatest(least(l_quantity, hi), lo) AS edge FROM lineitem, m)),
+    p AS (SELECT *, coalesce(i1, 0) + i4 + 5 + i5 + i6 AS points, least(i4, i5, i6) AS worst FROM s),
+    g AS (SELECT *, CASE WHEN NOT ok OR i1 IS NULL THEN NULL WHEN worst >= 3 AND i1 >= 2 AND points >= 16 THEN 3 WHEN worst >= 2 AND i1 >= 1 AND points >= 10 THEN 2 WHEN worst >= 1 AND i1 >= 1 AND points >= 6 THEN 1 END AS grade FROM p)
+    SELECT l_orderkey, l_linenumber, CASE WHEN ok THEN points END AS points, CASE WHEN ok THEN CASE WHEN i1 IS NULL THEN 'item_1' ELSE '' END END AS pending, grade AS foundation_grade, CASE WHEN grade IS NULL THEN 'pending' WHEN grade >= 2 THEN 'met' ELSE 'not_met' END AS requirement FROM g"""
+)
+def assessed_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The foundation of every line's value: the model's items, the line's own extrapolation and its documents, of which some aren't verified."""
+    li = read(spark, sf_dir, "lineitem")
+    made = value(li.where("l_orderkey % 2 = 0 AND l_quantity <= 30"), Request("l_extendedprice", ["l_quantity"]))
+    document = rules.documentary_item((F.col("l_linenumber") % 4).cast("int"), F.col("l_orderkey") % 3 > 0)
+    out = assess(made.score(li), made.grades, document, F.lit(2), F.lit(2))
+    return out.select("l_orderkey", "l_linenumber", "points", F.when(F.col("pending").isNotNull(), F.concat_ws(",", "pending")).alias("pending"), "foundation_grade", F.col("foundation_requirement").alias("requirement"))
+
+
 # -- rows by id, summaries, rules ----------------------------------------------------------------------------------------
 
 

@@ -109,3 +109,15 @@ def test_exact_partitions(spark):
     assert again == {r["id"]: r["fold"] for r in resample.exact_folds(rows.distinct(), "id", 4, 3).collect()}
     with pytest.raises(ValueError):
         resample.exact_folds(rows.limit(1), "id", 4, 3)
+
+
+def test_one_candidate_by_the_same_path(spark):
+    df = market(spark)
+    units = [search.Unit("area", ("linear", "ln")), search.Unit("age", ("linear", "sqr"))]
+    all_of = {r["candidate_id"]: r for r in search.search_models(df, "price", units, targets=("identity", "log")).records.collect()}
+    for name in ("age:sqr|area:ln|y:log|int:1", "area:linear|y:identity|int:1"):
+        record, fit = search.evaluate_candidate(df, "price", units, name)
+        own = record.first()
+        assert (own["rmse"], own["aic"], own["worst_p"]) == pytest.approx((all_of[name]["rmse"], all_of[name]["aic"], all_of[name]["worst_p"])) and fit.status == "fitted"
+    with pytest.raises(ValueError, match="candidate_unknown"):
+        search.evaluate_candidate(df, "price", units, "area:inverse|y:identity|int:1")
