@@ -4,6 +4,7 @@ read under the request's locale with a status for every cell. Original texts sta
 from __future__ import annotations
 
 import dataclasses
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from hedra.operators.ledger import ingest_summary
 from hedra.operators.ordered import number_rows, row_ids
 from hedra.operators.profile import NON_QUANTITATIVE_ROLES, columns_to_convert, infer_kinds, looks_non_quantitative
 from hedra.plans.valuation import ROLES, Request, Valuation, resolve, value
+from hedra.sources.shared import shared_dir
 from hedra.sources.tabular import read_csv
 
 ROW_ID = "row_id"
@@ -117,7 +119,8 @@ class Ingested:
 
 
 def ingest(texts: DataFrame, names: dict[str, str], source: Source) -> Ingested:
-    """Interprets a table of texts (internal names; `names` maps original ones). Two passes before the rows are read: what each column looks like, and row numbers.
+    """Interprets a table of texts (internal names; `names` maps original ones). Passes over the texts find what each column looks like and number the rows; the interpreted
+    rows are written once to the shared folder.
 
     A missing target is pending, one that is no finite number is rejected, and neither is ever imputed; predictors aren't imputed here. A cell that can't be read without
     a guess has no number: its text stays in `original`, with a reason on its row.
@@ -129,9 +132,11 @@ def ingest(texts: DataFrame, names: dict[str, str], source: Source) -> Ingested:
     candidates, last = resolve_candidates(source.candidates, roles, target, names)
     columns = texts.columns
     odd = {r["column"]: r["non_quantitative"] for r in looks_non_quantitative(texts, columns).collect()}  # a row a column
-    kinds = {r["column"]: r["kind"] for r in infer_kinds(texts, columns, source.locale).collect()}
+    may = columns_to_convert(odd, roles, target)
+    asked = [c for c in columns if may[c] and c != target]
+    kinds = {r["column"]: r["kind"] for r in infer_kinds(texts, asked, source.locale).collect()} if asked else {}
     # a column of which at most half is numbers is one of names
-    converted = {c: v and (c == target or kinds[c] == "numeric") for c, v in columns_to_convert(odd, roles, target).items()}
+    converted = {c: v and (c == target or kinds[c] == "numeric") for c, v in may.items()}
     numbered = texts.withColumn("_pos", F.col(source.position).try_cast("bigint")) if source.position else number_rows(texts.withColumn("_key", F.xxhash64(*columns)), "_key", *columns, name="_pos").drop("_key")
     rows = row_ids(numbered, "_pos", ROW_ID).drop("_pos")
     said = {c: f"_said_{i}" for i, c in enumerate(columns) if converted[c]}
@@ -145,6 +150,10 @@ def ingest(texts: DataFrame, names: dict[str, str], source: Source) -> Ingested:
     held = rows.withColumns({"cells": cells, "missing_before": missing, "original": F.struct(*columns)})
     held = held.withColumns({"disposition": disposition, "target_value": of[target] if target else F.lit(None).cast("double"), "reasons": F.concat(codes, F.array_compact(F.array(why)))})
     out = held.select(ROW_ID, *[x.alias(c) for c, x in of.items()], "original", "missing_before", "cells", "target_value", "disposition", "reasons")
+    # interpreted once, whatever is fitted and scored from it
+    path = f"{shared_dir(texts.sparkSession)}/ingested-{uuid.uuid4().hex}"
+    out.write.parquet(path)
+    out = texts.sparkSession.read.schema(out.schema).parquet(path)
     return Ingested(out, names, roles | {ROW_ID: "identifier"}, target, candidates, converted, [*issues, *more, *last])
 
 
