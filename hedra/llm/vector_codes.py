@@ -64,19 +64,22 @@ def nearest(v: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray, in
     if not v.shape[1]:
         return np.zeros(n, np.int64), np.zeros(n, np.int64), 0
     exact = lambda row, entry: ((v[row] - book[entry]) ** 2).sum(1)
-    row, entry = np.repeat(np.arange(n), k), np.tile(np.arange(k), n)
-    spent, best = 0, None
-    if v.dtype != object and book.dtype != object:
-        for starts in levels(v.shape[1]):
+    if v.dtype == object or book.dtype == object:
+        row, entry, spent = np.repeat(np.arange(n), k), np.tile(np.arange(k), n), 0
+    else:
+        # doubles carry some nine digits more than is taken off the bounds
+        slack = lambda x: 1e-6 * (x.astype(np.float64) ** 2).sum(1)
+        mine, theirs = slack(v), slack(book)
+        one, *finer = levels(v.shape[1])
+        (s, size, rest), (t, _, left) = _blocks(v, one), _blocks(book, one)
+        bound = (s - t.T) ** 2 / size + (rest[:, None] - left) ** 2 - (mine[:, None] + theirs + 1)
+        guess = bound.argmin(1)  # the entry of least bound sets what others must reach
+        best, spent = exact(np.arange(n), guess), n
+        row, entry = np.nonzero(bound <= best[:, None])
+        for starts in finer:
             (s, size, rest), (t, _, left) = _blocks(v, starts), _blocks(book, starts)
             bound = ((s[row] - t[entry]) ** 2 / size).sum(1) + (rest[row] - left[entry]) ** 2
-            # doubles carry some nine digits more than is taken off here
-            scale = (s[row] ** 2 / size).sum(1) + (t[entry] ** 2 / size).sum(1) + rest[row] ** 2 + left[entry] ** 2
-            bound -= 1e-6 * scale + 1
-            if best is None:  # the entry of least bound sets what others must reach
-                guess = bound.reshape(n, k).argmin(1)
-                best, spent = exact(np.arange(n), guess), n
-            use = bound <= best[row]
+            use = bound - (mine[row] + theirs[entry] + 1) <= best[row]
             row, entry = row[use], entry[use]
     distance = exact(row, entry)
     # rows keep their order and entries ascend within each
