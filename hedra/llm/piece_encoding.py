@@ -302,7 +302,8 @@ def encode_pieces(docs: DataFrame, model: bytes, key: str = "doc_id", text: str
 
     Returns key, ids, begins and ends (byte spans of the original text, one for each id; a byte id has its own byte) and decoded. A null or empty text has no ids and decodes to an empty text.
     Repeated rows and null keys stay rows of their own; an empty table gives an empty result; other columns are ignored. Memory in a task
-    is bounded by `slice_bytes` of text (or the longest text) and the cache of stretches.
+    is bounded by `slice_bytes` of text (or the longest text) and the cache of stretches. Where a model's character map is empty (as that of the given one), texts are not
+    normalised but for their spaces, and every byte is aligned with itself.
     """
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a file of fixed size
