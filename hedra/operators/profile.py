@@ -234,20 +234,37 @@ def normal_frequencies(df: DataFrame, z: Column) -> DataFrame:
     return df.agg(F.array(*shares).alias("x")).select(F.inline("x"))
 
 
+def _floored(df: DataFrame, actual: str, by: list[str]) -> tuple[DataFrame, Column]:
+    """The rows and the size under which an actual value is near zero: a millionth of the median size of its group, or 1e-12."""
+    size = F.abs(F.col(actual))
+    groups = [r.asDict() for r in df.groupBy(*by).agg(F.count(size).alias("_n")).collect()]  # a row a fold
+    if all(g.pop("_n") <= 1_000_000 for g in [dict(g) for g in groups]):
+        floors = df.groupBy(*by).agg(F.greatest(F.lit(1e-12), 1e-6 * F.median(size)).alias("_floor"))
+        return (df.join(F.broadcast(floors), by) if by else df.join(F.broadcast(floors), F.lit(True))), F.col("_floor")  # a row a fold
+    within = [reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.lit(g[c])) for c in by), F.lit(True)) for g in groups]
+    middle = medians(df, {str(i): F.when(here, size) for i, here in enumerate(within)})
+    floor = F.lit(None).cast("double")
+    for i, here in enumerate(within):
+        floor = F.when(here, F.lit(max(1e-12, 1e-6 * (middle[str(i)] or 0.0)))).otherwise(floor)
+    return df, floor
+
+
+def metrics_together(df: DataFrame, actual: str, predicted: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """n, and mae, rmse, rel_mae and rel_rmse with a prefix for each of several predictions of the same rows, in one aggregation; see `metrics`."""
+    df, floor = _floored(df, actual, by or [])
+    aggs = [F.count(F.col(actual)).alias("n")]
+    for prefix, c in predicted.items():
+        e, size = F.col(c) - F.col(actual), F.abs(F.col(actual))
+        rel = F.when(size >= floor, e / size)
+        aggs += [F.avg(F.abs(e)).alias(f"{prefix}mae"), F.sqrt(F.avg(e * e)).alias(f"{prefix}rmse"), F.avg(F.abs(rel)).alias(f"{prefix}rel_mae"), F.sqrt(F.avg(rel * rel)).alias(f"{prefix}rel_rmse")]
+    return df.groupBy(*(by or [])).agg(*aggs)
+
+
 def metrics(df: DataFrame, actual: str, predicted: str, by: list[str] | None = None) -> DataFrame:
     """n, mae, rmse, rel_mae, rel_rmse; relative errors leave out actual values near zero (a millionth of the median size, or 1e-12). `by` are few groups: folds, not keys."""
     by = by or []
+    df, floor = _floored(df, actual, by)
     e, size = F.col(predicted) - F.col(actual), F.abs(F.col(actual))
-    groups = [r.asDict() for r in df.groupBy(*by).agg(F.count(size).alias("_n")).collect()]  # a row a fold
-    if all(g.pop("_n") <= 1_000_000 for g in [dict(g) for g in groups]):
-        floors = df.groupBy(*by).agg(F.greatest(F.lit(1e-12), 1e-6 * F.median(size)).alias("_floor"))
-        df, floor = df.join(F.broadcast(floors), by) if by else df.join(F.broadcast(floors), F.lit(True)), F.col("_floor")  # a row a fold
-    else:
-        within = [reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.lit(g[c])) for c in by), F.lit(True)) for g in groups]
-        middle = medians(df, {str(i): F.when(here, size) for i, here in enumerate(within)})
-        floor = F.lit(None).cast("double")
-        for i, here in enumerate(within):
-            floor = F.when(here, F.lit(max(1e-12, 1e-6 * (middle[str(i)] or 0.0)))).otherwise(floor)
     rel = F.when(size >= floor, e / size)
     return df.groupBy(*by).agg(F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(rel)).alias("rel_mae"), F.sqrt(F.avg(rel * rel)).alias("rel_rmse"))
 

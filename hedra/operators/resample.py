@@ -15,7 +15,7 @@ from hedra.functions.transforms import transform
 from hedra.operators import search
 from hedra.operators.encode import MOST_LEVELS, Encoder, apply_encoder, feature_columns, fit_encoder
 from hedra.operators.ordered import even_chunks, number_rows
-from hedra.operators.profile import dispersion, metrics
+from hedra.operators.profile import dispersion, metrics, metrics_together
 from hedra.operators.regress import CONST, Fit, _fold, _width_first, prediction, solve, triangles
 
 
@@ -352,9 +352,8 @@ def evaluate_selection(df: DataFrame, fold: str, target: str, numeric: list[str]
     scored = used.withColumns({"predicted": predicted, "train_mean": mean, "n_train": n_train, "candidate_id": name}).withColumn("status", F.when(F.col("predicted").isNull(), "failed").otherwise("ok"))
     cover = scored.groupBy(fold).agg(F.count(target).alias("n_reserved"), F.count_if(F.col(target).isNotNull() & (F.col("status") == "ok")).alias("n_scored"), F.first("n_train").alias("n_train"), F.first("candidate_id").alias("candidate_id"))
     good = scored.where((F.col("status") == "ok") & F.col(target).isNotNull())
-    own = metrics(good, target, "predicted", [fold]).drop("n")
-    naive = metrics(good, target, "train_mean", [fold]).select(fold, F.col("mae").alias("mean_mae"), F.col("rmse").alias("mean_rmse"))
-    return cover.join(own, fold, "left").join(naive, fold, "left").withColumn("coverage", F.try_divide("n_scored", "n_reserved")), chosen
+    both = metrics_together(good, target, {"": "predicted", "mean_": "train_mean"}, [fold]).drop("n", "mean_rel_mae", "mean_rel_rmse")
+    return cover.join(both, fold, "left").withColumn("coverage", F.try_divide("n_scored", "n_reserved")), chosen
 
 
 def procedure_stability(df: DataFrame, key: str, target: str, units: list[search.Unit], replicates: int, seed: int, policy: str | int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
