@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +15,15 @@ def _place(df: DataFrame, key: str) -> Column:
 
 
 def _above(value: Column, cuts: list[float]) -> Column:
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < value)) if cuts else F.lit(0)
+    """How many of the sorted cuts are less than the value: by every so-manieth cut first, then within the part that those leave, as a row pays for each cut that it is compared with."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    parts = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    less = lambda few: F.size(F.filter(few, lambda c: c < value))
+    part = F.greatest(less(F.array(*[F.lit(own[0]) for own in parts])), F.lit(1))
+    every = F.array(*[F.array(*[F.lit(c) for c in own]) for own in parts])
+    return F.when(value.isNotNull(), F.transform(F.array(part), lambda p: (p - 1) * step + less(F.element_at(every, p)))[0]).otherwise(0)
 
 
 def buckets(df: DataFrame, key: str, count: int = 200, ties: tuple[str, ...] = ()) -> Column:
@@ -39,15 +50,17 @@ def buckets(df: DataFrame, key: str, count: int = 200, ties: tuple[str, ...] = (
 def number_rows(df: DataFrame, key: str, *ties: str, name: str = "pos", count: int = 200) -> DataFrame:
     """Gapless row numbers from 0 in order of key and ties."""
     cut = df.withColumn("_bucket", buckets(df, key, count, ties))
-    sizes = cut.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    first = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_first"))  # a row a bucket
+    sizes = sorted((r["_bucket"], r["_n"]) for r in cut.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).collect())  # a row a bucket
+    ends = [0, *accumulate(n for _, n in sizes)]
+    first = df.sparkSession.createDataFrame([(b, e) for (b, _), e in zip(sizes, ends, strict=False)], "_bucket bigint, _first bigint")
     inside = Window.partitionBy("_bucket").orderBy(key, *ties)
     return cut.join(F.broadcast(first), "_bucket").withColumn(name, F.col("_first") + F.row_number().over(inside) - 1).drop("_bucket", "_first")
 
 
-def row_ids(df: DataFrame, position: str = "pos", name: str = "row_id") -> DataFrame:
-    """R and the position, padded with zeros to six digits or as many as the greatest needs."""
-    digits = max(6, len(str(df.agg(F.max(position).alias("m")).first()["m"] or 0)))
+def row_ids(df: DataFrame, position: str = "pos", name: str = "row_id", digits: int | None = None) -> DataFrame:
+    """R and the position, padded with zeros to six digits or as many as the greatest needs. digits: so many in any case, with longer positions cut after them as SQL's lpad does, so that
+    ids repeat from 10**digits rows on."""
+    digits = digits or max(6, len(str(df.agg(F.max(position).alias("m")).first()["m"] or 0)))
     return df.withColumn(name, F.concat(F.lit("R"), F.lpad(F.col(position).cast("string"), digits, "0")))
 
 

@@ -641,7 +641,8 @@ def row_numbers_and_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, 'R' || lpad(CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS VARCHAR), 6, '0') AS row_id FROM events")
 def row_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.row_ids(ordered.number_rows(read(spark, sf_dir, "events"), "ts", "event_id")).select("event_id", "row_id")
+    """Six digits whatever the rows, since the twin's lpad cuts longer numbers; the operator alone gives as many as the greatest number needs."""
+    return ordered.row_ids(ordered.number_rows(read(spark, sf_dir, "events"), "ts", "event_id"), digits=6).select("event_id", "row_id")
 
 
 @query(

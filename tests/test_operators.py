@@ -95,6 +95,20 @@ def test_order(spark):
         assert fold[fold.role == "train"].t.max() < fold[fold.role == "test"].t.min()
     assert ordered.durbin_watson(df.limit(1), F.col("e"), "t", "id").first()["durbin_watson"] is None
     assert ordered.number_rows(df.limit(0), "t", "id").count() == 0
+    plan = ordered.number_rows(df, "t", "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "Aggregate" not in plan  # where a bucket begins is a table of its own, which is not derived from the rows a second time
+    ids = lambda **k: sorted(r["row_id"] for r in ordered.row_ids(spark.range(999_999, 1_000_001).toDF("pos"), **k).collect())
+    assert ids() == ["R0999999", "R1000000"] and ids(digits=6) == ["R100000", "R999999"]
+
+
+def test_cuts_below_a_value(spark):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 15, 16, 199):
+        cuts = sorted(set(rng.integers(0, 400, n).astype(float).tolist()))
+        x = [-1.0, 500.0, *cuts, *(rng.random(50) * 400).tolist()]
+        df = spark.createDataFrame([(v,) for v in x] + [(None,)], "x double")
+        got = {r["x"]: r["n"] for r in df.select("x", ordered._above(F.col("x"), cuts).alias("n")).collect()}
+        assert got.pop(None) == 0 and got == {v: int(np.searchsorted(cuts, v)) for v in x}
 
 
 def test_ledger(spark):
