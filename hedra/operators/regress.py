@@ -332,9 +332,18 @@ def dummy_trap(df: DataFrame, indicators: list[str]) -> bool:
 
 
 def parameter_ranks(df: DataFrame, features: list[str], tolerance: float = 1e-8) -> dict[str, int]:
-    """n_effective, n_columns, and the rank of the features alone and beside an intercept, from one triangle."""
+    """n_effective, n_columns, and the rank of the features alone and beside an intercept, from one triangle.
+
+    A singular value counts above `tolerance`, and where it is more than rounding: what sums over n rows leave of nothing grows with n, so among columns of length one it must exceed n units of it."""
     r, n = triangles(df.select(F.lit(1.0).alias(CONST), *features), [], [CONST, *features]).get((), (np.zeros((len(features) + 1,) * 2), 0))
-    rank = lambda x: int((np.linalg.svd(x, compute_uv=False) > tolerance).sum()) if n and x.size else 0
+
+    def rank(x: np.ndarray) -> int:
+        if not n or not x.size:
+            return 0
+        size = np.sqrt((x**2).sum(0))
+        own, even = (np.linalg.svd(m, compute_uv=False) for m in (x, x / np.where(size > 0, size, 1.0)))
+        return int(min((own > tolerance).sum(), (even > even[0] * max(n, len(x)) * np.finfo(float).eps).sum()))
+
     return {"n_effective": n, "n_columns": len(features), "rank_slopes": rank(r[:, 1:]), "rank_with_intercept": rank(r)}
 
 

@@ -139,3 +139,10 @@ def test_folds(spark):
     fit = regress.fit_ols(df, "y", ["a", "b"])
     moved = resample.perturbation(df, "id", ["a", "b"], fit, 20, 3).toPandas()
     assert len(moved) == 200 and (moved.sd > 0).all()
+
+
+def test_rounding_of_great_sums_is_no_rank(spark):
+    """A column twice another one leaves only rounding, which is far above the tolerance where sums are great; a small column of its own counts beside them."""
+    df = spark.range(20_000).select((1e8 + F.pmod(F.xxhash64("id"), F.lit(1000)) * 1e6).alias("x"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(7)) * 1e-4).alias("z")).withColumn("twice", 3 * F.col("x"))
+    assert regress.parameter_ranks(df, ["x", "twice", "z"]) == {"n_effective": 20_000, "n_columns": 3, "rank_slopes": 2, "rank_with_intercept": 3}
+    assert regress.parameter_ranks(df.withColumn("none", F.lit(0.0)), ["x", "z", "none"])["rank_slopes"] == 2
