@@ -33,7 +33,7 @@ AREA_UNITS = {"m2_privativo", "privative_m2", "m2_total", "total_m2"}
 def medians(df: DataFrame, values: dict[str, Column], small: int = 1_000_000) -> dict[str, float | None]:
     """Exact medians of columns (null without values), of which no task holds more than about `small` distinct values, however large they are.
 
-    A quantile sketch cuts a column of more rows into parts, counts tell in which part the middle lies, and only that part's values are looked at again.
+    A quantile sketch puts cuts around the middle of a column of more rows, counts tell between which of them it lies, and only the values there are looked at again.
     All columns share each pass over the rows; a part of one value is the answer whatever its size."""
     values = {c: parse.finite(x.cast("double")) for c, x in values.items()}
     row = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(values.values())]).first()
@@ -47,23 +47,29 @@ def medians(df: DataFrame, values: dict[str, Column], small: int = 1_000_000) ->
         few = {k: v for k, v in open_.items() if v[3] <= small}
         many = {k: v for k, v in open_.items() if v[3] > small}
         aggs = [F.percentile(part(k[0], v[0], v[1]), F.lit((k[1] - v[2]) / max(v[3] - 1, 1))).alias(f"f{i}") for i, (k, v) in enumerate(few.items())]
-        aggs += [F.percentile_approx(part(k[0], v[0], v[1]), [q / 64 for q in range(65)], 10_000).alias(f"m{i}") for i, (k, v) in enumerate(many.items())]
+        # cuts close around the place, by twice what a sketch may miss: the rows between them are a few ten-thousandths, and places of one part share its sketch and cuts
+        shared: dict[tuple, list[int]] = {}
+        for (c, place), v in many.items():
+            shared.setdefault((c, *v), []).append(place)
+        near = {p: sorted({0.0, 1.0, *(min(max((k - p[3]) / (p[4] - 1) + d, 0.0), 1.0) for k in places for d in (-2e-4, 2e-4))}) for p, places in shared.items()}
+        aggs += [F.percentile_approx(part(*p[:3]), near[p], 10_000).alias(f"m{i}") for i, p in enumerate(shared)]
         row = df.agg(*aggs).first()
         found |= {k: row[f"f{i}"] for i, k in enumerate(few)}
-        cuts = {k: sorted(set(row[f"m{i}"])) for i, k in enumerate(many)}
+        cuts = {p: sorted(set(row[f"m{i}"])) for i, p in enumerate(shared)}
         open_ = {}
         if cuts:
             # how many values lie below each cut, and how many are equal to it
-            sums = [f(values[k[0]], F.lit(x)).alias(f"{n}{i}_{j}") for i, (k, own) in enumerate(cuts.items()) for j, x in enumerate(own) for n, f in (("b", lambda c, x: F.count_if(c < x)), ("e", lambda c, x: F.count_if(c == x)))]
+            sums = [f(values[p[0]], F.lit(x)).alias(f"{n}{i}_{j}") for i, (p, own) in enumerate(cuts.items()) for j, x in enumerate(own) for n, f in (("b", lambda c, x: F.count_if(c < x)), ("e", lambda c, x: F.count_if(c == x)))]
             row = df.agg(*sums).first()
-            for i, (k, own) in enumerate(cuts.items()):
+            for i, (p, own) in enumerate(cuts.items()):
                 below, equal = ([row[f"{n}{i}_{j}"] for j in range(len(own))] for n in ("b", "e"))
-                j = max(j for j in range(len(own)) if below[j] <= k[1])
-                if k[1] < below[j] + equal[j]:
-                    found[k] = own[j]
-                else:  # strictly between two cuts
-                    low, high = float(np.nextafter(own[j], np.inf)), float(np.nextafter(own[j + 1], -np.inf))
-                    open_[k] = (low, high, below[j] + equal[j], below[j + 1] - below[j] - equal[j])
+                for place in shared[p]:
+                    j = max(j for j in range(len(own)) if below[j] <= place)
+                    if place < below[j] + equal[j]:
+                        found[p[0], place] = own[j]
+                    else:  # strictly between two cuts
+                        low, high = float(np.nextafter(own[j], np.inf)), float(np.nextafter(own[j + 1], -np.inf))
+                        open_[p[0], place] = (low, high, below[j] + equal[j], below[j + 1] - below[j] - equal[j])
     return out | {c: (found[c, (n - 1) // 2] + found[c, n // 2]) / 2 for c, n in counts.items() if n}
 
 

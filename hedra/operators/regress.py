@@ -58,9 +58,12 @@ def triangles(design: DataFrame, groups: list[str], columns: list[str], merge: i
                     held[(str(i),)] = _fold(r, x[use] * np.sqrt(own[use, None])), n + int(use.sum())
                 continue
             if names:
-                keys = list(zip(*(batch.column(n).to_pylist() for n in names), strict=True))
-                number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
-                at = np.fromiter((number[k] for k in keys), np.int64, len(keys))
+                coded = [batch.column(n).dictionary_encode(null_encoding="encode") for n in names]
+                code = np.zeros(len(x), np.int64)
+                for c in coded:
+                    code = code * max(len(c.dictionary), 1) + c.indices.to_numpy()
+                _, first, at = np.unique(code, return_index=True, return_inverse=True)
+                number = {tuple(c[int(j)].as_py() for c in coded): i for i, j in enumerate(first)}
             else:
                 number, at = {(): 0}, np.zeros(len(x), np.int64)
             for k, i in number.items():

@@ -15,7 +15,7 @@ from hedra.functions.transforms import transform
 from hedra.operators import search
 from hedra.operators.encode import MOST_LEVELS, Encoder, apply_encoder, feature_columns, fit_encoder
 from hedra.operators.ordered import even_chunks, number_rows
-from hedra.operators.profile import dispersion, metrics, metrics_together
+from hedra.operators.profile import dispersion, metrics_together
 from hedra.operators.regress import CONST, Fit, _fold, _width_first, prediction, solve, triangles
 
 
@@ -125,9 +125,8 @@ def evaluate_procedure(df: DataFrame, fold: str, target: str, features: list[str
     total = sums.agg(F.sum("s").alias("sum_all"), F.sum("c").alias("n_all"))
     means = sums.join(F.broadcast(total), F.lit(True)).select(fold, F.try_divide(F.col("sum_all") - F.col("s"), F.col("n_all") - F.col("c")).alias("train_mean"), (F.col("n_all") - F.col("c")).alias("n_train"))
     placed = scored.join(F.broadcast(means), fold).where(F.col("status") == "ok")
-    own = metrics(placed, target, "predicted", [fold])
-    naive = metrics(placed, target, "train_mean", [fold]).select(fold, F.col("mae").alias("mean_mae"), F.col("rmse").alias("mean_rmse"))
-    out = own.join(naive, fold).join(means.select(fold, "n_train"), fold)
+    both = metrics_together(placed, target, {"": "predicted", "mean_": "train_mean"}, [fold]).drop("mean_rel_mae", "mean_rel_rmse")
+    out = both.join(means.select(fold, "n_train"), fold)
     return out.withColumns({"small_sample": F.col("n") + F.col("n_train") < 30, "no_better": F.col("mae") >= 0.8 * F.col("mean_mae"), "thin_fold": (F.col("n_train") < 8) | (F.col("n") < 3)})
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hedra.functions import transforms
-from hedra.operators import ordered, profile, resample, search
+from hedra.operators import ordered, profile, regress, resample, search
 from hedra.operators.score import Frozen, score_batch
 from hedra.plans.valuation import Request, value
 from tests.compare import rows
@@ -124,3 +124,40 @@ def test_names_of_transforms():
     assert transforms.distinct_options(["log", "ln", "linear", "identity", "inv"]) == ["log", "linear", "inv"]
     assert transforms.equation(["const", "area"], [2.5, -0.125], "price", log=True) == "ln(price) = 2.5 - 0.125 * area"
     assert profile.columns_to_convert({"row_id": False, "a": False, "cep": True, "y": True, "d": False}, {"d": "date"}, "y") == {"row_id": False, "a": True, "cep": False, "y": True, "d": False}
+
+
+def test_medians_count_little(spark, monkeypatch):
+    """What a row is compared with doesn't grow with the sketch, and two places in one part share its cuts; the rows left after one look are few."""
+    asked, count_if, percentile = [], profile.F.count_if, profile.F.percentile
+    monkeypatch.setattr(profile.F, "count_if", lambda c: asked.append("cut") or count_if(c))
+    monkeypatch.setattr(profile.F, "percentile", lambda *a: asked.append("exact") or percentile(*a))
+    df = spark.range(200_000).select((F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 7.0).alias("x"))
+    want = float(np.median(df.toPandas().x))
+    assert profile.medians(df, {"x": F.col("x")}, 1000) == {"x": want}
+    assert asked.count("cut") <= 14 and asked.count("exact") == 2
+
+
+def test_folds_share_one_look_at_sizes(spark, monkeypatch):
+    looks, floored = [], profile._floored
+    monkeypatch.setattr(profile, "_floored", lambda *a: looks.append(1) or floored(*a))
+    df = market(spark)
+    got = {r["fold"]: r for r in resample.evaluate_procedure(df, "fold", "price", ["area"]).collect()}
+    assert len(looks) == 1
+    own = df.toPandas()
+    for k, r in got.items():
+        held, rest = own[own.fold == k], own[own.fold != k]
+        b, a = np.polyfit(rest.area, rest.price, 1)
+        assert r["mae"] == pytest.approx(abs(a + b * held.area - held.price).mean()) and r["mean_mae"] == pytest.approx(abs(rest.price.mean() - held.price).mean())
+        assert r["rel_mae"] == pytest.approx((abs(a + b * held.area - held.price) / held.price).mean()) and (r["n"], r["n_train"]) == (len(held), len(rest))
+
+
+def test_triangles_of_groups(spark):
+    """Groups by two columns with nulls: counts and cross products of each."""
+    df = spark.createDataFrame([(i % 3 or None, "a" if i % 2 else None, float(i), float(i * i % 7)) for i in range(60)], "g int, h string, x double, y double")
+    got = regress.triangles(df.repartition(3), ["g", "h"], ["x", "y"])
+    own = df.toPandas()
+    assert set(got) == {(g, h) for g in (None, "1", "2") for h in (None, "a")}
+    for (g, h), (r, n) in got.items():
+        here = own[(own.g.isna() if g is None else own.g == int(g)) & (own.h.isna() if h is None else own.h == h)]
+        x = here[["x", "y"]].to_numpy()
+        assert n == len(here) and np.allclose(r.T @ r, x.T @ x)
