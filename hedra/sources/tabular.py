@@ -77,11 +77,16 @@ def delimiter_of(text: str) -> str:
 
 
 def form_of(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None) -> Form:
-    """Reads the head of a file, or of the first file of a folder, through Spark."""
-    file = spark.read.format("binaryFile").load(path).orderBy("path").select("length", F.substring("content", 1, HEAD).alias("head")).first()
+    """Reads the head of a file, or of the first file of a folder, by the file system that Spark has for the path: HEAD bytes, whatever the files' sizes."""
+    file = spark.read.format("binaryFile").load(path).select("path", "length").orderBy("path").first()  # no content
     if file is None or not file["length"]:
         raise IngestError("empty_file")
-    head = bytes(file["head"])
+    where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file["path"]))
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        head = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(file["length"], HEAD)))
+    finally:
+        stream.close()
     name, bom = encoding_of(head, encoding, file["length"] <= HEAD)
     text = head.decode(name, "replace").lstrip("﻿")
     sep = delimiter or delimiter_of(text)

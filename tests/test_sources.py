@@ -30,6 +30,18 @@ def test_csv(spark, tmp_path):
         tabular.read_csv(spark, str(path), most_bytes=10)
 
 
+def test_form_is_read_from_the_head_alone(spark, tmp_path):
+    """No task or row holds a file: the first one is far longer than Spark may take as one value."""
+    for name, cell in (("a", "9"), ("b", "x")):
+        (tmp_path / f"{name}.csv").write_bytes(b"n;text\n" + f"{cell};y\n".encode() * 50_000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "100000")
+    try:
+        df, form, _ = tabular.read_csv(spark, str(tmp_path))
+        assert form.columns == ("n", "text") and form.delimiter == ";" and df.count() == 100_000
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 def test_xlsx(spark, tmp_path):
     sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row><c r="A2"><v>50</v></c><c r="B2"><v>1.5</v></c></row><row><c r="B3"><v>2</v></c></row></sheetData></worksheet>'
     shared = '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>Area</t></si><si><t>Price</t></si></sst>'
