@@ -82,15 +82,15 @@ def _level(state: Encoder, column: str) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for p in mapping.items() for x in p])[level], level) if mapping else level
 
 
-def feature_columns(df: DataFrame, state: Encoder, locale: str = "auto") -> dict[str, Column]:
+def feature_columns(df: DataFrame, state: Encoder, locale: str = "auto", read: dict[str, Column] | None = None) -> dict[str, Column]:
     """An expression for every feature. Numbers that are texts are read under the locale; an unknown or missing level leaves all indicators of its
-    group null, never zero, which would be the reference."""
+    group null, never zero, which would be the reference. read: levels that are there already."""
     out: dict[str, Column] = {}
     for c, fill in state.numeric.items():
         x = parse.finite(parse.number(df, c, locale))
         out[c] = x if fill is None else F.coalesce(x, F.lit(fill))
     for c, levels in state.levels.items():
-        v = _level(state, c)
+        v = read[c] if read else _level(state, c)
         known = F.coalesce(v.isin(levels), F.lit(False))
         out |= {name: F.when(known, (v == level).cast("double")) for level, name in state.indicators(c).items()}
     return out
@@ -98,11 +98,15 @@ def feature_columns(df: DataFrame, state: Encoder, locale: str = "auto") -> dict
 
 def apply_encoder(df: DataFrame, state: Encoder, locale: str = "auto") -> DataFrame:
     """Adds the features (see `feature_columns`) and `unsupported` (columns whose value has no encoding)."""
-    own = feature_columns(df, state, locale)
+    read = {c: F.col(f"_level_{i}") for i, c in enumerate(state.levels)}
+    if read:
+        # a text is read once a row, by a generator, as filters on features would put its reading into every indicator
+        df = df.select("*", F.inline(F.array(F.struct(*[_level(state, c).alias(f"_level_{i}") for i, c in enumerate(state.levels)]))))
+    own = feature_columns(df, state, locale, read)
     odd = [F.when(own[c].isNull(), F.lit(c)) for c in state.numeric]
-    odd += [F.when(~F.coalesce(_level(state, c).isin(levels), F.lit(False)), F.lit(c)) for c, levels in state.levels.items()]
+    odd += [F.when(~F.coalesce(read[c].isin(levels), F.lit(False)), F.lit(c)) for c, levels in state.levels.items()]
     unsupported = F.filter(F.array(*odd), lambda c: c.isNotNull())
     out = df.withColumns({f"_{c}" if c in state.numeric else c: x for c, x in own.items()} | {"unsupported": unsupported})
     for c in state.numeric:
         out = out.drop(c).withColumnRenamed(f"_{c}", c)
-    return out
+    return out.drop(*[f"_level_{i}" for i in range(len(state.levels))])

@@ -44,18 +44,22 @@ def reproduce(spark: SparkSession, path: str, key: str = "subject_id") -> DataFr
     terms, inverse = spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/inverse")
     facts = {r["fact"]: r["text"] if r["number"] is None else r["number"] for r in spark.read.parquet(f"{path}/facts").collect()}  # a row a fact
     values = spark.read.parquet(f"{path}/values")
-    each = values.where("status = 'succeeded'").select(key, F.explode("variables").alias("v")).select(key, "v.variable", F.col("v.value").alias("value"))
+    values = values.repartition(max(spark.sparkContext.defaultParallelism, values.rdd.getNumPartitions()))  # small files would leave the work to a few tasks
     fills = {k[5:]: v for k, v in facts.items() if k.startswith("fill:")}
-    fill = F.create_map(*[F.lit(x) for kv in fills.items() for x in kv])[F.col("variable")] if fills else F.lit(None).cast("double")
-    # a term's value in the design: the number, or whether the text is its level
-    design = each.join(F.broadcast(terms.where("variable IS NOT NULL")), "variable")
-    number = F.coalesce(F.col("value").try_cast("double"), fill)
-    x = F.when(F.col("level").isNull(), number).otherwise((parse.category(F.col("value")) == F.col("level")).cast("double"))
-    constant = values.where("status = 'succeeded'").select(key).join(F.broadcast(terms.where(F.col("term") == CONST)), F.lit(True)).select(key, "term", F.lit(1.0).alias("x"), "beta")  # one row
-    long = design.select(key, "term", x.alias("x"), "beta").unionByName(constant)
-    point = long.groupBy(key).agg(F.sum(F.col("x") * F.col("beta")).alias("mu"))
-    lines = long.join(F.broadcast(inverse), "term").groupBy(key, "place").agg(F.sum(F.col("x") * F.col("value")).alias("u"))  # the square of the design's width
-    form = lines.groupBy(key).agg(F.sum(F.col("u") * F.col("u")).alias("q"))
+    filled = F.create_map(*[F.lit(x) for kv in fills.items() for x in kv]) if fills else None
+    fill = lambda c: F.lit(None).cast("double") if filled is None else filled[c]
+    # the model as one row: each term with its row of the inverse, place by place
+    places = inverse.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("by"))
+    lines = terms.join(F.broadcast(places), "term", "left").withColumn("line", F.transform(F.sequence(F.lit(0), F.lit(int(facts["p"]) - 1)), lambda j: F.coalesce(F.element_at("by", j), F.lit(0.0))))
+    model = lines.agg(F.collect_list(F.struct("term", "beta", "variable", "level", "line")).alias("terms"))
+    # a term's value in the design: 1 for the constant, the number, or whether the text is its level; a subject is a row throughout, and terms of value 0 add nothing
+    read = F.transform("variables", lambda v: F.struct(v["variable"].alias("variable"), F.coalesce(v["value"].try_cast("double"), fill(v["variable"])).alias("number"), parse.category(v["value"]).alias("level")))
+    said = values.where("status = 'succeeded'").select(key, F.map_from_entries(F.transform(read, lambda v: F.struct(v["variable"], v))).alias("said")).join(F.broadcast(model), F.lit(True))  # one row
+    x = lambda t: F.when(t["term"] == CONST, F.lit(1.0)).when(t["level"].isNull(), F.col("said")[t["variable"]]["number"]).otherwise((F.col("said")[t["variable"]]["level"] == t["level"]).cast("double"))
+    own = said.select(key, F.filter(F.transform("terms", lambda t: F.struct(x(t).alias("x"), t["beta"].alias("beta"), t["line"].alias("line"))), lambda t: t["x"] != 0).alias("own"))
+    total = lambda of: F.aggregate("own", F.lit(0.0), lambda a, t: a + of(t))
+    each = F.transform(F.sequence(F.lit(0), F.lit(int(facts["p"]) - 1)), lambda j: total(lambda t: t["x"] * t["line"][j]))
+    done = own.select(key, total(lambda t: t["x"] * t["beta"]).alias("mu"), F.aggregate(each, F.lit(0.0), lambda a, u: a + u * u).alias("q"))
     df = facts["n"] - facts["p"]
     sigma = (facts["sse"] / df) ** 0.5
     reach = t_quantile((1 + facts["level"]) / 2, int(df)) * sigma
@@ -63,7 +67,7 @@ def reproduce(spark: SparkSession, path: str, key: str = "subject_id") -> DataFr
     back = F.exp if log else (lambda c: c)
     value = {"median": back(mu), "smearing": back(mu) * facts["smearing"], "lognormal_mean": back(mu + sigma**2 / 2)}[facts["estimand"]] if log else mu
     mean, pred = reach * F.sqrt("q"), reach * F.sqrt(1 + F.col("q"))
-    again = point.join(form, key).select(key, *[c.alias(f"_{n}") for n, c in zip(FIELDS, (value, back(mu - mean), back(mu + mean), back(mu - pred), back(mu + pred)), strict=True)])
+    again = done.select(key, *[c.alias(f"_{n}") for n, c in zip(FIELDS, (value, back(mu - mean), back(mu + mean), back(mu - pred), back(mu + pred)), strict=True)])
     both = values.join(again, key, "left")
     pairs = F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("stored"), F.col(f"_{n}").alias("again"), F.lit(POINT_SLACK[0] if n == "point" else END_SLACK[0]).alias("a"), F.lit(POINT_SLACK[1] if n == "point" else END_SLACK[1]).alias("b")) for n in FIELDS])
     out = both.select(key, F.explode(pairs).alias("x")).select(key, "x.*")

@@ -161,11 +161,15 @@ def reproduced(stored: DataFrame, subjects: DataFrame, frozen: Frozen, key: str
     """key (unique), field, stored, again and whether they agree: values of stored results computed anew from a saved project, points within 1e-8 + 1e-10 of their size,
     ends of intervals within 1e-6 + 1e-8."""
     ends = ("mean_low", "mean_high", "pred_low", "pred_high")
-    each = lambda d, name: d.select(key, F.posexplode(F.array(*[F.col(c).cast("double") for c in ("point", *ends)])).alias("i", name))
-    both = each(stored, "stored").join(each(score_batch(subjects, frozen, key, level), "again"), [key, "i"], "left")
+    # a subject is a row on both sides until they have met
+    numbers = lambda d, name: d.select(key, F.array(*[F.col(c).cast("double") for c in ("point", *ends)]).alias(name))
+    met = numbers(stored, "a").join(numbers(score_batch(subjects, frozen, key, level), "b"), key, "left")
+    names = F.array(*[F.lit(c) for c in ("point", *ends)])
+    pairs = F.transform(names, lambda n, i: F.struct(n.alias("field"), F.col("a")[i].alias("stored"), F.col("b")[i].alias("again"), i.alias("i")))
+    both = met.select(key, F.explode(pairs).alias("x")).select(key, "x.*")
     slack = F.when(F.col("i") == 0, 1e-8 + 1e-10 * F.abs("stored")).otherwise(1e-6 + 1e-8 * F.abs("stored"))
     agrees = F.coalesce(F.abs(F.col("stored") - F.col("again")) <= slack, F.col("stored").isNull() & F.col("again").isNull())
-    return both.select(key, F.element_at(F.array(*[F.lit(c) for c in ("point", *ends)]), F.col("i") + 1).alias("field"), "stored", "again", agrees.alias("agrees"))
+    return both.select(key, "field", "stored", "again", agrees.alias("agrees"))
 
 
 def normalise_subjects(df: DataFrame, position: str) -> DataFrame:

@@ -121,3 +121,37 @@ def test_one_candidate_by_the_same_path(spark):
         assert (own["rmse"], own["aic"], own["worst_p"]) == pytest.approx((all_of[name]["rmse"], all_of[name]["aic"], all_of[name]["worst_p"])) and fit.status == "fitted"
     with pytest.raises(ValueError, match="candidate_unknown"):
         search.evaluate_candidate(df, "price", units, "area:inverse|y:identity|int:1")
+
+
+def test_a_level_is_read_once_a_row(spark):
+    """Filters on indicators don't repeat the reading of a text, however many levels there are; features stay as they were."""
+    from hedra.operators.encode import Encoder, apply_encoder, feature_columns
+
+    levels = [f"l{i}" for i in range(30)]
+    df = spark.createDataFrame([(i, f" l{i} " if i < 30 else None if i == 30 else "new") for i in range(32)], "id int, c string")
+    state = Encoder(levels={"c": levels}, reference={"c": "l0"})
+    names = list(state.indicators("c").values())
+    out = apply_encoder(df, state)
+    plan = out.where(" AND ".join(f"`{n}` IS NOT NULL" for n in names))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("c#") < 30 and set(out.columns) == {"id", "c", *names, "unsupported"}
+    plain = {r["id"]: r for r in df.select("id", *[x.alias(n) for n, x in feature_columns(df, state).items()]).collect()}
+    for r in out.collect():
+        assert all(r[n] == plain[r["id"]][n] for n in names) and r["unsupported"] == (["c"] if r["id"] > 29 else [])
+
+
+def test_reproduction_keeps_a_subject_in_one_row(spark, tmp_path):
+    """No subject is shuffled by the places of the model's inverse, and a changed coefficient still shows."""
+    from hedra.operators import reproduce
+    from hedra.plans.valuation import Request, value
+
+    df = spark.range(90).select(F.col("id").cast("string").alias("subject_id"), (10.0 + F.col("id")).alias("x"), F.concat(F.lit("g"), (F.col("id") % 3).cast("string")).alias("g"), (5 + 3.0 * F.col("id") + 20 * (F.col("id") % 3) + F.sin("id")).alias("y"))
+    made = value(df, Request("y", ["x"], ["g"]))
+    reproduce.store(made.score(df.withColumn("raw", F.struct("x", "g"))), made.frozen, str(tmp_path))
+    out = reproduce.reproduce(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(" not in plan and plan.count("Aggregate") <= 2  # of the model alone
+    got = out.collect()
+    assert len(got) == 450 and all(r["agrees"] for r in got)
+    terms = [(r["term"], r["beta"] + (0.01 if r["term"] == "x" else 0.0), r["variable"], r["level"]) for r in spark.read.parquet(f"{tmp_path}/terms").collect()]
+    spark.createDataFrame(terms, "term string, beta double, variable string, level string").write.mode("overwrite").parquet(f"{tmp_path}/terms")
+    assert not any(r["agrees"] for r in reproduce.reproduce(spark, str(tmp_path)).collect())
