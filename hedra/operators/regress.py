@@ -8,7 +8,7 @@ Normal equations are never formed: they would square the condition number.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,11 +32,11 @@ def _width_first(r: np.ndarray, width: int) -> np.ndarray:
     return np.vstack((r, np.zeros((max(0, width - len(r)), width))))[:width]
 
 
-def triangles(design: DataFrame, groups: list[str], columns: list[str], merge: int = 64, weights: str | None = None) -> dict[tuple, tuple[np.ndarray, int]]:
+def triangles(design: DataFrame, groups: list[str], columns: list[str], merge: int = 64, weights: str | None = None, weigh: Callable[[np.ndarray], np.ndarray] | None = None) -> dict[tuple, tuple[np.ndarray, int]]:
     """R and the number of rows of the columns, for every group (few: folds, not keys). Rows with a null or odd value in a column are left out.
 
     weights names an array column of one number a replicate (then there are no groups): the result has a triangle for each replicate's place, as text,
-    over rows of positive weight times its root. A row is read once, whatever the number of replicates."""
+    over rows of positive weight times its root. A row is read once, whatever the number of replicates. weigh turns the column's numbers into weights, in the task."""
     width = len(columns)
     if weights:
         groups = [*groups, "_replicate"]
@@ -52,7 +52,7 @@ def triangles(design: DataFrame, groups: list[str], columns: list[str], merge: i
             good = np.isfinite(x).all(1)
             if weights:
                 w = batch.column("w").flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
-                for i, own in enumerate(w.T):
+                for i, own in enumerate((weigh(w) if weigh else w).T):
                     use = good & (own > 0)
                     r, n = held.get((str(i),), (np.zeros((0, width)), 0))
                     held[(str(i),)] = _fold(r, x[use] * np.sqrt(own[use, None])), n + int(use.sum())

@@ -130,31 +130,44 @@ def evaluate_procedure(df: DataFrame, fold: str, target: str, features: list[str
     return out.withColumns({"small_sample": F.col("n") + F.col("n_train") < 30, "no_better": F.col("mae") >= 0.8 * F.col("mean_mae"), "thin_fold": (F.col("n_train") < 8) | (F.col("n") < 3)})
 
 
+#: Draws from which a row counts once, twice, ...: of Poisson(1).
+_CUTS = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1), dtype=float) for k in range(9)])
+
+
+def _chance(key: Column, replicate: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string"), replicate, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+
+
 def multiplicity(key: Column, replicate: Column, seed: int) -> Column:
     """How often a row is drawn in a bootstrap replicate: Poisson(1), from hashes; replicates need no pass of their own."""
-    u = F.pmod(F.xxhash64(key.cast("string"), replicate, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    cuts = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1), dtype=float) for k in range(9)])
-    return reduce(lambda a, b: a + b, (F.when(u >= float(c), 1).otherwise(0) for c in cuts))
+    count = lambda u: reduce(lambda a, k: F.when(u < float(_CUTS[k]), k).otherwise(a), range(len(_CUTS) - 1, -1, -1), F.lit(len(_CUTS)))
+    return F.get(F.transform(F.array(_chance(key, replicate, seed)), count), 0)  # the hash is bound once, not copied to each cut
 
 
 def bootstrap(df: DataFrame, key: str, target: str, features: list[str], replicates: int, seed: int, weighted: bool = True) -> dict[str, Fit]:
     """Models of bootstrap replicates, from one pass. weighted: a row counts as often as it is drawn; else once, as a subsample of distinct rows."""
     names = [CONST, *features, target]
-    design = df.select(F.lit(1.0).alias(CONST), *features, target, _drawn(key, replicates, seed, weighted))
-    return {k: solve(r, n, names, [CONST, *features], target) for (k,), (r, n) in triangles(design, [], names, weights="_w").items()}
+    design = df.select(F.lit(1.0).alias(CONST), *features, target, _chances(key, replicates, seed))
+    times = _times if weighted else lambda u: np.minimum(_times(u), 1)
+    return {k: solve(r, n, names, [CONST, *features], target) for (k,), (r, n) in triangles(design, [], names, weights="_w", weigh=times).items()}
+
+
+def _chances(key: str, replicates: int, seed: int) -> Column:
+    """A number from 0 to 1 for each replicate. They become weights in the task that folds the rows: the cuts of all replicates, as expressions, make a method that the JVM won't compile."""
+    return F.array(*[_chance(F.col(key), F.lit(i), seed) for i in range(replicates)]).alias("_w")
 
 
-def _drawn(key: str, replicates: int, seed: int, weighted: bool = True) -> Column:
-    times = [multiplicity(F.col(key), F.lit(i), seed) for i in range(replicates)]
-    return F.array(*[(c if weighted else F.least(c, F.lit(1))).cast("double") for c in times]).alias("_w")
+def _times(u: np.ndarray) -> np.ndarray:
+    """multiplicity of those numbers."""
+    return np.searchsorted(_CUTS, u, side="right").astype(float)
 
 
 def bootstrap_selection(df: DataFrame, key: str, target: str, units: list[search.Unit], replicates: int, seed: int, policy: str | int | None = None, objective: str = "rmse") -> DataFrame:
     """replicate, status, candidate_id, variables and objective of the best candidate of each replicate: the whole selection is run again on each, from one
     pass over the rows. The space is searched exactly up to search.BUDGET candidates, else by as many diverse ones."""
-    by, design = {u.base: u for u in units}, search.search_design(df, target, units, more=[_drawn(key, replicates, seed)])
+    by, design = {u.base: u for u in units}, search.search_design(df, target, units, more=[_chances(key, replicates, seed)])
     names = [c for c in design.columns if c != "_w"]
-    parts = {g: part for (g,), part in triangles(design, [], names, weights="_w").items()}
+    parts = {g: part for (g,), part in triangles(design, [], names, weights="_w", weigh=_times).items()}
     specs, held = [], []
     for g, (_, n) in parts.items():
         most = search.most_variables(n, policy)

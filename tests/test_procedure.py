@@ -95,6 +95,14 @@ def test_bootstrap_selection(spark):
     assert best["score"] == pytest.approx(math.sqrt((w * (x @ beta - own.price) ** 2).sum() / (w > 0).sum()), rel=1e-6)
 
 
+def test_draws_of_replicates_are_short_code(spark):
+    """Weights are those of multiplicity, also at the cuts, and a replicate adds little to the expression that the JVM must compile."""
+    df = spark.range(3000).select(F.col("id"), resample._chances("id", 5, 9), F.array(*[resample.multiplicity(F.col("id"), F.lit(i), 9) for i in range(5)]).alias("m")).toPandas()
+    assert (resample._times(np.stack(df["_w"])) == np.stack(df["m"])).all() and 0.9 < np.stack(df["m"]).mean() < 1.1
+    assert resample._times(np.array([0.0, *resample._CUTS])).tolist() == [0, *range(1, 10)]
+    assert str(resample._chances("id", 8, 9)).count("xxhash64") == 8 and str(resample.multiplicity(F.col("id"), F.lit(0), 9)).count("xxhash64") == 1
+
+
 @pytest.mark.parametrize("values", [[], [3.0], [1.0, 2.0], [5.0] * 900 + [1.0, 9.0], [float(i % 7) for i in range(1000)], [random.Random(4).gauss(0, 1) for _ in range(3001)], [float("nan"), 2.0, 4.0], [-1.0] * 500 + [1.0] * 500])
 def test_medians_by_narrowing(spark, values):
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
