@@ -5,23 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hedra.llm.common import stage
+from hedra.llm.common import stage, stage_counted
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges up to which a graph is one task's work; larger ones are dealt out.
+FEW = 50_000
+
+
+def components(edges: DataFrame, n: int | None = None) -> DataFrame:
     """node and comp, the smallest node reachable, of every node of `edges` (a, b).
 
     Labels spread to neighbours and then jump along themselves, so that rounds grow with the logarithm of the longest path; each round is
-    written to the shared folder.
+    written to the shared folder, and counts what it has changed while it writes. Every node is its own neighbour, so that a round is one join with
+    the edges and one of the labels with themselves. n, the number of edges where it is known, keeps rounds over FEW of them from being cut into tasks of a few rows.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
-    both = stage(both, "edges")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("comp")), "labels")
+    dealt = (lambda d: d.coalesce(1)) if n is not None and n <= FEW else (lambda d: d)
+    both = dealt(edges).where("a != b").select(F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")]))).distinct()
+    both = dealt(stage(both, "edges"))
+    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")), "labels")
+    labels = dealt(labels)
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        spread = labels.join(near, "node").select("node", F.least("comp", "near").alias("next"), "comp")
-        up = spread.select(F.col("node").alias("up"), F.col("next").alias("top"))
-        new = stage(spread.join(up, F.col("next") == F.col("up")).select("node", F.least("next", "top").alias("comp"), F.col("comp").alias("was")), "labels")
-        labels = new.select("node", "comp")
-        if not new.where("comp != was").limit(1).count():
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("next"), F.max(F.when(F.col("a") == F.col("b"), F.col("comp"))).alias("was"))
+        up = near.select(F.col("node").alias("up"), F.col("next").alias("top"))
+        new = near.join(up, F.col("next") == F.col("up")).select("node", F.least("next", "top").alias("comp"), "was")
+        new, changed = stage_counted(new, "labels", F.col("comp") != F.col("was"))
+        labels = dealt(new.select("node", "comp"))
+        if not changed:
             return labels

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hedra.llm.common import gathered, in_batches, mix64, pack, partitions, pick, stage, text_bytes, text_slices, unpack, word_hashes
+from hedra.llm.common import gathered, in_batches, mix64, pack, partitions, pick, stage, stage_counted, text_bytes, text_slices, unpack, word_hashes
 from hedra.llm.components import components
 
 SHINGLE = 5
@@ -294,32 +294,34 @@ def block_links(sets: DataFrame, placed: DataFrame, large: DataFrame, percent: i
     return tasks.repartition(partitions(sets.sparkSession)).mapInArrow(compare, "a bigint, b bigint")
 
 
-def links(sets: DataFrame, percent: int = PERCENT, rounds: int = 2, short: int = 32) -> DataFrame:
-    """Edges (a, b) between similar sets that connect what all links connect. `sets` is the result of prefixes(), written.
+def classes(sets: DataFrame, percent: int = PERCENT, rounds: int = 2, short: int = 32) -> DataFrame:
+    """node (a set's signature) and comp, the smallest node that links of similar sets reach. `sets` is the result of prefixes(), written.
 
-    Rounds of pivots (first the set of most repeated shingles of each list, then any) link most of a group at the cost of its size. What is
-    still apart is compared within lists: in lists of `short` or fewer by pairs, in longer ones by blocks.
+    Links that are found join the components that were known before; a graph of those alone, which shrinks, is solved each time. Rounds of
+    pivots (first the set of most repeated shingles of each list, then any) link most of a group at the cost of its size. What is still apart is compared within lists: in lists of `short` or fewer by pairs, in longer ones by blocks.
     """
     narrow = sets.select("sig", "n", F.size("p0").alias("m"), "p0")
     nodes = sets.select(F.col("sig").alias("node"))
-    edges = sets.sparkSession.createDataFrame([], "a bigint, b bigint")
-    comps = nodes.withColumn("comp", F.col("node"))
+    comps, known = nodes.withColumn("comp", F.col("node")), False
 
     def listed(turn: int) -> tuple[DataFrame, DataFrame]:
         """Postings with components, and lists that join different components."""
         # joined before the explosion, so that a set of many tokens is one row there
-        placed = narrow.withColumn("comp", F.col("sig")) if turn == 0 else narrow.join(comps, F.col("sig") == F.col("node")).drop("node")
+        placed = narrow.withColumn("comp", F.col("sig")) if not known else narrow.join(comps, F.col("sig") == F.col("node")).drop("node")
         placed = placed.select("sig", "n", "m", "comp", F.explode("p0").alias("token"))
         pivot = F.max_by(F.struct("sig", "comp", "n"), F.struct(F.col("m") if turn == 0 else F.lit(0), F.xxhash64("sig", F.lit(turn)), "sig")).alias("pivot")
         return placed, placed.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("size"), pivot).where("c1 != c2").drop("c1", "c2")
 
     def learn(new: DataFrame) -> bool:
-        nonlocal edges, comps
-        new = stage(new, "links")
-        if not new.limit(1).count():
+        nonlocal comps, known
+        new, found = stage_counted(new, "links")
+        if not found:
             return False
-        edges = stage(edges.union(new), "links")
-        comps = stage(nodes.join(components(edges), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "comps")
+        if known:
+            for end in ("a", "b"):
+                new = new.join(comps, F.col(end) == F.col("node")).drop("node", end).withColumnRenamed("comp", end)
+        more = components(new, found).select(F.col("node").alias("was"), F.col("comp").alias("top"))
+        comps, known = stage(comps.join(more, F.col("comp") == F.col("was"), "left").select("node", F.coalesce("top", "comp").alias("comp")), "comps"), True
         return True
 
     for turn in range(rounds):
@@ -333,10 +335,10 @@ def links(sets: DataFrame, percent: int = PERCENT, rounds: int = 2, short: int =
     near = few.join(other, "token").where((F.col("sig") < F.col("s2")) & (F.col("comp") != F.col("c2")) & _near_size(F.col("n"), F.col("n2"), percent))
     learn(verified(near.select(F.col("sig").alias("a"), F.col("s2").alias("b")).distinct(), sets, percent))
     placed, lists = listed(rounds)
-    large = stage(lists.where(F.col("size") > short).select("token", "size"), "lists")
-    if large.limit(1).count():
+    large, found = stage_counted(lists.where(F.col("size") > short).select("token", "size"), "lists")
+    if found:
         learn(block_links(sets, placed.drop("m"), large, percent))
-    return edges
+    return comps
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -348,15 +350,13 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     common.stage) and not from a shuffle, whose order can differ where a task runs again.
     """
     own = pick(docs, key=key, text=text)
-    table = stage(set_table(own, size), "sets")
-    rows = table.count()
+    table, rows = stage_counted(set_table(own, size), "sets")
     bits = min(48, max(40, math.ceil(math.log2(max(rows, 1))) + 22))
     cores = partitions(docs.sparkSession)
     shards = max(cores, rows // 4000)
     sets = stage(prefixes(repeated_shingles(own, shards, bits, size), shards, bits, percent), "prefixes")
-    edges = links(sets, percent)
+    comps = classes(sets, percent)
     least = table.where("n > 0 AND key IS NOT NULL").groupBy("sig").agg(F.min("key").alias("first"))
-    comps = components(edges)
     top = least.join(comps, F.col("sig") == F.col("node")).groupBy("comp").agg(F.min("first").alias("top"))
     named = least.join(comps.join(top, "comp").select(F.col("node").alias("sig"), "top"), "sig", "left").select("sig", F.least("first", "top").alias("top"))
     joined = table.join(named, "sig", "left")

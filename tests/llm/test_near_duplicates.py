@@ -2,6 +2,7 @@ import collections
 
 import pytest
 
+from hedra.llm import components
 from hedra.llm.jaccard_join import similar_documents
 from tests.llm.texts import corpus, edges, empty, shingles, vocabulary
 
@@ -55,3 +56,23 @@ def test_edges(spark):
     assert [by[i]["component_id"] for i in (0, 1, 2, 3, 4, 5)] == [0, 1, 2, 3, 4, 4] and [by[i]["n_shingles"] for i in (0, 1, 2, 3)] == [0, 0, 0, 1]
     assert {r["component_id"] for r in got if r["doc_id"] is None} == {None}
     assert similar_documents(empty(spark)).collect() == []
+
+
+@pytest.mark.parametrize("n", [None, 300])
+def test_components(spark, n):
+    """A path, a star, a loop and edges of many a graph, dealt out or in one task; a round writes its labels and counts what changes in the same execution."""
+    import random
+
+    rng = random.Random(5)
+    pairs = [(i + 1, i) for i in range(100, 160)] + [(300, i) for i in range(301, 340)] + [(7, 7)] + [(a := rng.randrange(1000, 1300), a + rng.randrange(1, 9)) for _ in range(200)]
+    top = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in top:
+        for a, b in pairs:
+            if a != b:
+                top[a] = top[b] = min(top[a], top[b])
+    store = spark._jsparkSession.sharedState().statusStore()
+    df, before = spark.createDataFrame(pairs, "a bigint, b bigint"), store.executionsCount()
+    got = components.components(df, n)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert store.executionsCount() - before <= 2 + 10
+    assert {r["node"]: r["comp"] for r in got.collect()} == top
