@@ -61,7 +61,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     once = _without(own, again).unionByName(first)
     key = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), row.alias("row"))
     gone = similar_documents(own.select(key.alias("doc_id"), "text")).where("component_id != doc_id")
-    return _without(once, gone.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.row").alias("_row")).distinct()).select(*own.columns).toDF(*docs.columns)
+    gone = stage(gone.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.row").alias("_row")).distinct(), "gone")
+    return _without(once, gone).select(*own.columns).toDF(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

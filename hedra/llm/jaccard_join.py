@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hedra.llm.common import gathered, in_batches, mix64, pack, partitions, pick, stage, stage_counted, text_bytes, text_slices, unpack, word_hashes
-from hedra.llm.components import components
+from hedra.llm.components import FEW, components
 
 SHINGLE = 5
 PERCENT = 75
@@ -176,7 +176,7 @@ def _near_size(a: Column, b: Column, percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), found under the first order, that share a prefix token under every other order as well and whose sets are similar enough."""
+    """Links (a, b) between components: those (ca, cb) of pairs of sets (a, b), found under the first order, that share a prefix token under every other order as well and are similar enough."""
     more = [f"p{k}" for k in range(1, len(ORDERS))]
     left = sets.select(F.col("sig").alias("a"), F.col("n").alias("n1"), F.col("tokens").alias("t1"), *[F.col(p).alias(f"{p}a") for p in more])
     right = sets.select(F.col("sig").alias("b"), F.col("n").alias("n2"), F.col("tokens").alias("t2"), *[F.col(p).alias(f"{p}b") for p in more])
@@ -184,7 +184,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     for p in more:
         both = both.where(F.arrays_overlap(f"{p}a", f"{p}b"))
     common = F.size(F.array_intersect("t1", "t2")).cast("bigint")
-    return both.where(common * 100 >= (F.col("n1") + F.col("n2") - common) * percent).select("a", "b")
+    return both.where(common * 100 >= (F.col("n1") + F.col("n2") - common) * percent).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
 
 
 class Block:
@@ -261,7 +261,7 @@ class Block:
 
 
 def block_links(sets: DataFrame, placed: DataFrame, large: DataFrame, percent: int, members: int = 1024, tokens: int = 200_000) -> DataFrame:
-    """Edges between sets of different components that share a token of a long posting list.
+    """Edges between different components, of sets that share a token of a long posting list.
 
     Sets are packed into blocks by the longest list that they stand in, and those of one component apart; only blocks that meet in a list
     and are not of one component are compared, each pair of blocks in a task, by products of 0/1 matrices: no pair of sets is ever a row.
@@ -289,7 +289,7 @@ def block_links(sets: DataFrame, placed: DataFrame, large: DataFrame, percent: i
             for one, two in zip(batch.column("parts").to_pylist(), batch.column("parts2").to_pylist(), strict=True):
                 left, right = Block(one), Block(two)
                 i, j = left.linked(right, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(left.sig[i]), pa.array(right.sig[j])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(left.comp[i]), pa.array(right.comp[j])], names=["a", "b"])
 
     return tasks.repartition(partitions(sets.sparkSession)).mapInArrow(compare, "a bigint, b bigint")
 
@@ -297,7 +297,7 @@ def block_links(sets: DataFrame, placed: DataFrame, large: DataFrame, percent: i
 def classes(sets: DataFrame, percent: int = PERCENT, rounds: int = 2, short: int = 32) -> DataFrame:
     """node (a set's signature) and comp, the smallest node that links of similar sets reach. `sets` is the result of prefixes(), written.
 
-    Links that are found join the components that were known before; a graph of those alone, which shrinks, is solved each time. Rounds of
+    Links that are found name the components that they join; a graph of those alone, which shrinks, is solved each time. Rounds of
     pivots (first the set of most repeated shingles of each list, then any) link most of a group at the cost of its size. What is still apart is compared within lists: in lists of `short` or fewer by pairs, in longer ones by blocks.
     """
     narrow = sets.select("sig", "n", F.size("p0").alias("m"), "p0")
@@ -317,23 +317,28 @@ def classes(sets: DataFrame, percent: int = PERCENT, rounds: int = 2, short: int
         new, found = stage_counted(new, "links")
         if not found:
             return False
-        if known:
-            for end in ("a", "b"):
-                new = new.join(comps, F.col(end) == F.col("node")).drop("node", end).withColumnRenamed("comp", end)
         more = components(new, found).select(F.col("node").alias("was"), F.col("comp").alias("top"))
+        more = F.broadcast(more) if found <= FEW else more  # 16 bytes a node
         comps, known = stage(comps.join(more, F.col("comp") == F.col("was"), "left").select("node", F.coalesce("top", "comp").alias("comp")), "comps"), True
         return True
 
+    def compare(pairs: DataFrame) -> bool:
+        # written, so that neither plan is long: the driver plans all that is left anew after each shuffle
+        pairs, found = stage_counted(pairs.distinct(), "pairs")
+        return found > 0 and learn(verified(pairs, sets, percent))
+
     for turn in range(rounds):
         placed, lists = listed(turn)
         found = placed.join(lists, "token").select("sig", "n", "comp", "pivot").where((F.col("comp") != F.col("pivot.comp")) & _near_size(F.col("n"), F.col("pivot.n"), percent))
-        if not learn(verified(found.select(F.least("sig", "pivot.sig").alias("a"), F.greatest("sig", "pivot.sig").alias("b")).distinct(), sets, percent)):
+        ends = F.struct("sig", "comp"), F.struct("pivot.sig", "pivot.comp")
+        found = found.select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y"))
+        if not compare(found.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))):
             break
     placed, lists = listed(rounds)
     few = placed.join(lists.where(F.col("size") <= short).select("token"), "token", "left_semi").drop("m")
     other = few.select("token", F.col("sig").alias("s2"), F.col("n").alias("n2"), F.col("comp").alias("c2"))
     near = few.join(other, "token").where((F.col("sig") < F.col("s2")) & (F.col("comp") != F.col("c2")) & _near_size(F.col("n"), F.col("n2"), percent))
-    learn(verified(near.select(F.col("sig").alias("a"), F.col("s2").alias("b")).distinct(), sets, percent))
+    compare(near.select(F.col("sig").alias("a"), F.col("s2").alias("b"), F.col("comp").alias("ca"), F.col("c2").alias("cb")))
     placed, lists = listed(rounds)
     large, found = stage_counted(lists.where(F.col("size") > short).select("token", "size"), "lists")
     if found:

@@ -76,3 +76,19 @@ def test_components(spark, n):
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     assert store.executionsCount() - before <= 2 + 10
     assert {r["node"]: r["comp"] for r in got.collect()} == top
+
+
+def test_few_links_are_one_task(spark):
+    """Links that one task can hold are solved in one execution, so that the join takes few."""
+    store, wait = spark._jsparkSession.sharedState().statusStore(), lambda: spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    df, before = spark.createDataFrame([(i + 1, i) for i in range(3000)] + [(5, 5)], "a bigint, b bigint"), store.executionsCount()
+    got = components.components(df, 3001)
+    wait()
+    assert store.executionsCount() - before == 1
+    assert {(r["node"], r["comp"]) for r in got.collect()} == {(i, 0) for i in range(3001)}
+    assert components.components(df.limit(0), 0).collect() == []
+    before = store.executionsCount()
+    got = similar_documents(spark.createDataFrame(corpus(2, 60) + group(150), "doc_id bigint, text string"))
+    wait()
+    ran = range(before, store.executionsCount())
+    assert len(ran) <= 16 and len(got.columns) == 3
