@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,12 @@ KINDS = {
     "transacao": "transaction", "transação": "transaction", "transaction": "transaction", "sale": "transaction", "sold": "transaction", "closed": "transaction",
 }
 
+#: What Unicode takes for white space.
+WHITE = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+# What most cells are. Texts with nothing to fold or trim, numbers without a sign by locale, after a currency or nothing, and words without a currency.
+TIDY = r"^[!-~](?:[ -~]*[!-~])?\z"
+USUAL = {"auto": r"\d+(?:[.,](?:\d{1,2}|\d{4,}))?", "pt-BR": r"\d+(?:\.\d{3})*(?:,\d+)?", "en-US": r"\d+(?:,\d{3})*(?:\.\d+)?"}
+WORD = r"(?i)^(?!USD|BRL|EUR|GBP)[a-z]+(?<!USD|BRL|EUR|GBP)\z"
 LOCALES = {"pt-BR": (",", "."), "en-US": (".", ",")}
 
 
@@ -28,12 +36,17 @@ def fold_spaces(c: Column) -> Column:
 
 def trim(c: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
+
+
+def tidy(c: Column) -> Column:
+    """With plain spaces, and none at the ends."""
+    return F.when(c.rlike(TIDY), c).otherwise(trim(fold_spaces(c)))
 
 
 def is_missing(c: Column) -> Column:
-    """Null, or a mark of a missing value, at ingest."""
-    return c.isNull() | F.lower(trim(fold_spaces(c))).isin(MISSING)
+    """Null, or a mark of a missing value, at ingest. No mark begins with a digit, so that numbers are told by a comparison."""
+    return c.isNull() | (((c < "0") | (c >= ":")) & F.lower(tidy(c)).isin(MISSING))
 
 
 def is_missing_category(c: Column) -> Column:
@@ -64,25 +77,23 @@ def _parsed(text: Column, sign: Column, locale: str) -> Column:
 
 
 def _by_locale(body: Column, sign: Column, locale: str) -> Column:
-    """Thousands in groups of three; a lone thousands sign before one or two digits is a decimal sign."""
+    """Of digits and separators. Thousands in groups of three; a lone thousands sign before one or two digits is a decimal sign."""
     decimal, thousands = LOCALES[locale]
     d, t = f"\\{decimal}", f"\\{thousands}"
-    plain = F.translate(F.replace(body, F.lit(thousands)), decimal, ".")
+    plain = F.replace(F.replace(body, F.lit(thousands)), F.lit(decimal), F.lit("."))
     return (
-        F.when(~body.rlike(r"^[0-9.,]+$"), _result("non_numeric"))
-        .when(body.rlike(rf"^\d+({t}\d{{3}})*({d}\d+)?$"), _parsed(plain, sign, locale))
-        .when(body.rlike(rf"^\d+{t}\d{{1,2}}$"), _parsed(F.translate(body, thousands, "."), sign, locale))
+        F.when(body.rlike(rf"^\d+({t}\d{{3}})*({d}\d+)?$"), _parsed(plain, sign, locale))
+        .when(body.rlike(rf"^\d+{t}\d{{1,2}}$"), _parsed(F.replace(body, F.lit(thousands), F.lit(".")), sign, locale))
         .otherwise(_result("malformed", reason="separators"))
     )
 
 
 def _by_shape(body: Column, sign: Column) -> Column:
-    """Without a locale: two kinds of separators, the last is the decimal one; one separator before exactly three digits is ambiguous."""
-    one = F.translate(body, ",", ".")
+    """Of digits and separators, without a locale: two kinds of separators, the last is the decimal one; one separator before exactly three digits is ambiguous."""
+    one = F.replace(body, F.lit(","), F.lit("."))
     both = body.contains(",") & body.contains(".")
     return (
-        F.when(~body.rlike(r"^[0-9.,]+$"), _result("non_numeric"))
-        .when(both & body.rlike(r",[^.]*$"), _by_locale(body, sign, "pt-BR"))
+        F.when(both & body.rlike(r",[^.]*$"), _by_locale(body, sign, "pt-BR"))
         .when(both, _by_locale(body, sign, "en-US"))
         .when(body.rlike(r"^\d+$"), _parsed(body, sign, "auto"))
         .when(one.rlike(r"^\.|\.\.|\.$"), _result("malformed", reason="empty_group"))
@@ -93,31 +104,45 @@ def _by_shape(body: Column, sign: Column) -> Column:
     )
 
 
+def _bound(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x), with x evaluated once however often it is named."""
+    return F.element_at(F.transform(F.array(x), then), 1)
+
+
 def parse_number(c: Column, locale: str = "auto") -> Column:
     """struct(status, value, locale, reason) of a text; status is missing, parsed, ambiguous, malformed, non_finite or non_numeric.
 
-    The value is null unless parsed: an ambiguous text is never guessed.
+    The value is null unless parsed: an ambiguous text is never guessed. Each step looks only at what the one before it leaves open.
     """
-    body = trim(fold_spaces(c))
-    body = F.regexp_replace(body, rf"(?i)^{CURRENCY}\s*", "")
-    body = trim(F.regexp_replace(body, rf"(?i)\s*{CURRENCY}$", ""))
-    body = F.regexp_replace(body, r"(?<=\d) (?=\d)", "")
-    seen = F.struct(is_missing(c).alias("missing"), F.when(body.startswith("-"), -1.0).otherwise(1.0).alias("sign"), trim(F.regexp_replace(body, r"^[+-]", "")).alias("body"))
-    # bound once, since each of the branches looks at it
-    return F.element_at(F.transform(F.array(seen), lambda s: _judge(s, locale)), 1)
+    read = lambda t: _bound(_signed(t), lambda s: _judge(s["body"], s["sign"], locale))
+    any_ = _bound(tidy(c), lambda t: F.when(is_missing(t), _result("missing")).otherwise(read(t)))
+    if locale not in USUAL:
+        return any_
+    # plain expressions for what most cells are; the steps above would say the same of them
+    digits, (decimal, thousands) = F.regexp_extract(c, r"[0-9.,]+\z", 0), LOCALES.get(locale, (",", ""))
+    number = F.replace(F.replace(digits, F.lit(thousands)) if thousands else digits, F.lit(decimal), F.lit("."))
+    usual = F.when(c.rlike(rf"(?i)^(?:{CURRENCY}\s*)?{USUAL[locale]}\z"), _parsed(number, F.lit(1.0), locale))
+    return usual.when(c.rlike(WORD) & ~F.lower(c).isin(*MISSING, *INFINITE), _result("non_numeric")).otherwise(any_)
+
 
+def _signed(text: Column) -> Column:
+    """sign and body of a tidy text, without a currency before or after and without blanks between digits."""
+    bare = trim(F.regexp_replace(F.regexp_replace(text, rf"(?i)^{CURRENCY}\s*", ""), rf"(?i)\s*{CURRENCY}$", ""))
+    return _bound(F.regexp_replace(bare, r"(?<=\d) (?=\d)", ""), lambda b: F.struct(F.when(b.startswith("-"), -1.0).otherwise(1.0).alias("sign"), trim(F.regexp_replace(b, r"^[+-]", "")).alias("body")))
 
-def _judge(seen: Column, locale: str) -> Column:
-    body, sign = seen["body"], seen["sign"]
+
+def _judge(body: Column, sign: Column, locale: str) -> Column:
     scientific = sign * body.try_cast("double")
-    return (
-        F.when(seen["missing"], _result("missing"))
-        .when(body == "", _result("malformed", reason="sign_only"))
+    odd = lambda other: (
+        F.when(body == "", _result("malformed", reason="sign_only"))
         .when(F.lower(body).isin(INFINITE), _result("non_finite"))
         .when(body.rlike(r"(?i)^[+-]?\d+(\.\d+)?e[+-]?\d+$") & (F.abs(scientific) < float("inf")), _result("parsed", scientific, "scientific"))
         .when(body.rlike(r"(?i)^[+-]?\d+(\.\d+)?e[+-]?\d+$"), _result("non_finite"))
-        .otherwise(_by_shape(body, sign) if locale == "auto" else _by_locale(body, sign, locale) if locale in LOCALES else _result("malformed", reason="unsupported_locale"))
+        .otherwise(other)
     )
+    if locale != "auto" and locale not in LOCALES:
+        return odd(_result("malformed", reason="unsupported_locale"))
+    return F.when(body.rlike(r"^[0-9.,]+$"), _by_shape(body, sign) if locale == "auto" else _by_locale(body, sign, locale)).otherwise(odd(_result("non_numeric")))
 
 
 def already_number(c: Column) -> Column:
@@ -163,8 +188,8 @@ def observation_kind(c: Column) -> Column:
 
 def is_formula(c: Column) -> Column:
     """A spreadsheet would run it: it begins with = + - @, a tab or a carriage return, or a full-width form, zero-width characters aside."""
-    bare = F.regexp_replace(c, "^[﻿​‌‍]+", "")
-    return F.coalesce(bare.rlike("^[=+\\-@\t\r＝＋－＠]"), F.lit(False))
+    bare = F.ltrim(c, F.lit("\ufeff\u200b\u200c\u200d"))
+    return F.coalesce(F.substring(bare, 1, 1).isin(list("=+-@\t\r＝＋－＠")), F.lit(False))
 
 
 def neutral_cell(c: Column) -> Column:

@@ -49,12 +49,20 @@ def buckets(df: DataFrame, key: str, count: int = 200, ties: tuple[str, ...] = (
 
 def number_rows(df: DataFrame, key: str, *ties: str, name: str = "pos", count: int = 200) -> DataFrame:
     """Gapless row numbers from 0 in order of key and ties."""
-    cut = df.withColumn("_bucket", buckets(df, key, count, ties))
+    return _numbered(df.withColumn("_bucket", buckets(df, key, count, ties)), key, ties, name)[0]
+
+
+def number_by_hash(df: DataFrame, key: str, *ties: str, name: str = "pos", bits: int = 12) -> tuple[DataFrame, int]:
+    """number_rows by a key that is a 64-bit hash, and the number of rows. Ranges of a hash are even as they are: no pass looks for cuts, and no row is compared with any."""
+    return _numbered(df.withColumn("_bucket", F.shiftright(key, 64 - bits)), key, ties, name)
+
+
+def _numbered(cut: DataFrame, key: str, ties: tuple[str, ...], name: str) -> tuple[DataFrame, int]:
     sizes = sorted((r["_bucket"], r["_n"]) for r in cut.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).collect())  # a row a bucket
     ends = [0, *accumulate(n for _, n in sizes)]
-    first = df.sparkSession.createDataFrame([(b, e) for (b, _), e in zip(sizes, ends, strict=False)], "_bucket bigint, _first bigint")
+    first = cut.sparkSession.createDataFrame([(b, e) for (b, _), e in zip(sizes, ends, strict=False)], "_bucket bigint, _first bigint")
     inside = Window.partitionBy("_bucket").orderBy(key, *ties)
-    return cut.join(F.broadcast(first), "_bucket").withColumn(name, F.col("_first") + F.row_number().over(inside) - 1).drop("_bucket", "_first")
+    return cut.join(F.broadcast(first), "_bucket").withColumn(name, F.col("_first") + F.row_number().over(inside) - 1).drop("_bucket", "_first"), ends[-1]
 
 
 def row_ids(df: DataFrame, position: str = "pos", name: str = "row_id", digits: int | None = None) -> DataFrame:

@@ -105,12 +105,15 @@ def reference_levels(support: DataFrame, requested: dict[str, str] | None = None
 
 def looks_non_quantitative(df: DataFrame, columns: list[str]) -> DataFrame:
     """column and flags of text columns: any leading zero, or all values postcodes, dates or phone numbers."""
+    x = [F.trim(F.col(c).cast("string")) for c in columns]
+    df = df.select(*[F.when(~parse.is_missing(v), v).alias(f"x{i}") for i, v in enumerate(x)])
     aggs = []
-    for c in columns:
-        x = F.trim(F.col(c).cast("string"))
-        here = ~parse.is_missing(x)
-        known = F.when(here, x)
-        flags = [F.coalesce(F.bool_or(known.rlike(r"^0\d")), F.lit(False)), *(F.coalesce(F.bool_and(f), F.lit(False)) for f in (known.rlike(parse.POSTCODE), parse.is_date_shaped(known), parse.is_phone(known)))]
+    for i, c in enumerate(columns):
+        known = F.col(f"x{i}")
+        # lengths, which a match must have (line ends after it included), are compared before patterns
+        sized = lambda low, high, f: F.when(known.isNotNull(), F.length(known).between(low, high) & f)
+        alike = (sized(8, 11, known.rlike(parse.POSTCODE)), sized(10, 21, parse.is_date_shaped(known)), sized(9, 1 << 30, parse.is_phone(known)))
+        flags = [F.coalesce(F.bool_or((known >= "00") & (known < "0:")), F.lit(False)), *(F.coalesce(F.bool_and(f), F.lit(False)) for f in alike)]
         aggs.append(F.struct(F.lit(c).alias("column"), *[f.alias(n) for f, n in zip(flags, ("leading_zero", "postcode", "date", "phone"), strict=True)]).alias(c))
     out = df.agg(F.array(*aggs).alias("x")).select(F.inline("x"))
     return out.withColumn("non_quantitative", F.col("leading_zero") | F.col("postcode") | F.col("date") | F.col("phone"))

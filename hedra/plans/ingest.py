@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hedra.functions import parse
 from hedra.operators.ledger import ingest_summary
-from hedra.operators.ordered import number_rows, row_ids
+from hedra.operators.ordered import number_by_hash, row_ids
 from hedra.operators.profile import NON_QUANTITATIVE_ROLES, columns_to_convert, infer_kinds, looks_non_quantitative
 from hedra.plans.valuation import ROLES, Request, Valuation, resolve, value
 from hedra.sources.shared import shared_dir
@@ -119,8 +119,8 @@ class Ingested:
 
 
 def ingest(texts: DataFrame, names: dict[str, str], source: Source) -> Ingested:
-    """Interprets a table of texts (internal names; `names` maps original ones). Passes over the texts find what each column looks like and number the rows; the interpreted
-    rows are written once to the shared folder.
+    """Interprets a table of texts (internal names; `names` maps original ones). The texts are read once from their source and written to the shared folder; passes over what is
+    there find what each column looks like and number the rows; the interpreted rows are written once, too.
 
     A missing target is pending, one that is no finite number is rejected, and neither is ever imputed; predictors aren't imputed here. A cell that can't be read without
     a guess has no number: its text stays in `original`, with a reason on its row.
@@ -131,32 +131,40 @@ def ingest(texts: DataFrame, names: dict[str, str], source: Source) -> Ingested:
         roles[target] = "target"
     candidates, last = resolve_candidates(source.candidates, roles, target, names)
     columns = texts.columns
+    texts = _written(texts if source.position else texts.withColumn("_key", F.xxhash64(*columns)), "texts")
     odd = {r["column"]: r["non_quantitative"] for r in looks_non_quantitative(texts, columns).collect()}  # a row a column
     may = columns_to_convert(odd, roles, target)
     asked = [c for c in columns if may[c] and c != target]
     kinds = {r["column"]: r["kind"] for r in infer_kinds(texts, asked, source.locale).collect()} if asked else {}
     # a column of which at most half is numbers is one of names
     converted = {c: v and (c == target or kinds[c] == "numeric") for c, v in may.items()}
-    numbered = texts.withColumn("_pos", F.col(source.position).try_cast("bigint")) if source.position else number_rows(texts.withColumn("_key", F.xxhash64(*columns)), "_key", *columns, name="_pos").drop("_key")
-    rows = row_ids(numbered, "_pos", ROW_ID).drop("_pos")
+    if source.position:
+        rows = row_ids(texts.withColumn("_pos", F.col(source.position).try_cast("bigint")), "_pos", ROW_ID).drop("_pos")
+    else:
+        numbered, n = number_by_hash(texts, "_key", *columns, name="_pos")
+        rows = row_ids(numbered, "_pos", ROW_ID, max(6, len(str(n - 1)))).drop("_pos", "_key")
     said = {c: f"_said_{i}" for i, c in enumerate(columns) if converted[c]}
     rows = rows.withColumns({name: parse.parse_number(F.col(c), source.locale) for c, name in said.items()})
-    missing = F.filter(F.array(*[F.when(parse.is_missing(F.col(c)), F.lit(c)) for c in columns]), lambda c: c.isNotNull())
+    missing = F.filter(F.array(*[F.when(F.col(f"{said[c]}.status") == "missing" if c in said else parse.is_missing(F.col(c)), F.lit(c)) for c in columns]), lambda c: c.isNotNull())
     cell = lambda c, name: F.when(F.col(f"{name}.status").isin(*ACTIONS), F.struct(F.lit(c).alias("column"), F.col(c).alias("raw"), F.col(f"{name}.value").alias("value"), F.col(f"{name}.status").alias("status"), F.col(f"{name}.locale").alias("locale")))
     cells = F.filter(F.array(*[cell(c, name) for c, name in said.items()]), lambda x: x.isNotNull()) if said else F.array().cast("array<struct<column:string,raw:string,value:double,status:string,locale:string>>")
-    of = {c: F.col(f"{said[c]}.value") if c in said else F.when(~parse.is_missing(F.col(c)), F.col(c)) for c in columns}
+    of = {c: F.col(f"{said[c]}.value") if c in said else F.when(~F.array_contains("missing_before", c), F.col(c)) for c in columns}
     disposition, why = _disposition(F.col(f"{said[target]}.status")) if target else (F.lit("observed"), F.lit(None).cast("string"))
     codes = F.transform(F.filter("cells", lambda x: x["status"].isin(*CELL_CODES)), lambda x: F.create_map(*[F.lit(v) for pair in CELL_CODES.items() for v in pair])[x["status"]])
     held = rows.withColumns({"cells": cells, "missing_before": missing, "original": F.struct(*columns)})
     held = held.withColumns({"disposition": disposition, "target_value": of[target] if target else F.lit(None).cast("double"), "reasons": F.concat(codes, F.array_compact(F.array(why)))})
     out = held.select(ROW_ID, *[x.alias(c) for c, x in of.items()], "original", "missing_before", "cells", "target_value", "disposition", "reasons")
-    # interpreted once, whatever is fitted and scored from it
-    path = f"{shared_dir(texts.sparkSession)}/ingested-{uuid.uuid4().hex}"
-    out.write.parquet(path)
-    out = texts.sparkSession.read.schema(out.schema).parquet(path)
+    out = _written(out, "ingested")  # interpreted once, whatever is fitted and scored from it
     return Ingested(out, names, roles | {ROW_ID: "identifier"}, target, candidates, converted, [*issues, *more, *last])
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows as a table in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _disposition(status: Column) -> tuple[Column, Column]:
     """What becomes of a row by its target's status, and why."""
     what = F.when(status == "missing", "pending_target").when(status == "parsed", "observed").when(status == "non_numeric", "pending_target").otherwise("rejected")

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from hedra.operators.ordered import number_by_hash, number_rows
 from hedra.operators.score import Frozen, score_batch
 from hedra.plans.ingest import Source, ingest, ingest_csv, resolve_candidates, resolve_roles, resolve_target
 from hedra.plans.valuation import Request, value
@@ -69,3 +70,27 @@ def test_repeated_ids_are_refused(spark):
     with pytest.raises(ValueError, match="row_id_absent"):
         value(df, Request("y", ["x"], row_id="nope"))
     assert value(df.where("id < 28"), Request("y", ["x"], row_id="id")).frozen.fit.n == 28
+
+
+def test_the_source_is_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    made = spark.range(40).select((F.col("id") % 30).cast("string").alias("a"), F.concat(F.lit("R$ 1."), F.col("id") + 100, F.lit(",5")).alias("b"), F.when(F.col("id") % 3 > 0, "NA").alias("c"))
+    found = ingest(made.mapInArrow(count, made.schema), {"A": "a", "B": "b", "C": "c"}, Source("B", locale="pt-BR"))
+    got = found.rows.collect()
+    assert seen.value == 40 and sorted(r["row_id"] for r in got) == [f"R{i:06}" for i in range(40)]
+    assert all(r["target_value"] == float(r["original"]["b"][3:].replace(".", "").replace(",", ".")) for r in got)
+    assert all(r["missing_before"] == ["c"] and r["c"] is None for r in got)
+
+
+def test_numbers_by_hash_are_those_in_its_order(spark):
+    df = spark.range(3000).select((F.col("id") % 2500).cast("string").alias("x")).withColumn("h", F.xxhash64("x"))
+    got, n = number_by_hash(df, "h", "x")
+    want = number_rows(df, "h", "x").groupBy("x").agg(F.sort_array(F.collect_list("pos")).alias("p"))
+    assert n == 3000 and sorted(map(str, got.groupBy("x").agg(F.sort_array(F.collect_list("pos")).alias("p")).collect())) == sorted(map(str, want.collect()))
+    assert number_by_hash(df.limit(0), "h", "x")[1] == 0

@@ -1,3 +1,5 @@
+import random
+
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -47,3 +49,17 @@ def test_shapes(spark):
     assert got[2]["ts"].day == 29 and got[0]["ts"] is None
     text = spark.createDataFrame([("CPF 123.456.789-09, a.b@c.org " + "0af3" * 8,)], "t string").select(parse.redact(F.col("t")).alias("t")).first()["t"]
     assert text == "CPF [cpf], [mail] [token]"
+
+
+def test_usual_cells_are_read_as_all_others(spark):
+    """A blank at the end sends a text the long way, which says the same of it."""
+    rng = random.Random(4)
+    atoms = [*"0123456789.,+-eE", "R$", "usd ", "EUR", " ", "12", "345", "6.789", "1,5", "abc", "inf", "na", "é", "n/a", "000"]
+    texts = ["", "12", "1.234", "1,234.5", "R$ 1.234,56", "r$12,5", "usd", "USDinf", "infeur", "words", "none", "Infinity", "...", "1.2.3", "07", "€ 1", "1 €"] + ["".join(rng.choice(atoms) for _ in range(rng.randint(1, 6))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    for locale in ("auto", "pt-BR", "en-US", "other"):
+        both = df.select("x", parse.parse_number(F.col("x"), locale).alias("a"), parse.parse_number(F.concat("x", F.lit(" ")), locale).alias("b"))
+        assert both.where(~F.col("a").eqNullSafe(F.col("b"))).collect() == []
+    # and without a function of higher order
+    plan = df.select(parse.parse_number(F.col("x"), "pt-BR")["status"].alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("transform(")
